@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, quality
+from . import exact, mixing, packing, quality, urls
 from .common import table
 
 
@@ -22,9 +23,26 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(f"quality.{n}" for n in names))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op6_url_filter": op6_url_filter,
+    "op7_packing": op7_packing,
+    "op9_mixing": op9_mixing,
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -61,4 +79,27 @@ SQL: dict[str, str] = {
                n_repeat_words::bigint as n_repeat_words, f_short + f_repeats > 0 as base_failed,
                not (f_short + f_repeats > 0 or (f_symbols = 1 and es) or (f_lines = 1 and el)) as kept
         from f join e on f.source is not distinct from e.source""",
+    "op9_mixing": r"""
+        with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+                          greatest(1.0::double - (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')))::double
+                                   / greatest(length(coalesce(text, '')), 1)::double, 0.1::double) as w,
+                          (('0x' || substr(md5('42:' || doc_id::varchar), 1, 13))::bigint + 0.5::double) / 4503599627370496::double as u from documents),
+        s0 as (select source, sum(size)::bigint as total, row_number() over (order by source nulls last) as r from d group by source),
+        s1 as (select *, case (r - 1) % 3 when 0 then 5 when 1 then 2 else 1 end::double as sw, 2.0::double * total as most from s0),
+        s2 as (select *, row_number() over (order by most / sw, r) as k,
+                      1.5::double * (sum(total) over ())::double - coalesce(sum(most) over (order by most / sw, r rows between unbounded preceding and 1 preceding), 0) as lft,
+                      sum(sw) over () - coalesce(sum(sw) over (order by most / sw, r rows between unbounded preceding and 1 preceding), 0) as wl from s1),
+        s3 as (select *, lft / wl as lvl from s2),
+        f as (select min(k) as fk, arg_min(lvl, k) as fl from s3 where lvl <= most / sw),
+        s4 as (select source, total, case when k < fk then most else fl * sw end as target from s3, f),
+        s5 as (select *, case when total > 0 then floor(target / total) else 0 end::bigint as ep from s4),
+        s6 as (select *, target - ep * total as rest from s5),
+        p as (select d.doc_id, d.size, d.source, total, target, ep, rest, -ln(u) / w as key,
+                     sum(size) over (partition by d.source order by -ln(u) / w, doc_id rows unbounded preceding) as upto
+              from d join s6 on d.source is not distinct from s6.source),
+        g as (select source, max(rest) - coalesce(max(case when upto <= rest then upto end), 0) as gap from p group by source),
+        c as (select p.source, arg_min(doc_id, {'a': abs(size - gap), 'b': key, 'c': doc_id}) as cid
+              from p join g on p.source is not distinct from g.source where not (upto <= rest) and abs(size - gap) < gap group by p.source)
+        select doc_id, size, total as source_size, target, (size * (ep + (upto <= rest or coalesce(doc_id = cid, false))::int))::bigint as taken
+        from p left join c on p.source is not distinct from c.source""",
 }
