@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import scratch, written
+
+__all__ = ["GAP", "bind", "located", "locator", "lower_ascii", "only", "scratch", "table", "words_of", "written"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 GAP = r"[\x20\x09-\x0D]+"
@@ -35,30 +35,24 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the folder that driver and executors share.
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` itself if it is a plain file read, else a written copy.
 
-    ``spark.checkpoint.dir`` names it. Where it is unset (tests, one machine)
-    a temporary folder takes its place and goes when the process ends.
+    Only a plain read has a locator (file, row) for each row.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        local = tempfile.mkdtemp(prefix="hinflow-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        base = f"file://{local}"
-    return f"{base.rstrip('/')}/hinflow/{name}-{uuid.uuid4().hex}"
+    plan = docs._jdf.queryExecution().analyzed().getClass().getSimpleName()
+    return docs if plan == "LogicalRelation" and docs.inputFiles() else written(docs, "staged")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def locator() -> tuple[Column, Column]:
+    """The file and the row in it, of a plain file read."""
+    return F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
 
-    Cuts the lineage: what follows starts from replicated files, whichever
-    executors are lost meanwhile, and Catalyst knows the table's real size.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def only(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` (a plain read) that are ("left_semi") or are not ("left_anti") among the locators ``rows``."""
+    doc = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__doc"), *locator())
+    return doc.join(rows.select("file", "row"), ["file", "row"], how).select("__doc.*")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from .common import lower_ascii, scratch, written
+from .common import located, locator, lower_ascii, only, scratch, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -43,8 +43,7 @@ def content_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, file, row, digest) of a parquet table read as ``docs``."""
     return docs.select(
         F.col(id_col).alias("id"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.row_index").alias("row"),
+        *locator(),
         F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"),
     )
 
@@ -84,7 +83,7 @@ def exact_groups(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id"
     """One row per row of ``docs``: id, file, row, digest, keep_id, group_size, kept.
 
     ``docs`` must be a plain read of parquet files, so that each row has a
-    content locator; ``staged`` makes one from any DataFrame.
+    content locator; ``located`` makes one from any DataFrame.
     """
     index_path = scratch(spark, "content-index")
     index = content_index(docs, id_col, text_col)
@@ -94,7 +93,7 @@ def exact_groups(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id"
 
     hits = state.where("n > 1")
     located = index.join(hits, "digest").select("file", "row", "id", "digest", "keeper", "n")
-    texts = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.col(text_col).alias("text"))
+    texts = docs.select(*locator(), F.col(text_col).alias("text"))
     hit_texts = written(texts.join(located, ["file", "row"]).withColumn("text", normalised(F.col("text"))), "hit-texts")
 
     shares = F.ceil(F.col("n") / SHARE).cast("int")
@@ -121,12 +120,8 @@ def exact_groups(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id"
 def exact_dedup(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``.
 
-    ``docs`` is first written to the shared folder, which gives every row its
-    locator; rows are then taken out by locator, so repeated identifiers and
-    null identifiers are safe.
+    Rows are taken out by locator, so repeated and null identifiers are safe.
     """
-    staged = written(docs, "staged")
-    gone = exact_groups(spark, staged, id_col=id_col, text_col=text_col).where(~F.col("kept")).select("file", "row")
-    names = staged.columns
-    located = staged.select(F.struct(*names).alias("__doc"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return located.join(gone, ["file", "row"], "left_anti").select("__doc.*")
+    docs = located(docs)
+    gone = exact_groups(spark, docs, id_col=id_col, text_col=text_col).where(~F.col("kept"))
+    return only(docs, gone, "left_anti")

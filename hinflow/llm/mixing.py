@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import words_of, written
+from .common import located, locator, words_of, written
 
 WEIGHTS = (5, 2, 1)
 RANGE = 2000
@@ -78,7 +78,7 @@ def mix(
     """
     text, weight = F.col(text_col), quality_weight(F.col(text_col))
     rows = docs.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.col(id_col).alias("id"),
+        *locator(), F.col(id_col).alias("id"),
         F.col(source_col).alias("source"), F.size(words_of(text)).cast("long").alias("size"), weight.alias("w"),
     )
     rows = written(rows.select("*", (-F.log(uniform(F.col("id"), seed)) / F.col("w")).alias("key")), "sizes")
@@ -111,9 +111,8 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: documents with the columns of ``docs``, each as often as it is taken."""
-    staged = written(docs, "staged")
-    names = staged.columns
-    taken = mix(staged, **options).where("copies > 0").select("file", "row", "copies")
-    located = staged.select(F.struct(*names).alias("__doc"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    repeated = located.join(taken, ["file", "row"]).select("__doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    docs = located(docs)
+    taken = mix(docs, **options).where("copies > 0").select("file", "row", "copies")
+    doc = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__doc"), *locator())
+    repeated = doc.join(taken, ["file", "row"]).select("__doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     return repeated.select("__doc.*")
