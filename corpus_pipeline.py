@@ -2,33 +2,54 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hinflow.llm import exact, quality
+from hinflow.llm import exact, mixing, packing, quality, simhash
+from hinflow.llm.common import table, written
 
+#: The columns of documents, which all stages but the last return.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules."""
     return quality.quality_rules(docs).where("quality.kept").select(*COLUMNS)
 
 
-def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest identifier."""
     return exact.exact_dedup(spark, docs).select(*COLUMNS)
 
 
-STAGES = [("quality rules", quality_stage), ("exact dedup", exact_stage)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest identifier."""
+    return simhash.near_dedup(docs).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed_documents(docs).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences.
+
+    A document that the mix takes twice is packed twice, under one identifier.
+    """
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("mix", mix), ("pack", pack)]
 
 #: Near-duplicate groups and token packing are beyond SQL; tests compare with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from hinflow.llm.common import table, written
-
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, name.replace(" ", "-"))
+            docs = written(docs, "stage")
     return docs
