@@ -332,13 +332,13 @@ def mean_aggregate_2layer(t):
     return r6(X.mean_aggregate(E.reverse(e), X.mean_aggregate(e, part_features(t))), "value")
 
 
-@query("hopwise_mean_aggregate", R("cust_order order_part", f", {XF}, o as (select src as node, pos, avg(value) as value from order_part join xf on dst = node group by 1, 2) select src as node, pos, round(avg(value), 6) as value from cust_order join o on dst = node group by 1, 2"))
+@query("hopwise_mean_aggregate", R("cust_order order_part", f", {XF}, o as (select src as node, pos, avg(value) as value from order_part join xf on dst = node group by 1, 2) select src as node, pos, round(avg(value), 9) as value from cust_order join o on dst = node group by 1, 2"))
 def hopwise_mean_aggregate(t):
     """One layer per hop of the matching graph, from its far end; the graph itself is never composed."""
     rows = part_features(t)
     for hop in reversed(schema(t, "cust_order", "order_part").hops(M.MetaPath.parse("cust_order,order_part"))):
         rows = X.mean_aggregate(hop, rows)
-    return r6(rows, "value")
+    return rows.withColumn("value", F.round("value", 9))
 
 
 SF = R("cust_part", f", {sk(8)}, d as (select sk.node, u.node as dst from sk join u using (h)), b as (select c_custkey as dst, c_acctbal as value from customer)")
