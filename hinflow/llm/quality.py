@@ -119,7 +119,7 @@ def quality_rules(docs: DataFrame, *, text: str = "text", host: str = "source",
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c != "quality"]
     c = counts(F.col(text))
-    base = docs.select(*carry, F.col(host).alias("__host"), c.alias("__counts"))
+    base = docs.select(F.struct(*(docs[x] for x in carry)).alias("__doc"), F.col(host).alias("__host"), c.alias("__counts"))
     failed = F.struct(*(v.alias(k) for k, v in failures(F.col("__counts")).items()))
     base = written(base.withColumn("__failed", failed), "quality")
     verdicts = host_verdicts(base, "__host", "__failed", host_limit)
@@ -135,4 +135,4 @@ def quality_rules(docs: DataFrame, *, text: str = "text", host: str = "source",
         (~base_failed & ~by_host).alias("kept"),
         *(F.col(f"rate_{r}") for r in RULES),
     )
-    return joined.select(*carry, quality.alias("quality"))
+    return joined.select("__doc.*", quality.alias("quality"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, licenses, mixing, packing, quality, secrets, simhash, substrings, urls
+from . import exact, licenses, mixing, packing, pii, quality, secrets, simhash, substrings, urls
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(f"quality.{n}" for n in names))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonyms(table(spark, sf_dir, "documents"), pii.DEMO_KEY).withColumnRenamed("id", "doc_id")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_pii": op5_pii,
     "op6_url_filter": op6_url_filter,
     "op7_packing": op7_packing,
     "op8_license_scan": op8_license_scan,
