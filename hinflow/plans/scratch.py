@@ -38,8 +38,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whichever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``written`` wrote for ``df``; nothing may read it afterwards."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-    path.getFileSystem(conf).delete(path, True)
+    remove(df.sparkSession, df.scratch_path)
