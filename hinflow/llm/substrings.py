@@ -44,6 +44,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import discard
 from .common import written
 
 LENGTH, CORE = 100, 32
@@ -64,14 +65,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 _BYTES = _mixed((np.arange(256, dtype=U) + U(1)) * _M4)
 
 
-def doubled(data: np.ndarray) -> dict[int, np.ndarray]:
-    """Names of all strings of 1, 2, 4, ..., 64 bytes in ``data``, by doubling."""
-    names = {1: _BYTES[data]}
-    n = 1
-    while n < 64 and len(names[n]) > n:
+def doubled(data: np.ndarray, longest: int = 64) -> dict[int, np.ndarray]:
+    """Names of all strings of 1, 2, 4, ... up to ``longest`` bytes in ``data``: a pair of names at the doubled offset makes the next one."""
+    names, n, weight = {1: _BYTES[data]}, 1, 0xD6E8FEB86659FD93
+    while n < longest and len(names[n]) > n:
         x = names[n]
-        names[2 * n] = _mixed(x[:-n] * _M2 + x[n:])
-        n *= 2
+        y = x[:-n] * U(weight)
+        y += x[n:]
+        n, weight = 2 * n, weight * weight % (1 << 64)
+        names[n] = y
     return names
 
 
@@ -91,7 +93,7 @@ def runs(data: np.ndarray) -> tuple[np.ndarray, ...]:
     for base in range(0, max(total, 0), SEGMENT):
         m = min(SEGMENT, total - base)
         names = doubled(data[base : base + m + LENGTH - 1])
-        core = names[CORE]
+        core = _mixed(names[CORE].copy())
         key = (core & ~U(SEGMENT * 2 - 1)) | np.arange(len(core), dtype=U)
         width, span = LENGTH - CORE + 1, 1
         while 2 * span <= width:
@@ -137,6 +139,10 @@ def _per_document(work: Callable[[dict, np.ndarray], list[np.ndarray] | None], n
     return run
 
 
+def _anchors_of(_row: dict, data: np.ndarray) -> list[np.ndarray]:
+    return [runs(data)[0]]
+
+
 def _runs_of(_row: dict, data: np.ndarray) -> list[np.ndarray]:
     g, k1, k2, lo, n = runs(data)
     return [g, k1, k2, lo, n]
@@ -243,14 +249,16 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(id, n_bytes, n_removed, n_spans, kept, spans) per row: ``kept`` bytes, ``spans`` as start, end, start, end, ..."""
     position = Position(docs, id_col, text_col)
     raw = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(position.none)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("bytes"))
+    anchors = raw.mapInArrow(_per_document(_anchors_of, ["g"]), "id long, g long")
+    shared = _released(anchors.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), "anchors")
     scanned = raw.mapInArrow(_per_document(_runs_of, ["g", "k1", "k2", "lo", "n"]), "id long, g long, k1 long, k2 long, lo long, n long")
-
-    shared = _released(scanned.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), "anchors")
     repeated = _released(scanned.join(shared, "g", "left_semi"), "runs")
 
     first = repeated.groupBy("k1", "k2", "n").agg(F.min(position.pack("id", "lo")).alias("pos"), F.min("g").alias("g"))
     first = _released(first.select("g", "n", *position.unpack("pos")), "first")
-    varied = first.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g")
+    of_runs = _released(repeated.groupBy("id").agg(F.collect_list("lo").alias("repeated"), F.collect_list("n").alias("n")), "runs")
+    discard(repeated)
+    varied = _released(first.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), "varied")
     undecided = _released(first.join(varied, "g", "left_semi").select("id", "lo", "n"), "undecided")
 
     texts = raw.mapInArrow(_packed, "id long, packed binary")
@@ -260,7 +268,6 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     first_windows = windows.groupBy("w1", "w2").agg(F.min("pos").alias("pos")).select(*position.unpack("pos"))
     first_windows = _released(first_windows.groupBy("id").agg(F.collect_list("lo").alias("windows")), "windows")
 
-    of_runs = repeated.groupBy("id").agg(F.collect_list("lo").alias("repeated"), F.collect_list("n").alias("n"))
     of_first = first.groupBy("id").agg(F.collect_list("lo").alias("first"))
     of_undecided = undecided.groupBy("id").agg(F.collect_list("lo").alias("undecided"))
     notes = of_runs.join(of_first, "id", "left").join(of_undecided, "id", "left").join(first_windows, "id", "left")
