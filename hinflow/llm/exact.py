@@ -23,10 +23,14 @@ further columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..plans.scratch import remove
 from .common import located, locator, lower_ascii, only, scratch, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -65,31 +69,43 @@ def state_table(spark: SparkSession, checkpoint: str) -> DataFrame:
     return state.select(F.col("key.digest").alias("digest"), F.col("value")[names[0]].alias("keeper"), F.col("value")[names[1]].alias("n"))
 
 
-def _streamed_state(spark: SparkSession, index_path: str, schema) -> DataFrame:
-    checkpoint = scratch(spark, "digest-state")
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """State in RocksDB, which a task closes when it has committed: a run holds as many open stores as it has cores."""
+    own = {PROVIDER: ROCKSDB, "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
-        run_stream(spark.readStream.schema(schema).parquet(index_path), checkpoint).awaitTermination()
-        return written(state_table(spark, checkpoint), "digests")
+        yield
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _streamed_state(spark: SparkSession, index_path: str, schema, checkpoint: str | None) -> DataFrame:
+    """The state after all of the index; without a ``checkpoint`` to continue, it is read out and its folder goes."""
+    folder = checkpoint or scratch(spark, "digest-state")
+    with state_on_disk(spark):
+        run_stream(spark.readStream.schema(schema).parquet(index_path), folder).awaitTermination()
+        state = written(state_table(spark, folder), "digests")
+    if checkpoint is None:
+        remove(spark, folder)
+    return state
 
 
-def exact_groups(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_groups(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", checkpoint: str | None = None) -> DataFrame:
     """One row per row of ``docs``: id, file, row, digest, keep_id, group_size, kept.
 
     ``docs`` must be a plain read of parquet files, so that each row has a
-    content locator; ``located`` makes one from any DataFrame.
+    content locator; ``located`` makes one from any DataFrame. The stream has
+    a state of its own, or continues the one below ``checkpoint``.
     """
     index_path = scratch(spark, "content-index")
     index = content_index(docs, id_col, text_col)
     index.write.parquet(index_path)
     index = spark.read.schema(index.schema).parquet(index_path)
-    state = _streamed_state(spark, index_path, index.schema)
+    state = _streamed_state(spark, index_path, index.schema, checkpoint)
 
     hits = state.where("n > 1")
     located = index.join(hits, "digest").select("file", "row", "id", "digest", "keeper", "n")

@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ from .common import written
 LENGTH, CORE = 100, 32
 #: Windows that share one numbering when anchors are chosen; a run never crosses its end.
 SEGMENT = 1 << 20
+#: Window names are ranked in so many shares, one after the other: the ranking's disk is divided by it.
+SHARES = 2
 
 U = np.uint64
 _M1, _M2, _M3, _M4, _M5 = U(0xBF58476D1CE4E5B9), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0x9E3779B97F4A7C15), U(0xE7037ED1A0B428DB)
@@ -148,8 +151,8 @@ def _runs_of(_row: dict, data: np.ndarray) -> list[np.ndarray]:
     return [g, k1, k2, lo, n]
 
 
-def _windows_of(row: dict, data: np.ndarray) -> list[np.ndarray]:
-    """Two names and the start of each window in the runs that ``row`` lists."""
+def _windows_of(row: dict, data: np.ndarray, share: int, shares: int) -> list[np.ndarray]:
+    """Two names and the start of each window in the runs that ``row`` lists, if its name falls into the share."""
     runs_here = row["undecided"].values
     lo = runs_here.field("lo").to_numpy(zero_copy_only=False)
     n = runs_here.field("n").to_numpy(zero_copy_only=False)
@@ -163,7 +166,9 @@ def _windows_of(row: dict, data: np.ndarray) -> list[np.ndarray]:
         if len(own):
             names = doubled(data[base : base + SEGMENT + LENGTH])
             first.append((window_names(names, own, _M2), window_names(names, own, _M5) >> U(33)))
-    return [np.concatenate([x[0] for x in first]), np.concatenate([x[1] for x in first]), at]
+    names, more = np.concatenate([x[0] for x in first]), np.concatenate([x[1] for x in first])
+    own = (names >> U(40)) % U(shares) == U(share)
+    return [names[own], more[own], at[own]]
 
 
 def _numbers(x: pa.Scalar) -> np.ndarray:
@@ -263,10 +268,15 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     texts = raw.mapInArrow(_packed, "id long, packed binary")
     lists = undecided.groupBy("id").agg(F.collect_list(F.struct("lo", "n")).alias("undecided"))
-    windows = texts.join(lists, "id").mapInArrow(_per_document(_windows_of, ["w1", "w2", "lo"]), "id long, w1 long, w2 long, lo long")
-    windows = windows.select(F.col("w1"), F.col("w2").cast("int").alias("w2"), position.pack("id", "lo").alias("pos"))
-    first_windows = windows.groupBy("w1", "w2").agg(F.min("pos").alias("pos")).select(*position.unpack("pos"))
-    first_windows = _released(first_windows.groupBy("id").agg(F.collect_list("lo").alias("windows")), "windows")
+    firsts = None
+    for share in range(SHARES):
+        work = _per_document(partial(_windows_of, share=share, shares=SHARES), ["w1", "w2", "lo"])
+        windows = texts.join(lists, "id").mapInArrow(work, "id long, w1 long, w2 long, lo long")
+        windows = windows.select("w1", F.col("w2").cast("int").alias("w2"), position.pack("id", "lo").alias("pos"))
+        ranked = windows.groupBy("w1", "w2").agg(F.min("pos").alias("pos")).select(*position.unpack("pos"))
+        part = _released(ranked.groupBy("id").agg(F.collect_list("lo").alias("windows")), "windows")
+        firsts = part if firsts is None else firsts.union(part)
+    first_windows = firsts.groupBy("id").agg(F.flatten(F.collect_list("windows")).alias("windows"))
 
     of_first = first.groupBy("id").agg(F.collect_list("lo").alias("first"))
     of_undecided = undecided.groupBy("id").agg(F.collect_list("lo").alias("undecided"))

@@ -64,7 +64,7 @@ def rendered(edges: DataFrame) -> DataFrame:
 def parsed(lines: DataFrame, lo: Column | int = 0, n: int | None = None) -> DataFrame:
     """Edges from text lines (column line); ids are shifted by ``lo`` and kept within [0, n)."""
     parts = F.split(F.trim("line"), r"\s+")
-    edges = lines.select(F.get(parts, F.lit(0)).cast("bigint").alias("src"), F.explode(F.slice(parts, 2, 1 << 30).cast("array<bigint>")).alias("dst"))
+    edges = lines.select(F.get(parts, F.lit(0)).try_cast("bigint").alias("src"), F.explode(F.transform(F.slice(parts, 2, 1 << 30), lambda x: x.try_cast("bigint"))).alias("dst"))
     edges = edges.select((F.col("src") - lo).alias("src"), (F.col("dst") - lo).alias("dst"))
     inside = (F.col("src") >= 0) & (F.col("dst") >= 0)
     return edges.where(inside if n is None else inside & (F.col("src") < n) & (F.col("dst") < n)).distinct()
@@ -74,7 +74,7 @@ def line_degree(lines: DataFrame) -> DataFrame:
     """(node, degree) straight from text lines; a node is not its own neighbour."""
     parts = F.split(F.trim("line"), r"\s+")
     own = F.get(parts, F.lit(0))
-    return lines.select(own.cast("bigint").alias("node"), F.size(F.filter(F.slice(parts, 2, 1 << 30), lambda x: x != own)).cast("bigint").alias("degree"))
+    return lines.select(own.try_cast("bigint").alias("node"), F.size(F.filter(F.slice(parts, 2, 1 << 30), lambda x: x != own)).cast("bigint").alias("degree"))
 
 
 def offsets(edges: DataFrame, group: Column | None = None) -> DataFrame:

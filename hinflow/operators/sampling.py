@@ -42,8 +42,10 @@ def stratified_subsample(df: DataFrame, label: str, id_col: str, size: int, seed
     exact = F.lit(size) * F.col("c") / total.cast("double")
     c = c.select(label, "c", exact.alias("exact"), F.greatest(F.floor(exact), F.lit(1)).alias("base"))
     left = F.lit(size) - F.sum("base").over(W.partitionBy())
-    by = W.orderBy((F.col("exact") - F.floor("exact")).desc(), label)
-    c = c.select(F.col(label).alias("__l"), (F.col("base") + F.when(F.row_number().over(by) <= left, 1).otherwise(0)).alias("quota"))
+    rising = F.row_number().over(W.orderBy((F.col("exact") - F.col("base")).desc(), label))
+    # What classes below one row took beyond their share comes off the largest ones.
+    falling = F.row_number().over(W.orderBy(F.col("base").desc(), label))
+    c = c.select(F.col(label).alias("__l"), (F.col("base") + (rising <= left).cast("int") - (falling <= -left).cast("int")).alias("quota"))
     r = hash_ranked(df, [label], id_col, seed)
     return r.join(c, F.col(label).eqNullSafe(F.col("__l"))).where("r <= quota").select(id_col, label)
 

@@ -37,7 +37,7 @@ def stratified_split(t):
 
 
 @query("stratified_subsample", f"""with k as (select c_mktsegment, 100 * count(*) / (select count(*) from customer)::double as exact from customer group by 1),
-    b as (select *, greatest(floor(exact), 1) as base, row_number() over (order by exact - floor(exact) desc, c_mktsegment) as rk from k), q as (select c_mktsegment, base + (rk <= 100 - sum(base) over ())::int as quota from b),
+    b as (select *, greatest(floor(exact), 1) as base, row_number() over (order by exact - greatest(floor(exact), 1) desc, c_mktsegment) as rk from k), q as (select c_mktsegment, base + (rk <= 100 - sum(base) over ())::int as quota from b),
     r as (select c_custkey, c_mktsegment, row_number() over (partition by c_mktsegment order by {hx('42', 'c_custkey')}, c_custkey) as r from customer) select c_custkey, c_mktsegment from r join q using (c_mktsegment) where r <= quota""")
 def stratified_subsample(t):
     return S.stratified_subsample(t["customer"], "c_mktsegment", "c_custkey", 100)

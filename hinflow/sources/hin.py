@@ -15,14 +15,14 @@ def _lines(names: str) -> T.StructType:
 
 
 def _ints(c: str):
-    return F.transform(F.split(c, ","), lambda x: F.trim(x).cast("int"))
+    return F.transform(F.split(c, ","), lambda x: F.trim(x).try_cast("int"))
 
 
 def read_native(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """nodes (node, types) and edges (src, dst, etype) of node.dat and link.dat; types are comma lists."""
     tsv = lambda name, cols: spark.read.csv(f"{folder}/{name}", sep="\t", schema=_lines(cols))
-    nodes = tsv("node.dat", "node other types").select(F.col("node").cast("bigint").alias("node"), _ints("types").alias("types"))
-    edges = tsv("link.dat", "src dst types").select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), F.explode(_ints("types")).alias("etype"))
+    nodes = tsv("node.dat", "node other types").select(F.col("node").try_cast("bigint").alias("node"), _ints("types").alias("types"))
+    edges = tsv("link.dat", "src dst types").select(F.col("src").try_cast("bigint").alias("src"), F.col("dst").try_cast("bigint").alias("dst"), F.explode(_ints("types")).alias("etype"))
     return nodes, edges
 
 
@@ -48,10 +48,10 @@ def read_hne(spark: SparkSession, folder: str, type_names: dict[str, str] | None
     if type_names:
         known = F.create_map(*(F.lit(x) for pair in type_names.items() for x in pair))
         kind = F.coalesce(known[F.col("type")], kind)
-    nodes = raw.select(F.col("id").cast("bigint").alias("node"), kind.alias("type"), F.transform(F.split("info", ","), lambda v: v.cast("float")).alias("x"))
+    nodes = raw.select(F.col("id").try_cast("bigint").alias("node"), kind.alias("type"), F.transform(F.split("info", ","), lambda v: v.try_cast("float")).alias("x"))
     nodes = nodes.join(local_ids(nodes.select("type", "node"), ["type"], "node"), ["type", "node"]).select("node", "type", "local", "x")
     ends = nodes.select("node", "type")
-    links = spark.read.csv(f"{folder}/link.dat", sep="\t", schema=_lines("src dst kind weight")).select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"))
+    links = spark.read.csv(f"{folder}/link.dat", sep="\t", schema=_lines("src dst kind weight")).select(F.col("src").try_cast("bigint").alias("src"), F.col("dst").try_cast("bigint").alias("dst"))
     edges = links.join(ends.toDF("src", "st"), "src").join(ends.toDF("dst", "dt"), "dst")
     return nodes, edges.select("src", "dst", F.concat_ws("_to_", "st", "dt").alias("rel"))
 
@@ -59,7 +59,7 @@ def read_hne(spark: SparkSession, folder: str, type_names: dict[str, str] | None
 def read_labels(spark: SparkSession, folder: str) -> tuple[DataFrame, bool]:
     """(node, type, classes) with class numbers in label order, and whether some node has several."""
     raw = spark.read.csv(f"{folder}/label.dat", sep="\t", schema=_lines("id name type label"))
-    rows = raw.select(F.col("id").cast("bigint").alias("node"), "type", F.explode(F.split("label", ",")).alias("label"))
+    rows = raw.select(F.col("id").try_cast("bigint").alias("node"), "type", F.explode(F.split("label", ",")).alias("label"))
     names = rows.select("label").distinct()
     numbered = ranked(names, [], F.substring("label", 1, 2), ["label"]).select("label", (F.col("r") - 1).alias("class"))
     out = rows.join(numbered, "label").groupBy("node", "type").agg(F.array_sort(F.collect_set("class")).alias("classes"))

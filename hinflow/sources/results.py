@@ -20,13 +20,13 @@ def compiled(spark: SparkSession, pattern: str) -> DataFrame:
     df = spark.read.option("multiLine", True).json(pattern)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     part = lambda k: F.regexp_extract(name, r"^(.+)_([^_]+)_(\d+)\.json$", k)
-    return df.select("*", part(1).alias("dataset"), part(2).alias("method"), part(3).cast("int").alias("seed"))
+    return df.select("*", part(1).alias("dataset"), part(2).alias("method"), part(3).try_cast("int").alias("seed"))
 
 
 def seeded_csv(spark: SparkSession, folder: str, numeric: list[str]) -> DataFrame:
     """master_results.csv files below results_<seed>/<dataset>/; the seed comes from the folder, text numbers become null where they are none."""
     df = spark.read.csv(folder, header=True, recursiveFileLookup=True, pathGlobFilter="master_results.csv")
-    seed = F.regexp_extract(F.col("_metadata.file_path"), r"results_(\d+)", 1).cast("int")
+    seed = F.regexp_extract(F.col("_metadata.file_path"), r"results_(\d+)", 1).try_cast("int")
     names = [c for c in df.columns if c not in numeric]
     return df.select(*names, *(number(c).alias(c) for c in numeric), *(status(c).alias(f"{c}_status") for c in numeric), seed.alias("run_seed"))
 

@@ -80,14 +80,14 @@ def write_by_length(rules: DataFrame, path: str, longest: int = 3) -> None:
 
 
 def query_nodes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.col("value").cast("bigint").alias("node")).where("node is not null")
+    return spark.read.text(path).select(F.col("value").try_cast("bigint").alias("node")).where("node is not null")
 
 
 def hub_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, complement, node): hub sets of a result file. '(' lists the hubs, ')' lists the peers that are not hubs."""
     lines = spark.read.text(path).where("value like '(%' or value like ')%'")
     listed = F.split(F.trim(F.substring("value", 2, 1 << 30)), r"\s+")
-    return lines.select(F.xxhash64("value").alias("line"), F.col("value").startswith(")").alias("complement"), F.explode(listed).cast("bigint").alias("node"))
+    return lines.select(F.xxhash64("value").alias("line"), F.col("value").startswith(")").alias("complement"), F.explode(F.transform(listed, lambda x: x.try_cast("bigint"))).alias("node"))
 
 
 def hub_set(lines: DataFrame, line: int, peers: DataFrame) -> DataFrame:

@@ -181,15 +181,11 @@ def test_exact_stream_remembers(spark, tmp_path):
     """A second run of the stream over new files knows the digests of the first."""
     checkpoint, folder = str(tmp_path / "state"), str(tmp_path / "index")
     schema = "id long, file string, row long, digest binary"
-    before = spark.conf.get(exact.PROVIDER, None)
-    spark.conf.set(exact.PROVIDER, exact.ROCKSDB)
-    try:
+    with exact.state_on_disk(spark):
         for i in (1, 2):
             spark.createDataFrame([(i, "f", i, b"same"), (10 + i, "f", i, bytes([i]))], schema).write.mode("append").parquet(folder)
             exact.run_stream(spark.readStream.schema(schema).parquet(folder), checkpoint).awaitTermination()
         state = {bytes(r["digest"]): (r["keeper"]["id"], r["n"]) for r in exact.state_table(spark, checkpoint).collect()}
-    finally:
-        spark.conf.set(exact.PROVIDER, before) if before else spark.conf.unset(exact.PROVIDER)
     assert state == {b"same": (2, 2), b"\1": (11, 1), b"\2": (12, 1)}
 
 
