@@ -7,10 +7,13 @@ URLs that the rules allow, one to URLs that they block. The score is the
 log-likelihood difference per byte; a logistic curve fitted to labelled URLs
 held out from the models turns it into a probability.
 
-Bounds: each class gives at most ``max_labelled`` URLs, those with the smallest
-hashes, to models and calibration; counts live in ORDERS x SLOTS hashed slots,
-so the broadcast has a fixed size whatever the input. Every URL is scored
-whole, in one pass without a shuffle.
+Every labelled URL that is not held out is counted, so what the models gather
+grows with the input. The counts are added up in ORDERS x SLOTS hashed slots
+per class, first within each task and then by Spark, so the broadcast has a
+fixed size (some 10 MB) whatever the input. Calibration has two parameters to
+fit and takes at most ``max_calibration`` different held-out URLs of each
+class, those with the smallest hashes. Every URL is scored whole, in one pass
+without a shuffle.
 
 Defined results: a null URL, or one without "://", has an empty host and path
 and is judged by the models; if a class has no labelled URL there is no model
@@ -34,8 +37,10 @@ from .common import lower_ascii
 #: verdict, host, path
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 ORDERS = 5
-SLOTS = 1 << 16
+SLOTS = 1 << 17
 STRENGTH = 2.0
+#: One URL in so many is held out of the models, by hash, and serves calibration.
+HELD_OUT = 5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -81,18 +86,23 @@ def _slots(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cells of [class, kind, order, slot] that a task's URLs touch, and their counts."""
+    counts = np.zeros((2, 2, ORDERS, SLOTS), np.int64)
     for batch in batches:
-        data = batch.to_pydict()
+        urls, labels = batch.column("url").to_pylist(), batch.column("label").to_numpy(zero_copy_only=False)
         for label in (0, 1):
-            urls = [u for u, y in zip(data["url"], data["label"], strict=True) if y == label]
-            if not urls:
+            own = [urls[i] for i in np.flatnonzero(labels == label)]
+            if not own:
                 continue
-            joint, context, _ = _slots(urls)
-            for kind, slots in ((0, joint), (1, context)):
+            joint, context, _ = _slots(own)
+            for kind, slots in enumerate((joint, context)):
                 for k in range(ORDERS):
-                    n = np.bincount(slots[k], minlength=SLOTS)
-                    where = np.flatnonzero(n)
-                    yield pa.RecordBatch.from_pydict({"cell": ((label * 2 + kind) * ORDERS + k) * SLOTS + where, "n": n[where].astype(np.int64)})
+                    counts[label, kind, k] += np.bincount(slots[k], minlength=SLOTS)
+    flat = counts.ravel()
+    where = np.flatnonzero(flat)
+    for k in range(0, len(where), 1 << 16):
+        part = where[k : k + (1 << 16)]
+        yield pa.RecordBatch.from_pydict({"cell": part, "n": flat[part]})
 
 
 def _log_likelihood(counts: np.ndarray, urls: list[str | None]) -> np.ndarray:
@@ -125,33 +135,29 @@ def _platt(score: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(beta[0] / spread), float(beta[1])
 
 
-def fit(labelled: DataFrame, *, max_labelled: int = 20000) -> tuple[np.ndarray, float, float] | None:
+def fit(labelled: DataFrame, *, max_calibration: int = 20000) -> tuple[np.ndarray, float, float] | None:
     """Counts of both models and the calibration, from (url, label 0/1)."""
     h = F.xxhash64("url")
-    kept = reduce(
-        DataFrame.unionByName,
-        (labelled.where(F.col("label") == y).select("url", "label", h.alias("h")).orderBy("h", "url").limit(max_labelled) for y in (0, 1)),
-    ).persist()
-    held = F.pmod(F.col("h"), F.lit(5)) == 0
-    cells = kept.where(~held).select("url", "label").mapInArrow(_counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(2 * 2 * ORDERS * SLOTS)
+    held = F.pmod(h, F.lit(HELD_OUT)) == 0
+    cells = labelled.where(~held).select("url", "label").mapInArrow(_counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(2 * 2 * ORDERS * SLOTS, np.float32)
     counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     counts = counts.reshape(2, 2, ORDERS, SLOTS)
-    rest = kept.where(held).select("url", "label").toPandas()
-    kept.unpersist()
+    others = labelled.where(held).select("url", "label").distinct()
+    rest = reduce(DataFrame.unionByName, (others.where(F.col("label") == y).orderBy(h, "url").limit(max_calibration) for y in (0, 1))).toPandas()
     if not (counts[:, 1, 0].sum(axis=1) > 0).all():
         return None
     ll = _log_likelihood(counts, rest["url"].tolist()) if len(rest) else np.zeros((2, 0))
     return counts, *_platt(ll[1] - ll[0], rest["label"].to_numpy(float))
 
 
-def url_filter(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, max_labelled: int = 20000) -> DataFrame:
+def url_filter(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, max_calibration: int = 20000) -> DataFrame:
     """(id, host, path, rule, verdict, score, p_allow), one row per page."""
     host, path = host_and_path(F.col("url"))
     parsed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", "url", host.alias("host"), path.alias("path"))
     parsed = parsed.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     labelled = parsed.where("r is not null").select("url", (F.col("r.verdict") == "allow").cast("int").alias("label"))
-    model = fit(labelled, max_labelled=max_labelled)
+    model = fit(labelled, max_calibration=max_calibration)
     if model is None:
         scored = parsed.select("*", F.lit(None).cast("double").alias("score"), F.when(F.col("r").isNull(), F.lit(1.0)).alias("p_allow"))
     else:
