@@ -24,15 +24,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/hinflow/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's switch for deleting a query's shuffle files as soon as the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage: what follows starts from replicated files, whichever
     executors are lost meanwhile, and Catalyst knows the table's real size.
+    The shuffle files of the write go when it ends, not when the driver next
+    collects garbage; a lost executor during the write is repaired as usual.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
