@@ -23,7 +23,7 @@ Rank names are positions (document and offset in one number), so the last
 ranking says directly which windows start earlier elsewhere. All rankings are
 grouped minima with map-side partial aggregation: a passage in a third of all
 documents reaches its reducer as one row per task. Tables between the steps are
-written to the shared folder, and each step's shuffle files are released.
+written to the shared folder, and each step's shuffle files go when it ends.
 
 Names have 64 bits in the tasks; the rankings compare 96 to 192 bits of them.
 
@@ -37,7 +37,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +50,6 @@ from .common import written
 LENGTH, CORE = 100, 32
 #: Windows that share one numbering when anchors are chosen; a run never crosses its end.
 SEGMENT = 1 << 20
-#: Window names are ranked in so many shares, one after the other: the ranking's disk is divided by it.
-SHARES = 2
 
 U = np.uint64
 _M1, _M2, _M3, _M4, _M5 = U(0xBF58476D1CE4E5B9), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0x9E3779B97F4A7C15), U(0xE7037ED1A0B428DB)
@@ -151,8 +148,8 @@ def _runs_of(_row: dict, data: np.ndarray) -> list[np.ndarray]:
     return [g, k1, k2, lo, n]
 
 
-def _windows_of(row: dict, data: np.ndarray, share: int, shares: int) -> list[np.ndarray]:
-    """Two names and the start of each window in the runs that ``row`` lists, if its name falls into the share."""
+def _windows_of(row: dict, data: np.ndarray) -> list[np.ndarray]:
+    """Two names and the start of each window in the runs that ``row`` lists."""
     runs_here = row["undecided"].values
     lo = runs_here.field("lo").to_numpy(zero_copy_only=False)
     n = runs_here.field("n").to_numpy(zero_copy_only=False)
@@ -166,9 +163,7 @@ def _windows_of(row: dict, data: np.ndarray, share: int, shares: int) -> list[np
         if len(own):
             names = doubled(data[base : base + SEGMENT + LENGTH])
             first.append((window_names(names, own, _M2), window_names(names, own, _M5) >> U(33)))
-    names, more = np.concatenate([x[0] for x in first]), np.concatenate([x[1] for x in first])
-    own = (names >> U(40)) % U(shares) == U(share)
-    return [names[own], more[own], at[own]]
+    return [np.concatenate([x[0] for x in first]), np.concatenate([x[1] for x in first]), at]
 
 
 def _numbers(x: pa.Scalar) -> np.ndarray:
@@ -221,13 +216,6 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([pack.compress(x.as_buffer()) for x in batch.column("bytes")], pa.binary())], ["id", "packed"])
 
 
-def _released(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written; shuffle files that nothing refers to any more may then go."""
-    out = written(df, name)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 class Position:
     """Document and offset in one number, ordered as (document, offset).
 
@@ -255,28 +243,25 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     position = Position(docs, id_col, text_col)
     raw = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(position.none)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("bytes"))
     anchors = raw.mapInArrow(_per_document(_anchors_of, ["g"]), "id long, g long")
-    shared = _released(anchors.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), "anchors")
+    shared = written(anchors.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), "anchors")
     scanned = raw.mapInArrow(_per_document(_runs_of, ["g", "k1", "k2", "lo", "n"]), "id long, g long, k1 long, k2 long, lo long, n long")
-    repeated = _released(scanned.join(shared, "g", "left_semi"), "runs")
+    repeated = written(scanned.join(shared, "g", "left_semi"), "runs")
+    discard(shared)
 
     first = repeated.groupBy("k1", "k2", "n").agg(F.min(position.pack("id", "lo")).alias("pos"), F.min("g").alias("g"))
-    first = _released(first.select("g", "n", *position.unpack("pos")), "first")
-    of_runs = _released(repeated.groupBy("id").agg(F.collect_list("lo").alias("repeated"), F.collect_list("n").alias("n")), "runs")
+    first = written(first.select("g", "n", *position.unpack("pos")), "first")
+    of_runs = written(repeated.groupBy("id").agg(F.collect_list("lo").alias("repeated"), F.collect_list("n").alias("n")), "runs")
     discard(repeated)
-    varied = _released(first.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), "varied")
-    undecided = _released(first.join(varied, "g", "left_semi").select("id", "lo", "n"), "undecided")
+    varied = written(first.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), "varied")
+    undecided = written(first.join(varied, "g", "left_semi").select("id", "lo", "n"), "undecided")
+    discard(varied)
 
     texts = raw.mapInArrow(_packed, "id long, packed binary")
     lists = undecided.groupBy("id").agg(F.collect_list(F.struct("lo", "n")).alias("undecided"))
-    firsts = None
-    for share in range(SHARES):
-        work = _per_document(partial(_windows_of, share=share, shares=SHARES), ["w1", "w2", "lo"])
-        windows = texts.join(lists, "id").mapInArrow(work, "id long, w1 long, w2 long, lo long")
-        windows = windows.select("w1", F.col("w2").cast("int").alias("w2"), position.pack("id", "lo").alias("pos"))
-        ranked = windows.groupBy("w1", "w2").agg(F.min("pos").alias("pos")).select(*position.unpack("pos"))
-        part = _released(ranked.groupBy("id").agg(F.collect_list("lo").alias("windows")), "windows")
-        firsts = part if firsts is None else firsts.union(part)
-    first_windows = firsts.groupBy("id").agg(F.flatten(F.collect_list("windows")).alias("windows"))
+    windows = texts.join(lists, "id").mapInArrow(_per_document(_windows_of, ["w1", "w2", "lo"]), "id long, w1 long, w2 long, lo long")
+    windows = windows.select("w1", F.col("w2").cast("int").alias("w2"), position.pack("id", "lo").alias("pos"))
+    ranked = windows.groupBy("w1", "w2").agg(F.min("pos").alias("pos")).select(*position.unpack("pos"))
+    first_windows = written(ranked.groupBy("id").agg(F.collect_list("lo").alias("windows")), "windows")
 
     of_first = first.groupBy("id").agg(F.collect_list("lo").alias("first"))
     of_undecided = undecided.groupBy("id").agg(F.collect_list("lo").alias("undecided"))
