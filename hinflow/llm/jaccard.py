@@ -1,0 +1,138 @@
+"""Near-deduplication by exact Jaccard similarity of word shingles (pipeline stage).
+
+Two texts are linked if the sets of their 5-word shingles have a Jaccard
+similarity of at least 80 %; a group is a connected component of links. All
+links that matter are found, none by chance:
+
+1. Texts with equal shingle sets are one node.
+2. Shingles have one order for all texts: those frequent in a part of the
+   corpus come last, the rest by hash. Two sets of similarity s share a shingle
+   among the first n - ceil(s n) + 1 of either (prefix filter), whatever the
+   order is, so the part only decides the cost.
+3. Nodes that share a prefix shingle are first compared with a few centres of
+   that shingle, which joins large groups of near copies at a cost in
+   proportion to their size.
+4. Pairs that share a prefix shingle and are still in different components are
+   then all compared, except those that their sizes and positions rule out.
+
+Sets are sets of 64-bit hashes of shingles, and a node is named by 64 bits of a
+cryptographic hash of its set. The defined results are those of ``simhash``;
+texts without words have the empty set and are one node.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.components import components
+from .common import located, locator, only, written
+from .simhash import shingle_hashes
+
+SHINGLE = 5
+#: Least similarity of a link, in per cent.
+PERCENT = 80
+#: One row in so many shows which shingles are frequent, and how many of them are told to all tasks.
+PART, FREQUENT = 16, 1 << 20
+CENTRES = 4
+
+
+def _frequent(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes frequent in a part of ``docs``, sorted, and their counts."""
+    part = docs.select(*locator(), F.col(text_col).alias("text")).where(F.col("row") % PART == 0)
+    h = part.select(F.explode(F.array_distinct(shingle_hashes(F.col("text"), width))).alias("h"))
+    top = h.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 2").orderBy(F.desc("c"), "h").limit(FREQUENT).orderBy("h").toArrow()
+    return top["h"].to_numpy(), top["c"].to_numpy()
+
+
+def prefix_length(n: int, percent: int) -> int:
+    return n + (-percent * n // 100) + 1 if n else 0
+
+
+def _prefixes(frequent, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = frequent.value
+        for batch in batches:
+            names, sizes, firsts = [], [], []
+            h = batch.column("h")
+            flat, offsets = h.values.to_numpy(zero_copy_only=False), h.offsets.to_numpy()
+            for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
+                own = np.unique(flat[lo:hi])
+                rank = np.zeros(len(own), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    rank = np.where(known[at] == own, counts[at], 0)
+                names.append(int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True))
+                sizes.append(len(own))
+                firsts.append(own[np.lexsort((own, rank))[: prefix_length(len(own), percent)]])
+            columns = [batch.column(c) for c in ("id", "file", "row")]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))],
+                ["id", "file", "row", "node", "n", "prefix"],
+            )
+
+    return run
+
+
+def _possible(percent: int) -> str:
+    """Whether sizes and the places of a shared shingle (the first one, if others are shared) allow a link of a and b."""
+    most = "(1 + least(a.n - a.pos, b.n - b.pos) - 1)"
+    return f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) and (100 + {percent}) * {most} >= {percent} * (a.n + b.n)"
+
+
+def _linked(pairs: DataFrame, members: DataFrame, docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sets are similar enough."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(members, "node").select("node", "least.file", "least.row")
+    texts = docs.select(*locator(), F.col(text_col).alias("text")).join(wanted, ["file", "row"]).select("node", "text")
+    sets = written(texts.select("node", F.array_distinct(shingle_hashes(F.col("text"), width)).alias("s")), "sets")
+    both = pairs.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v")
+    both = both.select("u", "v", (F.size("su") + F.size("sv")).alias("total"), F.size(F.array_intersect("su", "sv")).alias("shared"))
+    return written(both.where(f"100 * shared >= {percent} * (total - shared)").select("u", "v"), "links")
+
+
+def groups(members: DataFrame, docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
+    """(node, component) of all nodes that have a link."""
+    tokens = members.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    tokens = written(tokens.join(common, "token"), "tokens")
+
+    here = F.struct("node", "n", "pos")
+    centres = tokens.groupBy("token").agg(*(F.min_by(here, F.xxhash64("node", F.lit(k))).alias(f"c{k}") for k in range(CENTRES)))
+    centres = centres.select("token", F.explode(F.array_distinct(F.array(*(f"c{k}" for k in range(CENTRES))))).alias("c")).select("token", "c.*")
+    ends = (F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
+
+    def paired(left: DataFrame, right: DataFrame, when: str) -> DataFrame:
+        return left.alias("a").join(right.alias("b"), "token").where(f"{when} and {_possible(percent)}").select(*ends).distinct()
+
+    tried = written(paired(tokens, centres, "a.node <> b.node"), "pairs")
+    links = _linked(tried, members, docs, text_col, width, percent)
+    found = components(links).select(F.col("node").alias("of"), "component")
+    labelled = tokens.join(found, F.col("node") == F.col("of"), "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
+    labelled = written(labelled, "labelled")
+    mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    open_ = written(labelled.join(mixed, "token"), "open")
+    rest = written(paired(open_, open_, "a.component < b.component").join(tried, ["u", "v"], "left_anti"), "pairs")
+    return components(links.unionByName(_linked(rest, members, docs, text_col, width, percent)))
+
+
+def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The smallest document of each group, with the columns of ``docs``."""
+    docs = located(docs)
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text_col, width))
+    rows = docs.select(F.col(id_col).alias("id"), *locator(), shingle_hashes(F.col(text_col), width).alias("h"))
+    kind = rows.schema["id"].dataType.simpleString()
+    prints = written(rows.mapInArrow(_prefixes(frequent, percent), f"id {kind}, file string, row long, node long, n int, prefix array<long>"), "prints")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "file", "row")).alias("least")
+    members = written(prints.groupBy("node").agg(least, F.first("n").alias("n"), F.first("prefix").alias("prefix")), "members")
+    found = groups(members, docs, text_col, width, percent).withColumnRenamed("node", "of")
+    named = members.join(found, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    named = written(named, "named")
+    firsts = named.groupBy("component").agg(F.min("least").alias("first"))
+    of = named.join(firsts, "component").select(F.col("node").alias("of"), "first")
+    gone = prints.select("file", "row", "node").join(of, F.col("node") == F.col("of")).where((F.col("file") != F.col("first.file")) | (F.col("row") != F.col("first.row")))
+    return only(docs, gone, "left_anti")
