@@ -17,7 +17,10 @@ Four steps:
 
 Defined results: null counts as empty, so nulls and empty texts are one group;
 of rows that share an identifier and a text the last by locator stays; a null
-identifier is smaller than any other; an empty table gives an empty table;
+identifier is smaller than any other; with a continued state the keeper may be
+a row of an earlier table, whose files must still be there, group sizes count
+the rows of all tables fed (one fed twice counts twice), and the result has the
+rows of this table only; an empty table gives an empty table;
 further columns are not read.
 """
 
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +98,20 @@ def _streamed_state(spark: SparkSession, index_path: str, schema, checkpoint: st
     return state
 
 
+def _earlier_texts(spark: SparkSession, docs: DataFrame, hits: DataFrame, index: DataFrame, text_col: str) -> DataFrame | None:
+    """(digest, keep_text, n) of the keepers that lie in earlier tables, read from the files that they name; None if there are none."""
+    ours = hits.join(index.select("digest").distinct(), "digest", "left_semi").select("digest", "n", "keeper.file", "keeper.row")
+    away = written(ours.join(index.select("file", "row"), ["file", "row"], "left_anti"), "away")
+    files = [unquote(r["file"]) for r in away.select("file").distinct().collect()]
+    if not files:
+        return None
+    texts = spark.read.schema(docs.select(text_col).schema).parquet(*files).select(*locator(), normalised(F.col(text_col)).alias("keep_text"))
+    found = written(away.join(texts, ["file", "row"], "left").select("digest", "keep_text", "n"), "earlier-texts")
+    if lost := found.where("keep_text is null").count():
+        raise RuntimeError(f"{lost} rows that the state names are no longer in their files")
+    return found
+
+
 def exact_groups(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", checkpoint: str | None = None) -> DataFrame:
     """One row per row of ``docs``: id, file, row, digest, keep_id, group_size, kept.
 
@@ -105,6 +123,10 @@ def exact_groups(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id"
     index = content_index(docs, id_col, text_col)
     index.write.parquet(index_path)
     index = spark.read.schema(index.schema).parquet(index_path)
+    if checkpoint is not None:
+        # A continued stream has one source folder, which grows beside its checkpoint.
+        index_path = f"{checkpoint.rstrip('/')}-index"
+        index.write.mode("append").parquet(index_path)
     state = _streamed_state(spark, index_path, index.schema, checkpoint)
 
     hits = state.where("n > 1")
@@ -114,12 +136,23 @@ def exact_groups(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id"
 
     shares = F.ceil(F.col("n") / SHARE).cast("int")
     is_keeper = (F.col("file") == F.col("keeper.file")) & (F.col("row") == F.col("keeper.row"))
-    keepers = hit_texts.where(is_keeper).select("digest", F.col("text").alias("keep_text"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    keepers = hit_texts.where(is_keeper).select("digest", F.col("text").alias("keep_text"), "n")
+    if checkpoint is not None and (earlier := _earlier_texts(spark, docs, hits, index, text_col)) is not None:
+        keepers = keepers.unionByName(earlier)
+    keepers = keepers.select("digest", "keep_text", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
     dealt = hit_texts.withColumn("share", F.pmod(F.xxhash64("file", "row"), shares).cast("int"))
     odd = F.when(F.col("text") != F.col("keep_text"), F.col("text"))
     checked = dealt.join(keepers, ["digest", "share"]).select("id", "file", "row", "digest", odd.alias("odd"))
     checked = written(checked, "checked")
     groups = checked.groupBy("digest", "odd").agg(F.max(F.struct("id", "file", "row")).alias("keeper"), F.count(F.lit(1)).alias("n"))
+    if checkpoint is not None:
+        # Rows of earlier tables belong to the group of the state's keeper.
+        here = groups.groupBy("digest").agg(F.sum("n").alias("here"))
+        before = hits.join(here, "digest").select("digest", F.col("keeper").alias("first"), (F.col("n") - F.col("here")).alias("before"))
+        main = F.col("odd").isNull()
+        groups = groups.join(before, "digest").select(
+            "digest", "odd", F.when(main, F.col("first")).otherwise(F.col("keeper")).alias("keeper"), F.when(main, F.col("n") + F.col("before")).otherwise(F.col("n")).alias("n")
+        )
     of_hits = checked.join(
         groups.withColumnsRenamed({"digest": "d", "odd": "o"}), (F.col("digest") == F.col("d")) & F.col("odd").eqNullSafe(F.col("o"))
     ).select(
@@ -130,6 +163,8 @@ def exact_groups(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id"
         F.col("keeper.id").alias("id"), F.col("keeper.file").alias("file"), F.col("keeper.row").alias("row"), "digest",
         F.col("keeper.id").alias("keep_id"), F.col("n").alias("group_size"), F.lit(True).alias("kept"),
     )
+    if checkpoint is not None:
+        single = single.join(index.select("file", "row"), ["file", "row"], "left_semi")
     return single.unionByName(of_hits)
 
 

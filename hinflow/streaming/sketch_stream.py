@@ -21,11 +21,26 @@ def edge_sketch(edges: DataFrame, k: int, seed: int = 42) -> DataFrame:
 
 
 class SketchTable:
-    """A stored sketch in versioned folders: version n + 1 is written from version n and a batch."""
+    """A stored sketch in versioned folders: version n + 1 is written from version n and a batch.
+
+    A new object goes on from the latest complete version in the folder, so
+    that a restarted driver keeps what the stream's checkpoint counts as done.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, k: int, seed: int = 42):
         self.spark, self.folder, self.k, self.seed = spark, folder, k, seed
-        self.version = -1
+        self.version = self._latest()
+
+    def _latest(self) -> int:
+        """The number of the latest version whose write ended; -1 if there is none."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = root.getFileSystem(conf)
+        if not fs.exists(root):
+            return -1
+        names = [s.getPath().getName() for s in fs.listStatus(root)]
+        done = [n for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS"))]
+        return max((int(n[1:]) for n in done), default=-1)
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/v{self.version}")
