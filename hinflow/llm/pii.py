@@ -2,7 +2,9 @@
 
 Card numbers, bank accounts, telephone numbers, IPv4 and e-mail addresses and
 dates are found by pattern and validated (Luhn, mod 97, numbering plan, octets,
-calendar). A valid value becomes a number within its format's range, a keyed
+calendar). A card ends at the first border of its groups where it is valid, an
+IBAN where its country's length says; if neither is found, the search goes on
+at the next group. A valid value becomes a number within its format's range, a keyed
 Feistel network permutes that range, and the result is written back with the
 same separators and width. Check digits are recomputed, so a pseudonym is a
 valid value too. Equal values get equal pseudonyms in all documents, different
@@ -10,7 +12,11 @@ values different ones, and whoever has the key can turn them back.
 
 A Feistel network permutes a power of four; a range in between is walked: the
 permutation is applied again until the value falls within the range, which
-takes fewer than four rounds on average. The round function is keyed BLAKE2,
+takes fewer than four rounds on average. In the same way a card's pseudonym is
+walked past those that are valid at an earlier border, and a date's past those
+that do not fit its width. Where groups of digits stand before a card, a
+pseudonym may make them a card too (one in ten); such a text cannot be turned
+back without its spans. The round function is keyed BLAKE2,
 with format and range as its context.
 
 Plan: one pass over the table, no shuffle; a text without digits is passed on
@@ -86,14 +92,24 @@ def _spread(digits: str, shape: str) -> str:
 Permuter = Callable[[str, int, int], int]
 
 
+def _is_card(text: str) -> bool:
+    digits = re.sub(r"\D", "", text)
+    return 13 <= len(digits) <= 19 and luhn_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1
+
+
 def _card(m: re.Match, p: Permuter) -> str | None:
     text = m[0]
     digits = re.sub(r"\D", "", text)
-    if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
+    if not _is_card(text):
         return None
-    n = len(digits) - 2
-    body = digits[0] + str(p("card", 10**n, int(digits[1:-1]))).zfill(n)
-    return _spread(body + luhn_digit(body), text)
+    n, x = len(digits) - 2, int(digits[1:-1])
+    while True:
+        x = p("card", 10**n, x)
+        body = digits[0] + str(x).zfill(n)
+        new = _spread(body + luhn_digit(body), text)
+        # Read back, the pseudonym must end where the value does, and be one.
+        if len(set(body + luhn_digit(body))) > 1 and not any(_is_card(new[:e]) for e in range(len(new)) if new[e] in " -"):
+            return new
 
 
 def _iban_number(text: str) -> int:
@@ -163,6 +179,12 @@ def _mail(m: re.Match, p: Permuter) -> str:
 FIRST, LAST = date(1900, 1, 1), date(2099, 12, 31)
 
 
+def _fits(e: date, k: int, a: str, b: str, c: str) -> bool:
+    """Whether ``e`` can be written as wide as a, b, c and reads back in the same order."""
+    fields = (e.year, e.month, e.day) if len(a) == 4 else (e.day, e.month, e.year) if k == 0 else (e.month, e.day, e.year)
+    return (k == 0 or e.day > 12) and all(len(str(f)) <= len(w) for f, w in zip(fields, (a, b, c), strict=True))
+
+
 def _date(m: re.Match, p: Permuter) -> str | None:
     """Year first, or day first; where only month first makes a date, month first."""
     a, mark, b, c = m[1], m[2], m[3], m[4]
@@ -177,21 +199,62 @@ def _date(m: re.Match, p: Permuter) -> str | None:
         # Each written order has a range of its own, so that a pseudonym reads back in the same order.
         days = (LAST - FIRST).days + 1
         x = p(f"date:{k}", days, (d - FIRST).days)
-        while k == 1 and (FIRST + timedelta(x)).day <= 12:
+        while not _fits(FIRST + timedelta(x), k, a, b, c):
             x = p(f"date:{k}", days, x)
         e = FIRST + timedelta(x)
-        y, mo, dd = f"{e.year:04d}", f"{e.month:02d}", f"{e.day:02d}"
-        return mark.join((y, mo, dd) if len(a) == 4 else (dd, mo, y) if k == 0 else (mo, dd, y))
+        y, mo, dd = f"{e.year:04d}", str(e.month), str(e.day)
+        fields = (y, mo, dd) if len(a) == 4 else (dd, mo, y) if k == 0 else (mo, dd, y)
+        return mark.join(f.zfill(len(w)) for f, w in zip(fields, (a, b, c), strict=True))
     return None
 
 
+#: Lengths of IBANs by country; of other countries only the whole match is tried.
+IBAN_LENGTHS = dict(
+    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BR=29, BY=28, CH=21, CR=22, CY=28, CZ=24, DE=22, DK=18, DO=28, EE=20, EG=29, ES=24, FI=18, FO=18, FR=27,
+    GB=22, GE=22, GI=23, GL=18, GR=27, GT=28, HR=21, HU=28, IE=22, IL=23, IQ=23, IS=26, IT=27, JO=30, KW=30, KZ=20, LB=28, LC=32, LI=21, LT=20, LU=20, LV=21, LY=25, MC=27,
+    MD=24, ME=22, MK=19, MR=27, MT=31, MU=30, NL=18, NO=15, PK=24, PL=28, PS=29, PT=25, QA=29, RO=24, RS=22, SA=24, SC=31, SE=24, SI=19, SK=24, SM=27, ST=25, SV=28, TL=23,
+    TN=24, TR=26, UA=29, VA=22, VG=24, XK=20,
+)
+#: What ends a group: the match itself, or the place before a separator.
+EDGE = {"card": re.compile(r"(?=[ -])|$"), "iban": re.compile(r"(?= )|$")}
+
+
+def _ends(kind: str, text: str) -> list[int]:
+    """Where a value that starts with ``text`` may end."""
+    ends = [e.start() for e in EDGE[kind].finditer(text)]
+    if kind == "card":
+        return ends
+    n = IBAN_LENGTHS.get(text[:2])
+    return [e for e in ends if e - text[:e].count(" ") == n] if n else [len(text)]
+
+
+def values(kind: str, pattern: re.Pattern, change: Callable, text: str, permute: Permuter) -> Iterator[tuple[int, int, str]]:
+    """(start, end, new text) of the valid values of one kind."""
+    at = 0
+    while m := pattern.search(text, at):
+        at = max(m.end(), at + 1)
+        if kind not in EDGE:
+            if (new := change(m, permute)) is not None:
+                yield m.start(), m.end(), new
+            continue
+        for end in _ends(kind, m[0]):
+            if (new := change(re.match(r"(?s).*", m[0][:end]), permute)) is not None:
+                yield m.start(), m.start() + end, new
+                at = m.start() + end
+                break
+        else:
+            # Nothing starts here; a value may start at the next group.
+            gap = re.search("[ -]", m[0])
+            at = m.start() + (gap.end() if gap else len(m[0]))
+
+
 #: Tried in this order; what one has taken the next ones leave.
 FINDERS: tuple[tuple[str, re.Pattern, Callable], ...] = (
     ("mail", re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?![\w-])"), _mail),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}(?![A-Za-z0-9])"), _iban),
     ("card", re.compile(r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])"), _card),
-    ("date", re.compile(r"(?<![\w./-])([0-9]{4})(-|/|\.)([0-9]{2})\2([0-9]{2})(?![\w/-])"), _date),
-    ("date", re.compile(r"(?<![\w./-])([0-9]{2})(-|/|\.)([0-9]{2})\2([0-9]{4})(?![\w/-])"), _date),
+    ("date", re.compile(r"(?<![\w./-])([0-9]{4})(-|/|\.)([0-9]{1,2})\2([0-9]{1,2})(?![0-9/-]|(?!T[0-9]{2})\w)"), _date),
+    ("date", re.compile(r"(?<![\w./-])([0-9]{1,2})(-|/|\.)([0-9]{1,2})\2([0-9]{4})(?![0-9/-]|(?!T[0-9]{2})\w)"), _date),
     ("ipv4", re.compile(r"(?<![\w.-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w-]|\.[0-9])"), _address),
     ("phone", re.compile(r"(?<![\w.+-])(?:\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,8}\)?){1,5}|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})(?![\w-])"), _phone),
 )
@@ -211,11 +274,9 @@ def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[t
     permute: Permuter = lambda context, size, x: permutation(key, context, size).apply(x, back)
     taken: list[tuple[int, int, str, str]] = []
     for kind, pattern, change in FINDERS:
-        for m in pattern.finditer(text):
-            if overlaps(taken, m.start(), m.end()):
-                continue
-            if (new := change(m, permute)) is not None:
-                insort(taken, (m.start(), m.end(), kind, new))
+        for start, end, new in values(kind, pattern, change, text, permute):
+            if not overlaps(taken, start, end):
+                insort(taken, (start, end, kind, new))
     out, at = [], 0
     for s, e, _, new in taken:
         out += [text[at:s], new]
