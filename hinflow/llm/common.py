@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scratch import scratch, written
+from ..plans.skew import join_hot
 
-__all__ = ["GAP", "bind", "located", "locator", "lower_ascii", "only", "scratch", "table", "words_of", "written"]
+__all__ = ["GAP", "bind", "join_hot", "located", "locator", "lower_ascii", "only", "scratch", "table", "words_of", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.

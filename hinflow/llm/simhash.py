@@ -4,20 +4,35 @@
    the bits of a batch of hashes at once.
 2. Equal fingerprints are one node from here on, however many documents share
    them, so copies cost nothing more.
-3. Tiles hold the fingerprints whose four quarters have the same population
-   counts. Two fingerprints differ in at least as many bits as the counts of
-   their quarters differ in sum, so tile pairs beyond the radius are skipped
-   without loss, and the rest is found by an equi-join on tile numbers.
-4. A tile pair is compared exactly, by exclusive-or and bit count. It returns
-   a spanning forest of its links, not the links: connectivity is all that
-   groups need, and n near copies of one text give n-1 rows instead of n*n/2.
+3. Blocks: a fingerprint is cut into radius + e sections. Two fingerprints
+   within the radius agree in at least e whole sections, so every choice of e
+   sections makes a block of the fingerprints that agree there, and no link is
+   lost. e grows with the number of nodes, so that blocks stay small: blocks
+   hold N / 2^16, N / 2^25 or N / 2^32 of N random fingerprints at radius 3.
+4. Within a block, tiles are runs of fingerprints in order of their population
+   counts. Tile pairs whose counts differ beyond the radius are skipped, which
+   loses nothing either; the others are compared exactly, by numpy
+   exclusive-or and bit counts. The comparison returns a spanning forest of its
+   links, not the links: connectivity is all that groups need, and n near
+   copies of one text give n - 1 rows instead of n * n / 2.
 5. Components of the forest edges are found by joins and minima.
 
-Tiles are cut into chunks of at most about CHUNK fingerprints, and one task row
-compares one chunk with one chunk of each neighbouring tile.
+Blocks are cut into chunks of at most about CHUNK fingerprints, and one task
+row compares one chunk with itself or with one other.
+
+``near_dedup`` finds near copies by similarity of shingle sets (at least
+``percent``). The radius is then too wide for sections, so its blocks are the
+documents that share a MinHash of BAND shingles under one of BANDS
+permutations; within blocks tiles and comparisons are the same, and each pair
+within the radius is checked exactly on the shingle sets of both texts before
+it counts as a link. Blocks are searched twice: first every node against one
+centre of each of its blocks, which joins large groups at a cost in proportion
+to their size, then nodes that are still in different components against each
+other.
 
 Defined results: null and empty texts, and texts of white space, have the
-fingerprint zero and link like any other; texts of fewer words than a shingle
+fingerprint zero and link like any other (in ``near_dedup``: the empty set,
+which links with itself only); texts of fewer words than a shingle
 are one shingle; repeated rows share a group; a null identifier never names a
 group unless all its members lack one; an empty table gives an empty table;
 further columns are not read.
@@ -25,8 +40,9 @@ further columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import product
+import hashlib
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +50,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import bind, located, locator, lower_ascii, only, words_of, written
+from ..plans.scratch import discard
+from .common import bind, join_hot, located, locator, lower_ascii, only, words_of, written
 
 RADIUS = 3
 SHINGLE = 3
+#: Similarity in per cent, width and radius of ``near_dedup``, and its blocks.
+PERCENT, WIDE, WIDE_RADIUS = 80, 5, 24
+BANDS, BAND = 30, 5
 CHUNK = 32768
-#: Elements of one comparison matrix.
-BLOCK = 1 << 20
+#: Elements of one comparison matrix, and the largest block that is compared by offsets.
+MATRIX, SMALL = 1 << 20, 48
+
+U = np.uint64
 
 
 def shingle_hashes(text: Column, width: int = SHINGLE) -> Column:
@@ -60,7 +82,7 @@ def shingle_hashes(text: Column, width: int = SHINGLE) -> Column:
 def majority(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Per slice of ``values`` the word whose bits are set in over half of the slice."""
     n = np.diff(offsets)
-    out = np.zeros(len(n), np.uint64)
+    out = np.zeros(len(n), U)
     rows = np.flatnonzero(n)
     step = max(1, len(rows) * 100_000 // max(1, int(n.sum())))
     for k in range(0, len(rows), step):
@@ -68,23 +90,32 @@ def majority(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         lo, hi = offsets[own[0]], offsets[own[-1] + 1]
         bits = np.unpackbits(np.ascontiguousarray(values[lo:hi]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones = np.add.reduceat(bits, offsets[own] - lo, axis=0, dtype=np.int32)
-        out[own] = np.packbits(2 * ones > n[own, None], axis=1, bitorder="little").view(np.uint64).ravel()
+        out[own] = np.packbits(2 * ones > n[own, None], axis=1, bitorder="little").view(U).ravel()
     return out
 
 
+def _slices(h: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    return h.values.to_numpy(zero_copy_only=False).view(U), h.offsets.to_numpy().astype(np.int64)
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        h = batch.column("h")
-        fp = majority(h.values.to_numpy(zero_copy_only=False).view(np.uint64), h.offsets.to_numpy().astype(np.int64))
+        fp = majority(*_slices(batch.column("h")))
         names = [n for n in batch.schema.names if n != "h"]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(fp.view(np.int64))], [*names, "fp"])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _hashed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), *locator(), shingle_hashes(F.col(text_col), width).alias("h"))
+
+
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """(id, file, row, fp), one row per row of ``docs``, a plain read."""
-    rows = docs.select(F.col(id_col).alias("id"), *locator(), shingle_hashes(F.col(text_col)).alias("h"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_fingerprints, f"id {kind}, file string, row long, fp long")
+    rows = _hashed(docs, id_col, text_col, width)
+    return rows.mapInArrow(_fingerprints, f"id {rows.schema['id'].dataType.simpleString()}, file string, row long, fp long")
+
+
+# --- comparison ------------------------------------------------------------------
 
 
 def star(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,94 +137,297 @@ def star(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[root[own]]
 
 
-def near(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs within ``radius``; ``same``: left is right."""
-    us, vs, held = [], [], 0
-    rows = max(1, BLOCK // max(1, len(right)))
+def near(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs within ``radius``, tile pair by tile pair; each pair of one array with itself once."""
+    same = left is right
+    by_left, by_right = np.argsort(np.bitwise_count(left), kind="stable"), np.argsort(np.bitwise_count(right), kind="stable")
+    sorted_left, sorted_right = left[by_left], right[by_right]
+    ones_left, ones_right = np.bitwise_count(sorted_left).astype(int), np.bitwise_count(sorted_right).astype(int)
+    width = 2048
+    rows = MATRIX // width
     for k in range(0, len(left), rows):
-        part, other = left[k : k + rows], right[k:] if same else right
-        i, j = np.nonzero(np.bitwise_count(part[:, None] ^ other[None, :]) <= radius)
-        if same:
-            i, j = i[j > i], j[j > i]
-        us.append(part[i])
-        vs.append(other[j])
-        held += len(i)
-        if held > BLOCK:
+        part = sorted_left[k : k + rows]
+        last = min(k + rows, len(left)) - 1
+        # Tiles of the other side whose population counts come within the radius of this one's.
+        lo = k if same else int(np.searchsorted(ones_right, ones_left[k] - radius))
+        hi = int(np.searchsorted(ones_right, ones_left[last] + radius, side="right"))
+        for c in range(lo, hi, width):
+            other = sorted_right[c : min(c + width, hi)]
+            i, j = np.nonzero(np.bitwise_count(part[:, None] ^ other[None, :]) <= radius)
+            if same:
+                once = j + c > i + k
+                i, j = i[once], j[once]
+            if len(i):
+                yield by_left[i + k], by_right[j + c]
+
+
+def near_in_blocks(fps: np.ndarray, offsets: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``near`` within each slice of ``fps``: small slices all at once by offsets, large ones by tiles."""
+    sizes = np.diff(offsets)
+    for b in np.flatnonzero(sizes > SMALL):
+        own = fps[offsets[b] : offsets[b + 1]]
+        for i, j in near(own, own, radius):
+            yield i + offsets[b], j + offsets[b]
+    small = np.flatnonzero((sizes > 1) & (sizes <= SMALL))
+    if not len(small):
+        return
+    n = sizes[small]
+    at = np.repeat(offsets[small] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    left = np.repeat(n, n) - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) - 1
+    x = fps[at]
+    for d in range(1, int(n.max())):
+        i = np.flatnonzero(left >= d)
+        i = i[np.bitwise_count(x[i] ^ x[i + d]) <= radius]
+        if len(i):
+            yield at[i], at[i + d]
+
+
+def _forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray] | None:
+    us, vs, held, most = [], [], 0, MATRIX
+    for u, v in pairs:
+        us.append(u)
+        vs.append(v)
+        held += len(u)
+        if held > most:
             u, v = star(np.concatenate(us), np.concatenate(vs))
-            us, vs, held = [u], [v], 0
-    return star(np.concatenate(us), np.concatenate(vs)) if us else (left[:0], left[:0])
+            us, vs, held = [u], [v], len(u)
+            most = max(MATRIX, 2 * held)
+    return star(np.concatenate(us), np.concatenate(vs)) if us else None
 
 
 def _compared(radius: int):
+    """Forest edges from blocks ``fps``, each compared with itself or, where there is one, with the chunk ``other``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                left = batch.column("fps")[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                tiles, own = batch.column("others")[row].values, bool(batch.column("own")[row].as_py())
-                right = tiles.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                parts = [near(left, right, radius, False)] if len(right) else []
-                if own:
-                    parts.append(near(left, left, radius, True))
-                for u, v in parts:
-                    if len(u):
-                        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+            fps, offsets = _slices(batch.column("fps"))
+            if "other" in batch.schema.names:
+                others, bounds = _slices(batch.column("other"))
+                chunks = ((fps[a:b], others[c:d]) for a, b, c, d in zip(offsets[:-1], offsets[1:], bounds[:-1], bounds[1:], strict=True))
+                forest = _forest((left[i], right[j]) for left, right in chunks for i, j in near(left, right, radius))
+            else:
+                forest = _forest((fps[i], fps[j]) for i, j in near_in_blocks(fps, offsets, radius))
+            if forest is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in forest], ["u", "v"])
 
     return run
 
 
-def _quarter(fp: Column, k: int) -> Column:
-    return F.bit_count(F.shiftrightunsigned(fp, 16 * k).bitwiseAND(F.lit(0xFFFF)))
+# --- blocks ----------------------------------------------------------------------
+
 
+def sections(radius: int, agree: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of radius + agree sections of a word."""
+    n = radius + agree
+    cuts = [64 * k // n for k in range(n + 1)]
+    return [(lo, hi - lo) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
 
-def tiles_of(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(q0..q3, chunk, fps) from distinct fingerprints ``fp``."""
-    q = nodes.select("fp", *(_quarter(F.col("fp"), k).alias(f"q{k}") for k in range(4)))
-    keys = ["q0", "q1", "q2", "q3"]
-    parts = q.groupBy(keys).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts"))
-    dealt = q.join(parts, keys).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    return dealt.groupBy(*keys, "chunk").agg(F.collect_list("fp").alias("fps"))
 
+def agreeing(radius: int, nodes: int, most: int = 4096) -> int:
+    """The number of sections that a block agrees in, so that random fingerprints fill a block to ``most`` at most."""
+    for agree in range(1, 5):
+        bits = sum(sorted(b for _, b in sections(radius, agree))[:agree])
+        if nodes <= most << bits:
+            break
+    return agree
 
-def tile_rows(tiles: DataFrame, radius: int) -> DataFrame:
-    """One row per chunk and chunk number of its neighbours: fps, others, own."""
-    keys = ["q0", "q1", "q2", "q3"]
-    steps = [d for d in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, d)) <= radius and d >= (0, 0, 0, 0)]
-    step = F.explode(F.array(*(F.struct(*(F.lit(x).alias(f"d{k}") for k, x in enumerate(d))) for d in steps))).alias("d")
-    moved = tiles.select("*", step).select(
-        *((F.col(k) - F.col(f"d.d{i}")).alias(k) for i, k in enumerate(keys)),
-        F.col("chunk").alias("other"), "fps", (F.abs("d.d0") + F.abs("d.d1") + F.abs("d.d2") + F.abs("d.d3") == 0).alias("here"),
-    )
-    pairs = moved.join(tiles.select(*keys, "chunk"), keys).where("not here or other >= chunk")
-    self_pair = F.col("here") & (F.col("other") == F.col("chunk"))
-    grouped = pairs.groupBy(*keys, "chunk", "other").agg(
-        F.collect_list(F.when(~self_pair, F.col("fps"))).alias("others"), F.max(self_pair).alias("own")
-    )
-    return grouped.join(tiles, [*keys, "chunk"]).select("fps", "others", "own")
+
+def block_keys(fp: Column, radius: int, agree: int) -> Column:
+    """The blocks of a fingerprint: number of the choice of sections, and the bits there."""
+    parts = sections(radius, agree)
+
+    def kept(choice: tuple[int, ...]) -> Column:
+        mask = sum(((1 << bits) - 1) << lo for lo, bits in (parts[c] for c in choice))
+        return fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("bigint"))
+
+    choices = combinations(range(len(parts)), agree)
+    return F.array(*(F.struct(F.lit(k).cast("short").alias("choice"), kept(c).alias("bits")) for k, c in enumerate(choices)))
+
+
+def blocks_of(nodes: DataFrame, radius: int, agree: int = 1, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """Blocks (fps) to be compared with themselves, and chunk pairs (fps, other) of larger blocks, from distinct ``fp``."""
+    keyed = nodes.select("fp", F.explode(block_keys(F.col("fp"), radius, agree)).alias("key")).select("fp", "key.*")
+    sizes = keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    dealt = keyed.join(sizes, ["choice", "bits"]).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / chunk)).cast("int"))
+    chunks = written(dealt.groupBy("choice", "bits", "chunk").agg(F.collect_list("fp").alias("fps"), F.first("n").alias("n")), "chunks")
+    large = chunks.where(F.col("n") > chunk)
+    right = large.select("choice", "bits", F.col("chunk").alias("second"), F.col("fps").alias("other"))
+    crossed = large.join(right, ["choice", "bits"]).where("second > chunk").select("fps", "other")
+    return chunks.select("fps"), crossed
+
+
+def links(nodes: DataFrame, radius: int, agree: int = 1, chunk: int = CHUNK) -> DataFrame:
+    """(u, v): forest edges with the components of all pairs within ``radius``."""
+    own, crossed = blocks_of(nodes, radius, agree, chunk)
+    schema = "u long, v long"
+    return own.mapInArrow(_compared(radius), schema).unionByName(crossed.mapInArrow(_compared(radius), schema))
 
 
 def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, component) of all distinct fingerprints in ``prints``; component: its smallest fingerprint."""
     nodes = written(prints.select("fp").distinct(), "nodes")
-    tiles = written(tiles_of(nodes), "tiles")
-    links = tile_rows(tiles, radius).mapInArrow(_compared(radius), "u long, v long")
-    found = components(links)
+    found = components(links(nodes, radius, agreeing(radius, nodes.count())))
     return nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(id, file, row, fp, first) per row; ``first`` (id, file, row) is its group's smallest member. ``docs`` is a plain read."""
-    prints = written(fingerprints(docs, id_col=id_col, text_col=text_col), "prints")
-    labels = groups(prints, radius)
-    least = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("file"), F.col("row"))).alias("least"))
-    members = written(labels.join(least, "fp"), "labels")
+def _firsts(prints: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """``prints`` with ``first``, the smallest (id, file, row) of the component that ``labels`` (key, component) gives."""
+    least = prints.groupBy(key).agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("file"), F.col("row"))).alias("least"), F.count(F.lit(1)).alias("n"))
+    members = written(labels.join(least, key), "members")
     firsts = members.groupBy("component").agg(F.min("least").alias("first"))
-    named = members.join(firsts, "component").select(F.col("fp").alias("of"), "first")
-    return prints.join(named, F.col("fp") == F.col("of")).select("id", "file", "row", "fp", "first")
+    named = written(members.join(firsts, "component").select(key, "first", "n"), "named")
+    discard(members)
+    return join_hot(prints, named, key, "n").drop("n")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
+    """(id, file, row, fp, first) per row; ``first`` (id, file, row) is its group's smallest member. ``docs`` is a plain read."""
+    prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "prints")
+    return _firsts(prints, groups(prints, radius), "fp").select("id", "file", "row", "fp", "first")
+
+
+# --- similarity ------------------------------------------------------------------
+
+
+def _permutations(n: int) -> list[tuple[np.uint64, np.uint64]]:
+    words = [int.from_bytes(hashlib.blake2b(str(k).encode(), digest_size=16).digest(), "little") for k in range(n)]
+    return [(U(w & (1 << 64) - 1), U(w >> 64 | 1)) for w in words]
+
+
+def band_keys(values: np.ndarray, offsets: np.ndarray, bands: int = BANDS, band: int = BAND) -> np.ndarray:
+    """Per slice of ``values`` (none may be empty) one key a band, from the least values of ``band`` permutations."""
+    out = np.empty((len(offsets) - 1, bands), U)
+    permutations = iter(_permutations(bands * band))
+    for b in range(bands):
+        key = np.full(len(offsets) - 1, b + 1, U)
+        for _ in range(band):
+            salt, odd = next(permutations)
+            x = values ^ salt
+            x *= odd
+            key = (key ^ np.minimum.reduceat(x, offsets[:-1])) * U(0x9E3779B97F4A7C15)
+            key ^= key >> U(29)
+        out[:, b] = key
+    return out
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document: the name of its shingle set (128 bits of a cryptographic hash), size, fingerprint, bands."""
+    for batch in batches:
+        values, offsets = _slices(batch.column("h"))
+        fp, n = majority(values, offsets), np.diff(offsets)
+        sets = [np.unique(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        keys = np.zeros((len(n), BANDS), U)
+        full = np.flatnonzero(n)
+        step = max(1, len(full) * 200_000 // max(1, int(n.sum())))
+        for k in range(0, len(full), step):
+            own = full[k : k + step]
+            parts = [sets[i] for i in own]
+            keys[own] = band_keys(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]))
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
+        names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("id", "file", "row")), pa.array(names, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(fp.view(np.int64)), flat],
+            ["id", "file", "row", "node", "size", "fp", "bands"],
+        )
+
+
+def _similar_in_size(a: Column, b: Column, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _candidates(radius: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of nodes of different components within ``radius`` and of possible sizes, from blocks and chunk pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for side in ("own", "other"):
+                if side in batch.schema.names:
+                    rows = batch.column(side)
+                    x = rows.values
+                    numbers = [x.field(c).to_numpy(zero_copy_only=False) for c in ("fp", "size")]
+                    groups = x.field("component").dictionary_encode()
+                    sides.append((rows.offsets.to_numpy().astype(np.int64), numbers[0].view(U), numbers[1], x.field("node"), x.field("component"), groups))
+            left, right = sides[0], sides[-1]
+            if len(sides) == 1:
+                pairs = near_in_blocks(left[1], left[0], radius)
+                same = left[5].indices.to_numpy(zero_copy_only=False)
+                group_left = group_right = same
+            else:
+                bounds = zip(left[0][:-1], left[0][1:], right[0][:-1], right[0][1:], strict=True)
+                pairs = ((i + a, j + c) for a, b, c, d in bounds for i, j in near(left[1][a:b], right[1][c:d], radius))
+                both = pa.chunked_array([left[4], right[4]]).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                group_left, group_right = both[: len(left[1])], both[len(left[1]) :]
+            for i, j in pairs:
+                a, b = left[2][i].astype(np.int64), right[2][j].astype(np.int64)
+                fit = (group_left[i] != group_right[j]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+                if fit.any():
+                    yield pa.RecordBatch.from_arrays([left[3].take(pa.array(i[fit])), right[3].take(pa.array(j[fit]))], ["u", "v"])
+
+    return run
+
+
+def _checked(pairs: DataFrame, members: DataFrame, docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
+    """The pairs (u, v) whose shingle sets are similar enough, compared exactly."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(members, "node").select("node", "least.file", "least.row")
+    texts = docs.select(*locator(), F.col(text_col).alias("text")).join(wanted, ["file", "row"]).select("node", "text")
+    sets = written(texts.select("node", F.array_distinct(shingle_hashes(F.col("text"), width)).alias("s")), "sets")
+    both = pairs.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v")
+    both = both.select("u", "v", (F.size("su") + F.size("sv")).alias("total"), F.size(F.array_intersect("su", "sv")).alias("shared"))
+    found = written(both.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("u", "v"), "links")
+    discard(sets)
+    return found
+
+
+def _ends(a: str, b: str) -> tuple[Column, Column]:
+    return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
+
+
+def similar_groups(members: DataFrame, docs: DataFrame, text_col: str, width: int, percent: int, radius: int) -> DataFrame:
+    """(node, component) of all nodes that have a link."""
+    blocks = members.select("node", "size", "fp", F.posexplode("bands").alias("band", "key"))
+    shared = blocks.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("node", "size", "fp"), F.xxhash64("node", "band")).alias("c")).where("n > 1")
+    blocks = written(blocks.join(shared, ["band", "key"]), "blocks")
+
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("c.fp"))) <= radius
+    tried = blocks.where((F.col("node") != F.col("c.node")) & close & _similar_in_size(F.col("size"), F.col("c.size"), percent))
+    tried = written(tried.select(*_ends("node", "c.node")).distinct(), "pairs")
+    sure = _checked(tried, members, docs, text_col, width, percent)
+    found = components(sure).select(F.col("node").alias("of"), "component")
+
+    labelled = blocks.join(found, F.col("node") == F.col("of"), "left").select("band", "key", "n", F.struct("node", "size", "fp", F.coalesce("component", "node").alias("component")).alias("x"))
+    labelled = written(labelled, "labelled")
+    discard(blocks)
+    mixed = labelled.groupBy("band", "key").agg(F.min("x.component").alias("lo"), F.max("x.component").alias("hi")).where("lo < hi").select("band", "key")
+    dealt = labelled.join(mixed, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("x.node"), F.ceil(F.col("n") / CHUNK)).cast("int"))
+    chunks = written(dealt.groupBy("band", "key", "chunk").agg(F.collect_list("x").alias("own"), F.first("n").alias("n")), "chunks")
+    discard(labelled)
+    large = chunks.where(F.col("n") > CHUNK)
+    right = large.select("band", "key", F.col("chunk").alias("second"), F.col("own").alias("other"))
+    crossed = large.join(right, ["band", "key"]).where("second > chunk").select("own", "other")
+    work = _candidates(radius, percent)
+    rest = chunks.select("own").mapInArrow(work, "u binary, v binary").unionByName(crossed.mapInArrow(work, "u binary, v binary"))
+    rest = written(rest.select(*_ends("u", "v")).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
+    discard(chunks)
+    return components(sure.unionByName(_checked(rest, members, docs, text_col, width, percent)))
+
+
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDE, percent: int = PERCENT, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(id, file, row, first) per row; ``first`` (id, file, row) is the smallest member of its group of similar texts. ``docs`` is a plain read."""
+    rows = _hashed(docs, id_col, text_col, width)
+    kind = rows.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, file string, row long, node binary, size int, fp long, bands array<long>"
+    prints = written(rows.mapInArrow(_described, schema), "prints")
+    least = F.min(F.struct("file", "row")).alias("least")
+    members = written(prints.groupBy("node").agg(least, *(F.first(c).alias(c) for c in ("size", "fp", "bands"))), "sets")
+    found = similar_groups(members.where("size > 0"), docs, text_col, width, percent, radius).withColumnRenamed("node", "of")
+    labels = members.join(found, F.col("node") == F.col("of"), "left").select("node", F.coalesce("component", "node").alias("component"))
+    return _firsts(prints.select("id", "file", "row", "node"), labels, "node").select("id", "file", "row", "first")
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
-    """The smallest document of each group, with the columns of ``docs``."""
+    """The smallest document of each group of similar texts, with the columns of ``docs``."""
     docs = located(docs)
-    found = near_duplicates(docs, **options)
+    found = near_copies(docs, **options)
     gone = found.where((F.col("file") != F.col("first.file")) | (F.col("row") != F.col("first.row")))
     return only(docs, gone, "left_anti")

@@ -104,15 +104,34 @@ def test_simhash_chunks_and_chains(spark):
     for i in range(1, 60):  # a chain of links and noise, over chunks of three
         fps[i] = fps[i - 1] ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) if i % 7 else rng.getrandbits(64)
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in set(fps.values())]
-    tiles = simhash.tiles_of(spark.createDataFrame(signed, "fp long"), chunk=3)
-    links = simhash.tile_rows(tiles, 3).mapInArrow(simhash._compared(3), "u long, v long").collect()
+    nodes = spark.createDataFrame(signed, "fp long")
     label = plain_components({f[0]: f[0] % (1 << 64) for f in signed})
-    root = dict(zip(label, label, strict=True))
-    for u, v in links:
-        a, b = root[u], root[v]
-        root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
     groups = lambda m: sorted(sorted(k for k in m if m[k] == r) for r in set(m.values()))
-    assert groups(root) == groups(label)
+    for agree, chunk in ((1, 3), (1, 1000), (2, 1000), (3, 3)):
+        root = dict(zip(label, label, strict=True))
+        for u, v in simhash.links(nodes, 3, agree, chunk).collect():
+            a, b = root[u], root[v]
+            root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+        assert groups(root) == groups(label)
+
+
+def test_tiles_skip_nothing_within_the_radius():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(90))]))
+    want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 2}
+    pairs = lambda found: {tuple(sorted(p)) for i, j in found for p in zip(i.tolist(), j.tolist(), strict=True)}
+    assert pairs(simhash.near(fps, fps, 2)) == want
+    cut = len(fps) // 3
+    crossed = {(i, j + cut) for i, j in pairs_of(simhash.near(fps[:cut], fps[cut:], 2))}
+    assert crossed == {(i, j) for i, j in want if i < cut <= j}
+    offsets = np.array([0, 20, 20, 21, cut, len(fps)])
+    block = np.searchsorted(offsets, np.arange(len(fps)), side="right")
+    assert pairs(simhash.near_in_blocks(fps, offsets, 2)) == {(i, j) for i, j in want if block[i] == block[j]}
+
+
+def pairs_of(found):
+    return [p for i, j in found for p in zip(i.tolist(), j.tolist(), strict=True)]
 
 
 def test_star_is_a_forest():
