@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hinflow.llm import exact, jaccard, mixing, packing, quality
+from hinflow.llm import exact, mixing, packing, quality, simhash
 from hinflow.llm.common import table, written
 
 #: The columns of documents, which all stages but the last return.
@@ -23,8 +23,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest identifier."""
-    return jaccard.near_dedup(docs).select(*COLUMNS)
+    """Of each group of near copies (SimHash of five-word shingles, similarity 0.8 or more checked) the document with the smallest identifier."""
+    return simhash.near_dedup(docs).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
