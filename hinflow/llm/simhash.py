@@ -23,12 +23,17 @@ row compares one chunk with itself or with one other.
 ``near_dedup`` finds near copies by similarity of shingle sets (at least
 ``percent``). The radius is then too wide for sections, so its blocks are the
 documents that share a MinHash of BAND shingles under one of BANDS
-permutations; within blocks tiles and comparisons are the same, and each pair
-within the radius is checked exactly on the shingle sets of both texts before
-it counts as a link. Blocks are searched twice: first every node against one
-centre of each of its blocks, which joins large groups at a cost in proportion
-to their size, then nodes that are still in different components against each
-other.
+permutations; within blocks tiles and comparisons are the same, and a pair
+within the radius only counts as a link if the shingle sets of both texts are
+similar enough:
+
+* first every node is checked against the centre of its largest block, which
+  joins large groups at a cost in proportion to their size;
+* then the candidate pairs between different components are found in blocks.
+  A forest of them comes back, whose components ("blobs") hold every candidate
+  pair. The sets of a blob's nodes meet in chunks of bounded size, where all
+  pairs between different components are compared by products of 0/1 matrices.
+  A forest of the links comes back, never the pairs.
 
 Defined results: null and empty texts, and texts of white space, have the
 fingerprint zero and link like any other (in ``near_dedup``: the empty set,
@@ -59,6 +64,8 @@ SHINGLE = 3
 PERCENT, WIDE, WIDE_RADIUS = 80, 5, 24
 BANDS, BAND = 30, 5
 CHUNK = 32768
+#: Shingles of one chunk of sets.
+SET_SHINGLES = 1 << 18
 #: Elements of one comparison matrix, and the largest block that is compared by offsets.
 MATRIX, SMALL = 1 << 20, 48
 
@@ -331,47 +338,93 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _similar_in_size(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-
 def _candidates(radius: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of nodes of different components within ``radius`` and of possible sizes, from blocks and chunk pairs."""
+    """A forest of the pairs of nodes of different components within ``radius`` and of possible sizes, from blocks and chunk pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for side in ("own", "other"):
-                if side in batch.schema.names:
-                    rows = batch.column(side)
-                    x = rows.values
-                    numbers = [x.field(c).to_numpy(zero_copy_only=False) for c in ("fp", "size")]
-                    groups = x.field("component").dictionary_encode()
-                    sides.append((rows.offsets.to_numpy().astype(np.int64), numbers[0].view(U), numbers[1], x.field("node"), x.field("component"), groups))
-            left, right = sides[0], sides[-1]
+            sides = [batch.column(c) for c in ("own", "other") if c in batch.schema.names]
+            items = pa.concat_arrays([side.flatten() for side in sides])
+            fps, sizes = items.field("fp").to_numpy(zero_copy_only=False).view(U), items.field("size").to_numpy(zero_copy_only=False).astype(np.int64)
+            nodes, groups = (items.field(c).dictionary_encode() for c in ("node", "component"))
+            code, group = (x.indices.to_numpy(zero_copy_only=False) for x in (nodes, groups))
+            bounds = [np.concatenate([[0], np.cumsum(side.value_lengths().to_numpy(zero_copy_only=False))]) for side in sides]
             if len(sides) == 1:
-                pairs = near_in_blocks(left[1], left[0], radius)
-                same = left[5].indices.to_numpy(zero_copy_only=False)
-                group_left = group_right = same
+                pairs = near_in_blocks(fps, bounds[0], radius)
             else:
-                bounds = zip(left[0][:-1], left[0][1:], right[0][:-1], right[0][1:], strict=True)
-                pairs = ((i + a, j + c) for a, b, c, d in bounds for i, j in near(left[1][a:b], right[1][c:d], radius))
-                both = pa.chunked_array([left[4], right[4]]).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-                group_left, group_right = both[: len(left[1])], both[len(left[1]) :]
-            for i, j in pairs:
-                a, b = left[2][i].astype(np.int64), right[2][j].astype(np.int64)
-                fit = (group_left[i] != group_right[j]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
-                if fit.any():
-                    yield pa.RecordBatch.from_arrays([left[3].take(pa.array(i[fit])), right[3].take(pa.array(j[fit]))], ["u", "v"])
+                k = bounds[0][-1]
+                edges = zip(bounds[0][:-1], bounds[0][1:], bounds[1][:-1] + k, bounds[1][1:] + k, strict=True)
+                pairs = ((i + a, j + c) for a, b, c, d in edges for i, j in near(fps[a:b], fps[c:d], radius))
+
+            def fitting(pairs=pairs, sizes=sizes, code=code, group=group):
+                for i, j in pairs:
+                    a, b = sizes[i], sizes[j]
+                    fit = (group[i] != group[j]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+                    if fit.any():
+                        yield code[i[fit]], code[j[fit]]
+
+            if (forest := _forest(fitting())) is not None:
+                yield pa.RecordBatch.from_arrays([nodes.dictionary.take(pa.array(x)) for x in forest], ["u", "v"])
 
     return run
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None = None, width: int = 4096) -> np.ndarray:
+    """How many elements each set of ``left`` shares with each of ``right`` (or of ``left``), by products of 0/1 matrices of the elements that occur twice."""
+    sets = left if right is None else [*left, *right]
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, place, n = np.unique(flat, return_inverse=True, return_counts=True)
+    often = np.cumsum(n > 1) - 1
+    use = n[place] > 1
+    column, of = often[place[use]], of[use]
+    order = np.argsort(column, kind="stable")
+    column, of = column[order], of[order]
+    k = len(left)
+    out = np.zeros((k, k if right is None else len(right)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        m = np.zeros((len(sets), width), np.float32)
+        m[of[a:b], column[a:b] - lo] = 1
+        out += m[:k] @ (m if right is None else m[k:]).T
+    return out
+
+
+def _similar(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A forest of the pairs of different components whose sets are similar enough, from chunks of nodes with their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                sides = [batch.column(c).slice(row, 1).flatten() for c in ("own", "other") if c in batch.schema.names]
+                items = pa.concat_arrays(sides)
+                nodes, groups = (items.field(c).dictionary_encode() for c in ("node", "component"))
+                code, group = (x.indices.to_numpy(zero_copy_only=False) for x in (nodes, groups))
+                s = items.field("s")
+                ends = np.cumsum(s.value_lengths().to_numpy(zero_copy_only=False))
+                sets = np.split(s.flatten().to_numpy(zero_copy_only=False), ends[:-1])
+                k = len(sides[0])
+                size = np.array([len(x) for x in sets])
+                cols = np.arange(k, len(sets)) if len(sides) == 2 else np.arange(k)
+                shared = shared_counts(sets[:k], sets[k:] if len(sides) == 2 else None)
+                total = size[:k, None] + size[cols][None, :]
+                i, j = np.nonzero((100 * shared >= percent * (total - shared)) & (group[:k, None] != group[cols][None, :]))
+                if len(i):
+                    u, v = star(code[i], code[cols[j]])
+                    yield pa.RecordBatch.from_arrays([nodes.dictionary.take(pa.array(x)) for x in (u, v)], ["u", "v"])
+
+    return run
+
+
+def _sets(wanted: DataFrame, members: DataFrame, docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """(node, s): the shingle sets of the nodes ``wanted``, from their texts."""
+    places = wanted.join(members, "node").select("node", "least.file", "least.row")
+    texts = docs.select(*locator(), F.col(text_col).alias("text")).join(places, ["file", "row"]).select("node", "text")
+    return texts.select("node", F.array_distinct(shingle_hashes(F.col("text"), width)).alias("s"))
+
+
 def _checked(pairs: DataFrame, members: DataFrame, docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose shingle sets are similar enough, compared exactly."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(members, "node").select("node", "least.file", "least.row")
-    texts = docs.select(*locator(), F.col(text_col).alias("text")).join(wanted, ["file", "row"]).select("node", "text")
-    sets = written(texts.select("node", F.array_distinct(shingle_hashes(F.col("text"), width)).alias("s")), "sets")
+    """The pairs (u, v) whose shingle sets are similar enough."""
+    sets = written(_sets(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), members, docs, text_col, width), "sets")
     both = pairs.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v")
     both = both.select("u", "v", (F.size("su") + F.size("sv")).alias("total"), F.size(F.array_intersect("su", "sv")).alias("shared"))
     found = written(both.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("u", "v"), "links")
@@ -379,8 +432,36 @@ def _checked(pairs: DataFrame, members: DataFrame, docs: DataFrame, text_col: st
     return found
 
 
-def _ends(a: str, b: str) -> tuple[Column, Column]:
-    return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
+def _links_within(blobs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): a forest of all links between different components of a blob. ``blobs``: (node, blob, component), ``sizes``: (node, size).
+
+    A blob is cut into chunks of some SET_SHINGLES shingles. Components with more
+    than that have chunks of their own, and a chunk is not compared with chunks
+    of its own component, so that a large group of copies meets the nodes
+    beside it but not itself.
+    """
+    rows = written(blobs.join(sizes, "node"), "blobs")
+    per = rows.groupBy("blob", "component").agg(F.sum("size").alias("of"))
+    large = F.when(F.col("of") > SET_SHINGLES, F.col("component"))
+    per = per.withColumn("own", large)
+    sums = per.groupBy("blob", "own").agg(F.sum("of").alias("total"))
+    parts = per.join(sums.withColumnsRenamed({"blob": "b", "own": "o"}), (F.col("blob") == F.col("b")) & F.col("own").eqNullSafe(F.col("o"))).select(
+        F.col("blob").alias("b"), F.col("component").alias("c"), "own", F.ceil(F.col("total") / SET_SHINGLES).cast("int").alias("parts")
+    )
+    dealt = rows.join(parts, (F.col("blob") == F.col("b")) & (F.col("component") == F.col("c")))
+    number = F.pmod(F.when(F.col("own").isNull(), F.xxhash64("component", F.lit(1))).otherwise(F.xxhash64("node", F.lit(1))), F.col("parts")).cast("int")
+    dealt = dealt.select("node", "blob", "component", "own", number.alias("chunk")).join(sets, "node")
+    key = F.struct(F.col("own").isNull().alias("small"), "own", "chunk").alias("chunk")
+    chunks = written(dealt.select("blob", key, F.struct("node", "component", "s").alias("x")).groupBy("blob", "chunk").agg(F.collect_list("x").alias("own")), "set-chunks")
+    discard(rows)
+    names = written(chunks.select("blob", "chunk"), "chunk-names")
+    crossed = names.join(names.withColumnRenamed("chunk", "second"), "blob").where("chunk < second and not coalesce(chunk.own = second.own, false)")
+    right = chunks.select("blob", F.col("chunk").alias("second"), F.col("own").alias("other"))
+    crossed = crossed.join(chunks, ["blob", "chunk"]).join(right, ["blob", "second"]).select("own", "other")
+    work, schema = _similar(percent), "u binary, v binary"
+    found = written(chunks.where("chunk.small").select("own").mapInArrow(work, schema).unionByName(crossed.mapInArrow(work, schema)), "links")
+    discard(chunks)
+    return found
 
 
 def similar_groups(members: DataFrame, docs: DataFrame, text_col: str, width: int, percent: int, radius: int) -> DataFrame:
@@ -389,12 +470,15 @@ def similar_groups(members: DataFrame, docs: DataFrame, text_col: str, width: in
     shared = blocks.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("node", "size", "fp"), F.xxhash64("node", "band")).alias("c")).where("n > 1")
     blocks = written(blocks.join(shared, ["band", "key"]), "blocks")
 
+    # First every node against the centre of its largest block.
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("c.fp"))) <= radius
-    tried = blocks.where((F.col("node") != F.col("c.node")) & close & _similar_in_size(F.col("size"), F.col("c.size"), percent))
-    tried = written(tried.select(*_ends("node", "c.node")).distinct(), "pairs")
+    tried = blocks.where((F.col("node") != F.col("c.node")) & close & (100 * F.least("size", "c.size") >= percent * F.greatest("size", "c.size")))
+    tried = tried.groupBy("node").agg(F.max_by("c.node", F.struct("n", "c.node")).alias("centre"))
+    tried = written(tried.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct(), "pairs")
     sure = _checked(tried, members, docs, text_col, width, percent)
     found = components(sure).select(F.col("node").alias("of"), "component")
 
+    # Then blocks in which several components are left: candidates, and what they connect.
     labelled = blocks.join(found, F.col("node") == F.col("of"), "left").select("band", "key", "n", F.struct("node", "size", "fp", F.coalesce("component", "node").alias("component")).alias("x"))
     labelled = written(labelled, "labelled")
     discard(blocks)
@@ -406,10 +490,15 @@ def similar_groups(members: DataFrame, docs: DataFrame, text_col: str, width: in
     right = large.select("band", "key", F.col("chunk").alias("second"), F.col("own").alias("other"))
     crossed = large.join(right, ["band", "key"]).where("second > chunk").select("own", "other")
     work = _candidates(radius, percent)
-    rest = chunks.select("own").mapInArrow(work, "u binary, v binary").unionByName(crossed.mapInArrow(work, "u binary, v binary"))
-    rest = written(rest.select(*_ends("u", "v")).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
+    candidates = written(chunks.select("own").mapInArrow(work, "u binary, v binary").unionByName(crossed.mapInArrow(work, "u binary, v binary")), "candidates")
     discard(chunks)
-    return components(sure.unionByName(_checked(rest, members, docs, text_col, width, percent)))
+    blobs = components(candidates).withColumnRenamed("component", "blob")
+    blobs = blobs.join(found, F.col("node") == F.col("of"), "left").select("node", "blob", F.coalesce("component", "node").alias("component"))
+    blobs = written(blobs, "blobs")
+    sets = written(_sets(blobs.select("node"), members, docs, text_col, width), "sets")
+    rest = _links_within(blobs, members.select("node", "size"), sets, percent)
+    discard(sets)
+    return components(sure.unionByName(rest))
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDE, percent: int = PERCENT, radius: int = WIDE_RADIUS) -> DataFrame:

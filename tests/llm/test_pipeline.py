@@ -4,6 +4,7 @@ import random
 import re
 
 import corpus_pipeline
+from hinflow.llm import simhash
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -45,13 +46,19 @@ def texts_with_copies():
         copy = list(hot)
         copy[rng.randrange(80)] = word()
         texts.append(copy)
+    far = [word() for _ in range(70)]
+    for k in range(40):  # copies of a text that is not there: some pairs are similar enough, most are not
+        copy = list(far)
+        for _ in range(1 + k % 2):
+            copy[rng.randrange(70)] = word()
+        texts.append(copy)
     out = [" ".join(t) for t in texts]
     out += [out[3].upper(), out[4].replace(" ", "\n"), "short text", "", out[7]]
     rng.shuffle(out)
     return dict(enumerate(out))
 
 
-def test_near_stage_and_those_before_it(spark, tmp_path):
+def test_near_stage_and_those_before_it(spark, tmp_path, monkeypatch):
     texts = texts_with_copies()
     rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in texts.items()]
     path = tmp_path / "documents.parquet"
@@ -61,6 +68,10 @@ def test_near_stage_and_those_before_it(spark, tmp_path):
     assert near.columns == docs.columns
     assert sorted(r["doc_id"] for r in near.collect()) == sorted(plain_near(texts))
 
+    monkeypatch.setattr(simhash, "SET_SHINGLES", 300)  # chunks of three or four texts
+    monkeypatch.setattr(simhash, "CHUNK", 5)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()) == sorted(plain_near(texts))
+
     last = {t.translate(LOW): i for i, t in texts.items() if len(t.split()) >= 50}
     kept = plain_near({i: texts[i] for i in last.values()})
     for _, stage in corpus_pipeline.STAGES[:3]:
