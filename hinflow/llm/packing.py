@@ -6,8 +6,14 @@ dot-product heuristic fills the open sequence: of the pieces that fit, it takes
 the one whose demand vector has the largest dot product with what is left, each
 dimension as a share of its limit. When nothing fits, the piece with the
 largest product is cut to what is left. Documents longer than a sequence first
-give full sequences. A block's last sequence stays open for the next block, so
-a task leaves one sequence with padding at most.
+give full sequences. A block's last sequence stays open for the next block.
+
+A sequence is closed before it is full when its segments or its loss-bearing
+tokens run out, or when a task ends. With SEGMENTS = LIMIT / 2 and plain text
+the first cannot leave padding but in one sequence a block: pieces of two
+tokens or more fill LIMIT tokens in SEGMENTS segments, and one-token pieces
+alone end at a power of two. Instruction data may have more padding: where
+prompts are short and ``max_loss`` is low, loss-bearing tokens run out first.
 
 There is no shuffle: a task streams over its part of the table and holds one
 block (BLOCK documents or BLOCK_BYTES of ids) at a time. Sequence numbers carry
@@ -35,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT = 2048
-MAX_SEGMENTS = 128
+SEGMENTS = LIMIT // 2
 END = 1
 BLOCK, BLOCK_BYTES = 1024, 32 << 20
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -93,11 +99,11 @@ def encoder(path: str) -> Encoder:
 
 
 class Packer:
-    """Places (key, ids) one block at a time; ``rows`` has (key, start, length, crc, total, sequence, offset)."""
+    """Places (key, ids, prompt) one block at a time; ``rows`` has (key, start, length, crc, total, sequence, offset)."""
 
-    def __init__(self, limit: int, max_segments: int, max_loss: int, loss: Callable[[object, int, int], int], first: int):
+    def __init__(self, limit: int, max_segments: int, max_loss: int, first: int):
         self.limits = np.array([limit, max_segments, max_loss], float)
-        self.limit, self.loss, self.fresh = limit, loss, first
+        self.limit, self.fresh = limit, first
         self._open()
         self.rows: list[tuple] = []
 
@@ -111,18 +117,18 @@ class Packer:
     def _row(self, key, ids: bytes, start: int, length: int, sequence: int, offset: int) -> None:
         self.rows.append((key, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, sequence, offset))
 
-    def _put(self, key, ids: bytes, start: int, length: int) -> None:
+    def _put(self, key, ids: bytes, prompt: int, start: int, length: int) -> None:
         self._row(key, ids, start, length, self.sequence, self.at)
-        self.left -= (length, 1, self.loss(key, start, length))
+        self.left -= (length, 1, bearing(prompt, start, length))
         self.at += length
 
-    def block(self, items: list[tuple[object, bytes]]) -> None:
+    def block(self, items: list[tuple[object, bytes, int]]) -> None:
         starts = np.zeros(len(items), int)
-        for i, (key, ids) in enumerate(items):
-            while len(ids) // 4 - starts[i] >= self.limit and self.loss(key, int(starts[i]), self.limit) <= self.limits[2]:
+        for i, (key, ids, prompt) in enumerate(items):
+            while len(ids) // 4 - starts[i] >= self.limit and bearing(prompt, int(starts[i]), self.limit) <= self.limits[2]:
                 self._row(key, ids, int(starts[i]), self.limit, self._number(), 0)
                 starts[i] += self.limit
-        need = np.array([(len(ids) // 4 - s, 1, self.loss(key, s, len(ids) // 4 - s)) for (key, ids), s in zip(items, starts.tolist(), strict=True)], float).reshape(-1, 3)
+        need = np.array([(len(ids) // 4 - s, 1, bearing(prompt, s, len(ids) // 4 - s)) for (_, ids, prompt), s in zip(items, starts.tolist(), strict=True)], float).reshape(-1, 3)
         todo = need[:, 0] > 0
         while todo.any():
             if (self.left[:2] < 1).any() or self.left[2] <= 0:
@@ -131,43 +137,45 @@ class Packer:
             product = np.where(todo, (need / self.limits) @ (self.left / self.limits), -1.0)
             fitting = np.where((need <= self.left).all(axis=1), product, -1.0)
             i = int(fitting.argmax())
-            key, ids = items[i]
+            key, ids, prompt = items[i]
             if fitting[i] >= 0:
                 length = int(need[i, 0])
             else:
                 i = int(product.argmax())
-                key, ids = items[i]
-                length = int(min(need[i, 0], self.left[0]))
-                while length and self.loss(key, int(starts[i]), length) > self.left[2]:
-                    length //= 2
-                if not length:
-                    self._open()
-                    continue
-            self._put(key, ids, int(starts[i]), length)
+                key, ids, prompt = items[i]
+                # What bears no loss fits anyway, then as many tokens as loss is left.
+                free = max(prompt - int(starts[i]), 0)
+                length = int(min(need[i, 0], self.left[0], free + self.left[2]))
+            self._put(key, ids, prompt, int(starts[i]), length)
             starts[i] += length
             rest = len(ids) // 4 - int(starts[i])
-            need[i] = rest, 1, self.loss(key, int(starts[i]), rest)
+            need[i] = rest, 1, bearing(prompt, int(starts[i]), rest)
             todo[i] = rest > 0
 
 
-def prose_loss(_key: object, start: int, length: int) -> int:
-    """All tokens of a document bear loss but its first, which nothing precedes."""
-    return length - (1 if start == 0 and length else 0)
+def bearing(prompt: int, start: int, length: int) -> int:
+    """How many of ``length`` tokens from ``start`` bear loss: all behind the first ``prompt`` ones."""
+    return max(start + length - max(start, prompt), 0)
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT,
-    max_segments: int = MAX_SEGMENTS, max_loss: int = LIMIT, end: int = END, loss: Callable[[object, int, int], int] = prose_loss,
+    docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, limit: int = LIMIT,
+    max_segments: int = SEGMENTS, max_loss: int = LIMIT, end: int = END,
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``tokenizer`` is a path that every executor can open.
+    ``tokenizer`` is a path that every executor can open. ``prompt_col`` holds
+    the text that comes before the text and bears no loss; it is encoded by
+    itself. Without a prompt all tokens bear loss but a document's first, which
+    nothing precedes, so that with ``max_loss`` = ``limit`` only tokens and
+    segments bind.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    prompt = F.lit(None).cast("string") if prompt_col is None else F.col(prompt_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), prompt.alias("prompt"))
     stop = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(tokenizer), Packer(limit, max_segments, max_loss, loss, TaskContext.get().partitionId() << 40)
+        encode, packer = encoder(tokenizer), Packer(limit, max_segments, max_loss, TaskContext.get().partitionId() << 40)
         names = ("id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
         def flush(held, kind):
@@ -177,15 +185,16 @@ def pack(
                 columns = list(zip(*done, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])], names)
 
-        held: list[tuple[object, bytes]] = []
+        held: list[tuple[object, bytes, int]] = []
         size, kind = 0, pa.int64()
         for batch in batches:
             kind = batch.schema.field("id").type
-            ids, texts = batch.column("id").to_pylist(), batch.column("text")
+            ids, texts, prompts = batch.column("id").to_pylist(), batch.column("text"), batch.column("prompt")
             for k in range(0, len(ids), 256):
-                for key, e in zip(ids[k : k + 256], encode(texts[k : k + 256].to_pylist()), strict=True):
-                    held.append((key, e + stop))
-                    size += len(e)
+                told = zip(ids[k : k + 256], encode(prompts[k : k + 256].to_pylist()), encode(texts[k : k + 256].to_pylist()), strict=True)
+                for key, q, e in told:
+                    held.append((key, q + e + stop, max(len(q) // 4, 1)))
+                    size += len(q) + len(e)
                 if len(held) >= BLOCK or size >= BLOCK_BYTES:
                     yield from flush(held, kind)
                     held, size = [], 0
