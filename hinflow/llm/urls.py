@@ -7,13 +7,19 @@ URLs that the rules allow, one to URLs that they block. The score is the
 log-likelihood difference per byte; a logistic curve fitted to labelled URLs
 held out from the models turns it into a probability.
 
-Every labelled URL that is not held out is counted, so what the models gather
-grows with the input. The counts are added up in ORDERS x SLOTS hashed slots
-per class, first within each task and then by Spark, so the broadcast has a
-fixed size (some 10 MB) whatever the input. Calibration has two parameters to
-fit and takes at most ``max_calibration`` different held-out URLs of each
-class, those with the smallest hashes. Every URL is scored whole, in one pass
-without a shuffle.
+What the models gather grows with the input, and nothing is hashed: a gram, a
+byte with the ORDERS - 1 bytes before it, is a number of 40 bits, and the
+counts of all grams of all labelled URLs are a Spark table. A byte's score is a
+function of its gram, so it is worked out once per different gram, by joins
+with the counts of each order. The FREQUENT most frequent grams are then
+broadcast (a megabyte, whatever the input), and every URL adds up those in one
+pass; only its rare grams are joined with the table of scores, and since the
+frequent ones are not among them no join key is hot. Scores are whole numbers
+of a millionth, so sums do not depend on their order.
+
+Only the two-parameter calibration takes a sample: URLs whose hash falls below
+a cut that lets through some ``max_calibration`` rows of each class, and one in
+five at most; a URL that repeats counts once. These alone are left out of the models.
 
 Defined results: a null URL, or one without "://", has an empty host and path
 and is judged by the models; if a class has no labelled URL there is no model
@@ -27,20 +33,19 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import located, locator, lower_ascii, written
 
 #: verdict, host, path
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 ORDERS = 5
-SLOTS = 1 << 17
 STRENGTH = 2.0
-#: One URL in so many is held out of the models, by hash, and serves calibration.
-HELD_OUT = 5
+FREQUENT = 1 << 16
+MAX_CALIBRATION = 20_000
+UNIT = 1e6
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -61,62 +66,80 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return reduce(lambda chain, r: chain.when(fits(r), told(r)), ordered[1:], F.when(fits(ordered[0]), told(ordered[0])))
 
 
-def _slots(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of (context, byte) and of the context, by order, and the URLs' lengths.
-
-    URLs are ended by a zero byte and padded in front with zero bytes, so that
-    no context reaches into the URL before.
-    """
-    raw = [(u or "").encode() for u in urls]
-    pad = b"\0" * ORDERS
-    flat = np.frombuffer(b"".join(pad + r + b"\0" for r in raw), np.uint8).astype(np.uint64)
-    lengths = np.array([len(r) + 1 for r in raw], np.int64)
-    starts = np.cumsum(lengths + ORDERS) - lengths
-    at = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-    joint, context = np.empty((ORDERS, len(at)), np.int64), np.empty((ORDERS, len(at)), np.int64)
-    h = np.full(len(at), 0x9E3779B97F4A7C15, np.uint64)
+def grams_of(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of all bytes and the URLs' lengths; URLs end with a zero byte and begin behind zero bytes."""
+    raw = [(u or "").encode() + b"\0" for u in urls]
+    pad = b"\0" * (ORDERS - 1)
+    flat = np.frombuffer(b"".join(pad + r for r in raw), np.uint8).astype(np.int64)
+    lengths = np.array([len(r) for r in raw], np.int64)
+    shift = np.repeat((np.arange(len(raw)) + 1) * len(pad), lengths)
+    at = np.arange(lengths.sum()) + shift
+    grams = np.zeros(len(at), np.int64)
     for k in range(ORDERS):
-        if k:
-            h = (h ^ (flat[at - k] + np.uint64(1))) * np.uint64(0x100000001B3)
-            h ^= h >> np.uint64(29)
-        context[k] = (h >> np.uint64(20)) % np.uint64(SLOTS)
-        j = (h ^ (flat[at] + np.uint64(257))) * np.uint64(0xD6E8FEB86659FD93)
-        joint[k] = (j >> np.uint64(24)) % np.uint64(SLOTS)
-    return joint, context, lengths
+        grams |= flat[at - k] << (8 * k)
+    return grams, lengths
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The cells of [class, kind, order, slot] that a task's URLs touch, and their counts."""
-    counts = np.zeros((2, 2, ORDERS, SLOTS), np.int64)
+    """(gram, n0, n1, n) of each batch: counts in the URLs of either class, and in all."""
     for batch in batches:
-        urls, labels = batch.column("url").to_pylist(), batch.column("label").to_numpy(zero_copy_only=False)
-        for label in (0, 1):
-            own = [urls[i] for i in np.flatnonzero(labels == label)]
-            if not own:
-                continue
-            joint, context, _ = _slots(own)
-            for kind, slots in enumerate((joint, context)):
-                for k in range(ORDERS):
-                    counts[label, kind, k] += np.bincount(slots[k], minlength=SLOTS)
-    flat = counts.ravel()
-    where = np.flatnonzero(flat)
-    for k in range(0, len(where), 1 << 16):
-        part = where[k : k + (1 << 16)]
-        yield pa.RecordBatch.from_pydict({"cell": part, "n": flat[part]})
-
-
-def _log_likelihood(counts: np.ndarray, urls: list[str | None]) -> np.ndarray:
-    """Per URL and class: log-likelihood per byte; counts: [class, kind, order, slot]."""
-    joint, context, lengths = _slots(urls)
-    ends = np.cumsum(lengths)
-    out = []
-    for c in counts:
-        p = np.full(joint.shape[1], 1 / 256)
-        for k in range(ORDERS):
-            p = (np.minimum(c[0, k][joint[k]], c[1, k][context[k]]) + STRENGTH * p) / (c[1, k][context[k]] + STRENGTH)
-        total = np.concatenate([[0.0], np.cumsum(np.log(p))])
-        out.append((total[ends] - total[ends - lengths]) / lengths)
-    return np.array(out)
+        urls, label = batch.column("url").to_pylist(), batch.column("label").to_numpy(zero_copy_only=False)
+        grams, lengths = grams_of(urls)
+        found, place = np.unique(grams, return_inverse=True)
+        of = np.repeat(label, lengths)
+        n = [np.bincount(place[of == y], minlength=len(found)) for y in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (found, *n, np.bincount(place, minlength=len(found)))], ["gram", "n0", "n1", "n"])
+
+
+def gram_scores(grams: DataFrame) -> DataFrame:
+    """(gram, n, w): occurrences and score of all grams in (gram, n0, n1, n), in units of 1 / UNIT.
+
+    The probability of a byte after k bytes mixes its count there with the
+    probability after k - 1 bytes, which weighs STRENGTH counts.
+    """
+    counts = grams.where("n0 + n1 > 0")
+    out = grams.select("gram", "n")
+    p = [F.lit(1 / 256), F.lit(1 / 256)]
+    for k in range(ORDERS):
+        mask = F.lit((1 << 8 * (k + 1)) - 1)
+        byte = counts.groupBy(F.col("gram").bitwiseAND(mask).alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        context = byte.groupBy(F.shiftright("key", 8).alias("ck")).agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"))
+        out = out.withColumn("k", F.col("gram").bitwiseAND(mask)).withColumn("kc", F.shiftright("k", 8))
+        out = out.join(byte, F.col("k") == F.col("key"), "left").join(context, F.col("kc") == F.col("ck"), "left")
+        none = F.lit(0)
+        p = [(F.coalesce(F.col(f"n{y}"), none) + STRENGTH * F.col(f"p{y}") if k else F.coalesce(F.col(f"n{y}"), none) + STRENGTH * p[y]) / (F.coalesce(F.col(f"c{y}"), none) + STRENGTH) for y in (0, 1)]
+        out = out.select("gram", "n", p[0].alias("p0"), p[1].alias("p1"))
+    return out.select("gram", "n", F.round((F.log("p1") - F.log("p0")) * UNIT).cast("long").alias("w"))
+
+
+def _added(known):
+    """Per URL the sum over frequent grams, the number of bytes, and the rare grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, weights = known.value
+        for batch in batches:
+            grams, lengths = grams_of(batch.column("url").to_pylist())
+            place = np.minimum(np.searchsorted(keys, grams), max(len(keys) - 1, 0))
+            hit = keys[place] == grams if len(keys) else np.zeros(len(grams), bool)
+            of = np.repeat(np.arange(len(lengths)), lengths)
+            total = np.zeros(len(lengths), np.int64)
+            np.add.at(total, of[hit], weights[place[hit]])
+            rare = np.bincount(of[~hit], minlength=len(lengths))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rare)]).astype(np.int32)), pa.array(grams[~hit]))
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("row"), pa.array(total), pa.array(lengths), lists], ["file", "row", "frequent", "length", "rare"])
+
+    return run
+
+
+def scores(urls: DataFrame, weights: DataFrame) -> DataFrame:
+    """(file, row, score): log-likelihood difference per byte of (file, row, url)."""
+    top = weights.orderBy(F.desc("n"), "gram").limit(FREQUENT).select("gram", "w").orderBy("gram").toArrow()
+    known = urls.sparkSession.sparkContext.broadcast((top["gram"].to_numpy(), top["w"].to_numpy()))
+    parts = written(urls.mapInArrow(_added(known), "file string, row long, frequent long, length long, rare array<long>"), "url-parts")
+    rare = parts.select("file", "row", F.explode("rare").alias("gram")).join(weights.select("gram", "w"), "gram")
+    rest = rare.groupBy("file", "row").agg(F.sum("w").alias("rest"))
+    total = F.col("frequent") + F.coalesce(F.col("rest"), F.lit(0))
+    return parts.select("file", "row", "frequent", "length").join(rest, ["file", "row"], "left").select("file", "row", (total / F.col("length") / UNIT).alias("score"))
 
 
 def _platt(score: np.ndarray, label: np.ndarray) -> tuple[float, float]:
@@ -135,45 +158,35 @@ def _platt(score: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(beta[0] / spread), float(beta[1])
 
 
-def fit(labelled: DataFrame, *, max_calibration: int = 20000) -> tuple[np.ndarray, float, float] | None:
-    """Counts of both models and the calibration, from (url, label 0/1)."""
-    h = F.xxhash64("url")
-    held = F.pmod(h, F.lit(HELD_OUT)) == 0
-    cells = labelled.where(~held).select("url", "label").mapInArrow(_counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(2 * 2 * ORDERS * SLOTS, np.float32)
-    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    counts = counts.reshape(2, 2, ORDERS, SLOTS)
-    others = labelled.where(held).select("url", "label").distinct()
-    rest = reduce(DataFrame.unionByName, (others.where(F.col("label") == y).orderBy(h, "url").limit(max_calibration) for y in (0, 1))).toPandas()
-    if not (counts[:, 1, 0].sum(axis=1) > 0).all():
-        return None
-    ll = _log_likelihood(counts, rest["url"].tolist()) if len(rest) else np.zeros((2, 0))
-    return counts, *_platt(ll[1] - ll[0], rest["label"].to_numpy(float))
-
-
-def url_filter(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, max_calibration: int = 20000) -> DataFrame:
-    """(id, host, path, rule, verdict, score, p_allow), one row per page."""
+def held_out(url: Column, label: Column, sizes: dict[int, int], most: int) -> Column:
+    """Whether a labelled URL serves calibration: by hash, some ``most`` rows of each class, and one in five at most."""
+    place = F.pmod(F.xxhash64(url), F.lit(1_000_000))
+    cut = {y: int(1_000_000 * min(0.2, most / max(n, 1))) for y, n in sizes.items()}
+    return reduce(lambda c, y: c | ((label == y) & (place < cut[y])), cut, F.lit(False))
+
+
+def url_filter(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, max_calibration: int = MAX_CALIBRATION) -> DataFrame:
+    """(id, host, path, rule, verdict, score, p_allow), one row per page; URLs with a rule have no score."""
+    pages = located(pages)
     host, path = host_and_path(F.col("url"))
-    parsed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", "url", host.alias("host"), path.alias("path"))
-    parsed = parsed.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
-    labelled = parsed.where("r is not null").select("url", (F.col("r.verdict") == "allow").cast("int").alias("label"))
-    model = fit(labelled, max_calibration=max_calibration)
-    if model is None:
-        scored = parsed.select("*", F.lit(None).cast("double").alias("score"), F.when(F.col("r").isNull(), F.lit(1.0)).alias("p_allow"))
+    parsed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), *locator()).select("id", "url", "file", "row", host.alias("host"), path.alias("path"))
+    label = F.coalesce((F.col("r.verdict") == "allow").cast("int"), F.lit(-1))
+    parsed = written(parsed.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("label", label), "urls")
+    sizes = {r["label"]: r["n"] for r in parsed.where("label >= 0").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ruled = F.col("r.verdict")
+    if len(sizes) < 2:
+        out = parsed.select("*", F.lit(None).cast("double").alias("score"), F.when(ruled.isNull(), F.lit(1.0)).alias("p_allow"))
     else:
-        shared = pages.sparkSession.sparkContext.broadcast(model)
-
-        @F.pandas_udf("score double, p_allow double")
-        def judged(url: pd.Series, ruled: pd.Series) -> pd.DataFrame:
-            counts, slope, intercept = shared.value
-            score = np.full(len(url), np.nan)
-            todo = ~ruled.to_numpy(bool)
-            if todo.any():
-                ll = _log_likelihood(counts, url[todo].tolist())
-                score[todo] = ll[1] - ll[0]
-            p = 1 / (1 + np.exp(-np.clip(slope * score + intercept, -30, 30)))
-            return pd.DataFrame({"score": score, "p_allow": p}).astype(object).where(lambda x: x.notna(), None)
-
-        scored = parsed.withColumn("m", judged("url", F.col("r").isNotNull())).select("*", "m.score", "m.p_allow")
-    verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("p_allow") >= 0.5, "allow").otherwise("block"))
-    return scored.select("id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "score", "p_allow")
+        held = held_out(F.col("url"), F.col("label"), sizes, max_calibration)
+        fed = parsed.select("url", F.when(held, -1).otherwise(F.col("label")).alias("label"))
+        grams = fed.mapInArrow(_counted, "gram long, n0 long, n1 long, n long").groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "n")))
+        weights = written(gram_scores(written(grams, "grams")), "gram-scores")
+        asked = parsed.where((F.col("label") < 0) | held)
+        scored = written(scores(asked.select("file", "row", "url"), weights), "scores").withColumnsRenamed({"file": "s_file", "row": "s_row"})
+        joined = parsed.join(scored, (F.col("file") == F.col("s_file")) & (F.col("row") == F.col("s_row")), "left")
+        sample = joined.where(held).select("url", "score", "label").distinct().toPandas()
+        slope, intercept = _platt(sample["score"].to_numpy(float), sample["label"].to_numpy(float))
+        odds = F.greatest(F.least(F.lit(slope) * F.col("score") + F.lit(intercept), F.lit(30.0)), F.lit(-30.0))
+        out = joined.withColumn("score", F.when(ruled.isNull(), F.col("score"))).withColumn("p_allow", F.when(ruled.isNull(), 1 / (1 + F.exp(-odds))))
+    verdict = F.coalesce(ruled, F.when(F.col("p_allow") >= 0.5, "allow").otherwise("block"))
+    return out.select("id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "score", "p_allow")
