@@ -13,8 +13,9 @@ values different ones, and whoever has the key can turn them back.
 A Feistel network permutes a power of four; a range in between is walked: the
 permutation is applied again until the value falls within the range, which
 takes fewer than four rounds on average. In the same way a card's pseudonym is
-walked past those that are valid at an earlier border, and a date's past those
-that do not fit its width. Where groups of digits stand before a card, a
+walked past those that are valid at an earlier border. A date is one value
+however it is written: it is permuted among dates that every written order and
+width can tell in the same way. Where groups of digits stand before a card, a
 pseudonym may make them a card too (one in ten); such a text cannot be turned
 back without its spans. The round function is keyed BLAKE2,
 with format and range as its context.
@@ -22,6 +23,9 @@ with format and range as its context.
 Plan: one pass over the table, no shuffle; a text without digits is passed on
 as it is. Rows hold whole texts and nothing else is kept.
 
+Left alone: national identity numbers, IPv6 addresses, names; and of a mail
+address its domain stays in clear.
+
 Defined results: a null text stays null with no spans; values that fail
 validation stay; an empty table gives an empty table; repeated rows get equal
 results; further columns are not read. Offsets count code points of the input.
@@ -33,7 +37,7 @@ import hashlib
 import re
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
-from datetime import date, timedelta
+from datetime import date
 from functools import lru_cache
 
 import pyarrow as pa
@@ -179,10 +183,25 @@ def _mail(m: re.Match, p: Permuter) -> str:
 FIRST, LAST = date(1900, 1, 1), date(2099, 12, 31)
 
 
-def _fits(e: date, k: int, a: str, b: str, c: str) -> bool:
-    """Whether ``e`` can be written as wide as a, b, c and reads back in the same order."""
-    fields = (e.year, e.month, e.day) if len(a) == 4 else (e.day, e.month, e.year) if k == 0 else (e.month, e.day, e.year)
-    return (k == 0 or e.day > 12) and all(len(str(f)) <= len(w) for f, w in zip(fields, (a, b, c), strict=True))
+def _other_date(d: date, p: Permuter) -> date:
+    """The pseudonym of a date, however it is written.
+
+    Dates are permuted among those whose month has as many digits and whose day
+    is below 10, up to 12, or above, so that every way to write the one can
+    write the other and reads back in the same order.
+    """
+    months = range(1, 10) if d.month < 10 else range(10, 13)
+    days = range(1, 10) if d.day < 10 else range(10, 13) if d.day <= 12 else range(13, 32)
+    years = LAST.year - FIRST.year + 1
+    x = ((d.year - FIRST.year) * len(months) + d.month - months[0]) * len(days) + d.day - days[0]
+    while True:
+        x = p(f"date:{months[0]}:{days[0]}", years * len(months) * len(days), x)
+        rest, day = divmod(x, len(days))
+        year, month = divmod(rest, len(months))
+        try:
+            return date(FIRST.year + year, months[month], days[day])
+        except ValueError:
+            continue
 
 
 def _date(m: re.Match, p: Permuter) -> str | None:
@@ -196,12 +215,7 @@ def _date(m: re.Match, p: Permuter) -> str | None:
             continue
         if not FIRST <= d <= LAST:
             return None
-        # Each written order has a range of its own, so that a pseudonym reads back in the same order.
-        days = (LAST - FIRST).days + 1
-        x = p(f"date:{k}", days, (d - FIRST).days)
-        while not _fits(FIRST + timedelta(x), k, a, b, c):
-            x = p(f"date:{k}", days, x)
-        e = FIRST + timedelta(x)
+        e = _other_date(d, p)
         y, mo, dd = f"{e.year:04d}", str(e.month), str(e.day)
         fields = (y, mo, dd) if len(a) == 4 else (dd, mo, y) if k == 0 else (mo, dd, y)
         return mark.join(f.zfill(len(w)) for f, w in zip(fields, (a, b, c), strict=True))
