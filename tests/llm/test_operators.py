@@ -134,6 +134,14 @@ def pairs_of(found):
     return [p for i, j in found for p in zip(i.tolist(), j.tolist(), strict=True)]
 
 
+def test_shared_counts():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))) for _ in range(30)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    assert (simhash.shared_counts(sets, width=7) == want).all()
+    assert (simhash.shared_counts(sets[:10], sets[10:], width=7) == want[:10, 10:]).all()
+
+
 def test_star_is_a_forest():
     u, v = np.array([5, 5, 3, 9], np.uint64), np.array([3, 4, 4, 8], np.uint64)
     a, b = simhash.star(u, v)
@@ -362,20 +370,57 @@ def test_packing(docs):
         for r in sorted(s, key=lambda r: r["offset"]):
             assert r["offset"] == at
             at += r["length"]
-        assert at <= 2048 and len(s) <= packing.MAX_SEGMENTS
+        assert at <= 2048 and len(s) <= packing.SEGMENTS
         short += at < 2048
     assert short <= docs.rdd.getNumPartitions()
 
 
 def test_packer_limits():
-    p = packing.Packer(100, 3, 50, lambda key, start, length: length if key % 2 else 0, 0)
-    p.block([(k, bytes(4 * (10 + 7 * k))) for k in range(20)])
+    p = packing.Packer(100, 3, 50, 0)
+    prompt = {k: (10 + 7 * k) // (1 + k % 3) for k in range(20)}
+    p.block([(k, bytes(4 * (10 + 7 * k)), prompt[k]) for k in range(20)])
     by = {}
     for key, start, length, _, total, s, offset in p.rows:
-        by.setdefault(s, []).append((key, length))
-    for pieces in by.values():
-        assert sum(n for _, n in pieces) <= 100 and len(pieces) <= 3 and sum(n for k, n in pieces if k % 2) <= 50
-    assert sum(n for x in by.values() for _, n in x) == sum(10 + 7 * k for k in range(20))
+        by.setdefault(s, []).append((key, start, length))
+    loss = {s: sum(i >= prompt[k] for k, at, n in pieces for i in range(at, at + n)) for s, pieces in by.items()}
+    for s, pieces in by.items():
+        assert sum(n for _, _, n in pieces) <= 100 and len(pieces) <= 3 and loss[s] <= 50
+    assert max(loss.values()) == 50
+    assert sorted((k, i) for x in by.values() for k, at, n in x for i in range(at, at + n)) == [(k, i) for k in range(20) for i in range(10 + 7 * k)]
+
+
+def padding(rows):
+    """Tokens of padding; a sequence whose length is a power of two has none."""
+    n = {}
+    for r in rows:
+        n[r["sequence_id"]] = n.get(r["sequence_id"], 0) + r["length"]
+    return sum(0 if x & (x - 1) == 0 else 2048 - x for x in n.values()), sum(n.values())
+
+
+def test_packing_pads_little_on_short_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for texts in (["a b"] * 9000, [None] * 5000, ["a b", None] * 4000, ["x" * 9, "a", ""] * 3000):
+        rows = packing.pack(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1), path).collect()
+        pad, used = padding(rows)
+        assert pad < 2 * 2048 and pad < 0.3 * used
+
+
+def test_packing_with_prompts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i, "what is it? " * (i % 7), "an answer of some words " * (1 + i % 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, q string, text string").coalesce(1)
+    out = packing.pack(df, path, prompt_col="q", limit=256, max_loss=128).collect()
+    from tokenizers import Tokenizer
+
+    encode = lambda t: Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids
+    prompt = {i: max(len(encode(q)), 1) for i, q, _ in rows[:35]}
+    total = {i: len(encode(q)) + len(encode(t)) + 1 for i, q, t in rows[:35]}
+    loss = {}
+    for r in out:
+        assert r["doc_tokens"] == total[r["id"] % 35]
+        p = prompt[r["id"] % 35]
+        loss[r["sequence_id"]] = loss.get(r["sequence_id"], 0) + sum(i >= p for i in range(r["start"], r["start"] + r["length"]))
+    assert max(loss.values()) == 128
 
 
 # --- 8 ---------------------------------------------------------------------------
@@ -403,6 +448,37 @@ def test_license_text_with_an_inserted_word(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:10])), (3, None)], "doc_id long, text string").write.parquet(path)
     got = {r["id"]: r for r in licenses.license_scan(spark.read.parquet(path)).collect()}
     assert got[1]["labels"] == "mit-text" and 0.75 <= got[1]["score"] < 1
+
+
+def test_license_recall_and_precision(spark, tmp_path):
+    """Templates with one word in twenty changed, put in or left out are found at their place; shuffled ones and prose are not."""
+    rng = random.Random(8)
+    rows, want = [], {}
+    for wording, label in (*licenses.TEXTS, *licenses.FULL):
+        words = [w for w in re.split(licenses.GAP, wording.lower()) if w]
+        for _ in range(4):
+            changed = list(words)
+            for _ in range(len(words) // 20):
+                k = rng.randrange(len(changed))
+                changed[k : k + 1] = rng.choice(([], ["other"], [changed[k], "more"]))
+            before = [f"w{rng.randrange(999)}" for _ in range(rng.randrange(30))]
+            want[len(rows)] = (label, len(before))
+            rows.append((len(rows), " ".join([*before, *changed, *before])))
+        rows.append((len(rows), " ".join(rng.sample(words, len(words)))))
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    got = {r["id"]: r for r in licenses.license_scan(spark.read.parquet(path)).collect()}
+    hit = [any(s["label"] == label and abs(s["start"] - at) <= 4 for s in got[i]["spans"] or []) for i, (label, at) in want.items()]
+    assert sum(hit) >= 0.9 * len(hit)
+    others = [got[i] for i in got if i not in want]
+    assert not any(set(r["labels"].split(",")) - set(r["base_labels"].split(",")) for r in others)
+
+
+def test_license_texts_of_few_words(spark, tmp_path):
+    words = licenses.TEXTS[0][0].split()
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame([(2, " ".join(words[:10])), (3, None)], "doc_id long, text string").write.parquet(path)
+    got = {r["id"]: r for r in licenses.license_scan(spark.read.parquet(path)).collect()}
     assert got[2]["labels"] == "" and got[3]["n_words"] == 0
 
 
@@ -454,23 +530,89 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 
 def test_secrets(docs):
     got = {r["doc_id"]: r["spans"] for r in secrets.scan(docs).collect()}
-    found = 0
     for i, t in texts_of(docs).items():
         base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[1]) >= 6]
         base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
         base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
         assert [tuple(s) for s in got[i] if s["kind"] < 3] == sorted(base)
-        found += sum(t[s["start"] : s["end"]] == "kT9vQ2xR7mZ4pL8wN3cY6hB1sF5jD0gA" for s in got[i] if s["kind"] == 3)
-    assert found == 1
+        assert all(s["end"] - s["start"] >= secrets.MIN_RUN and not re.search(r"\s", t[s["start"] : s["end"]]) for s in got[i] if s["kind"] == 3)
+
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 
 def test_secret_battery_tells_random_from_patterned(spark):
+    """The sum of three squared z-scores stays under the 99 % point of chi-squared with three degrees of freedom for random text only."""
     rng = random.Random(0)
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    rows = [("r", "".join(rng.choice(letters) for _ in range(40))) for _ in range(200)] + [("p", "aB3" * 14), ("p", "A1" * 20), ("p", "".join(sorted(letters))[:40])]
-    got = spark.createDataFrame(rows, "kind string, t string").select("kind", secrets.battery(F.col("t")).alias("q")).collect()
-    assert sum(r["q"] <= secrets.CHI2_3_99 for r in got if r["kind"] == "r") >= 185
-    assert all(r["q"] > secrets.CHI2_3_99 for r in got if r["kind"] == "p")
+    rows = [("r", "".join(rng.choice(LETTERS) for _ in range(40))) for _ in range(200)] + [("p", "aB3" * 14), ("p", "A1" * 20), ("p", "".join(sorted(LETTERS))[:40])]
+    got = spark.createDataFrame(rows, "kind string, t string").select("kind", secrets.battery(F.col("t"), F.lit(LETTERS)).alias("q")).collect()
+    assert sum(r["q"] <= 11.345 for r in got if r["kind"] == "r") >= 185
+    assert all(r["q"] > 11.345 for r in got if r["kind"] == "p")
+
+
+def test_positions_in_long_arrays(spark):
+    rng = random.Random(2)
+    for n in (0, 1, 63, 64, 65, 4096, 4099):
+        x = [rng.randrange(50) for _ in range(n)]
+        got = spark.createDataFrame([(x,)], "x array<int>").select(secrets.running(F.col("x")).alias("s")).first()["s"]
+        assert got == [sum(x[:k]) for k in range(n)]
+
+
+def test_matches_grow_with_the_spans_of_a_text(spark, tmp_path):
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        text = " ".join(f"{k:024x}" for k in range(n))
+        path = str(tmp_path / f"{n}.parquet")
+        spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(path)
+        df = spark.read.parquet(path).select(secrets.matches(F.col("text"), secrets.HEX).alias("m"))
+        df.collect()
+        start = time.time()
+        m = df.first()["m"]
+        took.append(time.time() - start)
+        assert [(x["s"], x["e"]) for x in m] == [(25 * k, 25 * k + 24) for k in range(n)]
+    assert took[1] < 8 * took[0] + 1
+
+
+@pytest.fixture(scope="module")
+def code_like(spark, tmp_path_factory):
+    """Documents with random keys, CamelCase names, paths and identifiers, one each, and which is which."""
+    rng = random.Random(6)
+    syllables = [a + b for a in "bdfgklmnprst" for b in ("a", "e", "i", "o", "u", "an", "er", "is", "on", "ut", "al", "en")]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(2, 4)))
+    vocabulary = [word() for _ in range(600)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    make = {
+        "key": lambda: "".join(rng.choice(LETTERS) for _ in range(32)),
+        "key40": lambda: "".join(rng.choice(LETTERS + "+/") for _ in range(40)),
+        "tagged": lambda: "sk-live-" + "".join(rng.choice(LETTERS) for _ in range(36)),
+        "camel": lambda: "".join(rng.choice(vocabulary).title() for _ in range(5)),
+        "path": lambda: "/".join(rng.choice(vocabulary) for _ in range(5)) + f"/{rng.randrange(999)}",
+        "snake": lambda: "_".join(rng.choice(vocabulary) for _ in range(5)),
+        "uuid": lambda: "-".join("".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (8, 4, 4, 4, 12)),
+    }
+    rows = []
+    for kind, one in make.items():
+        for _ in range(200):
+            token = one()
+            rows.append((len(rows), kind, token, f"{prose(rng.randrange(20, 60))} {token} {prose(rng.randrange(20, 60))}"))
+    path = str(tmp_path_factory.mktemp("code") / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, kind string, token string, text string").repartition(4).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_secret_keys_are_found_and_names_are_not(code_like):
+    found = {}
+    for r in secrets.scan(code_like, carry=["doc_id", "kind", "token", "text"]).collect():
+        hit = [s for s in r["spans"] if s["kind"] == 3]
+        at = r["text"].index(f" {r['token']} ") + 1
+        assert all(at <= s["start"] and s["end"] <= at + len(r["token"]) for s in hit)
+        found.setdefault(r["kind"], []).append(bool(hit))
+    share = {k: sum(v) / len(v) for k, v in found.items()}
+    print(share)
+    assert min(share[k] for k in ("key", "key40", "tagged")) >= 0.9
+    assert max(share[k] for k in ("camel", "path", "snake", "uuid")) <= 0.02
 
 
 # --- all -------------------------------------------------------------------------
