@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .edges import degree
+from .ranking import ranked
 
 
 def h_index(edges: DataFrame, values: DataFrame | None = None) -> DataFrame:
@@ -24,15 +25,21 @@ def h_index(edges: DataFrame, values: DataFrame | None = None) -> DataFrame:
     return per.groupBy(F.col("src").alias("node")).agg(F.max(F.least("upto", F.floor(F.col("value")).cast("bigint"))).alias("h"))
 
 
-def threshold(scores: DataFrame, share: float, value: str = "score") -> DataFrame:
-    """One row (n, cut): the value at index floor(share n) of the scores in falling order.
+def _upto(scores: DataFrame, value: str) -> DataFrame:
+    """(value, c, r, n): how often each value occurs, how many scores are at least as high, and how many there are.
 
-    Scores are counted by value first; the global window sees distinct values only.
+    Scores are counted by value, and values are ranked in buckets, so that
+    estimates, which hardly repeat, do not meet in one task.
     """
     by = scores.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(W.orderBy(F.col(value).desc()))
-    by = by.select(F.col(value).alias("v"), upto.alias("upto"), F.sum("c").over(W.partitionBy()).alias("n"))
-    return by.where(F.col("upto") > F.floor(F.lit(share) * F.col("n"))).agg(F.max("n").alias("n"), F.max("v").alias("cut"))
+    bucket = -F.floor(F.log1p(F.greatest(F.col(value).cast("double"), F.lit(0.0))) * 64)
+    return ranked(by, [], bucket, [F.col(value).desc()], F.col("c"))
+
+
+def threshold(scores: DataFrame, share: float, value: str = "score") -> DataFrame:
+    """One row (n, cut): the value at index floor(share n) of the scores in falling order."""
+    by = _upto(scores, value).where(F.col("r") > F.floor(F.lit(share) * F.col("n")))
+    return by.agg(F.max("n").alias("n"), F.max(value).alias("cut"))
 
 
 def hubs(scores: DataFrame, share: float, strict: bool, value: str = "score") -> DataFrame:
@@ -48,12 +55,12 @@ def top_share(scores: DataFrame, share: float, value: str = "score") -> DataFram
     Nodes above the cut value are taken without sorting; only those that tie at
     the cut are ranked.
     """
-    cut = F.broadcast(threshold(scores, share, value))
+    cut = F.broadcast(threshold(scores, share, value).withColumnRenamed("n", "total"))
     s = scores.crossJoin(cut).where(F.col(value) >= F.col("cut"))
     above = s.where(F.col(value) > F.col("cut"))
     room = F.broadcast(above.agg(F.count(F.lit(1)).alias("above")))
     ties = s.where(F.col(value) == F.col("cut")).crossJoin(room)
-    ties = ties.withColumn("r", F.row_number().over(W.orderBy("node"))).where(F.col("r") <= F.floor(F.lit(share) * F.col("n")) + 1 - F.col("above"))
+    ties = ranked(ties, [], F.floor(F.col("node") / 4096), ["node"]).where(F.col("r") <= F.floor(F.lit(share) * F.col("total")) + 1 - F.col("above"))
     return above.select("node", value).union(ties.select("node", value))
 
 
@@ -90,11 +97,9 @@ def epsilon(proposed: DataFrame, scores: DataFrame, share: float, value: str = "
 def rank_of(scores: DataFrame, queries: DataFrame, value: str = "score") -> DataFrame:
     """(node, score, above, at_least, n) for the query nodes: how many scores are higher, and how many at least as high.
 
-    One window over distinct values answers any number of queries.
+    One ranking of distinct values answers any number of queries.
     """
-    by = scores.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(W.orderBy(F.col(value).desc()))
-    by = by.select(F.col(value), (upto - F.col("c")).alias("above"), upto.alias("at_least"), F.sum("c").over(W.partitionBy()).alias("n"))
+    by = _upto(scores, value).select(value, (F.col("r") - F.col("c")).alias("above"), F.col("r").alias("at_least"), "n")
     return scores.join(queries.select("node"), "node", "left_semi").join(by, value).select("node", value, "above", "at_least", "n")
 
 
@@ -111,6 +116,24 @@ def accuracy(answers: DataFrame, inclusive: DataFrame, strict: DataFrame) -> Dat
     return a.agg(F.avg(right.cast("double")).alias("accuracy"))
 
 
-def clearly_not_hub(estimate: Column, best: Column, beta: float, limit: Column) -> Column:
-    """Early stop of a personal query: some node's estimate shows more than ``limit`` nodes above the query's score."""
-    return (best >= estimate * (1 + beta)) & (best > limit * (1 + beta))
+def clearly_not_hub(score: Column, clique: Column, beta: float, limit: Column) -> Column:
+    """Early stop of a personal query: the largest clique alone holds more than ``limit`` nodes that score higher.
+
+    All peers of one middle node are peers of each other, so each of them has
+    at least the clique's size as its degree. ``beta`` is the margin for the
+    clique's size being an estimate.
+    """
+    return (clique >= score * (1 + beta)) & (clique > limit * (1 + beta))
+
+
+def personal_pruned(scores: DataFrame, own: DataFrame, clique: DataFrame, share: float, beta: float, value: str = "score") -> DataFrame:
+    """(node, is_hub) for ``own`` (node, exact, a score of the query node that costs little), by ``clique`` (one row, size) where it suffices.
+
+    Only queries that the clique does not decide are ranked.
+    """
+    n = F.broadcast(scores.agg(F.count(F.lit(1)).alias("n")))
+    judged = own.crossJoin(F.broadcast(clique)).crossJoin(n)
+    stop = clearly_not_hub(F.col("exact"), F.col("size"), beta, F.lit(share) * F.col("n"))
+    judged = judged.select("node", F.coalesce(stop, F.lit(False)).alias("stop"))
+    rest = personal(scores, judged.where("not stop"), share, value)
+    return judged.where("stop").select("node", F.lit(False).alias("is_hub")).union(rest)

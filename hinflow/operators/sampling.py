@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import keyed
+from ..functions.hashing import DIGITS, keyed
 from .ranking import hash_bucket, ranked
 
 
@@ -66,14 +66,18 @@ def random_edges(edges: DataFrame, m: int, seed: int = 42) -> DataFrame:
     return hash_ranked(e, [], "__e", seed).where(F.col("r") <= m).select(*edges.columns)
 
 
-def perturb(edges: DataFrame, share: float, n_src: int, n_dst: int, seed: int = 42) -> DataFrame:
+def perturb(edges: DataFrame, share: float, n_src: DataFrame, n_dst: DataFrame, seed: int = 42) -> DataFrame:
     """A share of the edges, picked by hash, is replaced by hashed pairs that are not edges yet.
 
+    Ends are drawn from [0, n), with n from the one row of ``n_src`` and ``n_dst``.
+
     Replacements may meet; the result is distinct, so it can be a little smaller.
     """
     e = edges.select("src", "dst").withColumn("e", edge_id("src", "dst"))
     gone = keyed(seed, F.col("e")) < int(share * (1 << 32))
-    new = e.where(gone).select((keyed(seed + 1, F.col("e")) % n_src).alias("src"), (keyed(seed + 2, F.col("e")) % n_dst).alias("dst"))
+    sizes = F.broadcast(n_src.toDF("n_src").crossJoin(n_dst.toDF("n_dst")))
+    end = lambda k, n: keyed(seed + k, F.col("e"), digits=DIGITS) % F.col(n)
+    new = e.where(gone).crossJoin(sizes).select(end(1, "n_src").alias("src"), end(2, "n_dst").alias("dst"))
     new = new.distinct().join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
     return e.where(~gone).select("src", "dst").union(new)
 

@@ -1,8 +1,11 @@
 """Bottom-k minimum-value sketches in long form: one row (node, h) per slot.
 
-A slot that is empty is a row that is not there. Merging is union, distinct and
-the k smallest per node; the row_number filter runs as a partial and a final
-group limit, so a hub's rows are cut before the shuffle.
+A slot that is empty is a row that is not there. Merging is union and the k
+smallest distinct values per node. The dense_rank filter runs as a partial and
+a final group limit: each task cuts a hub to its k smallest values before the
+only shuffle, and the k survivors of a node lose their repeats where they are.
+
+Hashes have 60 bits, because decoding joins on them.
 """
 
 from __future__ import annotations
@@ -11,44 +14,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import RANGE, keyed
+from ..functions.hashing import DIGITS, RANGE, keyed
 from ..plans.metapath import GraphSchema, MetaPath, metapath_edges
 from .edges import reverse
 
 
-def universe(nodes: DataFrame, seed: int = 42, digits: int = 8) -> DataFrame:
-    """(node, h). 8 digits suit up to some 80,000 nodes; see ``checked_universe``."""
-    return nodes.select("node", keyed(seed, F.col("node"), digits=digits).alias("h"))
-
-
-def checked_universe(nodes: DataFrame, seed: int = 42) -> tuple[DataFrame, int]:
-    """A universe without collisions and its digits: 8 if they suffice, else 15."""
-    for digits in (8, 15):
-        u = universe(nodes, seed, digits)
-        n, distinct = u.agg(F.count(F.lit(1)), F.count_distinct("h")).first()
-        if n == distinct:
-            return u, digits
-    raise ValueError("60-bit hashes collide; choose another seed")
+def universe(nodes: DataFrame, seed: int = 42) -> DataFrame:
+    """(node, h)."""
+    return nodes.select("node", keyed(seed, F.col("node"), digits=DIGITS).alias("h"))
 
 
 def bottom_k(rows: DataFrame, k: int, keys: tuple[str, ...] = ("node",)) -> DataFrame:
     """The k smallest distinct h per key."""
     order = W.partitionBy(*keys).orderBy("h")
-    return rows.select(*keys, "h").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+    kept = rows.select(*keys, "h").withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= k)
+    return kept.select(*keys, "h").distinct()
 
 
-def step(sketch: DataFrame, hop: DataFrame, k: int, own: DataFrame | None = None) -> DataFrame:
-    """Sketches move along ``hop`` (src, dst); ``own`` (node, h) joins what arrives."""
+def step(sketch: DataFrame, hop: DataFrame, k: int, own: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
+    """Sketches move along ``hop`` (src, dst); ``own`` (node, h) joins what arrives, ``excluded`` (node, h) stays out."""
     keys = tuple(c for c in sketch.columns if c not in ("node", "h"))
     moved = sketch.join(hop, sketch["node"] == hop["src"]).select(*keys, F.col("dst").alias("node"), "h")
+    if excluded is not None:
+        moved = moved.join(excluded, ["node", "h"], "left_anti")
     return bottom_k(moved if own is None else moved.unionByName(own), k, (*keys, "node"))
 
 
-def propagate(schema: GraphSchema, path: MetaPath, start: DataFrame, k: int) -> DataFrame:
-    """Layered propagation of ``start`` (node, h, ...) to the end of ``path``."""
-    out = start
-    for hop in schema.hops(path):
-        out = step(out, hop, k)
+def propagate(schema: GraphSchema, path: MetaPath, start: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+    """Layered propagation of ``start`` (node, h, ...) to the end of ``path``. ``exclude_self``: no node keeps its own hash at the end."""
+    out, last = start, len(path.steps) - 1
+    for i, hop in enumerate(schema.hops(path)):
+        out = step(out, hop, k, excluded=start if exclude_self and i == last else None)
     return out
 
 
@@ -86,6 +82,11 @@ def decode(sketch: DataFrame, known: DataFrame) -> DataFrame:
     return sketch.join(u, "h").select(F.col("node").alias("src"), "dst")
 
 
+def decode_one(sketch: DataFrame, known: DataFrame, node: int) -> DataFrame:
+    """(node): what one node's sketch holds."""
+    return decode(sketch.where(F.col("node") == node), known).select(F.col("dst").alias("node"))
+
+
 def exact_bottom_k(edges: DataFrame, known: DataFrame, k: int) -> DataFrame:
     """Bottom-k of the true neighbourhoods: what propagation must equal."""
     u = known.select(F.col("node").alias("dst"), "h")
@@ -99,7 +100,7 @@ def fill_rate(sketch: DataFrame, k: int) -> DataFrame:
 def repeated_starts(nodes: DataFrame, reps: int, seed: int = 42) -> DataFrame:
     """(rep, node, h) with independent hashes per repetition."""
     rep = F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))
-    return nodes.select(rep.alias("rep"), "node").select("rep", "node", keyed(seed, F.col("rep"), F.col("node")).alias("h"))
+    return nodes.select(rep.alias("rep"), "node").select("rep", "node", keyed(seed, F.col("rep"), F.col("node"), digits=DIGITS).alias("h"))
 
 
 def exact_neighbours(schema: GraphSchema, path: MetaPath) -> DataFrame:

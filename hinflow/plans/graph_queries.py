@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..operators import edges as E
 from ..operators import hubs as H
+from ..operators import sampling
+from ..operators.ranking import ranked
+from ..sources import hin, results, rules
 from ..sources.fixtures import Tables
 from ..sources.fixtures import with_relations as R
 from . import metapath as M
 from .registry import query
+from .scratch import scratch, written
 
 SHARE = 0.05
 
@@ -164,9 +168,9 @@ def exact_materialize_2hop(t):
 @query("exact_materialize_4hop", R("cust_order order_part", """, cp as (select distinct a.src, b.dst from cust_order a join order_part b on a.dst = b.src),
     h as (select distinct x.src, y.src as dst from cp x join cp y on x.dst = y.dst) select src as node, count(*) as degree, min(dst) as lo, max(dst) as hi from h group by src"""))
 def exact_materialize_4hop(t):
+    """The graph of a palindrome has both directions and all loops of its nodes already."""
     path = M.MetaPath.parse("cust_order,order_part").mirrored()
     g = M.metapath_edges(schema(t, "cust_order", "order_part"), path)
-    g = E.with_loops(E.symmetrized(g), g.select(F.col("src").alias("node")))
     return g.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"), F.min("dst").alias("lo"), F.max("dst").alias("hi"))
 
 
@@ -185,12 +189,10 @@ def metapath_nnz(t):
     return parts[0].union(parts[1])
 
 
-@query("relational_power_L2", R("user_event", """, h as (select distinct a.src, b.src as dst from user_event a join user_event b on a.dst = b.dst where a.src % 7 = b.src % 7 or a.src = b.src)
+@query("relational_power_L2", R("user_event", """, h as (select distinct a.src, b.src as dst from user_event a join user_event b on a.dst = b.dst)
     select distinct x.src, y.dst from h x join h y on x.dst = y.src"""))
 def relational_power_l2(t):
-    e = t.rel("user_event")
-    g = M.composed(e, E.reverse(e)).where((F.col("src") % 7 == F.col("dst") % 7) | (F.col("src") == F.col("dst")))
-    return M.composed(g, g)
+    return M.power(M.metapath_edges(schema(t, "user_event"), M.MetaPath.parse("user_event").mirrored()), 2)
 
 
 @query("forward_frontier", R("cust_order order_part part_supp", """, s as (select c_custkey as node from customer where c_mktsegment = 'BUILDING'),
@@ -253,13 +255,11 @@ def instance_anchored_edges(t):
     return M.anchored_edges(schema(t, "cust_order", "order_part"), M.MetaPath.parse("cust_order,order_part", anchor=7))
 
 
-@query("path_count_4hop", R("part_supp", """, m as (select src, dst % 10 as mid, count(*) as n from part_supp group by 1, 2)
-    select a.src as s, b.src as t, sum(a.n * b.n)::bigint as paths from m a join m b on a.mid = b.mid and b.src = a.src + 1 group by 1, 2"""))
+@query("path_count_4hop", R("cust_order order_part", """, m as (select a.src, b.dst as mid, count(*) as n from cust_order a join order_part b on a.dst = b.src group by 1, 2)
+    select a.src as s, b.src as t, sum(a.n * b.n)::bigint as paths from m a join m b on a.mid = b.mid group by 1, 2"""))
 def path_count_4hop(t):
-    m = t.rel("part_supp").groupBy("src", (F.col("dst") % 10).alias("mid")).agg(F.count(F.lit(1)).alias("n"))
-    b = m.select(F.col("src").alias("t"), F.col("mid").alias("m2"), F.col("n").alias("n2"))
-    j = m.join(b, (F.col("mid") == F.col("m2")) & (F.col("t") == F.col("src") + 1))
-    return j.groupBy(F.col("src").alias("s"), "t").agg(F.sum(F.col("n") * F.col("n2")).alias("paths"))
+    half = M.path_counts(schema(t, "cust_order", "order_part"), M.MetaPath.parse("cust_order,order_part"))
+    return M.shared_paths(half).toDF("s", "t", "paths")
 
 
 @query("two_hop_extract", R("cust_part", """, s as (select c_custkey as n from customer where c_nationkey = 3), h1 as (select src, dst from cust_part where src in (select n from s)),
@@ -301,17 +301,23 @@ def association_degree_union(t):
     return half.join(other, F.col("dst") == F.col("mid")).groupBy(F.col("src").alias("node")).agg(F.count_distinct("peer").alias("degree"))
 
 
+def stored_two_hop(t: Tables) -> DataFrame:
+    """The graph written once, for queries that read it several times."""
+    return written(two_hop(t), "two-hop")
+
+
 def degrees(t):
-    return E.degree(two_hop(t)).withColumnRenamed("degree", "score")
+    """One row a node, written, since thresholds, sets and scores all read it."""
+    return written(E.degree(two_hop(t)).withColumnRenamed("degree", "score"), "degrees")
 
 
 def h_indexes(t):
-    return H.h_index(two_hop(t)).withColumnRenamed("h", "score")
+    return written(H.h_index(stored_two_hop(t)).withColumnRenamed("h", "score"), "h-indexes")
 
 
 @query("hindex_exact", R("cust_part", f", {HIX} select node, score as h from hix"))
 def hindex_exact(t):
-    return H.h_index(two_hop(t))
+    return H.h_index(stored_two_hop(t))
 
 
 @query("hub_threshold", R("cust_part", f", {DEG}, {CUT.format('deg', SHARE)} select (select count(*) from deg) as n, cut from cut"))
@@ -333,13 +339,13 @@ def hub_complement(t):
     return d.join(H.hubs(d, SHARE, False).select("node"), "node", "left_anti")
 
 
-@query("hg_stats", R("cust_part", f""", {HIX}, q as (select d.node, d.score as degree, h.score as h from deg d join hix h on h.node = d.node where d.node < 10)
+@query("hg_stats", R("cust_part", f""", {HIX}, q as (select d.node, d.score as degree, h.score as h from deg d join hix h on h.node = d.node)
     select q.node, q.degree, q.h, count(*) as peers, avg((d.score = q.degree)::int) as same_degree, avg((x.score = q.h)::int) as same_h
     from q join h on h.src = q.node join deg d on d.node = h.dst join hix x on x.node = h.dst group by 1, 2, 3"""))
 def hg_stats(t):
-    g = two_hop(t)
-    both = E.degree(g).join(H.h_index(g), "node")
-    q = both.where("node < 10").select(F.col("node").alias("q"), F.col("degree").alias("q_degree"), F.col("h").alias("q_h"))
+    g = stored_two_hop(t)
+    both = written(E.degree(g).join(H.h_index(g), "node"), "stats")
+    q = both.select(F.col("node").alias("q"), F.col("degree").alias("q_degree"), F.col("h").alias("q_h"))
     peers = g.join(q, F.col("src") == F.col("q")).join(both, F.col("dst") == F.col("node"))
     share = lambda c: F.avg(c.cast("int"))
     return peers.groupBy(F.col("q").alias("node"), F.col("q_degree").alias("degree"), F.col("q_h").alias("h")).agg(
@@ -392,16 +398,31 @@ def end_degrees(t):
     return e.join(a, "src").join(b, "dst")
 
 
+def quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row of interpolated quantiles, from counts of distinct values ranked in buckets."""
+    by = df.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    r = written(ranked(by, [], F.floor(F.log1p(F.col("v").cast("double")) * 64), ["v"], F.col("c")), "values")
+    at = lambda place: F.min(F.when(F.col("r") > place, F.col("v"))).cast("double")
+    out = []
+    for name, q in shares.items():
+        place = F.lit(q) * (F.col("n") - 1)
+        low = F.floor(place)
+        share = F.max(place - low)
+        out.append((at(low) + share * (at(F.least(low + 1, F.col("n") - 1)) - at(low))).alias(name))
+    return r.agg(*out)
+
+
 @query("degree_product_skew", R("cust_part", DD + " select round(avg(ds * dt), 6) as mean, quantile_cont(ds * dt, 0.5)::double as median, quantile_cont(ds * dt, 0.9)::double as p90 from e"))
 def degree_product_skew(t):
     x = end_degrees(t).select((F.col("ds") * F.col("dt")).alias("x"))
-    return x.agg(F.round(F.avg("x"), 6).alias("mean"), F.percentile("x", F.lit(0.5)).alias("median"), F.percentile("x", F.lit(0.9)).alias("p90"))
+    mean = x.agg(F.round(F.avg("x"), 6).alias("mean"))
+    return mean.crossJoin(quantiles(x, "x", {"median": 0.5, "p90": 0.9}))
 
 
 @query("hub_hub_fraction", R("cust_part", DD + ", q as (select quantile_cont(ds, 0.9) as qs, quantile_cont(dt, 0.9) as qt from e) select round(avg(ds), 6) as mean_src, round(avg(dt), 6) as mean_dst, avg((ds >= qs and dt >= qt)::int) as hub_hub from e, q"))
 def hub_hub_fraction(t):
     e = end_degrees(t)
-    q = e.agg(F.percentile("ds", F.lit(0.9)).alias("qs"), F.percentile("dt", F.lit(0.9)).alias("qt"))
+    q = quantiles(e, "ds", {"qs": 0.9}).crossJoin(quantiles(e, "dt", {"qt": 0.9}))
     both = (F.col("ds") >= F.col("qs")) & (F.col("dt") >= F.col("qt"))
     return e.crossJoin(q).agg(F.round(F.avg("ds"), 6).alias("mean_src"), F.round(F.avg("dt"), 6).alias("mean_dst"), F.avg(both.cast("int")).alias("hub_hub"))
 
@@ -481,3 +502,89 @@ def metapath_shortname(t):
 def coupon_expected_walks(t):
     d = t.rel("cust_part").groupBy("src").agg(F.count(F.lit(1)).cast("int").alias("d"))
     return d.select("src", "d", F.round(paths.coupon_walks(F.col("d"), F.least(F.col("d"), F.lit(8))), 6).alias("walks"))
+
+
+# --- graph folders, rules, guards -----------------------------------------------------
+
+
+@query("hin_scan", R("cust_part part_supp", " select 0 as etype, 'c' as kind, count(*) as edges, count(distinct src) as sources from cust_part union all select 1, 'p', count(*), count(distinct src) from part_supp"))
+def hin_scan(t):
+    """A graph folder written and scanned again: edges by type, with the type of their sources."""
+    shift = 1 << 32
+    cust, part = nodes(t, "customer", "c_custkey"), nodes(t, "part", "p_partkey")
+    supp = nodes(t, "supplier", "s_suppkey")
+    kinds = [df.select((F.col("node") + k * shift).alias("node"), F.array(F.lit(k)).alias("types")) for k, df in enumerate((cust, part, supp))]
+    links = [t.rel(r).select((F.col("src") + k * shift).alias("src"), (F.col("dst") + (k + 1) * shift).alias("dst"), F.lit(k).alias("etype")) for k, r in enumerate(("cust_part", "part_supp"))]
+    folder = scratch(t.spark, "graph")
+    hin.write_native(kinds[0].union(kinds[1]).union(kinds[2]), links[0].union(links[1]), folder)
+    found, edges = hin.read_native(t.spark, folder)
+    kind = F.element_at(F.array(F.lit("c"), F.lit("p"), F.lit("s")), F.element_at("types", 1) + 1)
+    e = edges.join(found.select(F.col("node").alias("src"), kind.alias("kind")), "src")
+    return e.groupBy("etype", "kind").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("src").alias("sources"))
+
+
+RULES = (("cust_order,order_part", None), ("cust_order", None), ("order_part,part_supp", None), ("cust_order,order_part,part_supp", None), ("order_part,part_supp", 7))
+
+
+@query("rule_len_count", "select * from (values (1, 2::bigint), (2, 2::bigint), (3, 1::bigint)) v(length, rules)")
+def rule_len_count(t):
+    """Rules by length, from a rule file; an anchor is no step of its own."""
+    etypes = {"cust_order": 0, "order_part": 1, "part_supp": 2}
+    path = scratch(t.spark, "rules")
+    line = " ".join(rules.compile_rule(M.MetaPath.parse(text, anchor), etypes) for text, anchor in RULES)
+    t.spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(path)
+    return rules.rules_of(t.spark, path, {k: n for n, k in etypes.items()}).groupBy("length").agg(F.count(F.lit(1)).alias("rules"))
+
+
+@query("peer_size_guard", R("cust_order order_part", """, p7 as (select distinct a.src from cust_order a join order_part b on a.dst = b.src where b.dst = 7)
+    select 'all' as rule, (select count(distinct a.src) from cust_order a join order_part b on a.dst = b.src) >= 3 as kept union all select 'part 7', (select count(*) from p7) >= 3
+    union all select 'no part', false union all select 'one step', false"""))
+def peer_size_guard(t):
+    s = schema(t, "cust_order", "order_part")
+    asked = {"all": M.MetaPath.parse("cust_order,order_part"), "part 7": M.MetaPath.parse("cust_order,order_part", 7), "no part": M.MetaPath.parse("cust_order,order_part", -1), "one step": M.MetaPath.parse("cust_order", 7)}
+    return t.spark.createDataFrame([(n, M.enough_peers(s, p)) for n, p in asked.items()], "rule string, kept boolean")
+
+
+@query("schema_match", R("cust_order order_part", "select a.src, b.dst, count(*) as paths from cust_order a join order_part b on a.dst = b.src group by 1, 2"))
+def schema_match(t):
+    """Steps named by the types of their ends, one of them against its relation."""
+    reverse = E.reverse(t.rel("order_part"))
+    s = M.GraphSchema({"places": t.rel("cust_order"), "part_of": reverse}, {"places": ("customer", "order"), "part_of": ("part", "order")})
+    return M.path_counts(s, M.MetaPath.parse("Customer_to_Order,order_to_part"))
+
+
+@query("snowball_export", R("part_supp", ", s as (select p_partkey as n from part where p_size = 1), a as (select distinct dst as n from part_supp where src in (select n from s)) select src, dst from part_supp where src in (select n from s) and dst in (select n from a)"))
+def snowball_export(t):
+    """Nodes within one hop of the seeds and the edges among them, written as a graph folder and read again."""
+    e = t.rel("part_supp").select("src", (-F.col("dst") - 1).alias("dst"))
+    kept = sampling.snowball(e, t["part"].where("p_size = 1").select(F.col("p_partkey").alias("node")), 1)
+    folder = scratch(t.spark, "snowball")
+    hin.write_snowball(e, kept, folder)
+    return hin.read_native(t.spark, folder)[1].select("src", (-F.col("dst") - 1).alias("dst"))
+
+
+@query("partition_record", "select 'train' as part, count(*) filter (where s = 'train') as nodes from (select case when row_number() over (order by o_orderdate, o_orderkey) <= greatest(1, floor(0.8e0 * count(*) over ())) then 'train' else 'test' end as s from orders) union all select 'test', count(*) filter (where s <> 'train') from (select case when row_number() over (order by o_orderdate, o_orderkey) <= greatest(1, floor(0.8e0 * count(*) over ())) then 'train' else 'test' end as s from orders)")
+def partition_record(t):
+    """A train/test partition written as JSON and read again."""
+    folder = scratch(t.spark, "partition")
+    split = sampling.temporal_split(t["orders"], "o_orderdate", "o_orderkey", 0.8).select(F.col("o_orderkey").alias("node"), F.col("split").alias("part"))
+    results.write_partition(split, {"dataset": "orders", "target_type": "order", "train_frac": 0.8, "seed": 42, "is_temporal": True}, folder)
+    return results.read_partition(t.spark, folder)[0].groupBy("part").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+COMPILED = (("b", "kmv", 1, 0.5), ("b", "kmv", 2, 0.75), ("b_x", "exact", 1, None))
+
+
+@query("results_compile", "select * from (values ('b', 'kmv', 1, 0.5::double), ('b', 'kmv', 2, 0.75::double), ('b_x', 'exact', 1, null::double)) v(dataset, method, seed, f1)")
+def results_compile(t):
+    """JSON results by (dataset, method, seed), which their file names tell."""
+    import json
+
+    folder = scratch(t.spark, "results")
+    hadoop = t.spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = hadoop.getFileSystem(t.spark._jsc.hadoopConfiguration())
+    for dataset, method, seed, f1 in COMPILED:
+        out = fs.create(t.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{dataset}_{method}_{seed}.json"))
+        out.write(json.dumps({"f1": f1}).encode())
+        out.close()
+    return results.compiled(t.spark, f"{folder}/*.json").select("dataset", "method", "seed", F.col("f1").cast("double").alias("f1"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.edges import reverse
+from .scratch import written
 
 
 @dataclass(frozen=True)
@@ -41,25 +42,51 @@ class MetaPath:
         return MetaPath(self.steps + tuple(s.back() for s in reversed(self.steps)))
 
     def is_palindrome(self) -> bool:
-        return self.steps == tuple(s.back() for s in reversed(self.steps))
+        return len(self.steps) > 1 and self.steps == tuple(s.back() for s in reversed(self.steps))
 
     def __str__(self) -> str:
         return ",".join(s.relation if s.forward else f"rev_{s.relation}" for s in self.steps)
 
 
 class GraphSchema:
-    """Relations by name; a name that is not there raises instead of guessing."""
+    """Relations by name; a name that is not there raises instead of guessing.
 
-    def __init__(self, relations: dict[str, DataFrame]):
-        self.relations = relations
+    With ``types`` (relation: source type, target type) a step may also name
+    the types, as in ``author_to_paper``, in any case, and paths must chain.
+    """
+
+    def __init__(self, relations: dict[str, DataFrame], types: dict[str, tuple[str, str]] | None = None):
+        self.relations, self.types = relations, types or {}
+
+    def match(self, name: str) -> tuple[str, bool]:
+        """The relation that ``name`` means, and whether it runs in its direction: by types, then by name, then as the types of a reverse."""
+        if name in self.relations:
+            return name, True
+        low = name.lower()
+        by_types = {f"{a}_to_{b}".lower(): n for n, (a, b) in reversed(self.types.items())}
+        by_name = {n.lower(): n for n in reversed(self.relations)}
+        back = {f"{b}_to_{a}".lower(): n for n, (a, b) in reversed(self.types.items())}
+        if low in by_types or low in by_name:
+            return by_types.get(low) or by_name[low], True
+        if low in back:
+            return back[low], False
+        raise KeyError(f"no relation {name!r}; there are {sorted(self.relations)}")
 
     def step(self, step: Step) -> DataFrame:
-        if step.relation not in self.relations:
-            raise KeyError(f"no relation {step.relation!r}; there are {sorted(self.relations)}")
-        edges = self.relations[step.relation].select("src", "dst")
-        return edges if step.forward else reverse(edges)
+        name, ahead = self.match(step.relation)
+        edges = self.relations[name].select("src", "dst")
+        return edges if step.forward == ahead else reverse(edges)
+
+    def ends(self, step: Step) -> tuple[str, str] | None:
+        name, ahead = self.match(step.relation)
+        types = self.types.get(name)
+        return types if types is None or step.forward == ahead else types[::-1]
 
     def hops(self, path: MetaPath) -> list[DataFrame]:
+        ends = [self.ends(s) for s in path.steps]
+        for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False), 1):
+            if a and b and a[1] != b[0]:
+                raise ValueError(f"{path}: step {k} ends at {a[1]}, step {k + 1} starts at {b[0]}")
         return [self.step(s) for s in path.steps]
 
     def standardised(self) -> GraphSchema:
@@ -73,12 +100,38 @@ def composed(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(r, left["dst"] == r["mid"]).select("src", F.col("end").alias("dst")).distinct()
 
 
+#: Members of a middle node that meet in one key of a self-join.
+SHARE = 1024
+
+
+def mirrored(half: DataFrame, share: int = SHARE) -> DataFrame:
+    """Distinct (src, dst) of sources that share a middle node of ``half`` (distinct src, dst), both ways, each with itself.
+
+    A middle node with d members makes d * d pairs. Its members are dealt into
+    parts of about ``share``, and each pair of parts is a join key of its own,
+    so one middle node spreads over many tasks. Only pairs in one order are
+    made and shuffled; the others follow without a join.
+    """
+    ends = half.select(F.col("src").alias("one"), F.col("dst").alias("mid"))
+    parts = ends.groupBy("mid").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("parts"))
+    dealt = ends.join(parts, "mid").withColumn("part", F.pmod(F.xxhash64("one"), F.col("parts")).cast("int"))
+    left = dealt.select("one", "mid", "part", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("other"))
+    right = dealt.select(F.col("one").alias("two"), "mid", F.col("part").alias("other"), F.explode(F.sequence(F.lit(0), F.col("part"))).alias("part"))
+    pairs = left.join(right, ["mid", "part", "other"]).where("part < other or one < two").select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"))
+    return both.select("e.*").union(half.select("src", F.col("src").alias("dst")).distinct())
+
+
 def metapath_edges(schema: GraphSchema, path: MetaPath) -> DataFrame:
     """The relational graph of ``path``: (u, v) if an instance of the path leads from u to v.
 
     An anchored path is built from its anchor backwards, so only nodes that
-    reach the anchor are ever expanded.
+    reach the anchor are ever expanded. A palindrome is its half path joined
+    with itself; its graph is symmetric and has a loop at every node with an
+    instance of the half path.
     """
+    if path.anchor is None and path.is_palindrome():
+        return mirrored(metapath_edges(schema, path.prefix(len(path.steps) // 2)))
     hops = schema.hops(path)
     if path.anchor is not None:
         out = hops[-1].where(F.col("dst") == path.anchor)
@@ -91,6 +144,39 @@ def metapath_edges(schema: GraphSchema, path: MetaPath) -> DataFrame:
     return out
 
 
+def power(edges: DataFrame, exponent: int) -> DataFrame:
+    """Distinct (src, dst) of walks of ``exponent`` edges.
+
+    Nodes with equal neighbour sets (128 bits of hash sums, and sizes) are
+    expanded once: only the smallest of each class takes part in the joins.
+    """
+    e = edges.select("src", "dst").distinct()
+    word = lambda salt: F.sum(F.xxhash64("dst", F.lit(salt)).cast("decimal(20,0)"))
+    sets = e.groupBy("src").agg(F.count(F.lit(1)).alias("n"), word(1).alias("a"), word(2).alias("b"))
+    sets = written(sets, "sets")
+    classes = written(sets.join(sets.groupBy("n", "a", "b").agg(F.min("src").alias("of")), ["n", "a", "b"]).select("src", "of"), "classes")
+    steps = e.join(classes.where("src = of").select("src"), "src", "left_semi")
+    ends = classes.toDF("dst", "of_dst")
+    out = steps
+    for _ in range(exponent - 1):
+        to_class = out.join(ends, "dst").select("src", F.col("of_dst").alias("dst")).distinct()
+        out = composed(to_class, steps)
+    return classes.join(out.withColumnRenamed("src", "of"), "of").select("src", "dst")
+
+
+def shared_paths(half: DataFrame) -> DataFrame:
+    """(src, dst, paths): over all middle nodes, instances of ``half`` (src, dst, paths) from either side multiplied and summed."""
+    other = half.select(F.col("src").alias("end"), F.col("dst").alias("mid"), F.col("paths").alias("back"))
+    return half.join(other, F.col("dst") == F.col("mid")).groupBy("src", F.col("end").alias("dst")).agg(F.sum(F.col("paths") * F.col("back")).alias("paths"))
+
+
+def enough_peers(schema: GraphSchema, path: MetaPath, least: int = 3) -> bool:
+    """Whether a path is worth evaluating: at least ``least`` peers, and more than one step if it is anchored."""
+    if path.anchor is not None and len(path.steps) <= 1:
+        return False
+    return peers(schema, path).limit(least).count() >= least
+
+
 def path_counts(schema: GraphSchema, path: MetaPath) -> DataFrame:
     """(src, dst, paths): number of instances, summed after each hop."""
     hops = schema.hops(path)
@@ -106,8 +192,7 @@ def association_edges(schema: GraphSchema, path: MetaPath, layer: int) -> DataFr
 
     The half path is computed once and joined with itself.
     """
-    half = metapath_edges(schema, path.prefix(layer))
-    return composed(half, reverse(half))
+    return mirrored(metapath_edges(schema, path.prefix(layer)))
 
 
 def frontier(schema: GraphSchema, path: MetaPath, start: DataFrame) -> DataFrame:
@@ -152,14 +237,14 @@ def peers_of(schema: GraphSchema, path: MetaPath, layer: int, nodes: DataFrame)
 
 def active(schema: GraphSchema, path: MetaPath) -> DataFrame:
     """(node, layer) on some instance of the path: both semi-join passes of a full reduction."""
-    forward = frontier(schema, path, peers(schema, path))
+    forward = written(frontier(schema, path, peers(schema, path)), "forward")
     last = forward.where(F.col("layer") == len(path.steps))
     return forward.join(back_frontier(schema, path, last), ["node", "layer"], "left_semi")
 
 
 def matching_edges(schema: GraphSchema, path: MetaPath) -> DataFrame:
     """(layer, src, dst): edges between active nodes of consecutive layers, of the step's relation only."""
-    nodes = active(schema, path)
+    nodes = written(active(schema, path), "active")
     out = None
     for k, hop in enumerate(schema.hops(path)):
         here = nodes.where(F.col("layer") == k).select(F.col("node").alias("src"))

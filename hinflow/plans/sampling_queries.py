@@ -16,7 +16,7 @@ from ..streaming.snapshots import snapshots
 from . import metapath as M
 from .graph_queries import nodes, schema, two_hop
 from .registry import query
-from .sketch_queries import hx
+from .sketch_queries import hx, ident
 
 C = f"c as (select c_custkey, c_mktsegment, c_nationkey, row_number() over (order by {hx('42', 'c_custkey')}, c_custkey) as r, count(*) over () as n from customer)"
 
@@ -58,10 +58,11 @@ def random_edge_subgraph(t):
     return S.random_edges(t.rel("cust_part"), 1000)
 
 
-@query("edge_perturb", R("part_supp", f""", e as (select src, dst, {EH} < 429496729 as gone, {hx('43', "src || '-' || dst")} % 100 as ns, {hx('44', "src || '-' || dst")} % 50 as nd from part_supp)
+@query("edge_perturb", R("part_supp", f""", e as (select src, dst, {EH} < 429496729 as gone, {ident('43', "src || '-' || dst")} % (select count(*) from part) as ns, {ident('44', "src || '-' || dst")} % (select count(*) from supplier) as nd from part_supp)
     select src, dst from e where not gone union all select distinct ns, nd from e where gone and not exists (select 1 from part_supp p where p.src = ns and p.dst = nd)"""))
 def edge_perturb(t):
-    return S.perturb(t.rel("part_supp"), 0.1, 100, 50)
+    size = lambda name: t[name].agg(F.count(F.lit(1)))
+    return S.perturb(t.rel("part_supp"), 0.1, size("part"), size("supplier"))
 
 
 @query("induced_subgraph", R("cust_part", " select src, dst from cust_part where src in (select c_custkey from customer where c_mktsegment = 'BUILDING')"))
@@ -107,10 +108,12 @@ def lp_edge_split(t):
     return g.select("src", "dst", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), "train").otherwise("test").alias("part"))
 
 
-@query("giant_component", R("part_supp", """, s as (select distinct a.dst as u, b.dst as v from part_supp a join part_supp b on a.src = b.src) select -dst - 1 as node from part_supp group by dst having count(*) > 0 union select src from part_supp"""))
+@query("giant_component", R("cust_nation supp_nation", """, e as (select src as u, -(dst * 2 + 1)::bigint as v from cust_nation union all select -(src * 2 + 2)::bigint, -(dst * 2 + 1)::bigint from supp_nation), b as (select u, v from e union select v, u from e),
+    reach as (select node, label from l), c as (select node, min(label) as label from reach group by node), g as (select label from c group by label order by count(*) desc, label limit 1) select node from c join g using (label)""").replace("with ", "with recursive ", 1).replace("reach as (", "l(node, label) as (select u, u from b union select b.v, l.label from l join b on b.u = l.node), reach as (", 1))
 def giant_component(t):
-    """Nodes of the largest component; of equals the one with the smallest node."""
-    e = t.rel("part_supp").select(F.col("src").alias("u"), (-F.col("dst") - 1).alias("v"))
+    """Nodes of the largest component, of customers and suppliers over nations; of equals the one with the smallest node."""
+    place = -(F.col("dst") * 2 + 1).cast("bigint")
+    e = t.rel("cust_nation").select(F.col("src").alias("u"), place.alias("v")).union(t.rel("supp_nation").select(-(F.col("src") * 2 + 2).cast("bigint"), place))
     c = components(e)
     big = c.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.min_by("component", F.struct(-F.col("n"), F.col("component"))).alias("g"))
     return c.join(F.broadcast(big), F.col("component") == F.col("g")).select("node")

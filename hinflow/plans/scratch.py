@@ -6,22 +6,32 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made and not yet removed by this process.
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it. Where it is unset (tests, one machine)
-    a temporary folder takes its place and goes when the process ends.
+    ``spark.checkpoint.dir`` names it. Where it is unset a temporary folder
+    takes its place and goes when the process ends; that only serves a local
+    master, so anywhere else an unset folder is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not base:
         local = tempfile.mkdtemp(prefix="hinflow-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         base = f"file://{local}"
-    return f"{base.rstrip('/')}/hinflow/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/hinflow/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 #: Spark's switch for deleting a query's shuffle files as soon as the query ends.
@@ -53,6 +63,22 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder, in whichever store it lies."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Removes, at the end, the scratch folders made within: consume a query's result inside.
+
+    ``with cleared(spark): query(...).write.parquet(...)``
+    """
+    before = set(_MADE)
+    try:
+        yield
+    finally:
+        for path in [p for p in _MADE if p not in before]:
+            remove(spark, path)
 
 
 def discard(df: DataFrame) -> None:

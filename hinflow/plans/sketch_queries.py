@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import keyed
+from ..functions.hashing import DIGITS, RANGE, keyed
 from ..operators import edges as E
 from ..operators import hubs as H
 from ..operators import similarity as S
@@ -13,30 +13,36 @@ from ..operators import sketch as K
 from ..operators import walks as R_
 from ..sources.fixtures import with_relations as R
 from . import metapath as M
-from .graph_queries import CUT, DEG, H2, SHARE, degrees, nodes, schema, two_hop
+from .graph_queries import CUT, DEG, H2, SHARE, degrees, nodes, schema, stored_two_hop, two_hop
 from .registry import query
+from .scratch import written
 
 PATH = "cust_part,rev_cust_part"
 
 
-def hx(*parts: str) -> str:
-    return "('0x' || substr(md5(" + " || ':' || ".join(f"({p})::varchar" for p in parts) + "), 1, 8))::bigint"
+def hx(*parts: str, digits: int = 8) -> str:
+    return "('0x' || substr(md5(" + " || ':' || ".join(f"({p})::varchar" for p in parts) + f"), 1, {digits}))::bigint"
 
 
-U = f"u as (select c_custkey as node, {hx('42', 'c_custkey')} as h from customer)"
+def ident(*parts: str) -> str:
+    return hx(*parts, digits=DIGITS)
+
+
+U = f"u as (select c_custkey as node, {ident('42', 'c_custkey')} as h from customer)"
 
 
 def bk(rel: str, k: int) -> str:
     return f"(select node, h from (select node, h, row_number() over (partition by node order by h) as r from (select distinct node, h from {rel})) where r <= {k})"
 
 
-def sk(k: int) -> str:
-    """Two-hop sketch sk(node, h) of customers over parts."""
-    return f"{U}, s1 as {bk('(select c.dst as node, h from cust_part c join u on u.node = c.src)', k)}, sk as {bk('(select c.src as node, h from cust_part c join s1 on s1.node = c.dst)', k)}"
+def sk(k: int, tag: str = "") -> str:
+    """Two-hop sketch sk(node, h) of customers over parts, over the universe u."""
+    start = f"{U}, " if not tag else ""
+    return f"{start}s1{tag} as {bk('(select c.dst as node, h from cust_part c join u on u.node = c.src)', k)}, sk{tag} as {bk(f'(select c.src as node, h from cust_part c join s1{tag} s1 on s1.node = c.dst)', k)}"
 
 
 def est(k: int, of: str = "sk") -> str:
-    return f"est as (select node, case when count(*) < {k} then count(*)::double else {(k - 1) * 4294967296.0:.1f}::double / greatest(max(h), 1) end as score from {of} group by node)"
+    return f"est as (select node, case when count(*) < {k} then count(*)::double else {(k - 1) * RANGE:.1f}::double / greatest(max(h), 1) end as score from {of} group by node)"
 
 
 def customers(t):
@@ -48,7 +54,8 @@ def two_hop_sketch(t, k, seed=42):
 
 
 def estimates(t, k=32):
-    return K.estimate(two_hop_sketch(t, k), k).withColumnRenamed("degree", "score")
+    """One row a node, written, since thresholds, ranks and scores all read it."""
+    return written(K.estimate(two_hop_sketch(t, k), k).withColumnRenamed("degree", "score"), "estimates")
 
 
 # --- sketches -----------------------------------------------------------------
@@ -69,9 +76,13 @@ def kmv_propagate_2hop(t):
     return two_hop_sketch(t, 8)
 
 
-@query("kmv_propagate_4hop", R("cust_part", f", {sk(8)} select node, h from sk"))
+ASSOC = R("cust_order order_part", f""", {U}, p1 as {bk('(select c.dst as node, h from cust_order c join u on u.node = c.src)', 8)},
+    p2 as {bk('(select c.dst as node, h from order_part c join p1 on p1.node = c.src)', 8)}, b1 as {bk('(select c.src as node, h from order_part c join p2 on p2.node = c.dst)', 8)}
+    select node, h from {bk('(select c.src as node, h from cust_order c join b1 on b1.node = c.dst)', 8)}""")
+
+
+@query("kmv_propagate_4hop", ASSOC)
 def kmv_propagate_4hop(t):
-    """Through orders: the same closure as two hops over parts, and so the same sketch."""
     s = schema(t, "cust_order", "order_part")
     return K.propagate(s, M.MetaPath.parse("cust_order,order_part").mirrored(), K.universe(customers(t)), 8)
 
@@ -86,9 +97,7 @@ def exact_bottomk(t):
     return K.exact_bottom_k(two_hop(t), K.universe(customers(t)), 8)
 
 
-@query("kmv_association_sketch", R("cust_order order_part", f""", {U}, p1 as {bk('(select c.dst as node, h from cust_order c join u on u.node = c.src)', 8)},
-    p2 as {bk('(select c.dst as node, h from order_part c join p1 on p1.node = c.src)', 8)}, b1 as {bk('(select c.src as node, h from order_part c join p2 on p2.node = c.dst)', 8)}
-    select node, h from {bk('(select c.src as node, h from cust_order c join b1 on b1.node = c.dst)', 8)}"""))
+@query("kmv_association_sketch", ASSOC)
 def kmv_association_sketch(t):
     return K.association(schema(t, "cust_order", "order_part"), M.MetaPath.parse("cust_order,order_part"), 2, K.universe(customers(t)), 8)
 
@@ -98,7 +107,7 @@ def kmv_degree_estimate(t):
     return K.estimate(two_hop_sketch(t, 8), 8)
 
 
-UL = f"ul as (select rep, c_custkey as node, {hx('42', 'rep', 'c_custkey')} as h from customer, (select unnest(range(4)) as rep))"
+UL = f"ul as (select rep, c_custkey as node, {ident('42', 'rep', 'c_custkey')} as h from customer, (select unnest(range(4)) as rep))"
 
 
 def bkl(rel, k):
@@ -106,7 +115,7 @@ def bkl(rel, k):
 
 
 @query("kmv_degree_estimate_L", R("cust_part", f""", {UL}, s1 as {bkl('(select rep, c.dst as node, h from cust_part c join ul on ul.node = c.src)', 8)}, s2 as {bkl('(select rep, c.src as node, h from cust_part c join s1 on s1.node = c.dst)', 8)}
-    select node, round(avg(e), 6) as degree from (select rep, node, case when count(*) < 8 then count(*)::double else 30064771072.0::double / greatest(max(h), 1) end as e from s2 group by rep, node) group by node"""))
+    select node, round(avg(e), 6) as degree from (select rep, node, case when count(*) < 8 then count(*)::double else {7 * RANGE:.1f}::double / greatest(max(h), 1) end as e from s2 group by rep, node) group by node"""))
 def kmv_degree_estimate_l(t):
     s = K.propagate(schema(t, "cust_part"), M.MetaPath.parse(PATH), K.repeated_starts(customers(t), 4), 8)
     return K.estimate(s, 8).select("node", F.round("degree", 6).alias("degree"))
@@ -165,14 +174,14 @@ def kmv_leak_rate(t):
     return d.join(g, ["src", "dst"], "left").agg(F.count(F.lit(1)).alias("slots"), F.count(F.when(F.col("real").isNull(), 1)).alias("leaked"))
 
 
-@query("kmv_nested_k", R("cust_part", f", {sk(8)} select node, count(*) as slots, count(*) as nested from {bk('sk', 4)} group by node"))
+@query("kmv_nested_k", R("cust_part", f", {sk(8)}, {sk(4, '4')}, l4 as {bk('sk', 4)} select a.node, count(*) as slots, count(b.h) as nested from sk4 a left join l4 b on a.node = b.node and a.h = b.h group by a.node"))
 def kmv_nested_k(t):
     small = two_hop_sketch(t, 4)
     large = K.bottom_k(two_hop_sketch(t, 8), 4).withColumn("in_large", F.lit(1))
     return small.join(large, ["node", "h"], "left").groupBy("node").agg(F.count(F.lit(1)).alias("slots"), F.count("in_large").alias("nested"))
 
 
-@query("kmv_structural_equality", R("cust_part", f", {H2}, {U}, x as {bk('(select g.src as node, u.h from h g join u on u.node = g.dst)', 8)} select count(*) as slots, count(*) as equal from x"))
+@query("kmv_structural_equality", R("cust_part", f", {H2}, {sk(8)}, x as {bk('(select g.src as node, u.h from h g join u on u.node = g.dst)', 8)} select count(*) as slots, count(x.h) as equal from sk full join x on x.node = sk.node and x.h = sk.h"))
 def kmv_structural_equality(t):
     a, b = two_hop_sketch(t, 8), K.exact_bottom_k(two_hop(t), K.universe(customers(t)), 8).withColumn("there", F.lit(1))
     return a.join(b, ["node", "h"], "full").agg(F.count(F.lit(1)).alias("slots"), F.count("there").alias("equal"))
@@ -181,7 +190,7 @@ def kmv_structural_equality(t):
 @query("lag_dedup", R("cust_part", f", {U} select distinct c.dst as node, u.h from cust_part c join u on u.node = c.src"))
 def lag_dedup(t):
     """Distinct by comparing with the row before in sorted order."""
-    e = t["orders"].join(t["lineitem"], F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_partkey").alias("node"), keyed(42, F.col("o_custkey")).alias("h"))
+    e = t["orders"].join(t["lineitem"], F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_partkey").alias("node"), keyed(42, F.col("o_custkey"), digits=DIGITS).alias("h"))
     before = F.lag("h").over(W.partitionBy("node").orderBy("h"))
     return e.withColumn("before", before).where("before is null or before <> h").select("node", "h")
 
@@ -245,14 +254,26 @@ def per_degree(t):
     return H.personal(estimates(t), asked(t), SHARE)
 
 
-@query("per_degree_pruned", EST + ASK + f" select q.node, (select count(*) from est x where x.score > e.score) + 1 <= floor({SHARE} * (select count(*) from est)) as is_hub from q join est e using (node)")
+BETA = 0.1
+CLIQUE = ", mc as (select max(e) as size from (select case when count(*) < 32 then count(*)::double else " + f"{31 * RANGE:.1f}::double" + " / greatest(max(h), 1) end as e from s1 group by node)), n as (select count(*) as n from est)"
+
+
+def clique(t, k=32):
+    """One row: the largest estimated number of customers around one part."""
+    mids = K.step(K.universe(customers(t)), t.rel("cust_part"), k)
+    return K.estimate(mids, k).agg(F.max("degree").alias("size"))
+
+
+def asked_degrees(t):
+    """(node, exact): true degrees of the query nodes, whose peers alone are expanded."""
+    peers = M.peers_of(schema(t, "cust_part"), M.MetaPath.parse("cust_part"), 1, asked(t))
+    return peers.groupBy("node").agg(F.count(F.lit(1)).alias("exact"))
+
+
+@query("per_degree_pruned", EST + ASK + CLIQUE + f""" select q.node, case when size >= deg.score * (1 + {BETA}e0) and size > {SHARE} * n * (1 + {BETA}e0) then false
+    else (select count(*) from est x where x.score > e.score) + 1 <= floor({SHARE} * n) end as is_hub from q join est e using (node) join deg using (node), mc, n""")
 def per_degree_pruned(t):
-    """Queries that the cut of the estimates already rules out are answered without a rank; the rest are ranked."""
-    e, q = estimates(t), asked(t)
-    cut = F.broadcast(H.threshold(e, SHARE))
-    own = e.join(q, "node", "left_semi").crossJoin(cut)
-    below = own.where("score < cut").select("node", F.lit(False).alias("is_hub"))
-    return below.union(H.personal(e, own.where("score >= cut"), SHARE))
+    return H.personal_pruned(estimates(t), asked_degrees(t), clique(t), SHARE, BETA)
 
 
 @query("per_accuracy", EST + SETS + ASK + f""", a as (select q.node, (select count(*) from est x where x.score > e.score) + 1 <= floor({SHARE} * (select count(*) from est)) as hub from q join est e using (node))
@@ -273,7 +294,7 @@ HEST = R("cust_part", f""", {H2}, {sk(32)}, {est(32)}, hn as (select h.src, e.sc
 
 def h_estimates(t):
     e = estimates(t).withColumnRenamed("score", "value")
-    return H.h_index(two_hop(t), e).withColumnRenamed("h", "score")
+    return written(H.h_index(stored_two_hop(t), e).withColumnRenamed("h", "score"), "h-estimates")
 
 
 @query("hub_glo_hindex", HEST + f" select node, score from (select node, score, row_number() over (order by score desc, node) as rn, count(*) over () as n from hx) where rn <= floor({SHARE} * n) + 1")
@@ -286,6 +307,44 @@ def per_hindex(t):
     return H.personal(h_estimates(t), asked(t), SHARE)
 
 
+@query("per_hindex_pruned", HEST + f", deg as (select src as node, count(*) as score from h group by src)" + ASK + CLIQUE + f""" select q.node, case when size >= deg.score * (1 + {BETA}e0) and size > {SHARE} * n * (1 + {BETA}e0) then false
+    when size >= e.score and size >= floor({SHARE} * n) then false
+    else (select count(*) from hx x where x.score > e.score) + 1 <= floor({SHARE} * n) end as is_hub from q join hx e using (node) join deg using (node), mc, n""")
+def per_hindex_pruned(t):
+    """As by degree; besides, a clique of at least the node's h-index and the hubs' number rules it out."""
+    h, c = h_estimates(t), written(clique(t), "clique")
+    n = h.agg(F.count(F.lit(1)).alias("n"))
+    own = asked_degrees(t).join(h, "node").crossJoin(F.broadcast(c)).crossJoin(F.broadcast(n))
+    out = (F.col("size") >= F.col("score")) & (F.col("size") >= F.floor(F.lit(SHARE) * F.col("n")))
+    own = written(own.select("node", "exact", F.coalesce(out, F.lit(False)).alias("out")), "own")
+    rest = H.personal_pruned(h, own.where("not out").select("node", "exact"), c, SHARE, BETA)
+    return own.where("out").select("node", F.lit(False).alias("is_hub")).union(rest)
+
+
+@query("cod_sets", EST.replace(f"floor({SHARE}", "floor(0.1") + """ select top.node, top.score as estimate, deg.score >= cut as exact from top join deg using (node), cut""")
+def cod_sets(t):
+    """The sketch's tenth of the nodes, and whether the exact threshold v_0.1 agrees."""
+    top = H.top_share(estimates(t), 0.1).withColumnRenamed("score", "estimate")
+    d = degrees(t)
+    return top.join(d, "node").crossJoin(F.broadcast(H.threshold(d, 0.1).select("cut"))).select("node", "estimate", (F.col("score") >= F.col("cut")).alias("exact"))
+
+
+@query("hub_scatter", EST + " select deg.node, deg.score as degree, est.score as estimate from deg join est using (node), cut where deg.score >= cut")
+def hub_scatter(t):
+    """True hubs with their degrees and what the sketch makes of them."""
+    return H.hubs(degrees(t), SHARE, False).withColumnRenamed("score", "degree").join(estimates(t).withColumnRenamed("score", "estimate"), "node").select("node", "degree", "estimate")
+
+
+@query("kmv_self_excluded", R("cust_part", f", {U}, s1 as {bk('(select c.dst as node, h from cust_part c join u on u.node = c.src)', 8)} select node, h from {bk('(select x.node, x.h from (select c.src as node, h from cust_part c join s1 on s1.node = c.dst) x join u on u.node = x.node where u.h <> x.h)', 8)}"))
+def kmv_self_excluded(t):
+    return K.propagate(schema(t, "cust_part"), M.MetaPath.parse(PATH), K.universe(customers(t)), 8, exclude_self=True)
+
+
+@query("decode_one", R("cust_part", f", {sk(8)} select u.node from sk join u using (h) where sk.node = 1"))
+def decode_one(t):
+    return K.decode_one(two_hop_sketch(t, 8), K.universe(customers(t)), 1)
+
+
 @query("rule_density_estimate", R("cust_part", f", {sk(32)}, {est(32)} select round(2 * sum(score) / (count(*)::double * (count(*) - 1)), 6) as density, 2 * sum(score) / (count(*)::double * (count(*) - 1)) <= 0.5 as keep from est"))
 def rule_density_estimate(t):
     n = F.count(F.lit(1))
@@ -347,6 +406,22 @@ def mprw_profile(t):
     return R_.profile(ends(t, 16), customers(t).withColumn("target", F.lit(6)))
 
 
+@query("walk_budget", R("cust_part", f""", {walked(64)}, f as (select s, e, min(w) as w from w2 where s <> e group by s, e), c as (select w + 1 as w, (sum(count(*)) over (order by w))::bigint as edges from f group by w),
+    g as (select 8 * count(*) as target from customer) select min(c.w)::int as walks, false as saturated, min(edges)::bigint as edges from c, g where edges >= target"""))
+def walk_budget(t):
+    """The fewest walks a source that give eight edges a customer."""
+    target = 8 * t["customer"].count()
+    walks, saturated, edges = R_.budget(schema(t, "cust_part"), M.MetaPath.parse(PATH), customers(t), target)
+    return t.spark.createDataFrame([(walks, saturated, edges)], "walks int, saturated boolean, edges long")
+
+
+@query("coupon_simulation", f"""with d as (select trial, draw, {hx('42', 'trial', 'draw')} % 50 as v from (select unnest(range(200)) as trial), (select unnest(range(500)) as draw)), f as (select trial, v, min(draw) as pos from d group by 1, 2),
+    r as (select trial, pos + 1 as walks, row_number() over (partition by trial order by pos) as k from f) select k::int as k, round(avg(walks), 6) as mean, round(stddev_pop(walks), 6) as sd from r where k in (8, 16, 32) group by k""")
+def coupon_simulation(t):
+    s = R_.coupons(t.spark, 50, (8, 16, 32), trials=200, draws=500)
+    return s.select("k", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
 @query("random_kernel_edges", R("cust_part", f", {walked(4, 'node')} select distinct s as src, e as dst from w2 where s <> e"))
 def random_kernel_edges(t):
     return R_.walk_edges(ends(t, 4, shared=True)).select("src", "dst")
@@ -365,7 +440,7 @@ def kgrw_edges(t):
 
 # --- similarity --------------------------------------------------------------------
 
-SAMPLE = f"smp as (select c_custkey as node from customer order by {hx('42', 'c_custkey')}, c_custkey limit 100), it as (select src as node, dst as item from cust_part where src in (select node from smp)), sl as {bk('(select node, ' + hx('42', 'item') + ' as h from it)', 16)}"
+SAMPLE = f"smp as (select c_custkey as node from customer order by {hx('42', 'c_custkey')}, c_custkey limit 100), it as (select src as node, dst as item from cust_part where src in (select node from smp)), sl as {bk('(select node, ' + ident('42', 'item') + ' as h from it)', 16)}"
 
 
 def jac(rel: str, key: str) -> str:
@@ -380,8 +455,8 @@ def items(t):
     return t.rel("cust_part").join(sample(t).select(F.col("node").alias("src")), "src", "left_semi").toDF("node", "item")
 
 
-def slots(t):
-    return K.bottom_k(items(t).select("node", keyed(42, F.col("item")).alias("h")), 16)
+def slots(of):
+    return K.bottom_k(of.select("node", keyed(42, F.col("item"), digits=DIGITS).alias("h")), 16)
 
 
 @query("hash_sample", f"select c_custkey as node from customer order by {hx('42', 'c_custkey')}, c_custkey limit 100")
@@ -389,14 +464,21 @@ def hash_sample(t):
     return sample(t)
 
 
-@query("jaccard_exact", R("cust_part", f", {SAMPLE} select * from {jac('it', 'item')}"))
+ALL = f"it as (select src as node, dst as item from cust_part), sl as {bk('(select node, ' + ident('42', 'item') + ' as h from it)', 16)}"
+
+
+def all_items(t):
+    return t.rel("cust_part").toDF("node", "item")
+
+
+@query("jaccard_exact", R("cust_part", f", {ALL} select * from {jac('it', 'item')}"))
 def jaccard_exact(t):
-    return S.jaccard(items(t))
+    return S.jaccard(all_items(t))
 
 
-@query("jaccard_sketch", R("cust_part", f", {SAMPLE} select * from {jac('sl', 'h')}"))
+@query("jaccard_sketch", R("cust_part", f", {ALL} select * from {jac('sl', 'h')}"))
 def jaccard_sketch(t):
-    return S.jaccard(slots(t), "h")
+    return S.jaccard(slots(all_items(t)), "h")
 
 
 PAIRS = f"pairs as (select a.node as a, b.node as b from smp a join smp b on a.node < b.node), jx as {jac('it', 'item')}, js as {jac('sl', 'h')}, xy as (select a, b, coalesce(jx.jaccard, 0) as x, coalesce(js.jaccard, 0) as y from pairs left join jx using (a, b) left join js using (a, b))"
@@ -409,7 +491,7 @@ def sample_pairs_jaccard(t):
 
 @query("jaccard_fidelity", R("cust_part", f", {SAMPLE}, {PAIRS} select round(avg(abs(x - y)), 6) as mae, round(corr(x, y), 6) as pearson from xy"))
 def jaccard_fidelity(t):
-    f = S.fidelity(S.sample_pairs(sample(t)), S.jaccard(items(t)), S.jaccard(slots(t), "h"))
+    f = S.fidelity(S.sample_pairs(sample(t)), S.jaccard(items(t)), S.jaccard(slots(items(t)), "h"))
     return f.select(F.round("mae", 6).alias("mae"), F.round("pearson", 6).alias("pearson"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ranking import ranked
-from ..operators.sampling import local_ids
+from ..operators.sampling import induced, local_ids
 
 
 def _lines(names: str) -> T.StructType:
@@ -74,6 +74,12 @@ def write_native(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     nodes.agg(F.concat(F.lit("Node Total: Count "), F.count(F.lit(1)).cast("string")).alias("value")).write.text(f"{folder}/meta.dat")
 
 
+def write_snowball(edges: DataFrame, kept: DataFrame, folder: str) -> None:
+    """A graph folder of the nodes ``kept`` (column node) and the edges (src, dst) among them only."""
+    among = induced(edges, kept, kept).select("src", "dst", F.lit(0).alias("etype"))
+    write_native(kept.select("node", F.array(F.lit(0)).alias("types")), among, folder)
+
+
 def write_adjacency(edges: DataFrame, path: str) -> None:
     """One text line per source; sources without neighbours have none."""
     from ..operators.edges import rendered

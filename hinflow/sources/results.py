@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +54,15 @@ def write_bundle(sketches: dict[str, DataFrame], known: DataFrame, folder: str)
 
 def read_bundle(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{folder}/sketch"), spark.read.parquet(f"{folder}/universe")
+
+
+def write_partition(split: DataFrame, record: dict, folder: str) -> None:
+    """``split`` (node, part) as JSON lines by part, beside the record of how it was made; no line grows with the input."""
+    spark = split.sparkSession
+    split.select("node", "part").write.partitionBy("part").json(f"{folder}/nodes")
+    spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.text(f"{folder}/record")
+
+
+def read_partition(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
+    record = json.loads(spark.read.text(f"{folder}/record").first()[0])
+    return spark.read.schema("node long, part string").json(f"{folder}/nodes"), record

@@ -68,8 +68,11 @@ def decode_rules(codes: list[int], names: dict[int, str]) -> Iterator[MetaPath]:
 
 
 def rules_of(spark: SparkSession, path: str, names: dict[int, str]) -> DataFrame:
-    """(rule, length, anchor) of a rule file; rule files are one short line."""
-    codes = [int(x) for row in spark.read.text(path).limit(1).collect() for x in row[0].split()]
+    """(rule, length, anchor) of a rule file, which is one short line; a second line is an error."""
+    lines = spark.read.text(path).where("value <> ''").limit(2).collect()
+    if len(lines) > 1:
+        raise ValueError(f"{path} has more than one line")
+    codes = [int(x) for row in lines for x in row[0].split()]
     rows = [(str(p), len(p.steps) - (p.anchor is not None), p.anchor) for p in decode_rules(codes, names)]
     return spark.createDataFrame(rows, "rule string, length int, anchor long")
 

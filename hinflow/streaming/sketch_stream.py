@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.hashing import keyed
+from ..functions.hashing import DIGITS, keyed
 from ..operators.sketch import bottom_k
 
 
 def edge_sketch(edges: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """(node, h): bottom-k of the hashed targets of each source."""
-    return bottom_k(edges.select(F.col("src").alias("node"), keyed(seed, F.col("dst"), digits=15).alias("h")), k)
+    return bottom_k(edges.select(F.col("src").alias("node"), keyed(seed, F.col("dst"), digits=DIGITS).alias("h")), k)
 
 
 class SketchTable:

@@ -119,9 +119,66 @@ def test_propagated_sketch_is_exact_bottom_k(random_graph, spark, k):
         assert {r["node"]: int(r["degree"]) for r in K.estimate(exact, k).collect()} == {r["node"]: r["degree"] for r in E.degree(M.metapath_edges(random_graph, RR)).collect()}
 
 
-def test_universe_without_collisions(spark):
-    _, digits = K.checked_universe(spark.range(1000).toDF("node"))
-    assert digits == 8
+def test_sketches_without_self(random_graph, spark):
+    u = K.universe(spark.range(40).toDF("node"))
+    plain = M.metapath_edges(random_graph, RR)
+    without = K.propagate(random_graph, RR, u, 100, exclude_self=True)
+    assert pairs(K.decode(without, u)) == pairs(E.without_loops(plain))
+    one = K.decode_one(without, u, 3)
+    assert sorted(r["node"] for r in one.collect()) == sorted(b for a, b in pairs(plain) if a == 3 != b)
+
+
+def test_hub_middle_nodes_are_split(spark):
+    """Self-joins by parts of a middle node give what joins hop by hop give."""
+    rows = [(a, 0) for a in range(60)] + [(a, 1 + a % 3) for a in range(0, 90, 2)]
+    s = M.GraphSchema({"r": edges(spark, rows)})
+    want = sorted({(a, b) for a, m in rows for b, n in rows if m == n})
+    assert pairs(M.mirrored(s.relations["r"], share=7)) == want == pairs(M.metapath_edges(s, RR))
+
+
+def test_power_by_classes(spark, random_graph):
+    rows = [(a, b) for a in range(12) for b in range(12) if (a * b) % 5 == 1 or a == 7]
+    e = edges(spark, rows)
+    three = {(a, d) for a, b in rows for b2, c in rows if b == b2 for c2, d in rows if c == c2}
+    assert pairs(M.power(e, 3)) == sorted(three) and pairs(M.power(e, 1)) == sorted(rows)
+
+
+def test_schema_by_types(papers):
+    s = M.GraphSchema({"writes": papers.relations["ap"], "in": papers.relations["pv"]}, {"writes": ("author", "paper"), "in": ("paper", "venue")})
+    want = pairs(M.metapath_edges(papers, APV))
+    for text in ("writes,in", "author_to_paper,paper_to_venue", "Author_to_Paper,in", "rev_paper_to_author,rev_venue_to_paper"):
+        assert pairs(M.metapath_edges(s, M.MetaPath.parse(text))) == want
+    with pytest.raises(ValueError):
+        M.metapath_edges(s, M.MetaPath.parse("in,writes"))
+    with pytest.raises(KeyError):
+        s.step(M.Step("cites"))
+
+
+def test_peer_guard(papers):
+    assert M.enough_peers(papers, APV) and not M.enough_peers(papers, M.MetaPath.parse("ap,pv", 1))
+    assert not M.enough_peers(papers, M.MetaPath.parse("ap", 0)) and not M.enough_peers(papers, APV, least=5)
+
+
+def test_early_stop_of_personal_queries(spark):
+    scores = spark.createDataFrame([(i, float(100 - i)) for i in range(100)], "node long, score double")
+    own = spark.createDataFrame([(2, 98), (60, 40)], "node long, exact long")
+    answers = lambda clique: {r["node"]: r["is_hub"] for r in H.personal_pruned(scores, own, spark.createDataFrame([(clique,)], "size double"), 0.05, 0.1).collect()}
+    assert answers(1.0) == answers(50.0) == {2: True, 60: False}
+    assert answers(150.0) == {2: False, 60: False}  # a clique of 150 rules out both without a rank
+
+
+def test_walk_budget_and_coupons(random_graph, spark):
+    start = spark.range(40).toDF("node")
+    everything = E.without_loops(M.metapath_edges(random_graph, RR)).count()
+    w, saturated, found = R.budget(random_graph, RR, start, 100)
+    assert not saturated and found >= 100
+    count = lambda n: R.walk_edges(R.walk(random_graph, RR, start, n)).count()
+    assert count(w) == found and count(w - 1) < 100
+    w, saturated, found = R.budget(random_graph, RR, start, everything + 1, most=64)
+    assert saturated and found <= everything
+    for alpha in (0.0, 1.0):
+        mean = {r["k"]: r["mean"] for r in R.coupons(spark, 20, (1, 10), 300, 400, alpha).collect()}
+        assert mean[1] == 1 and (mean[10] == pytest.approx(sum(20 / (20 - i) for i in range(10)), rel=0.1) if not alpha else mean[10] > 14)
 
 
 def test_walks(random_graph, spark):

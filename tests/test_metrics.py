@@ -108,7 +108,7 @@ def test_graph_samples(spark):
     assert S.random_edges(e, 10).count() == 10
     f = S.fraction(e.withColumn("rel", F.lit("r")), ["rel"], 0.5).count()
     assert f == round(e.count() * 0.5)
-    p = S.perturb(e, 0.3, 20, 30)
+    p = S.perturb(e, 0.3, spark.createDataFrame([(20,)], "n long"), spark.createDataFrame([(30,)], "n long"))
     assert p.distinct().count() == p.count() <= e.count()
     ball = S.snowball(e, spark.createDataFrame([(0,)], "node long"), 2)
     assert ball.count() == ball.distinct().count() >= 3
