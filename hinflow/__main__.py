@@ -1,25 +1,116 @@
-"""``python -m hinflow FOLDER QUERY [OUTPUT]``: run a query over the parquet tables of a folder.
+"""Queries over the tables of a folder, and meta-path operators over a graph folder.
 
-Without a query the names are listed; without an output the first rows are shown.
+  python -m hinflow query FOLDER NAME [OUTPUT]
+      a catalogued query over the parquet tables of a folder
+  python -m hinflow COMMAND FOLDER PATH [--layout native|hne] [--anchor N] [-k K] [--share S] [--walks W] [-o OUTPUT]
+      over a graph folder (node.dat, link.dat); PATH names relations between commas,
+      in the native layout the numbers of edge types, with rev_ for a step against its direction:
+      materialize  all edges of the meta-path's graph
+      sketch       bottom-k sketches of its nodes
+      sparsify     the edges that sketches keep
+      walk         edges that W random walks a node find
+      kgrw         edges by sketches up to the middle of a mirrored path and W walks on from there
+      degree       exact degrees;  estimate  degrees from sketches;  hindex  h-indexes
+      hubs         nodes whose degree is at the threshold of the share S or above
+      glo          the same from sketches
+      profile      edges, nodes, mean degree
+
+Without an output the first rows are shown. Spark is configured from outside (spark-submit or SPARK_CONF_DIR).
 """
 
+from __future__ import annotations
+
+import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .operators import edges as E
+from .operators import hubs as H
+from .operators import sketch as K
+from .operators import walks as R
+from .plans import metapath as M
 from .plans.catalog import QUERIES
+from .plans.scratch import cleared, written
+from .sources import registry
+
+
+def graph(spark: SparkSession, folder: str, layout: str) -> M.GraphSchema:
+    """The relations of a graph folder: edge types by number, or by the types of their ends."""
+    _, edges = registry.load(layout, spark, folder)
+    name = "rel" if "rel" in edges.columns else "etype"
+    edges = written(edges.select(F.col(name).cast("string").alias("rel"), "src", "dst"), "graph")
+    names = [r["rel"] for r in edges.select("rel").distinct().collect()]
+    types = {n: tuple(n.split("_to_")) for n in names if n.count("_to_") == 1}
+    return M.GraphSchema({n: edges.where(F.col("rel") == n).select("src", "dst") for n in names}, types)
+
+
+def starts(schema: M.GraphSchema, path: M.MetaPath) -> DataFrame:
+    return schema.hops(path)[0].select(F.col("src").alias("node")).distinct()
+
+
+def run(command: str, schema: M.GraphSchema, path: M.MetaPath, k: int, share: float, walks: int) -> DataFrame:
+    """The result of one command; sketches and walks start at the nodes of the path's first step."""
+    if command == "walk":
+        return R.walk_edges(R.walk(schema, path, starts(schema, path), walks)).select("src", "dst")
+    if command == "kgrw":
+        if not path.is_palindrome():
+            raise ValueError("kgrw needs a path that is its own mirror")
+        half = len(path.steps) // 2
+        u = K.universe(starts(schema, path))
+        back = M.MetaPath(path.steps[half:])
+        mids = K.propagate(schema, path.prefix(half), u, k)
+        return R.hybrid(mids, u, R.walk(schema, back, starts(schema, back), walks, first_hop=half))
+    if command in ("sketch", "sparsify", "estimate", "glo"):
+        u = K.universe(starts(schema, path))
+        s = K.propagate(schema, path, u, k)
+        if command == "sketch":
+            return s
+        if command == "sparsify":
+            return E.symmetrized(E.without_loops(K.decode(s, u)))
+        e = K.estimate(s, k)
+        return e if command == "estimate" else H.top_share(written(e.withColumnRenamed("degree", "score"), "estimates"), share)
+    g = M.metapath_edges(schema, path)
+    if command == "materialize":
+        return g
+    if command == "hindex":
+        return H.h_index(written(g, "edges"))
+    d = E.degree(g)
+    if command == "profile":
+        n, e = F.count(F.lit(1)), F.sum("degree")
+        return d.agg(e.alias("edges"), n.alias("nodes"), (e / n).alias("mean_degree"))
+    return d if command == "degree" else H.hubs(written(d.withColumnRenamed("degree", "score"), "degrees"), share, False)
+
+
+COMMANDS = ("materialize", "sketch", "sparsify", "walk", "kgrw", "degree", "estimate", "hindex", "hubs", "glo", "profile")
 
 
-def main(args: list[str]) -> int:
-    if len(args) < 2 or args[1] not in QUERIES:
-        print(__doc__, *sorted(QUERIES), sep="\n")
-        return 2
-    spark = SparkSession.builder.appName("hinflow").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    result = QUERIES[args[1]](spark, args[0])
-    if len(args) > 2:
-        result.write.parquet(args[2])
-    else:
-        result.show(50, truncate=False)
+def main(args: list[str], spark: SparkSession | None = None) -> int:
+    parser = argparse.ArgumentParser("hinflow", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    parser.add_argument("command", choices=("query", *COMMANDS))
+    parser.add_argument("folder")
+    parser.add_argument("path", help="the meta-path, or the name of the query")
+    parser.add_argument("output", nargs="?")
+    parser.add_argument("-o", dest="to")
+    parser.add_argument("--layout", default="native", choices=registry.supported())
+    parser.add_argument("--anchor", type=int)
+    parser.add_argument("-k", type=int, default=32)
+    parser.add_argument("--share", type=float, default=0.05)
+    parser.add_argument("--walks", type=int, default=16)
+    a = parser.parse_args(args)
+    if a.command == "query" and a.path not in QUERIES:
+        parser.error("no such query; there are " + ", ".join(sorted(QUERIES)))
+    spark = spark or SparkSession.builder.appName("hinflow").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    with cleared(spark):
+        if a.command == "query":
+            result = QUERIES[a.path](spark, a.folder)
+        else:
+            result = run(a.command, graph(spark, a.folder, a.layout), M.MetaPath.parse(a.path, a.anchor), a.k, a.share, a.walks)
+        if to := a.to or a.output:
+            result.write.parquet(to)
+        else:
+            result.show(50, truncate=False)
     return 0
 
 
