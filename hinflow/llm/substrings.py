@@ -5,17 +5,16 @@ A byte goes if a string of LENGTH bytes that covers it also starts earlier
 by sorted rank pairs at offsets 1, 2, 4, ... would sort all positions several
 times; three exact steps keep the sorts to positions that still matter:
 
-1. Within a task, names of strings of 1, 2, 4, ..., 64 bytes at all positions
+1. Within a task, names of strings of 1, 2, 4, ..., CORE bytes at all positions
    come from pairs of names at the doubled offset. Each window of LENGTH bytes
    has an anchor: the position of its smallest CORE-byte name. Neighbouring
    windows with one anchor form a run, some 35 windows long. Equal windows have
    equal anchors, whatever surrounds them.
 2. First ranking, at length CORE: Spark groups the runs by the name at their
    anchor. Unique anchors end here; their windows cannot repeat.
-3. Second ranking, at the pair (name of the run's first window, name of its
-   last window), which together cover all bytes of the run: Spark names each
-   pair by the position where it first starts. Runs that repeat an earlier run
-   are removed as a whole, so copies cost one row per run.
+3. Second ranking, at a digest of all bytes of the run: Spark names each by the
+   position where it first starts. Runs that repeat an earlier run are removed
+   as a whole, so copies cost one row per run.
 4. Third ranking, at length LENGTH: only windows of first runs whose anchor
    also occurs in a different run are ranked one by one, again by first start.
 
@@ -25,7 +24,13 @@ grouped minima with map-side partial aggregation: a passage in a third of all
 documents reaches its reducer as one row per task. Tables between the steps are
 written to the shared folder, and each step's shuffle files go when it ends.
 
-Names have 64 bits in the tasks; the rankings compare 96 to 192 bits of them.
+Names within a task only choose anchors: two strings with one name by accident
+cost time, not text. What is removed is decided by digests of the bytes, 128
+bits of BLAKE2 for runs and 95 for windows.
+
+``ranked_by_doubling`` is the plain method, a Spark sort of all positions at
+every offset; it moves too much to be the main path (figures in the README) and
+serves as a second opinion in tests.
 
 Defined results: a null text is empty; texts shorter than LENGTH keep all; a
 null identifier comes before all others; identifiers must be integers, and rows
@@ -52,7 +57,7 @@ LENGTH, CORE = 100, 32
 SEGMENT = 1 << 20
 
 U = np.uint64
-_M1, _M2, _M3, _M4, _M5 = U(0xBF58476D1CE4E5B9), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0x9E3779B97F4A7C15), U(0xE7037ED1A0B428DB)
+_M1, _M4 = U(0xBF58476D1CE4E5B9), U(0x9E3779B97F4A7C15)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -65,7 +70,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 _BYTES = _mixed((np.arange(256, dtype=U) + U(1)) * _M4)
 
 
-def doubled(data: np.ndarray, longest: int = 64) -> dict[int, np.ndarray]:
+def doubled(data: np.ndarray, longest: int = CORE) -> dict[int, np.ndarray]:
     """Names of all strings of 1, 2, 4, ... up to ``longest`` bytes in ``data``: a pair of names at the doubled offset makes the next one."""
     names, n, weight = {1: _BYTES[data]}, 1, 0xD6E8FEB86659FD93
     while n < longest and len(names[n]) > n:
@@ -77,23 +82,13 @@ def doubled(data: np.ndarray, longest: int = 64) -> dict[int, np.ndarray]:
     return names
 
 
-def window_names(names: dict[int, np.ndarray], at: np.ndarray | slice, salt: np.uint64) -> np.ndarray:
-    """Names of the windows of LENGTH = 64 + 32 + 4 bytes that start ``at``."""
-    if isinstance(at, slice):
-        first, second, third = names[64][at], names[32][at.start + 64 : at.stop + 64], names[4][at.start + 96 : at.stop + 96]
-    else:
-        first, second, third = names[64][at], names[32][at + 64], names[4][at + 96]
-    return _mixed(_mixed(first * salt + second) * _M3 + third)
-
-
-def runs(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor name, name of the first window, name of the last, first start, windows) of the runs in ``data``."""
+def anchors(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(anchor name, first start, windows) of the runs in ``data``."""
     total = len(data) - LENGTH + 1
     parts = []
     for base in range(0, max(total, 0), SEGMENT):
         m = min(SEGMENT, total - base)
-        names = doubled(data[base : base + m + LENGTH - 1])
-        core = _mixed(names[CORE].copy())
+        core = _mixed(doubled(data[base : base + m + LENGTH - 1])[CORE])
         key = (core & ~U(SEGMENT * 2 - 1)) | np.arange(len(core), dtype=U)
         width, span = LENGTH - CORE + 1, 1
         while 2 * span <= width:
@@ -102,9 +97,15 @@ def runs(data: np.ndarray) -> tuple[np.ndarray, ...]:
         key = np.minimum(key[: len(key) - (width - span)], key[width - span :])
         anchor = (key & U(SEGMENT * 2 - 1)).astype(np.int64)
         lo = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        n = np.diff(np.append(lo, m))
-        parts.append((core[anchor[lo]], window_names(names, lo, _M2), window_names(names, lo + n - 1, _M2), lo + base, n))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else tuple(np.empty(0, t) for t in (U, U, U, np.int64, np.int64))
+        parts.append((core[anchor[lo]], lo + base, np.diff(np.append(lo, m))))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits of a cryptographic hash of each slice of bytes, as two words."""
+    raw = data.tobytes()
+    blake = hashlib.blake2b
+    return np.frombuffer(b"".join([blake(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]), U).reshape(-1, 2)
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -140,16 +141,17 @@ def _per_document(work: Callable[[dict, np.ndarray], list[np.ndarray] | None], n
 
 
 def _anchors_of(_row: dict, data: np.ndarray) -> list[np.ndarray]:
-    return [runs(data)[0]]
+    return [anchors(data)[0]]
 
 
 def _runs_of(_row: dict, data: np.ndarray) -> list[np.ndarray]:
-    g, k1, k2, lo, n = runs(data)
-    return [g, k1, k2, lo, n]
+    g, lo, n = anchors(data)
+    d = digests(data, lo, lo + n - 1 + LENGTH)
+    return [g, d[:, 0], d[:, 1], lo, n]
 
 
 def _windows_of(row: dict, data: np.ndarray) -> list[np.ndarray]:
-    """Two names and the start of each window in the runs that ``row`` lists."""
+    """96 bits of digest and the start of each window in the runs that ``row`` lists."""
     runs_here = row["undecided"].values
     lo = runs_here.field("lo").to_numpy(zero_copy_only=False)
     n = runs_here.field("n").to_numpy(zero_copy_only=False)
@@ -157,13 +159,8 @@ def _windows_of(row: dict, data: np.ndarray) -> list[np.ndarray]:
     at = at[at <= len(data) - LENGTH]
     if not len(at):
         return [at, at, at]
-    first = []
-    for base in range(int(at[0]), int(at[-1]) + 1, SEGMENT):
-        own = at[(at >= base) & (at < base + SEGMENT)] - base
-        if len(own):
-            names = doubled(data[base : base + SEGMENT + LENGTH])
-            first.append((window_names(names, own, _M2), window_names(names, own, _M5) >> U(33)))
-    return [np.concatenate([x[0] for x in first]), np.concatenate([x[1] for x in first]), at]
+    d = digests(data, at, at + LENGTH)
+    return [d[:, 0], d[:, 1] >> U(33), at]
 
 
 def _numbers(x: pa.Scalar) -> np.ndarray:
@@ -271,6 +268,27 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return cut.withColumn("id", F.when(F.col("id") != position.none, F.col("id")))
 
 
+def ranked_by_doubling(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, at): windows of LENGTH bytes that also start earlier, by prefix doubling in Spark over all positions.
+
+    A position's rank at a length is the place, in sorted order, of the first
+    position with the same string. Ranks at length n and at n bytes further
+    make the rank at 2 n. The last step overlaps, so that it ends at LENGTH. Identifiers must be different.
+    """
+    letters = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.hex(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), "(?<=\\G..)")).alias("at", "b")).where("b <> ''")
+    place = F.struct("id", "at")
+    ranks, n = letters.select("id", "at", F.struct(F.conv("b", 16, 10).cast("bigint").alias("id"), F.lit(0).alias("at")).alias("r")), 1
+    while n < LENGTH:
+        step = min(n, LENGTH - n)
+        ahead = ranks.select("id", (F.col("at") - step).alias("at"), F.col("r").alias("r2"))
+        pairs = written(ranks.join(ahead, ["id", "at"]), "rank-pairs")
+        named = pairs.groupBy("r", "r2").agg(F.min(place).alias("first"))
+        ranks = written(pairs.join(named, ["r", "r2"]).select("id", "at", F.col("first").alias("r")), "ranks")
+        discard(pairs)
+        n += step
+    return ranks.where((F.col("r.id") != F.col("id")) | (F.col("r.at") != F.col("at"))).select("id", "at")
+
+
 def brute_force(texts: dict[int, bytes]) -> dict[int, tuple[int, int, int, str]]:
     """n_bytes, n_removed, n_spans and the digest of what stays, by a plain dictionary of windows."""
     seen: set[bytes] = set()

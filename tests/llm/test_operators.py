@@ -156,6 +156,25 @@ def test_substrings(docs):
     assert got == substrings.brute_force({i: t.encode() for i, t in texts_of(docs).items()})
 
 
+def test_substrings_against_plain_doubling(spark, tmp_path):
+    rng = random.Random(9)
+    word = lambda: f"{rng.randrange(10**4)}é"
+    passage = " ".join(word() for _ in range(40))
+    texts = [" ".join([*(word() for _ in range(rng.randrange(30))), passage[rng.randrange(40) :], word()]) for _ in range(5)] + ["ab" * 120, "x" * 99, None, texts_with_one(passage)]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    df = spark.read.parquet(path)
+    gone = {}
+    for r in substrings.ranked_by_doubling(df).collect():
+        gone.setdefault(r["id"], set()).update(range(r["at"], r["at"] + 100))
+    got = {r["id"]: r["n_removed"] for r in substrings.substring_dedup(df).collect()}
+    assert got == {i: len(gone.get(i, ())) for i in range(len(texts))} == {i: b[1] for i, b in substrings.brute_force({i: (t or "").encode() for i, t in enumerate(texts)}).items()}
+
+
+def texts_with_one(passage):
+    return f"{passage} {passage}"
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_substrings_overlaps(spark, seed):
     rng = random.Random(seed)
@@ -178,10 +197,10 @@ def test_positions_beyond_64_bits(spark):
 def test_segments_agree(monkeypatch):
     rng = np.random.default_rng(0)
     data = rng.integers(97, 100, 3000, dtype=np.uint8)
-    whole = substrings.runs(data)
+    whole = substrings.anchors(data)
     monkeypatch.setattr(substrings, "SEGMENT", 512)
-    cut = substrings.runs(data)
-    assert whole[4].sum() == cut[4].sum() == 3000 - 99
+    cut = substrings.anchors(data)
+    assert whole[2].sum() == cut[2].sum() == 3000 - 99
     assert set(whole[0].tolist()) == set(cut[0].tolist())
 
 
