@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .ranking import quantiles
 
 # --- representations: (id, x, y), both ARRAY<DOUBLE> -----------------------------
 
@@ -212,8 +213,8 @@ def cohen_dz(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 def degree_bins(degrees: DataFrame) -> DataFrame:
     """(node, degree, bin): tail up to the median, mid up to the 90th percentile, hub above."""
-    q = F.broadcast(degrees.agg(F.percentile("degree", F.array(F.lit(0.5), F.lit(0.9))).alias("q")))
-    b = F.when(F.col("degree") <= F.col("q")[0], "tail").when(F.col("degree") <= F.col("q")[1], "mid").otherwise("hub")
+    q = F.broadcast(quantiles(degrees, "degree", {"p50": 0.5, "p90": 0.9}))
+    b = F.when(F.col("degree") <= F.col("p50"), "tail").when(F.col("degree") <= F.col("p90"), "mid").otherwise("hub")
     return degrees.crossJoin(q).select("node", "degree", b.alias("bin"))
 
 
@@ -225,10 +226,20 @@ def marginal(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """For each left row the right row of its keys with the closest ``value``; ties by ``name``."""
-    r = right.select(*keys, F.col(value).alias("v"), F.col(name).alias("match"))
-    by = F.min_by(F.struct("match", "v"), F.struct(F.abs(F.col(value) - F.col("v")), F.col("match")))
-    return left.join(r, keys).groupBy(*left.columns).agg(by.alias("m")).select(*left.columns, "m.match", F.col("m.v").alias("match_value"))
+    """For each left row the right row of its keys with the closest ``value``; ties by ``name``.
+
+    Both sides are merged in the order of ``value``: the closest row is the last
+    one before or the first one behind. Left rows without any are left out.
+    """
+    m = right.groupBy(*keys, F.col(value).alias("v")).agg(F.min(name).alias("match"))
+    m = m.select(*keys, "v", F.struct("match", "v").alias("m"), F.lit(None).alias("row"))
+    both = left.select(*keys, F.col(value).alias("v"), F.lit(None).alias("m"), F.struct(*left.columns).alias("row")).unionByName(m)
+    by = W.partitionBy(*keys).orderBy("v")
+    before = F.last("m", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0))
+    behind = F.first("m", ignorenulls=True).over(by.rowsBetween(0, W.unboundedFollowing))
+    found = both.select("row", "v", F.array(before, behind).alias("near")).where("row is not null")
+    near = F.transform(F.filter("near", lambda x: x.isNotNull()), lambda x: F.struct(F.abs(F.col("v") - x["v"]).alias("d"), x["match"].alias("match"), x["v"].alias("v")))
+    return found.select("row", F.array_min(near).alias("m")).where("m is not null").select("row.*", "m.match", F.col("m.v").alias("match_value"))
 
 
 # --- aggregation over neighbours --------------------------------------------------------

@@ -32,3 +32,21 @@ def ranked(df: DataFrame, keys: list[str], bucket: Column, order: list[str | Col
         on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     within = W.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return d.join(totals, on).withColumn("r", F.col("__ahead") + F.sum("__w").over(within)).select(*df.columns, "r", "n")
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row: interpolated quantiles by name, of values that are not negative.
+
+    Distinct values are counted and ranked in buckets, so neither rows nor
+    values meet in one task; nulls do not count.
+    """
+    by = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    r = ranked(by, [], F.floor(F.log1p(F.col("v").cast("double")) * 64), ["v"], F.col("c"))
+    out = []
+    for name, q in shares.items():
+        place = F.lit(q) * (F.col("n") - 1)
+        low = F.floor(place)
+        at = lambda k: F.min(F.when(F.col("r") > k, F.col("v"))).cast("double")
+        first, second = at(low), at(F.least(low + 1, F.col("n") - 1))
+        out.append((first + F.max(place - low) * (second - first)).alias(name))
+    return r.agg(*out)

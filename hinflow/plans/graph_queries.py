@@ -9,7 +9,7 @@ from ..functions import paths
 from ..operators import edges as E
 from ..operators import hubs as H
 from ..operators import sampling
-from ..operators.ranking import ranked
+from ..operators.ranking import quantiles
 from ..sources import hin, results, rules
 from ..sources.fixtures import Tables
 from ..sources.fixtures import with_relations as R
@@ -385,7 +385,8 @@ def endpoint_spread(t):
     e = t.rel("cust_part")
     r = e.groupBy("dst").agg(F.count(F.lit(1)).alias("r"))
     s = e.join(r, "dst").groupBy("src").agg((F.max("r").cast("double") / F.min("r")).alias("rho"))
-    return s.agg(F.round(F.avg("rho"), 6).alias("mean_rho"), F.round(F.percentile("rho", F.lit(0.5)), 6).alias("median_rho"))
+    median = quantiles(s, "rho", {"median_rho": 0.5}).select(F.round("median_rho", 6).alias("median_rho"))
+    return s.agg(F.round(F.avg("rho"), 6).alias("mean_rho")).crossJoin(median)
 
 
 DD = ", a as (select src, count(*) as d from cust_part group by src), b as (select dst, count(*) as d from cust_part group by dst), e as (select a.d as ds, b.d as dt from cust_part join a using (src) join b using (dst))"
@@ -398,20 +399,6 @@ def end_degrees(t):
     return e.join(a, "src").join(b, "dst")
 
 
-def quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
-    """One row of interpolated quantiles, from counts of distinct values ranked in buckets."""
-    by = df.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    r = written(ranked(by, [], F.floor(F.log1p(F.col("v").cast("double")) * 64), ["v"], F.col("c")), "values")
-    at = lambda place: F.min(F.when(F.col("r") > place, F.col("v"))).cast("double")
-    out = []
-    for name, q in shares.items():
-        place = F.lit(q) * (F.col("n") - 1)
-        low = F.floor(place)
-        share = F.max(place - low)
-        out.append((at(low) + share * (at(F.least(low + 1, F.col("n") - 1)) - at(low))).alias(name))
-    return r.agg(*out)
-
-
 @query("degree_product_skew", R("cust_part", DD + " select round(avg(ds * dt), 6) as mean, quantile_cont(ds * dt, 0.5)::double as median, quantile_cont(ds * dt, 0.9)::double as p90 from e"))
 def degree_product_skew(t):
     x = end_degrees(t).select((F.col("ds") * F.col("dt")).alias("x"))
