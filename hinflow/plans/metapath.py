@@ -104,20 +104,27 @@ def composed(left: DataFrame, right: DataFrame) -> DataFrame:
 SHARE = 1024
 
 
-def mirrored(half: DataFrame, share: int = SHARE) -> DataFrame:
-    """Distinct (src, dst) of sources that share a middle node of ``half`` (distinct src, dst), both ways, each with itself.
+def paired(half: DataFrame, share: int = SHARE) -> DataFrame:
+    """(a, b), a < b, of the sources that share a middle node of ``half`` (distinct src, dst), once per middle node.
 
-    A middle node with d members makes d * d pairs. Its members are dealt into
-    parts of about ``share``, and each pair of parts is a join key of its own,
-    so one middle node spreads over many tasks. Only pairs in one order are
-    made and shuffled; the others follow without a join.
+    A middle node with d members makes d * d / 2 pairs. Its members are dealt
+    into parts of about ``share``, and each pair of parts is a join key of its
+    own, so one middle node spreads over many tasks.
     """
     ends = half.select(F.col("src").alias("one"), F.col("dst").alias("mid"))
     parts = ends.groupBy("mid").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("parts"))
     dealt = ends.join(parts, "mid").withColumn("part", F.pmod(F.xxhash64("one"), F.col("parts")).cast("int"))
     left = dealt.select("one", "mid", "part", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("other"))
     right = dealt.select(F.col("one").alias("two"), "mid", F.col("part").alias("other"), F.explode(F.sequence(F.lit(0), F.col("part"))).alias("part"))
-    pairs = left.join(right, ["mid", "part", "other"]).where("part < other or one < two").select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
+    return left.join(right, ["mid", "part", "other"]).where("part < other or one < two").select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"))
+
+
+def mirrored(half: DataFrame, share: int = SHARE) -> DataFrame:
+    """Distinct (src, dst) of sources that share a middle node of ``half`` (distinct src, dst), both ways, each with itself.
+
+    Only pairs in one order are made and shuffled; the others follow without a join.
+    """
+    pairs = paired(half, share).distinct()
     both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"))
     return both.select("e.*").union(half.select("src", F.col("src").alias("dst")).distinct())
 
