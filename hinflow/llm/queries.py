@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, licenses, mixing, packing, pii, quality, secrets, simhash, substrings, urls
+from . import divergence, exact, licenses, mixing, packing, pii, quality, secrets, simhash, substrings, urls, variants
 from .common import table
 
 
@@ -65,6 +65,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n(0), n(1), n(2), F.sha2(secrets.rendered(base), 256).alias("base_sha256"), secrets.rendered(F.col("spans")).alias("spans"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -76,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_mixing": op9_mixing,
     "op10_secret_scan": op10_secret_scan,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -135,4 +145,22 @@ SQL: dict[str, str] = {
               from p join g on p.source is not distinct from g.source where not (upto <= rest) and abs(size - gap) < gap group by p.source)
         select doc_id, size, total as source_size, target, (size * (ep + (upto <= rest or coalesce(doc_id = cid, false))::int))::bigint as taken
         from p left join c on p.source is not distinct from c.source""",
+    "op13_source_divergence": r"""
+        with t as (select row_number() over () as d, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+        x as (select d, lang, source, unnest(w) as term from t),
+        k as (select lang, term, count(*)::hugeint as n from x group by all having count(distinct d) >= 10),
+        l as (select lang, sum(n)::hugeint as total, count(*)::hugeint as v from k group by lang),
+        g as (select distinct lang, source from t),
+        c as (select x.lang, source, term, count(*)::hugeint as n from x join k using (lang, term) group by all),
+        gt as (select g.lang, g.source, coalesce(sum(n), 0)::hugeint as total from g left join c on c.lang = g.lang and c.source = g.source group by all),
+        p as (select k.lang, gt.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (gt.total + 2 * l.v) as p,
+                     1 + (1000000000::hugeint * (k.n + 2)) // (l.total + 2 * l.v) as q
+              from k join gt using (lang) join l using (lang) left join c on c.lang = k.lang and c.term = k.term and c.source = gt.source),
+        pv as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+        pr as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+               from g a join g b on a.lang = b.lang and a.source <> b.source left join pv on pv.lang = a.lang and pv.source = a.source and pv.item = b.source),
+        tm as (select lang, source, 'term' as part, term as item, (((p - q) * (p - q)) // (p + q))::bigint as value from p where n > 0 and p > q),
+        r as (select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from (select * from pr union all select * from tm))
+        select lang, source, part, item, value, rank from r where part = 'pair' or rank <= 10""",
 }
