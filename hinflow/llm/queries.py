@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, exact, licenses, mixing, packing, pii, quality, secrets, simhash, substrings, urls, variants
+from . import divergence, exact, licenses, lm, mixing, packing, pii, quality, secrets, simhash, substrings, urls, variants
 from .common import table
 
 
@@ -69,6 +69,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_secret_scan": op10_secret_scan,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_lm_scores": op12_lm_scores,
     "op13_source_divergence": op13_source_divergence,
 }
 

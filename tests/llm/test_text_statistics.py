@@ -8,7 +8,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from hinflow.llm import divergence, variants
+from hinflow.llm import divergence, lm, variants
+from hinflow.llm.elias_fano import Monotone, Trie
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, word string, n long, term string, p long, near string, root string, value int, rank int, v long"
@@ -166,3 +167,94 @@ def test_divergence_of_nothing(none):
 def test_shares_beyond_64_bits(spark):
     row = spark.range(1).select(divergence._share(divergence.F.lit(10**18), divergence.F.lit(3 * 10**18), divergence.F.lit(10)).alias("p")).first()
     assert row["p"] == 1 + 10**9 * (10**18 + 2) // (3 * 10**18 + 20)
+
+
+# --- language-model scores -----------------------------------------------------------
+
+
+def plain_scores(rows, strength):
+    """id, held_out, n_tokens, n_known, train_tokens, base and score, by dictionaries of words and pairs."""
+    told = []
+    for r in rows:
+        words = [w.translate(LOW) for w in re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")] + [None]
+        told.append((r[0], zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 10 == 0, words))
+    one, two, ahead = Counter(), Counter(), Counter()
+    for _, out, words in told:
+        if not out:
+            one.update(words)
+            two.update(zip([0, *words], words, strict=False))
+            ahead.update([0, *words[:-1]])
+    n, v = sum(one.values()), len(one)
+    p = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
+    rows = []
+    for i, out, words in told:
+        base = sum(np.log10(p(w)) for w in words)
+        score = sum(np.log10((two[b, w] + strength * p(w)) / (ahead[b] + strength)) for b, w in zip([0, *words], words, strict=False))
+        rows.append((i, out, len(words), sum(one[w] > 0 for w in words), n, float(base), float(score)))
+    return rows
+
+
+def in_order(rows):
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[2], r[5]))
+
+
+@pytest.mark.parametrize("limits", [{}, {"dictionary": 20, "hot": 3}, {"dictionary": 2, "hot": 1, "shard": 500}])
+def test_scores_equal_a_plain_version(docs, limits):
+    """Small dictionaries send most pairs the way of rare words."""
+    got, want = in_order(map(tuple, lm.scores(docs, **limits).collect())), in_order(plain_scores(_rows(), lm.STRENGTH))
+    assert [r[:5] for r in got] == [r[:5] for r in want] and {r[1] for r in got} == {True, False}
+    for a, b in zip(got, want, strict=True):
+        assert a[5] == pytest.approx(b[5], rel=1e-9) and abs(a[6] - b[6]) <= a[2] / lm.SCALE
+
+
+def test_scores_do_not_depend_on_limits(docs):
+    """Shards, dictionary and matrix only say where a pair is counted."""
+    a, b = (in_order(map(tuple, lm.scores(docs, **x).collect())) for x in ({}, {"dictionary": 30, "hot": 5, "shard": 100}))
+    assert [r[6] for r in a] == [r[6] for r in b]
+
+
+def test_scores_of_nothing_and_without_training(none, spark, tmp_path):
+    assert lm.scores(none).collect() == []
+    out = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    path = str(tmp_path / "d")
+    spark.createDataFrame([(out, "some words")], "doc_id long, text string").write.parquet(path)
+    row = lm.scores(spark.read.parquet(path)).first()
+    assert (row["held_out"], row["n_tokens"], row["n_known"], row["train_tokens"], row["base_score"], row["score"]) == (True, 3, 0, 0, 0.0, 0.0)
+
+
+def test_word_hashes():
+    """Whatever the block, equal words have equal hashes and others do not; positions are those of the words."""
+    text = (" ".join(f"Wört{i % 500}" for i in range(90_000)) + "\t" + "x" * (3 << 20) + "\n\x0bend ").encode()
+    hashes, starts = lm.Hasher()(text)
+    words = [(m.start(), m.group().lower()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    assert starts.tolist() == [s for s, _ in words]
+    by = defaultdict(set)
+    for h, (_, w) in zip(hashes.tolist(), words, strict=True):
+        by[w].add(h)
+    assert all(len(h) == 1 for h in by.values()) and len({h for x in by.values() for h in x}) == len(by) == 502
+
+
+@pytest.mark.parametrize("top", [1, 3, 1000, 10**6, 1 << 40])
+def test_monotone_sequences(top):
+    rng = np.random.default_rng(top)
+    for n in (0, 1, 2, 63, 64, 65, 5000):
+        v = np.sort(rng.integers(0, top, n).astype(np.uint64))
+        m = Monotone(v)
+        assert (m[np.arange(n)] == v).all()
+        keys = rng.integers(0, top + 2, 200).astype(np.uint64)
+        assert (m.successor(keys, np.zeros(200, int), np.full(200, n)) == np.searchsorted(v, keys)).all()
+    assert Monotone(np.sort(rng.integers(0, 1 << 40, 100_000))).nbytes() < 100_000 * (2 + 25) / 8 * 1.3
+
+
+def test_trie(tmp_path):
+    """Every pair is found with its value, no other pair is; the files have no name any more."""
+    rng = np.random.default_rng(7)
+    pairs = np.unique(rng.integers(0, [[300, 5000]], (20_000, 2)), axis=0)
+    value = rng.integers(0, 60_000, len(pairs)).astype(np.uint16)
+    trie = Trie(pairs[:, 0], pairs[:, 1], value, str(tmp_path))
+    assert (trie.find(pairs[:, 0], pairs[:, 1], -1) == value).all() and not list(tmp_path.iterdir())
+    asked = rng.integers(0, [[400, 6000]], (20_000, 2))
+    held = dict(zip(map(tuple, pairs.tolist()), value.tolist(), strict=True))
+    assert trie.find(asked[:, 0], asked[:, 1], -1).tolist() == [held.get(tuple(x), -1) for x in asked.tolist()]
+    assert trie.nbytes() < 6 * len(pairs)
+    assert Trie(pairs[:0, 0], pairs[:0, 1], value[:0]).find(np.array([1]), np.array([2]), -1).tolist() == [-1]
