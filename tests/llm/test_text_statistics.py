@@ -198,9 +198,9 @@ def in_order(rows):
     return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[2], r[5]))
 
 
-@pytest.mark.parametrize("limits", [{}, {"dictionary": 20, "hot": 3}, {"dictionary": 2, "hot": 1, "shard": 500}])
+@pytest.mark.parametrize("limits", [{}, {"frequent": 50, "hot": 3}, {"frequent": 2, "hot": 1, "shard": 500}])
 def test_scores_equal_a_plain_version(docs, limits):
-    """Small dictionaries send most pairs the way of rare words."""
+    """A small dictionary sends most pairs the way of rare words."""
     got, want = in_order(map(tuple, lm.scores(docs, **limits).collect())), in_order(plain_scores(_rows(), lm.STRENGTH))
     assert [r[:5] for r in got] == [r[:5] for r in want] and {r[1] for r in got} == {True, False}
     for a, b in zip(got, want, strict=True):
@@ -209,7 +209,7 @@ def test_scores_equal_a_plain_version(docs, limits):
 
 def test_scores_do_not_depend_on_limits(docs):
     """Shards, dictionary and matrix only say where a pair is counted."""
-    a, b = (in_order(map(tuple, lm.scores(docs, **x).collect())) for x in ({}, {"dictionary": 30, "hot": 5, "shard": 100}))
+    a, b = (in_order(map(tuple, lm.scores(docs, **x).collect())) for x in ({}, {"frequent": 200, "hot": 5, "shard": 100}))
     assert [r[6] for r in a] == [r[6] for r in b]
 
 
