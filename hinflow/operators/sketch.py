@@ -67,12 +67,17 @@ def association(schema: GraphSchema, path: MetaPath, layer: int, start: DataFram
     return out
 
 
-def estimate(sketch: DataFrame, k: int) -> DataFrame:
-    """(node, degree): exact below k slots, else (k - 1) / (largest slot as a fraction)."""
+def estimates_by(sketch: DataFrame, k: int, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, degree): exact below k slots, else (k - 1) / (largest slot as a fraction)."""
     n, top = F.count(F.lit(1)), F.greatest(F.max("h"), F.lit(1))
     value = F.when(n < k, n.cast("double")).otherwise(F.lit((k - 1) * RANGE) / top)
+    return sketch.groupBy(*keys).agg(value.alias("degree"))
+
+
+def estimate(sketch: DataFrame, k: int) -> DataFrame:
+    """(node, degree), the mean over all other columns of the sketch."""
     keys = [c for c in sketch.columns if c != "h"]
-    per = sketch.groupBy(*keys).agg(value.alias("degree"))
+    per = estimates_by(sketch, k, tuple(keys))
     return per if keys == ["node"] else per.groupBy("node").agg(F.avg("degree").alias("degree"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import edges as E
+from ..operators import inference as I
 from ..operators import metrics as X
 from ..operators import sketch as K
 from ..sources.fixtures import with_relations as R
@@ -282,6 +283,53 @@ def cohen_dz(t):
     return r6(X.cohen_dz(a.join(b, ["dataset", "seed"]), ["dataset"]), "dz")
 
 
+def tails_sql(t: str, df: str) -> str:
+    """P(|T| >= |t|) for whole degrees of freedom, by the finite sums over powers of the cosine."""
+    a = f"atan(abs({t}) / sqrt({df}::double))"
+    sums = lambda n, odd: f"coalesce(list_sum(list_transform(range(0, {n}), lambda j: pow(cos({a}), 2 * j) * coalesce(list_product(list_transform(range(1, j + 1), lambda i: {odd})), 1e0))), 0e0)"
+    even = f"sin({a}) * {sums(f'({df}) // 2', '(2 * i - 1) / (2e0 * i)')}"
+    return f"(1 - case when ({df}) % 2 = 1 then 2 / pi() * ({a} + sin({a}) * cos({a}) * {sums(f'(({df}) - 1) // 2', '2e0 * i / (2 * i + 1)')}) else {even} end)"
+
+
+@query("seed_ci95_t", f"""with recursive {RES}, s as (select dataset, method, avg(value) as mean, stddev_samp(value) as sd, count(value)::bigint as n from r group by 1, 2),
+    q(n, lo, hi, i) as (select distinct n, 0e0, 1000e0, 0 from s where n > 1 union all select n, case when p > 0.05 then mid else lo end, case when p > 0.05 then hi else mid end, i + 1
+        from (select n, lo, hi, i, (lo + hi) / 2 as mid, {tails_sql('((lo + hi) / 2)', '(n - 1)')} as p from q where i < 70))
+    select dataset, method, round(mean, 6) as mean, round(case when s.n = 1 then 0 else lo * sd / sqrt(s.n) end, 6) as half_width, s.n from s left join (select * from q where i = 70) q on q.n = s.n""")
+def seed_ci95_t(t):
+    return r6(I.t_interval(results(t), KEYS, "value"), "mean", "half_width")
+
+
+DIFF = f"{RES}, d as (select a.dataset, a.seed, a.value - b.value as d from r a join r b on a.dataset = b.dataset and a.seed = b.seed where a.method = 'A' and b.method = 'R')"
+MARGIN = 1.0
+
+
+def differences(t):
+    r = results(t)
+    side = lambda m, c: r.where(F.col("method") == m).select("dataset", "seed", F.col("value").alias(c))
+    return side("A", "a").join(side("R", "b"), ["dataset", "seed"]).select("dataset", "seed", (F.col("a") - F.col("b")).alias("d"))
+
+
+@query("signed_rank_test", f"""with {DIFF}, k as (select dataset, d, 2 * rank() over (partition by dataset order by abs(d)) + count(*) over (partition by dataset, abs(d)) - 1 as r2 from d where d <> 0),
+    g as (select dataset, list(r2)::bigint[] as rs, count(*) as m, least(sum(case when d > 0 then r2 else 0 end), sum(case when d < 0 then r2 else 0 end)) as w from k group by 1),
+    p as (select dataset, any_value(w) / 2e0 as statistic, least(1, 2e0 * count(*) filter (where s <= w) / count(*)) as p from (select dataset, w, list_sum(list_transform(range(0, m), lambda i: case when (b >> i) & 1 = 1 then rs[i + 1] else 0 end)) as s
+        from (select *, unnest(range(0, (1::bigint << m))) as b from g)) group by 1), n as (select dataset, count(*) as n from d group by 1)
+    select dataset, n, case when n >= 5 then coalesce(statistic, 0) end as statistic, round(case when n >= 5 then coalesce(p, 1) end, 6) as p from n left join p using (dataset)""")
+def signed_rank_test(t):
+    return r6(I.signed_rank(differences(t), ["dataset"], "d"), "p")
+
+
+def upper_sql(t: str) -> str:
+    return f"case when {t} >= 0 then {tails_sql(t, '(n - 1)')} / 2 else 1 - {tails_sql(t, '(n - 1)')} / 2 end"
+
+
+@query("equivalence_test", f"""with {DIFF}, s as (select dataset, avg(d) as m, stddev_samp(d) as sd, count(*) as n from d group by 1), f as (select *, case when abs(m) < {MARGIN}e0 then 0e0 else 1e0 end as flat from s),
+    e as (select dataset, n, case when n >= 5 then case when sd > 0 then {upper_sql(f'((m + {MARGIN}e0) / (sd / sqrt(n)))')} else flat end end as p_lower, case when n >= 5 then case when sd > 0 then {upper_sql(f'(({MARGIN}e0 - m) / (sd / sqrt(n)))')} else flat end end as p_upper from f)
+    select dataset, n, round(p_lower, 6) as p_lower, round(p_upper, 6) as p_upper, round(greatest(p_lower, p_upper), 6) as p_max,
+    case when p_lower is null then 'INSUFFICIENT_SEEDS' when greatest(p_lower, p_upper) < 0.05 then 'REJECT_H0' else 'FAIL' end as decision from e""")
+def equivalence_test(t):
+    return r6(I.equivalence(differences(t), ["dataset"], "d", MARGIN), "p_lower", "p_upper", "p_max")
+
+
 @query("gap_tstat", f"""with {RES}, s as (select dataset, method, avg(value) as m, stddev_samp(value) as s, count(*) as n from r group by 1, 2)
     select a.dataset, round((a.m - b.m) / sqrt(a.s * a.s / a.n + b.s * b.s / b.n), 6) as t, least(a.n, b.n) as seeds from s a join s b using (dataset) where a.method = 'A' and b.method = 'R'""")
 def gap_tstat(t):

@@ -10,10 +10,11 @@ from ..operators import edges as E
 from ..operators import hubs as H
 from ..operators import similarity as S
 from ..operators import sketch as K
+from ..operators import sketch_hubs as SH
 from ..operators import walks as R_
 from ..sources.fixtures import with_relations as R
 from . import metapath as M
-from .graph_queries import CUT, DEG, H2, SHARE, degrees, nodes, schema, stored_two_hop, two_hop
+from .graph_queries import CUT, DEG, H2, SHARE, degrees, nodes, schema, two_hop
 from .registry import query
 from .scratch import written
 
@@ -288,37 +289,48 @@ def hub_rank_ratio(t):
     return H.rank_of(estimates(t), asked(t)).select("node", (F.col("at_least") / F.col("n").cast("double")).alias("ratio"))
 
 
-HEST = R("cust_part", f""", {H2}, {sk(32)}, {est(32)}, hn as (select h.src, e.score, row_number() over (partition by h.src order by e.score desc, h.dst) as rn from h join est e on e.node = h.dst),
-    hx as (select src as node, max(least(rn, floor(score)::bigint)) as score from hn group by src)""")
+def restricted(pivots: str, k: int = 32) -> str:
+    """rc(piv, node, count): two-hop sketches from customers with an estimate of at least ``pivot``, for each row of ``pivots``."""
+    rb = lambda rel: f"(select piv, node, h from (select piv, node, h, row_number() over (partition by piv, node order by h) as r from (select distinct piv, node, h from {rel})) where r <= {k})"
+    first = rb(f"(select piv, c.dst as node, u.h from {pivots} join est on est.score >= piv join u on u.node = est.node join cust_part c on c.src = u.node)")
+    second = rb(f"(select piv, c.src as node, h from cust_part c join {first} x on x.node = c.dst)")
+    return f"(select piv, node, case when count(*) < {k} then count(*)::double else {(k - 1) * RANGE:.1f}::double / greatest(max(h), 1) end as count from {second} group by 1, 2)"
 
 
-def h_estimates(t):
-    e = estimates(t).withColumnRenamed("score", "value")
-    return written(H.h_index(stored_two_hop(t), e).withColumnRenamed("h", "score"), "h-estimates")
+BISECT = (EST + f""", lim as (select floor({SHARE} * count(*)) + 1 as room from est), {CUT.format('est', SHARE).replace('cut as', 'top_cut as')},
+    rounds(lo, hi) as (select 0::bigint, floor(cut)::bigint from top_cut union all select case when c >= room then mid else lo end, case when c >= room then hi else mid - 1 end
+        from (select lo, hi, (lo + hi + 1) // 2 as mid, room, (select count(*) from {restricted('(select (lo + hi + 1) // 2 as piv from rounds where lo < hi)')} where count >= piv) as c from rounds, lim where lo < hi)),
+    last as (select max(lo) as cut from rounds) select node, (select cut from last) as cut from {restricted('(select cut as piv from last)')} where count >= piv""").replace("with ", "with recursive ", 1)
 
 
-@query("hub_glo_hindex", HEST + f" select node, score from (select node, score, row_number() over (order by score desc, node) as rn, count(*) over () as n from hx) where rn <= floor({SHARE} * n) + 1")
+@query("hub_glo_hindex", BISECT)
 def hub_glo_hindex(t):
-    return H.top_share(h_estimates(t), SHARE)
+    """Hubs by h-index; sketches only. The SQL halves the interval of the cut, the operator tries several values a round; the cut is the same."""
+    return SH.h_hubs(schema(t, "cust_part"), M.MetaPath.parse(PATH), K.universe(customers(t)), estimates(t), SHARE, 32)
 
 
-@query("per_hindex", HEST + ASK + f" select q.node, (select count(*) from hx x where x.score > e.score) + 1 <= floor({SHARE} * (select count(*) from hx)) as is_hub from q join hx e using (node)")
+PERH = EST + ASK + f""", hp as (select distinct a.src as q, b.src as peer from cust_part a join cust_part b on a.dst = b.dst where a.src in (select node from q)),
+    hn as (select q, score, row_number() over (partition by q order by score desc, peer) as rn from hp join est on est.node = peer), hq as (select q, max(least(rn, floor(score)::bigint)) as h from hn group by q),
+    rc as (select * from {restricted('(select distinct h as piv from hq)')}), own as (select hq.q, hq.h, coalesce(rc.count, 0) as own from hq left join rc on rc.piv = hq.h and rc.node = hq.q),
+    perh as (select q as node, h, (select count(*) from rc where piv = own.h and rc.node <> own.q and rc.count >= own.own) + 1 <= floor({SHARE} * (select count(*) from est)) as is_hub from own)"""
+
+
+@query("per_hindex", PERH + " select node, h, is_hub from perh")
 def per_hindex(t):
-    return H.personal(h_estimates(t), asked(t), SHARE)
+    return SH.personal_h(schema(t, "cust_part"), M.MetaPath.parse(PATH), K.universe(customers(t)), estimates(t), asked(t), SHARE, 32)
 
 
-@query("per_hindex_pruned", HEST + f", deg as (select src as node, count(*) as score from h group by src)" + ASK + CLIQUE + f""" select q.node, case when size >= deg.score * (1 + {BETA}e0) and size > {SHARE} * n * (1 + {BETA}e0) then false
-    when size >= e.score and size >= floor({SHARE} * n) then false
-    else (select count(*) from hx x where x.score > e.score) + 1 <= floor({SHARE} * n) end as is_hub from q join hx e using (node) join deg using (node), mc, n""")
+@query("per_hindex_pruned", PERH + CLIQUE + f""" select perh.node, case when size >= deg.score * (1 + {BETA}e0) and size > {SHARE} * n * (1 + {BETA}e0) then false
+    when size >= h and size >= floor({SHARE} * n) then false else is_hub end as is_hub from perh join deg using (node), mc, n""")
 def per_hindex_pruned(t):
-    """As by degree; besides, a clique of at least the node's h-index and the hubs' number rules it out."""
-    h, c = h_estimates(t), written(clique(t), "clique")
-    n = h.agg(F.count(F.lit(1)).alias("n"))
-    own = asked_degrees(t).join(h, "node").crossJoin(F.broadcast(c)).crossJoin(F.broadcast(n))
-    out = (F.col("size") >= F.col("score")) & (F.col("size") >= F.floor(F.lit(SHARE) * F.col("n")))
-    own = written(own.select("node", "exact", F.coalesce(out, F.lit(False)).alias("out")), "own")
-    rest = H.personal_pruned(h, own.where("not out").select("node", "exact"), c, SHARE, BETA)
-    return own.where("out").select("node", F.lit(False).alias("is_hub")).union(rest)
+    """As by degree; besides, a clique of at least the node's h-index and the hubs' number rules it out. Sketches start only for the queries that are left."""
+    s, path, e, c = schema(t, "cust_part"), M.MetaPath.parse(PATH), estimates(t), written(clique(t), "clique")
+    n = e.agg(F.count(F.lit(1)).alias("n"))
+    own = asked_degrees(t).join(SH.own_h(s, path, 1, e, asked(t)), "node").crossJoin(F.broadcast(c)).crossJoin(F.broadcast(n))
+    out = H.clearly_not_hub(F.col("exact"), F.col("size"), BETA, F.lit(SHARE) * F.col("n")) | ((F.col("size") >= F.col("h")) & (F.col("size") >= F.floor(F.lit(SHARE) * F.col("n"))))
+    own = written(own.select("node", F.coalesce(out, F.lit(False)).alias("out")), "own")
+    rest = SH.personal_h(s, path, K.universe(customers(t)), e, own.where("not out"), SHARE, 32)
+    return own.where("out").select("node", F.lit(False).alias("is_hub")).union(rest.select("node", "is_hub"))
 
 
 @query("cod_sets", EST.replace(f"floor({SHARE}", "floor(0.1") + """ select top.node, top.score as estimate, deg.score >= cut as exact from top join deg using (node), cut""")
