@@ -25,15 +25,15 @@ def h_index(edges: DataFrame, values: DataFrame | None = None) -> DataFrame:
     return per.groupBy(F.col("src").alias("node")).agg(F.max(F.least("upto", F.floor(F.col("value")).cast("bigint"))).alias("h"))
 
 
-def _upto(scores: DataFrame, value: str) -> DataFrame:
-    """(value, c, r, n): how often each value occurs, how many scores are at least as high, and how many there are.
+def _upto(scores: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, value, c, r, n): how often each value occurs, how many scores are at least as high, and how many there are.
 
     Scores are counted by value, and values are ranked in buckets, so that
     estimates, which hardly repeat, do not meet in one task.
     """
-    by = scores.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
+    by = scores.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
     bucket = -F.floor(F.log1p(F.greatest(F.col(value).cast("double"), F.lit(0.0))) * 64)
-    return ranked(by, [], bucket, [F.col(value).desc()], F.col("c"))
+    return ranked(by, list(keys), bucket, [F.col(value).desc()], F.col("c"))
 
 
 def threshold(scores: DataFrame, share: float, value: str = "score") -> DataFrame:
@@ -137,3 +137,35 @@ def personal_pruned(scores: DataFrame, own: DataFrame, clique: DataFrame, share:
     judged = judged.select("node", F.coalesce(stop, F.lit(False)).alias("stop"))
     rest = personal(scores, judged.where("not stop"), share, value)
     return judged.where("stop").select("node", F.lit(False).alias("is_hub")).union(rest)
+
+
+def thresholds(scores: DataFrame, share: float, keys: tuple[str, ...], value: str = "score") -> DataFrame:
+    """(keys, n, cut): ``threshold`` for every group of ``keys``."""
+    by = _upto(scores, value, keys).where(F.col("r") > F.floor(F.lit(share) * F.col("n")))
+    return by.groupBy(*keys).agg(F.max("n").alias("n"), F.max(value).alias("cut"))
+
+
+def quality_by(estimates: DataFrame, exact: DataFrame, share: float, keys: tuple[str, ...], exact_keys: tuple[str, ...]) -> DataFrame:
+    """(keys, precision, recall, f1, epsilon) of the top shares of ``estimates`` (keys, node, score) against ``exact`` (exact_keys, node, score).
+
+    As ``top_share``, ``f1`` and ``epsilon``, for all groups at once: the plan
+    does not grow with their number. ``exact_keys`` are among ``keys``; both
+    tables are read several times, so they should be written ones.
+    """
+    cuts = thresholds(estimates, share, keys).withColumnRenamed("n", "total")
+    e = estimates.join(cuts, list(keys)).where(F.col("score") >= F.col("cut"))
+    above = e.where(F.col("score") > F.col("cut"))
+    room = above.groupBy(*keys).agg(F.count(F.lit(1)).alias("above"))
+    ties = e.where(F.col("score") == F.col("cut")).join(room, list(keys), "left").fillna(0, ["above"])
+    ties = ranked(ties, list(keys), F.floor(F.col("node") / 4096), ["node"]).where(F.col("r") <= F.floor(F.lit(share) * F.col("total")) + 1 - F.col("above"))
+    top = above.select(*keys, "node").union(ties.select(*keys, "node")).withColumn("p", F.lit(1))
+    truth = exact.join(thresholds(exact, share, exact_keys).drop("n"), list(exact_keys)).select(*exact_keys, "node", F.col("score").alias("x"), "cut")
+    groups = cuts.select(*keys)
+    all_ = truth.join(F.broadcast(groups), list(exact_keys)).join(top, [*keys, "node"], "left")
+    x, cut, p = F.col("x"), F.col("cut"), F.col("p").isNotNull()
+    wrong = (p & (x < cut)) | (~p & (x > cut))
+    n = lambda c: F.count(F.when(c, 1))
+    c = all_.groupBy(*keys).agg(n(p).alias("np"), n(p & (x >= cut)).alias("tp"), n(x > cut).alias("ns"), n(p & (x > cut)).alias("ts"), F.coalesce(F.max(F.when(wrong & (cut >= 1), F.abs(x - cut) / cut)), F.lit(0.0)).alias("epsilon"))
+    c = c.select(*keys, F.when(F.col("np") > 0, F.col("tp") / F.col("np")).otherwise(0.0).alias("precision"), F.when(F.col("ts") > 0, F.col("ts") / F.col("ns")).otherwise(1.0).alias("recall"), "epsilon")
+    both = F.col("precision") + F.col("recall")
+    return c.select("*", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0).alias("f1"))

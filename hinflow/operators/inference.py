@@ -145,6 +145,6 @@ def signed_rank(rows: DataFrame, keys: list[str], diff: str) -> DataFrame:
     least, m = F.least("up", "down"), F.col("m").cast("double")
     exact = F.least(2 * _sums_up_to(F.col("ranks"), least), _lit(1))
     z = (least / _lit(2) - m * (m + 1) / 4) / F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("t3") / 48)
-    p = F.when(m <= EXACT, exact).otherwise(normal_tails(z))
+    p = F.when(m <= EXACT, exact).when(m > EXACT, normal_tails(z))
     tested = F.col("n") >= LEAST
     return s.select(*keys, "n", F.when(tested, F.coalesce(least / _lit(2), _lit(0))).alias("statistic"), F.when(tested, F.coalesce(p, _lit(1))).alias("p"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import DIGITS, keyed
+from ..plans.scratch import written
 from .ranking import hash_bucket, ranked
 
 
@@ -118,9 +119,55 @@ def two_hop_negatives(two_hop: DataFrame, one_hop: DataFrame, per: int, seed: in
     return far.withColumn("r", F.row_number().over(W.partitionBy("src").orderBy("h", "dst"))).where(F.col("r") <= per).select("src", "dst")
 
 
-def uniform_negatives(sources: DataFrame, n_targets: int, edges: DataFrame, per: int, seed: int = 42) -> DataFrame:
-    """Per source hashed targets that are no neighbours: for dense graphs, without listing two hops."""
-    tries = F.explode(F.sequence(F.lit(0), F.lit(2 * per - 1)))
-    drawn = sources.select(F.col("node").alias("src"), tries.alias("i")).select("src", "i", (keyed(seed, F.col("src"), F.col("i")) % n_targets).alias("dst"))
-    drawn = drawn.where("src <> dst").groupBy("src", "dst").agg(F.min("i").alias("i")).join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
-    return drawn.withColumn("r", F.row_number().over(W.partitionBy("src").orderBy("i"))).where(F.col("r") <= per).select("src", "dst")
+def rejection_negatives(sources: DataFrame, targets: DataFrame, edges: DataFrame, per: int, rounds: int = 4, seed: int = 42) -> DataFrame:
+    """(src, dst): per source exactly min(``per``, what there is) targets that are neither neighbours nor itself.
+
+    For dense graphs, where listing all non-neighbours costs more than drawing.
+    Each round draws as many numbered targets as a source still lacks, drops
+    neighbours and what it has already, and goes on with the sources that are
+    not done. Sources that ``rounds`` draws do not fill have few
+    non-neighbours, or few targets: only theirs are listed, and the missing
+    ones taken by hash. ``sources`` and ``targets`` (node) are distinct.
+    """
+    known = written(edges.select("src", "dst").distinct(), "edges")
+    numbered = written(local_ids(targets.select("node"), [], "node").select(F.col("node").alias("dst"), "local"), "targets")
+    n = numbered.count()
+    taken = written(sources.select(F.col("node").alias("src"), F.lit(None).cast(targets.schema["node"].dataType).alias("dst")).where("false"), "negatives")
+    lack = sources.select(F.col("node").alias("src"), F.lit(per).alias("lacks"))
+    for k in range(rounds if n else 0):
+        draws = lack.select("src", "lacks", F.explode(F.sequence(F.lit(1), F.col("lacks"))).alias("i"))
+        draws = draws.select("src", (keyed(seed, k, F.col("src"), F.col("i"), digits=DIGITS) % n).alias("local")).distinct()
+        new = draws.join(numbered, "local").where("src <> dst").select("src", "dst").join(known, ["src", "dst"], "left_anti").join(taken, ["src", "dst"], "left_anti")
+        taken = written(taken.union(new), "negatives")
+        have = taken.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+        lack = written(lack.select("src").join(have, "src", "left").select("src", (F.lit(per) - F.coalesce("n", F.lit(0))).cast("int").alias("lacks")).where("lacks > 0"), "lacks")
+        if lack.isEmpty():
+            return taken
+    # Each unfinished source against all targets: these rows are what there is to choose from.
+    shares = F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)), F.lit(4096))).alias("share")
+    listed = lack.select("src", "lacks", shares).join(numbered.withColumn("share", F.floor(F.col("local") / 4096) * 4096), "share").where("src <> dst")
+    listed = listed.select("src", "dst", "lacks").join(known, ["src", "dst"], "left_anti").join(taken, ["src", "dst"], "left_anti").withColumn("h", keyed(seed, rounds, edge_id("src", "dst")))
+    rest = listed.withColumn("r", F.row_number().over(W.partitionBy("src").orderBy("h", "dst"))).where("r <= lacks")
+    return taken.union(rest.select("src", "dst"))
+
+
+def snowball_edges(edges: DataFrame, seeds: DataFrame, hops: int, cap: int, seed: int = 42) -> DataFrame:
+    """(hop, src, dst): the edges that a snowball walks over, each once, with the hop that does first.
+
+    Nodes reached for the first time go on, in either direction, over at most
+    ``cap`` of their edges, drawn by hash. The edge travels with the frontier,
+    so the result is the walked tree and its cross edges, not all that lies
+    among its nodes.
+    """
+    e = edges.select("src", "dst").distinct()
+    both = e.select(F.col("src").alias("at"), F.col("dst").alias("to"), "src", "dst").union(e.select(F.col("dst").alias("at"), F.col("src").alias("to"), "src", "dst"))
+    both = written(both.withColumn("h", keyed(seed, F.col("at"), F.col("to"))), "both-ways")
+    seen = at = written(seeds.select("node").distinct(), "seeds")
+    walked = None
+    for k in range(1, hops + 1):
+        drawn = both.join(at.select(F.col("node").alias("at")), "at", "left_semi").withColumn("r", F.row_number().over(W.partitionBy("at").orderBy("h", "to", "src"))).where(F.col("r") <= cap)
+        part = written(drawn.select(F.lit(k).alias("hop"), "to", "src", "dst"), "walked")
+        walked = part if walked is None else walked.union(part)
+        at = written(part.select(F.col("to").alias("node")).distinct().join(seen, "node", "left_anti"), "frontier")
+        seen = seen.union(at)
+    return walked.groupBy("src", "dst").agg(F.min("hop").alias("hop")).select("hop", "src", "dst")

@@ -31,3 +31,25 @@ def fidelity(pairs: DataFrame, exact: DataFrame, estimated: DataFrame) -> DataFr
     e = pairs.join(exact.withColumnRenamed("jaccard", "x"), ["a", "b"], "left").join(estimated.withColumnRenamed("jaccard", "y"), ["a", "b"], "left")
     e = e.select(F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"))
     return e.agg(F.avg(F.abs(F.col("x") - F.col("y"))).alias("mae"), F.corr("x", "y").alias("pearson"))
+
+
+def coordinated(slots: DataFrame, k: int) -> DataFrame:
+    """(a, b, jaccard) for pairs that share a slot: of the k smallest values of both sketches together, the share that both hold.
+
+    ``slots`` (node, h): bottom-k sketches by one hash. Every value of the
+    merged bottom-k is a fair draw from the union, so the estimate has no bias,
+    unlike the overlap of the sketches themselves. Sketches are k numbers, so
+    they travel as arrays.
+    """
+    held = slots.groupBy("node").agg(F.sort_array(F.collect_list("h")).alias("s"))
+    pairs = overlaps(slots, "h").select("a", "b")
+    pairs = pairs.join(held.toDF("a", "sa"), "a").join(held.toDF("b", "sb"), "b")
+    merged = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
+    return pairs.select("a", "b", (F.size(F.array_intersect(F.array_intersect(merged, "sa"), F.col("sb"))) / F.size(merged)).alias("jaccard"))
+
+
+def errors(exact: DataFrame, estimated: DataFrame) -> DataFrame:
+    """One row over the pairs of ``exact`` (a, b, jaccard): pairs, mean error, mean and largest absolute error; pairs without an estimate have 0."""
+    e = exact.join(estimated.withColumnRenamed("jaccard", "y"), ["a", "b"], "left")
+    off = F.coalesce("y", F.lit(0.0)) - F.col("jaccard")
+    return e.agg(F.count(F.lit(1)).alias("pairs"), F.avg(off).alias("bias"), F.avg(F.abs(off)).alias("mae"), F.max(F.abs(off)).alias("worst"))

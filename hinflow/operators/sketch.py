@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import DIGITS, RANGE, keyed
-from ..plans.metapath import GraphSchema, MetaPath, metapath_edges
+from ..plans.metapath import GraphSchema, MetaPath
 from .edges import reverse
 
 
@@ -67,6 +67,24 @@ def association(schema: GraphSchema, path: MetaPath, layer: int, start: DataFram
     return out
 
 
+def association_by_layer(schema: GraphSchema, path: MetaPath, start: DataFrame, k: int) -> DataFrame:
+    """(layer, ..., node, h): sketches of the association peers for every layer of ``path``, in one pass forward and one back.
+
+    What comes forward to a layer joins what comes back from the layers behind
+    it, so there are two steps a layer, however many layers there are; other
+    columns of ``start`` (node, h, ...) are keys as well.
+    """
+    hops = schema.hops(path)
+    ahead = [start]
+    for hop in hops:
+        ahead.append(step(ahead[-1], hop, k))
+    back = None
+    for layer in range(len(hops), 0, -1):
+        own = ahead[layer].withColumn("layer", F.lit(layer))
+        back = step(own if back is None else back.unionByName(own), reverse(hops[layer - 1]), k)
+    return back
+
+
 def estimates_by(sketch: DataFrame, k: int, keys: tuple[str, ...]) -> DataFrame:
     """(keys, degree): exact below k slots, else (k - 1) / (largest slot as a fraction)."""
     n, top = F.count(F.lit(1)), F.greatest(F.max("h"), F.lit(1))
@@ -108,5 +126,10 @@ def repeated_starts(nodes: DataFrame, reps: int, seed: int = 42) -> DataFrame:
     return nodes.select(rep.alias("rep"), "node").select("rep", "node", keyed(seed, F.col("rep"), F.col("node"), digits=DIGITS).alias("h"))
 
 
-def exact_neighbours(schema: GraphSchema, path: MetaPath) -> DataFrame:
-    return metapath_edges(schema, path)
+def growth(layers: list[DataFrame], k: int) -> DataFrame:
+    """(node, slope): by how much ln(estimated neighbours) grows a layer, by least squares over the layers 1, 2, ... that a node has; null with fewer than two."""
+    rows = None
+    for i, sketch in enumerate(layers, 1):
+        part = estimate(sketch, k).select("node", F.lit(float(i)).alias("layer"), F.ln("degree").alias("size"))
+        rows = part if rows is None else rows.union(part)
+    return rows.groupBy("node").agg(F.regr_slope("size", "layer").alias("slope"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -463,28 +465,46 @@ def metapath_profile(t):
 
 # --- path strings ------------------------------------------------------------------
 
-PATHS = ("cust_to_order,order_to_part", "rev_rev_writes, Inverse_cites", "author_to_paper", "a_to_b,rev_c")
+#: Names that the paths of customers are made of: three relations, their reverses, one more and another spelling.
+NAMES = ("cust_to_order", "order_to_part", "part_to_supp", "rev_cust_to_order", "rev_order_to_part", "rev_part_to_supp", "cust_to_nation", "Inverse_rev_rev_cust_to_order")
+#: Types at the ends of the relations that the schema knows.
+ENDS = {"cust_to_order": ("c", "o"), "order_to_part": ("o", "p"), "part_to_supp": ("p", "s"), "rev_cust_to_order": ("o", "c"), "rev_order_to_part": ("p", "o"), "rev_part_to_supp": ("s", "p"), "cust_to_nation": ("c", "n")}
+PSQL = f"ps as (select distinct array_to_string(list_transform(range(0, 1 + c_nationkey % 4), lambda i: ({list(NAMES)})[1 + ((c_custkey::bigint >> (3 * i)) & 7)]), ',') as path from customer)"
 
 
 def _paths(t):
-    return t.spark.createDataFrame([(p,) for p in PATHS], "path string")
+    """One to four relation names for each customer, by nation and number."""
+    names = F.array(*(F.lit(n) for n in NAMES)).alias("names")
+    p = t["customer"].select(F.col("c_custkey").cast("bigint").alias("c"), F.col("c_nationkey").cast("int").alias("n"), names)
+    return p.select(F.expr("array_join(transform(sequence(0, n % 4), i -> names[cast(shiftright(c, 3 * i) & 7 as int)]), ',')").alias("path")).distinct()
 
 
-@query("mirror_path", "select * from (values ('cust_to_order,order_to_part', 'cust_to_order,order_to_part,rev_order_to_part,rev_cust_to_order'), ('rev_rev_writes, Inverse_cites', 'rev_rev_writes, Inverse_cites,rev_ Inverse_cites,rev_writes'), ('author_to_paper', 'author_to_paper,rev_author_to_paper'), ('a_to_b,rev_c', 'a_to_b,rev_c,c,rev_a_to_b')) v(path, mirrored)")
+@query("mirror_path", f"with {PSQL}, s as (select path, string_split(path, ',') as l from ps) select path, array_to_string(list_concat(l, list_transform(list_reverse(l), lambda x: case when x like 'rev\\_%' escape '\\' then x[5:] else 'rev_' || x end)), ',') as mirrored from s")
 def mirror_path(t):
     return _paths(t).select("path", paths.mirrored(F.col("path")).alias("mirrored"))
 
 
-@query("normalize_path", "select * from (values ('cust_to_order,order_to_part', 'cust_to_order,order_to_part'), ('rev_rev_writes, Inverse_cites', 'writes,rev_cites'), ('author_to_paper', 'author_to_paper'), ('a_to_b,rev_c', 'a_to_b,rev_c')) v(path, normal)")
+@query("normalize_path", f"with {PSQL} select path, array_to_string(list_transform(string_split(path, ','), lambda x: regexp_replace(regexp_replace(lower(trim(x)), '^inverse_', 'rev_'), '^(rev_rev_)+', '')), ',') as normal from ps")
 def normalize_path(t):
     return _paths(t).select("path", paths.normalised(F.col("path")).alias("normal"))
 
 
-@query("metapath_shortname", "select * from (values ('cust_to_order,order_to_part', 'COP'), ('author_to_paper', 'AP')) v(path, name)")
+@query("metapath_shortname", f"with {PSQL} select path, upper(path[1:1]) || array_to_string(list_transform(string_split(path, ','), lambda x: upper(string_split(x, '_to_')[-1][1:1])), '') as name from ps where path not like '%rev%'")
 def metapath_shortname(t):
     return _paths(t).where("path not like '%rev%'").select("path", paths.short_name(F.col("path")).alias("name"))
 
 
+@query("validate_path", f"""with {PSQL}, e(name, src, dst) as (values {', '.join(f"('{n}', '{x}', '{y}')" for n, (x, y) in ENDS.items())}), st as (select path, l[i] as name, i, len(l) as n from (select path, string_split(path, ',') as l, unnest(range(1, len(string_split(path, ',')) + 1)) as i from ps)),
+    j as (select st.*, src, dst, lag(dst) over (partition by path order by i) as before from st left join e using (name)),
+    g as (select path, bool_or(src is null) as unknown, bool_or(coalesce(before <> src, false)) as gap, min(i) filter (where src = 'c') as begins, max(dst) filter (where i = n) as last from j group by path),
+    r as (select *, case when unknown then 'unknown' when gap then 'gap' when begins is null then 'start' when last <> 'c' then 'end' end as reason from g) select path, case when reason is null then array_to_string(string_split(path, ',')[begins:], ',') end as trimmed, reason from r""")
+def validate_path(t):
+    """Paths of customers judged against the schema and cut to start at customers; why the others are turned down."""
+    ends = F.create_map(*(x for n, (a, b) in ENDS.items() for x in (F.lit(n), F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst")))))
+    judged = _paths(t).withColumn("ends", ends).select("path", paths.validated(F.col("path"), F.col("ends"), F.lit("c")).alias("v"))
+    return judged.select("path", F.col("v.path").alias("trimmed"), F.col("v.reason").alias("reason"))
+
+
 @query("coupon_expected_walks", R("cust_part", ", d as (select src, count(*)::int as d from cust_part group by src) select src, d, round(d * coalesce(list_sum(list_transform(range(d - least(d, 8) + 1, d + 1), lambda i: 1e0 / i)), 0), 6) as walks from d"))
 def coupon_expected_walks(t):
     d = t.rel("cust_part").groupBy("src").agg(F.count(F.lit(1)).cast("int").alias("d"))
@@ -510,15 +530,14 @@ def hin_scan(t):
     return e.groupBy("etype", "kind").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("src").alias("sources"))
 
 
-RULES = (("cust_order,order_part", None), ("cust_order", None), ("order_part,part_supp", None), ("cust_order,order_part,part_supp", None), ("order_part,part_supp", 7))
-
-
-@query("rule_len_count", "select * from (values (1, 2::bigint), (2, 2::bigint), (3, 1::bigint)) v(length, rules)")
+@query("rule_len_count", f"with {PSQL}, n as (select len(string_split(path, ',')) - (hash_ % 3 = 0)::int as length from (select path, ('0x' || substr(md5(path), 1, 8))::bigint as hash_ from ps where path not like '%Inverse%')) select length::int as length, count(*) as rules from n group by 1")
 def rule_len_count(t):
-    """Rules by length, from a rule file; an anchor is no step of its own."""
-    etypes = {"cust_order": 0, "order_part": 1, "part_supp": 2}
+    """Rules by length, from a rule file of the customers' paths, some with an anchor, which is no step of its own."""
+    etypes = {n: k for k, n in enumerate(ENDS) if not n.startswith("rev_")}
     path = scratch(t.spark, "rules")
-    line = " ".join(rules.compile_rule(M.MetaPath.parse(text, anchor), etypes) for text, anchor in RULES)
+    # A rule file is one line; there are fewer paths than 8 ** 4 + 8 ** 3 + 8 ** 2 + 8.
+    rows = _paths(t).where("path not like '%Inverse%'").select("path", (F.conv(F.substring(F.md5("path"), 1, 8), 16, 10).cast("long") % 3 == 0).alias("anchored")).collect()
+    line = " ".join(rules.compile_rule(M.MetaPath.parse(r["path"], 7 if r["anchored"] else None), etypes) for r in rows)
     t.spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(path)
     return rules.rules_of(t.spark, path, {k: n for n, k in etypes.items()}).groupBy("length").agg(F.count(F.lit(1)).alias("rules"))
 
@@ -540,14 +559,34 @@ def schema_match(t):
     return M.path_counts(s, M.MetaPath.parse("Customer_to_Order,order_to_part"))
 
 
-@query("snowball_export", R("part_supp", ", s as (select p_partkey as n from part where p_size = 1), a as (select distinct dst as n from part_supp where src in (select n from s)) select src, dst from part_supp where src in (select n from s) and dst in (select n from a)"))
-def snowball_export(t):
-    """Nodes within one hop of the seeds and the edges among them, written as a graph folder and read again."""
+def snowball_sql(hops: int, cap: int) -> str:
+    """w(hop, src, dst): edges walked from the parts of size 1, suppliers numbered below zero."""
+    h = "('0x' || substr(md5('42:' || a::varchar || ':' || b::varchar), 1, 8))::bigint"
+    out = "e as (select distinct src, -dst - 1 as dst from part_supp), both_ as (select src as a, dst as b, src, dst from e union all select dst, src, src, dst from e), f0 as (select p_partkey as n from part where p_size = 1)"
+    for k in range(1, hops + 1):
+        out += f", w{k} as (select {k} as hop, b, src, dst from (select *, row_number() over (partition by a order by {h}, b, src) as r from both_ where a in (select n from f{k - 1})) where r <= {cap})"
+        out += f", f{k} as (select distinct b as n from w{k} where " + " and ".join(f"b not in (select n from f{j})" for j in range(k)) + ")"
+    return out + ", w as (select min(hop) as hop, src, dst from (" + " union all ".join(f"select * from w{k}" for k in range(1, hops + 1)) + ") group by src, dst)"
+
+
+def walked(t, hops: int, cap: int):
     e = t.rel("part_supp").select("src", (-F.col("dst") - 1).alias("dst"))
-    kept = sampling.snowball(e, t["part"].where("p_size = 1").select(F.col("p_partkey").alias("node")), 1)
+    seeds = t["part"].where("p_size = 1").select(F.col("p_partkey").alias("node"))
+    return sampling.snowball_edges(e, seeds, hops, cap), seeds
+
+
+@query("snowball_walked", R("part_supp", f", {snowball_sql(3, 20)} select hop, src, dst from w"))
+def snowball_walked(t):
+    return walked(t, 3, 20)[0]
+
+
+@query("snowball_export", R("part_supp", f", {snowball_sql(2, 3)} select src, dst from w"))
+def snowball_export(t):
+    """The edges that a snowball walked over, written as a graph folder and read again."""
+    edges, seeds = walked(t, 2, 3)
     folder = scratch(t.spark, "snowball")
-    hin.write_snowball(e, kept, folder)
-    return hin.read_native(t.spark, folder)[1].select("src", (-F.col("dst") - 1).alias("dst"))
+    hin.write_snowball(edges, seeds, folder)
+    return hin.read_native(t.spark, folder)[1].select("src", "dst")
 
 
 @query("partition_record", "select 'train' as part, count(*) filter (where s = 'train') as nodes from (select case when row_number() over (order by o_orderdate, o_orderkey) <= greatest(1, floor(0.8e0 * count(*) over ())) then 'train' else 'test' end as s from orders) union all select 'test', count(*) filter (where s <> 'train') from (select case when row_number() over (order by o_orderdate, o_orderkey) <= greatest(1, floor(0.8e0 * count(*) over ())) then 'train' else 'test' end as s from orders)")
@@ -559,19 +598,15 @@ def partition_record(t):
     return results.read_partition(t.spark, folder)[0].groupBy("part").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-COMPILED = (("b", "kmv", 1, 0.5), ("b", "kmv", 2, 0.75), ("b_x", "exact", 1, None))
-
-
-@query("results_compile", "select * from (values ('b', 'kmv', 1, 0.5::double), ('b', 'kmv', 2, 0.75::double), ('b_x', 'exact', 1, null::double)) v(dataset, method, seed, f1)")
+@query("results_compile", "select 'nation' || c_nationkey as dataset, lower(c_mktsegment) as method, (count(*))::int as seed, round(avg(c_acctbal), 2) as f1 from customer group by c_nationkey, c_mktsegment")
 def results_compile(t):
-    """JSON results by (dataset, method, seed), which their file names tell."""
-    import json
-
+    """JSON results by (dataset, method, seed), which their file names tell: one file for each nation and market segment."""
     folder = scratch(t.spark, "results")
-    hadoop = t.spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = hadoop.getFileSystem(t.spark._jsc.hadoopConfiguration())
-    for dataset, method, seed, f1 in COMPILED:
-        out = fs.create(t.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{dataset}_{method}_{seed}.json"))
-        out.write(json.dumps({"f1": f1}).encode())
+    path = t.spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(t.spark._jsc.hadoopConfiguration())
+    by = t["customer"].groupBy("c_nationkey", F.lower("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("seed"), F.round(F.avg("c_acctbal"), 2).alias("f1"))
+    for r in by.collect():
+        out = fs.create(path(f"{folder}/nation{r['c_nationkey']}_{r['segment']}_{r['seed']}.json"))
+        out.write(json.dumps({"f1": float(r["f1"])}).encode())
         out.close()
     return results.compiled(t.spark, f"{folder}/*.json").select("dataset", "method", "seed", F.col("f1").cast("double").alias("f1"))

@@ -9,6 +9,7 @@ from ..functions import vectors as V
 from ..functions.hashing import keyed
 from ..operators import edges as E
 from ..operators import sampling as S
+from ..operators import spectral, walks
 from ..operators.components import components
 from ..operators.spectral import spectral_radius
 from ..sources.fixtures import with_relations as R
@@ -100,6 +101,18 @@ def two_hop_negatives(t):
     return S.two_hop_negatives(far, two_hop(t), 3)
 
 
+@query("rejection_negatives", R("part_supp", """, g as (select distinct a.dst as src, b.dst from part_supp a join part_supp b on a.src = b.src), d as (select src, count(*) filter (where src <> dst) as d from g group by src)
+    select s_suppkey as src, least(10, (select count(*) from supplier) - 1 - coalesce(d, 0))::bigint as drawn, 0::bigint as wrong from supplier left join d on d.src = s_suppkey"""))
+def rejection_negatives(t):
+    """Suppliers that share no part, ten for each or as many as there are, in a graph of nearly all pairs; how many of them are wrong."""
+    g = M.metapath_edges(schema(t, "part_supp"), M.MetaPath.parse("rev_part_supp,part_supp"))
+    all_ = t["supplier"].select(F.col("s_suppkey").alias("node"))
+    drawn = S.rejection_negatives(all_, all_, g, 10)
+    judged = drawn.join(g.withColumn("real", F.lit(1)), ["src", "dst"], "left").groupBy("src")
+    judged = judged.agg(F.count_distinct("dst").alias("drawn"), F.count(F.when(F.col("real").isNotNull() | (F.col("src") == F.col("dst")), 1)).alias("wrong"))
+    return all_.select(F.col("node").alias("src")).join(judged, "src", "left").select("src", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("drawn", "wrong")))
+
+
 @query("lp_edge_split", R("cust_nation", f", {C}, e as (select a.src, b.src as dst from cust_nation a join cust_nation b on a.dst = b.dst and a.src < b.src), tr as (select c_custkey from c where r <= floor(n * 0.6e0)) select src, dst, case when src in (select * from tr) and dst in (select * from tr) then 'train' else 'test' end as part from e"))
 def lp_edge_split(t):
     g = E.upper_triangle(M.metapath_edges(schema(t, "cust_nation"), M.MetaPath.parse("cust_nation").mirrored()))
@@ -237,3 +250,37 @@ POWER = ", ".join(f"x{k} as (select g.src as node, sum(x)::double as x from g jo
 def power_iteration(t):
     """Four steps towards the largest eigenvalue of the customer-nation-customer graph."""
     return spectral_radius(M.metapath_edges(schema(t, "cust_nation"), M.MetaPath.parse("cust_nation").mirrored()), 4, every=2)
+
+
+@query("top_eigenvalues")
+def top_eigenvalues(t):
+    """Five largest eigenvalues of the normalised adjacency of users and event types, weighted by events; types have numbers below zero."""
+    e = t["events"].groupBy(F.col("user_id").cast("long").alias("src"), "event_type").agg(F.count(F.lit(1)).alias("w"))
+    e = e.select("src", (-F.conv(F.substring(F.md5("event_type"), 1, 8), 16, 10).cast("long") - 1).alias("dst"), "w")
+    both = e.union(e.select("dst", "src", "w"))
+    d = both.groupBy("src").agg(F.sum("w").cast("double").alias("d"))
+    w = both.join(d, "src").join(d.toDF("dst", "e"), "dst").select("src", "dst", (F.col("w") / F.sqrt(F.col("d") * F.col("e"))).alias("weight"))
+    return spectral.top_eigenvalues(w).select("rank", F.round("value", 4).alias("value"))
+
+
+#: Relations between nations and brands that a few lines tell, both ways.
+RELATED = "select distinct 'N' || s_nationkey || '>' || p_brand as relation, 'N' || s_nationkey as src, p_brand as dst from lineitem join supplier on s_suppkey = l_suppkey join part on p_partkey = l_partkey where l_linenumber = 7 and l_quantity <= 3"
+
+
+def cyclic_sql(length: int, draws: int, start: str) -> str:
+    """p(draw, path): ``draws`` closed walks of ``length`` steps over rel, the smallest hash among the steps that can still close."""
+    out = f"rel as (with a as ({RELATED}) select * from a union all select 'rev_' || relation, dst, src from a), b0 as (select '{start}' as type)"
+    for k in range(1, length):
+        out += f", b{k} as (select distinct src as type from rel where dst in (select type from b{k - 1}))"
+    out += f", w0 as (select range as draw, '{start}' as here, '' as path from range({draws}))"
+    for k in range(length):
+        out += f", w{k + 1} as (select draw, dst as here, path || case when path = '' then '' else ',' end || relation as path from (select w.draw, w.path, r.dst, r.relation, row_number() over (partition by draw order by {hx('42', 'draw', str(k), 'relation')}, relation) as o from w{k} w join rel r on r.src = w.here and r.dst in (select type from b{length - 1 - k})) where o = 1)"
+    return out
+
+
+@query("cyclic_metapaths", f"with {cyclic_sql(4, 50, 'N1')} select draw, path from w4")
+def cyclic_metapaths(t):
+    """Fifty closed meta-paths of four steps from nation 1, over relations that lines tell."""
+    a = t.spark.sql(RELATED.replace("from lineitem", "from {lineitem}").replace("join supplier", "join {supplier}").replace("join part", "join {part}"), **{n: t[n] for n in ("lineitem", "supplier", "part")})
+    rel = a.union(a.select(F.concat(F.lit("rev_"), "relation"), "dst", "src"))
+    return walks.cyclic_paths(rel, "N1", 4, 50)

@@ -16,7 +16,7 @@ from ..sources.fixtures import with_relations as R
 from . import metapath as M
 from .graph_queries import CUT, DEG, H2, SHARE, degrees, nodes, schema, two_hop
 from .registry import query
-from .scratch import written
+from .scratch import scratch, written
 
 PATH = "cust_part,rev_cust_part"
 
@@ -88,6 +88,18 @@ def kmv_propagate_4hop(t):
     return K.propagate(s, M.MetaPath.parse("cust_order,order_part").mirrored(), K.universe(customers(t)), 8)
 
 
+@query("stream_sketch_layers", R("cust_part", f", {sk(8)} select node, h from sk"))
+def stream_sketch_layers(t):
+    """The two-hop sketch after three batches of growing size, by change only; the log is compacted on the way."""
+    from ..streaming.sketch_stream import LayeredSketch
+
+    s = LayeredSketch(t.spark, scratch(t.spark, "stream"), M.MetaPath.parse(PATH), 8, compact=2)
+    e = written(t.rel("cust_part").select(F.lit("cust_part").alias("relation"), "src", "dst").withColumn("at", keyed(9, F.col("src"), F.col("dst")) % 100), "edges")
+    for i, (lo, hi) in enumerate(((0, 80), (80, 99), (99, 100))):
+        s.merge(e.where((F.col("at") >= lo) & (F.col("at") < hi)).select("relation", "src", "dst"), i)
+    return s.sketch()
+
+
 @query("kmv_propagate_accumulating", R("cust_part", f", {U}, s1 as {bk('(select c.dst as node, h from cust_part c join u on u.node = c.src)', 8)} select node, h from {bk('(select c.src as node, h from cust_part c join s1 on s1.node = c.dst union all select node, h from u)', 8)}"))
 def kmv_propagate_accumulating(t):
     return K.propagate_accumulating(schema(t, "cust_part"), M.MetaPath.parse(PATH), ["c", "p", "c"], K.universe(customers(t)), 8)
@@ -236,6 +248,40 @@ def hub_f1(t):
     return H.f1(top_estimates(t), H.hubs(d, SHARE, False), H.hubs(d, SHARE, True))
 
 
+SEEDS, LK = 5, 16
+
+
+def by_layer_sql() -> str:
+    """est(layer, rep, node, score) over customers, orders and parts, dx(layer, node, score) with the true degrees."""
+    rb = lambda rel: f"(select rep, node, h from (select rep, node, h, row_number() over (partition by rep, node order by h) as r from (select distinct rep, node, h from {rel})) where r <= {LK})"
+    ul = UL.replace("range(4)", f"range({SEEDS})")
+    up = lambda rel, hop: rb(f"(select rep, c.dst as node, h from {hop} c join {rel} x on x.node = c.src)")
+    down = lambda rel, hop: rb(f"(select rep, c.src as node, h from {hop} c join {rel} x on x.node = c.dst)")
+    size = lambda layer, rel: f"select {layer} as layer, rep, node, case when count(*) < {LK} then count(*)::double else {(LK - 1) * RANGE:.1f}::double / greatest(max(h), 1) end as score from {rel} group by rep, node"
+    pairs = lambda layer, rel: f"select {layer} as layer, src as node, count(*) as score from (select distinct a.src, b.src as dst from {rel} a join {rel} b on a.dst = b.dst) group by src"
+    return f"""{ul}, a1 as {up('ul', 'cust_order')}, a2 as {up('a1', 'order_part')}, b2 as {down(down('a2', 'order_part'), 'cust_order')}, b1 as {down('a1', 'cust_order')}, est as ({size(1, 'b1')} union all {size(2, 'b2')}),
+    cp as (select distinct a.src, b.dst from cust_order a join order_part b on a.dst = b.src), dx as ({pairs(1, 'cust_order')} union all {pairs(2, 'cp')})"""
+
+
+QUALITY = f"""{by_layer_sql()}, top as (select layer, rep, node from (select *, row_number() over (partition by layer, rep order by score desc, node) as rn, count(*) over (partition by layer, rep) as n from est) where rn <= floor({SHARE} * n) + 1),
+    cut as (select layer, score as cut from (select layer, score, row_number() over (partition by layer order by score desc) as rn, count(*) over (partition by layer) as n from dx) where rn = floor({SHARE} * n) + 1),
+    al as (select g.layer, g.rep, dx.score as x, cut, top.node is not null as p from (select distinct layer, rep from est) g join dx using (layer) join cut using (layer) left join top on top.layer = g.layer and top.rep = g.rep and top.node = dx.node),
+    c as (select layer, rep, count(*) filter (where p) as np, count(*) filter (where p and x >= cut) as tp, count(*) filter (where x > cut) as ns, count(*) filter (where p and x > cut) as ts,
+        coalesce(max(case when cut >= 1 and ((p and x < cut) or (not p and x > cut)) then abs(x - cut) / cut::double end), 0) as epsilon from al group by 1, 2),
+    pr as (select layer, rep, case when np > 0 then tp / np::double else 0 end as p, case when ts > 0 then ts / ns::double else 1 end as r, epsilon from c)"""
+
+
+@query("hub_quality_by_layer", R("cust_order order_part", f", {QUALITY} select coalesce(layer, 0)::int as layer, count(*) as runs, round(avg(case when p + r > 0 then 2 * p * r / (p + r) else 0 end), 6) as f1, round(avg(epsilon), 6) as epsilon from pr group by rollup (layer)"))
+def hub_quality_by_layer(t):
+    """Quality of sketched hubs of customers by orders (layer 1) and parts (layer 2), the mean over five hash functions and, as layer 0, over both layers."""
+    s, path = schema(t, "cust_order", "order_part"), M.MetaPath.parse("cust_order,order_part")
+    sketch = K.association_by_layer(s, path, K.repeated_starts(customers(t), SEEDS), LK)
+    est = written(K.estimates_by(sketch, LK, ("layer", "rep", "node")).withColumnRenamed("degree", "score"), "estimates")
+    exact = [E.degree(M.association_edges(s, path, i)).select(F.lit(i).alias("layer"), "node", F.col("degree").alias("score")) for i in (1, 2)]
+    q = H.quality_by(est, written(exact[0].union(exact[1]), "exact"), SHARE, ("layer", "rep"), ("layer",))
+    return q.rollup("layer").agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg("f1"), 6).alias("f1"), F.round(F.avg("epsilon"), 6).alias("epsilon")).fillna(0, ["layer"])
+
+
 @query("hub_epsilon", EST + """ select coalesce(max(case when cut >= 1 and ((top.node is not null and deg.score < cut) or (top.node is null and deg.score > cut)) then abs(deg.score - cut) / cut::double end), 0) as epsilon
     from deg left join top using (node), cut""")
 def hub_epsilon(t):
@@ -427,11 +473,13 @@ def walk_budget(t):
     return t.spark.createDataFrame([(walks, saturated, edges)], "walks int, saturated boolean, edges long")
 
 
-@query("coupon_simulation", f"""with d as (select trial, draw, {hx('42', 'trial', 'draw')} % 50 as v from (select unnest(range(200)) as trial), (select unnest(range(500)) as draw)), f as (select trial, v, min(draw) as pos from d group by 1, 2),
-    r as (select trial, pos + 1 as walks, row_number() over (partition by trial order by pos) as k from f) select k::int as k, round(avg(walks), 6) as mean, round(stddev_pop(walks), 6) as sd from r where k in (8, 16, 32) group by k""")
-def coupon_simulation(t):
-    s = R_.coupons(t.spark, 50, (8, 16, 32), trials=200, draws=500)
-    return s.select("k", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+@query("coupon_collector", """with d as (select l_suppkey as trial, l_partkey as v, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) - 1 as o from lineitem), f as (select trial, v, min(o) as pos from d group by 1, 2),
+    r as (select pos + 1 as walks, row_number() over (partition by trial order by pos) as k from f) select k::int as k, count(*) as trials, round(avg(walks), 6) as mean, round(stddev_pop(walks), 6) as sd from r where k in (8, 16, 32) group by k""")
+def coupon_collector(t):
+    """How many of a supplier's lines, in order, it takes until 8, 16 and 32 different parts are met."""
+    at = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")) - 1
+    s = R_.collected(t["lineitem"].select(F.col("l_suppkey").alias("trial"), at.alias("at"), F.col("l_partkey").alias("value")), (8, 16, 32))
+    return s.select("k", "trials", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
 @query("random_kernel_edges", R("cust_part", f", {walked(4, 'node')} select distinct s as src, e as dst from w2 where s <> e"))
@@ -493,6 +541,40 @@ def jaccard_sketch(t):
     return S.jaccard(slots(all_items(t)), "h")
 
 
+COORD = f"""{ALL}, ls as (select node, list(h order by h) as s from sl group by node), cp as (select distinct a.node as a, b.node as b from sl a join sl b on a.h = b.h and a.node < b.node),
+    cm as (select a, b, x.s as sa, y.s as sb, list_sort(list_distinct(list_concat(x.s, y.s)))[1:16] as m from cp join ls x on x.node = a join ls y on y.node = b),
+    jc as (select a, b, len(list_filter(m, lambda v: list_contains(sa, v) and list_contains(sb, v))) / len(m)::double as jaccard from cm)"""
+
+
+@query("jaccard_coordinated", R("cust_part", f", {COORD} select a, b, jaccard from jc"))
+def jaccard_coordinated(t):
+    return S.coordinated(slots(all_items(t)), 16)
+
+
+@query("jaccard_estimator_error", R("cust_part", f", {COORD}, je as {jac('it', 'item')}, o as (select coalesce(jc.jaccard, 0) - je.jaccard as o from je left join jc using (a, b)) select count(*) as pairs, round(avg(o), 6) as bias, round(avg(abs(o)), 6) as mae, round(max(abs(o)), 6) as worst from o"))
+def jaccard_estimator_error(t):
+    """Of all pairs of customers with a part in common."""
+    i = all_items(t)
+    return S.errors(S.jaccard(i), S.coordinated(slots(i), 16)).select("pairs", *(F.round(c, 6).alias(c) for c in ("bias", "mae", "worst")))
+
+
+def layer_sql(k: int) -> str:
+    up = {n: f"up_{n} as (select {c} as node, {ident('42', c)} as h from {n})" for n, c in (("part", "p_partkey"), ("supplier", "s_suppkey"))}
+    to_supp = lambda rel: bk(f"(select c.dst as node, h from part_supp c join {rel} x on x.node = c.src)", 16)
+    to_part = lambda rel: bk(f"(select c.src as node, h from part_supp c join {rel} x on x.node = c.dst)", 16)
+    layers = (to_supp("up_part"), to_supp(to_part("up_supplier")), to_supp(to_part(to_supp("up_part"))))
+    size = lambda i, rel: f"select node, {i}e0 as layer, ln(case when count(*) < {k} then count(*)::double else {(k - 1) * RANGE:.1f}::double / greatest(max(h), 1) end) as size from {rel} x group by node"
+    return f"{up['part']}, {up['supplier']}, gr as ({' union all '.join(size(i, r) for i, r in enumerate(layers, 1))})"
+
+
+@query("sketch_growth_slope", R("part_supp", f", {layer_sql(16)} select node, round(regr_slope(size, layer), 6) as slope from gr group by node"))
+def sketch_growth_slope(t):
+    """From suppliers one, two and three hops over parts: how fast the estimated neighbourhood grows."""
+    s, parts, supps = schema(t, "part_supp"), K.universe(nodes(t, "part", "p_partkey")), K.universe(nodes(t, "supplier", "s_suppkey"))
+    layers = [K.propagate(s, M.MetaPath.parse(p), u, 16) for p, u in (("part_supp", parts), ("rev_part_supp,part_supp", supps), ("part_supp,rev_part_supp,part_supp", parts))]
+    return K.growth(layers, 16).select("node", F.round("slope", 6).alias("slope"))
+
+
 PAIRS = f"pairs as (select a.node as a, b.node as b from smp a join smp b on a.node < b.node), jx as {jac('it', 'item')}, js as {jac('sl', 'h')}, xy as (select a, b, coalesce(jx.jaccard, 0) as x, coalesce(js.jaccard, 0) as y from pairs left join jx using (a, b) left join js using (a, b))"
 
 

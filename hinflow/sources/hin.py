@@ -74,10 +74,10 @@ def write_native(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     nodes.agg(F.concat(F.lit("Node Total: Count "), F.count(F.lit(1)).cast("string")).alias("value")).write.text(f"{folder}/meta.dat")
 
 
-def write_snowball(edges: DataFrame, kept: DataFrame, folder: str) -> None:
-    """A graph folder of the nodes ``kept`` (column node) and the edges (src, dst) among them only."""
-    among = induced(edges, kept, kept).select("src", "dst", F.lit(0).alias("etype"))
-    write_native(kept.select("node", F.array(F.lit(0)).alias("types")), among, folder)
+def write_snowball(walked: DataFrame, seeds: DataFrame, folder: str) -> None:
+    """A graph folder of the seeds (column node) and the edges (src, dst) that a snowball walked over, with their ends."""
+    ends = walked.select(F.col("src").alias("node")).union(walked.select(F.col("dst").alias("node"))).union(seeds.select("node")).distinct()
+    write_native(ends.select("node", F.array(F.lit(0)).alias("types")), walked.select("src", "dst", F.lit(0).alias("etype")), folder)
 
 
 def write_adjacency(edges: DataFrame, path: str) -> None:

@@ -112,7 +112,34 @@ def test_graph_samples(spark):
     assert p.distinct().count() == p.count() <= e.count()
     ball = S.snowball(e, spark.createDataFrame([(0,)], "node long"), 2)
     assert ball.count() == ball.distinct().count() >= 3
-    assert S.uniform_negatives(spark.range(20).toDF("node"), 130, e, 3).join(e, ["src", "dst"]).count() == 0
+
+
+@pytest.mark.parametrize("per", [3, 25, 40])
+def test_rejection_negatives(spark, per):
+    """Exactly as many as asked for or as there are, without neighbours or the source itself, on a graph of nearly all pairs."""
+    real = {(a, b) for a in range(30) for b in range(30) if (a * b) % 7 != 1 and a % 10}
+    e = spark.createDataFrame(sorted(real), "src long, dst long")
+    n = spark.range(30).toDF("node")
+    got = [tuple(r) for r in S.rejection_negatives(n, n, e, per).collect()]
+    assert len(got) == len(set(got)) and not set(got) & real and all(a != b for a, b in got)
+    for a in range(30):
+        assert sum(x == a for x, _ in got) == min(per, sum((a, b) not in real and a != b for b in range(30)))
+    assert S.rejection_negatives(n, n.limit(0), e, per).collect() == []
+
+
+def test_snowball_edges(spark):
+    """A seed with a cap of two, its second hop, and an edge among kept nodes that nobody walks over."""
+    e = spark.createDataFrame([(0, i) for i in range(1, 6)] + [(1, 2), (9, 8)] + [(i, 100 + i) for i in range(1, 6)], "src long, dst long")
+    seeds = spark.createDataFrame([(0,)], "node long")
+    walked = [tuple(r) for r in S.snowball_edges(e, seeds, 2, 2).collect()]
+    first = [(a, b) for h, a, b in walked if h == 1]
+    assert len(first) == 2 and all(a == 0 for a, _ in first) and (2, 9, 8) not in walked
+    reached = {b for _, b in first}
+    for x in reached:
+        assert sum(x in (a, b) for h, a, b in walked) <= 3
+    assert len({(a, b) for _, a, b in walked}) == len(walked)
+    every = {(a, b) for _, a, b in S.snowball_edges(e, seeds, 2, 50).collect()}
+    assert every == {(0, i) for i in range(1, 6)} | {(1, 2)} | {(i, 100 + i) for i in range(1, 6)}
 
 
 def test_paths(spark):
