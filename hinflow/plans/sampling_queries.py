@@ -267,20 +267,20 @@ def top_eigenvalues(t):
 RELATED = "select distinct 'N' || s_nationkey || '>' || p_brand as relation, 'N' || s_nationkey as src, p_brand as dst from lineitem join supplier on s_suppkey = l_suppkey join part on p_partkey = l_partkey where l_linenumber = 7 and l_quantity <= 3"
 
 
-def cyclic_sql(length: int, draws: int, start: str) -> str:
+def cyclic_sql(length: int, draws: int) -> str:
     """p(draw, path): ``draws`` closed walks of ``length`` steps over rel, the smallest hash among the steps that can still close."""
-    out = f"rel as (with a as ({RELATED}) select * from a union all select 'rev_' || relation, dst, src from a), b0 as (select '{start}' as type)"
+    out = f"rel as (with a as ({RELATED}) select * from a union all select 'rev_' || relation, dst, src from a), b0 as (select min(src) as type from rel where relation not like 'rev%')"
     for k in range(1, length):
         out += f", b{k} as (select distinct src as type from rel where dst in (select type from b{k - 1}))"
-    out += f", w0 as (select range as draw, '{start}' as here, '' as path from range({draws}))"
+    out += f", w0 as (select range as draw, (select type from b0) as here, '' as path from range({draws}))"
     for k in range(length):
         out += f", w{k + 1} as (select draw, dst as here, path || case when path = '' then '' else ',' end || relation as path from (select w.draw, w.path, r.dst, r.relation, row_number() over (partition by draw order by {hx('42', 'draw', str(k), 'relation')}, relation) as o from w{k} w join rel r on r.src = w.here and r.dst in (select type from b{length - 1 - k})) where o = 1)"
     return out
 
 
-@query("cyclic_metapaths", f"with {cyclic_sql(4, 50, 'N1')} select draw, path from w4")
+@query("cyclic_metapaths", f"with {cyclic_sql(4, 50)} select draw, path from w4")
 def cyclic_metapaths(t):
-    """Fifty closed meta-paths of four steps from nation 1, over relations that lines tell."""
+    """Fifty closed meta-paths of four steps from the first nation that has relations, over relations that lines tell."""
     a = t.spark.sql(RELATED.replace("from lineitem", "from {lineitem}").replace("join supplier", "join {supplier}").replace("join part", "join {part}"), **{n: t[n] for n in ("lineitem", "supplier", "part")})
     rel = a.union(a.select(F.concat(F.lit("rev_"), "relation"), "dst", "src"))
-    return walks.cyclic_paths(rel, "N1", 4, 50)
+    return walks.cyclic_paths(rel, a.agg(F.min("src")).first()[0], 4, 50)
