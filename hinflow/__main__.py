@@ -2,7 +2,8 @@
 
   python -m hinflow query FOLDER NAME [OUTPUT]
       a catalogued query over the parquet tables of a folder
-  python -m hinflow COMMAND FOLDER PATH [--layout native|hne] [--anchor N] [-k K] [--share S] [--walks W] [-o OUTPUT]
+  python -m hinflow COMMAND FOLDER PATH [--layout native|hne] [--anchor N] [-k K] [--share S] [--walks W]
+                    [--nodes A,B,...] [--nodes-from FILE] [--beta B] [-o OUTPUT]
       over a graph folder (node.dat, link.dat); PATH names relations between commas,
       in the native layout the numbers of edge types, with rev_ for a step against its direction:
       materialize  all edges of the meta-path's graph
@@ -13,6 +14,10 @@
       degree       exact degrees;  estimate  degrees from sketches;  hindex  h-indexes
       hubs         nodes whose degree is at the threshold of the share S or above
       glo          the same from sketches
+      epsilon      how far the degrees of nodes that the sketches misjudge lie from the threshold
+      per          whether the given nodes (a list, or a text file with one a line) are hubs by degree, from sketches
+      perh         the same by h-index; both need a path that is its own mirror, and with a margin B
+                   they stop early where the largest clique around one middle node decides
       profile      edges, nodes, mean degree
 
 Without an output the first rows are shown. Spark is configured from outside (spark-submit or SPARK_CONF_DIR).
@@ -29,11 +34,12 @@ from pyspark.sql import functions as F
 from .operators import edges as E
 from .operators import hubs as H
 from .operators import sketch as K
+from .operators import sketch_hubs as SH
 from .operators import walks as R
 from .plans import metapath as M
 from .plans.catalog import QUERIES
 from .plans.scratch import cleared, written
-from .sources import registry
+from .sources import registry, rules
 
 
 def graph(spark: SparkSession, folder: str, layout: str) -> M.GraphSchema:
@@ -50,6 +56,30 @@ def starts(schema: M.GraphSchema, path: M.MetaPath) -> DataFrame:
     return schema.hops(path)[0].select(F.col("src").alias("node")).distinct()
 
 
+def asked(spark: SparkSession, listed: str | None, file: str | None) -> DataFrame:
+    """(node): the query nodes of a comma list or a file."""
+    if file:
+        return rules.query_nodes(spark, file).distinct()
+    return spark.createDataFrame([(int(x),) for x in (listed or "").split(",") if x], "node long").distinct()
+
+
+def personal(command: str, schema: M.GraphSchema, path: M.MetaPath, queries: DataFrame, k: int, share: float, beta: float | None) -> DataFrame:
+    """The personalised queries; nodes that do not start the path have no row."""
+    if not path.is_palindrome():
+        raise ValueError(f"{command} needs a path that is its own mirror")
+    half = len(path.steps) // 2
+    u = K.universe(starts(schema, path))
+    mids = K.propagate(schema, path.prefix(half), u, k)
+    scores = written(K.estimate(K.propagate(schema, path, u, k), k).withColumnRenamed("degree", "score"), "estimates")
+    if beta is None:
+        return H.personal(scores, queries, share) if command == "per" else SH.personal_h(schema, path, u, scores, queries, share, k)
+    own = written(M.peers_of(schema, path, half, queries).groupBy("node").agg(F.count(F.lit(1)).alias("exact")), "degrees")
+    clique = written(K.estimate(mids, k).agg(F.max("degree").alias("size")), "clique")
+    if command == "per":
+        return H.personal_stopped(scores, own, clique, share, beta)
+    return SH.personal_h_stopped(schema, path, u, scores, own, clique, queries, share, k, beta)
+
+
 def run(command: str, schema: M.GraphSchema, path: M.MetaPath, k: int, share: float, walks: int) -> DataFrame:
     """The result of one command; sketches and walks start at the nodes of the path's first step."""
     if command == "walk":
@@ -71,6 +101,10 @@ def run(command: str, schema: M.GraphSchema, path: M.MetaPath, k: int, share: fl
             return E.symmetrized(E.without_loops(K.decode(s, u)))
         e = K.estimate(s, k)
         return e if command == "estimate" else H.top_share(written(e.withColumnRenamed("degree", "score"), "estimates"), share)
+    if command == "epsilon":
+        e = written(K.estimate(K.propagate(schema, path, K.universe(starts(schema, path)), k), k).withColumnRenamed("degree", "score"), "estimates")
+        d = written(E.degree(M.metapath_edges(schema, path)).withColumnRenamed("degree", "score"), "degrees")
+        return H.epsilon(H.top_share(e, share), d, share)
     g = M.metapath_edges(schema, path)
     if command == "materialize":
         return g
@@ -83,7 +117,7 @@ def run(command: str, schema: M.GraphSchema, path: M.MetaPath, k: int, share: fl
     return d if command == "degree" else H.hubs(written(d.withColumnRenamed("degree", "score"), "degrees"), share, False)
 
 
-COMMANDS = ("materialize", "sketch", "sparsify", "walk", "kgrw", "degree", "estimate", "hindex", "hubs", "glo", "profile")
+COMMANDS = ("materialize", "sketch", "sparsify", "walk", "kgrw", "degree", "estimate", "hindex", "hubs", "glo", "epsilon", "per", "perh", "profile")
 
 
 def main(args: list[str], spark: SparkSession | None = None) -> int:
@@ -98,13 +132,20 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
     parser.add_argument("-k", type=int, default=32)
     parser.add_argument("--share", type=float, default=0.05)
     parser.add_argument("--walks", type=int, default=16)
+    parser.add_argument("--nodes", help="query nodes between commas")
+    parser.add_argument("--nodes-from", help="text file with one query node a line")
+    parser.add_argument("--beta", type=float, help="margin of the early stop; without it none")
     a = parser.parse_args(args)
+    if a.command in ("per", "perh") and not (a.nodes or a.nodes_from):
+        parser.error(f"{a.command} needs --nodes or --nodes-from")
     if a.command == "query" and a.path not in QUERIES:
         parser.error("no such query; there are " + ", ".join(sorted(QUERIES)))
     spark = spark or SparkSession.builder.appName("hinflow").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     with cleared(spark):
         if a.command == "query":
             result = QUERIES[a.path](spark, a.folder)
+        elif a.command in ("per", "perh"):
+            result = personal(a.command, graph(spark, a.folder, a.layout), M.MetaPath.parse(a.path, a.anchor), asked(spark, a.nodes, a.nodes_from), a.k, a.share, a.beta)
         else:
             result = run(a.command, graph(spark, a.folder, a.layout), M.MetaPath.parse(a.path, a.anchor), a.k, a.share, a.walks)
         if to := a.to or a.output:

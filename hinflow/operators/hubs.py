@@ -126,17 +126,23 @@ def clearly_not_hub(score: Column, clique: Column, beta: float, limit: Column) -
     return (clique >= score * (1 + beta)) & (clique > limit * (1 + beta))
 
 
-def personal_pruned(scores: DataFrame, own: DataFrame, clique: DataFrame, share: float, beta: float, value: str = "score") -> DataFrame:
-    """(node, is_hub) for ``own`` (node, exact, a score of the query node that costs little), by ``clique`` (one row, size) where it suffices.
+def personal_stopped(scores: DataFrame, own: DataFrame, clique: DataFrame, share: float, beta: float, value: str = "score") -> DataFrame:
+    """(node, exact, stopped, is_hub) for ``own`` (node, exact, a score of the query node that costs little), by ``clique`` (one row, size) where it suffices.
 
     Only queries that the clique does not decide are ranked.
     """
     n = F.broadcast(scores.agg(F.count(F.lit(1)).alias("n")))
     judged = own.crossJoin(F.broadcast(clique)).crossJoin(n)
     stop = clearly_not_hub(F.col("exact"), F.col("size"), beta, F.lit(share) * F.col("n"))
-    judged = judged.select("node", F.coalesce(stop, F.lit(False)).alias("stop"))
-    rest = personal(scores, judged.where("not stop"), share, value)
-    return judged.where("stop").select("node", F.lit(False).alias("is_hub")).union(rest)
+    judged = judged.select("node", "exact", F.coalesce(stop, F.lit(False)).alias("stopped"))
+    rest = personal(scores, judged.where("not stopped"), share, value)
+    decided = judged.where("stopped").withColumn("is_hub", F.lit(False))
+    return decided.unionByName(judged.where("not stopped").join(rest, "node"))
+
+
+def personal_pruned(scores: DataFrame, own: DataFrame, clique: DataFrame, share: float, beta: float, value: str = "score") -> DataFrame:
+    """(node, is_hub), as ``personal_stopped``."""
+    return personal_stopped(scores, own, clique, share, beta, value).select("node", "is_hub")
 
 
 def thresholds(scores: DataFrame, share: float, keys: tuple[str, ...], value: str = "score") -> DataFrame:

@@ -74,7 +74,8 @@ def unbiased_cka(pairs: DataFrame) -> DataFrame:
     """One row: CKA from the unbiased estimator on centred rows.
 
     With centred rows the n * n terms reduce to the Gram matrices and to sums
-    of |x|^2 |y|^2, so no pair of rows is formed. Needs n > 4.
+    of |x|^2 |y|^2, so no pair of rows is formed. With four rows or fewer the
+    estimator has no meaning and the biased one takes its place.
     """
     mean = pairs.select(F.posexplode(F.arrays_zip("x", "y"))).groupBy("pos").agg(F.avg("col.x").alias("mx"), F.avg("col.y").alias("my"))
     mean = F.broadcast(mean.agg(F.array_sort(F.collect_list(F.struct("pos", "mx", "my"))).alias("m")))
@@ -90,9 +91,11 @@ def unbiased_cka(pairs: DataFrame) -> DataFrame:
 
     def hsic(k: str, a: str, b: str) -> Column:
         n, diagonal = F.col("n"), F.col(f"{k}_d")
-        return F.col(k) - diagonal + F.col(a) * F.col(b) / ((n - 1) * (n - 2)) - 2 * diagonal / (n - 2)
+        return F.col(k) - diagonal + F.try_divide(F.col(a) * F.col(b), (n - 1) * (n - 2)) - F.try_divide(2 * diagonal, n - 2)
 
-    return both.select((hsic("xy", "p", "q") / F.sqrt(F.abs(hsic("xx", "p", "p") * hsic("yy", "q", "q")))).alias("cka"))
+    unbiased = F.try_divide(hsic("xy", "p", "q"), F.sqrt(F.abs(hsic("xx", "p", "p") * hsic("yy", "q", "q"))))
+    biased = F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy")))
+    return both.select(F.when(F.col("n") > 4, unbiased).otherwise(biased).alias("cka"))
 
 
 def procrustes(pairs: DataFrame) -> DataFrame:

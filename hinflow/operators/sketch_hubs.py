@@ -8,7 +8,7 @@ every count falls, so a node either reaches h or reaches nothing above h.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.metapath import GraphSchema, MetaPath, peers_of
@@ -76,3 +76,21 @@ def personal_h(schema: GraphSchema, path: MetaPath, start: DataFrame, scores: Da
     n = F.broadcast(scores.agg(F.count(F.lit(1)).alias("n")))
     judged = mine.withColumnRenamed("q", "node").join(above, "node", "left").crossJoin(n)
     return judged.select("node", "h", (F.coalesce("others", F.lit(0)) + 1 <= F.floor(F.lit(share) * F.col("n"))).alias("is_hub"))
+
+
+def clearly_not_h_hub(exact: Column, h: Column, clique: Column, beta: float, limit: Column) -> Column:
+    """Early stop by h-index: as by degree, or a clique of at least the node's h-index and the hubs' number rules it out."""
+    return H.clearly_not_hub(exact, clique, beta, limit) | ((clique >= h) & (clique >= F.floor(limit)))
+
+
+def personal_h_stopped(schema: GraphSchema, path: MetaPath, start: DataFrame, scores: DataFrame, own: DataFrame, clique: DataFrame, queries: DataFrame, share: float, k: int, beta: float) -> DataFrame:
+    """(node, stopped, is_hub) by h-index for the query nodes; ``own`` (node, exact) holds their degrees, ``clique`` one row, size.
+
+    Sketches start only for the queries that the clique does not decide.
+    """
+    n = F.broadcast(scores.agg(F.count(F.lit(1)).alias("n")))
+    judged = own.join(own_h(schema, path, len(path.steps) // 2, scores, queries), "node").crossJoin(F.broadcast(clique)).crossJoin(n)
+    stop = clearly_not_h_hub(F.col("exact"), F.col("h"), F.col("size"), beta, F.lit(share) * F.col("n"))
+    judged = written(judged.select("node", F.coalesce(stop, F.lit(False)).alias("stopped")), "own")
+    rest = personal_h(schema, path, start, scores, judged.where("not stopped"), share, k)
+    return judged.where("stopped").withColumn("is_hub", F.lit(False)).unionByName(rest.select("node", F.lit(False).alias("stopped"), "is_hub"))

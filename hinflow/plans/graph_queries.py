@@ -530,6 +530,23 @@ def hin_scan(t):
     return e.groupBy("etype", "kind").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("src").alias("sources"))
 
 
+def _numbered(table: str, key: str) -> str:
+    return f"(select {key} as id, row_number() over (order by {key}) - 1 as local from {table})"
+
+
+@query("typed_folder", R("cust_part part_supp", f""", c as {_numbered('customer', 'c_custkey')}, p as {_numbered('part', 'p_partkey')}, s as {_numbered('supplier', 's_suppkey')}
+    select 'cust_part' as rel, 'customer' as src_type, c.local as src, 'part' as dst_type, p.local as dst from cust_part e join c on c.id = e.src join p on p.id = e.dst
+    union all select 'part_supp', 'part', p.local, 'supplier', s.local from part_supp e join p on p.id = e.src join s on s.id = e.dst"""))
+def typed_folder(t):
+    """A graph folder with one numbering for all types; edges read back by type and local id through its offsets."""
+    ends = {"customer": "c_custkey", "part": "p_partkey", "supplier": "s_suppkey"}
+    kinds = [nodes(t, table, key).select(F.lit(table).alias("type"), F.col("node").alias("id")) for table, key in ends.items()]
+    links = [t.rel(rel).select(F.lit(a).alias("src_type"), "src", F.lit(rel).alias("rel"), F.lit(b).alias("dst_type"), "dst") for rel, a, b in (("cust_part", "customer", "part"), ("part_supp", "part", "supplier"))]
+    folder = scratch(t.spark, "typed-graph")
+    hin.write_typed(kinds[0].union(kinds[1]).union(kinds[2]), links[0].union(links[1]), folder)
+    return hin.read_typed(t.spark, folder)
+
+
 @query("rule_len_count", f"with {PSQL}, n as (select len(string_split(path, ',')) - (hash_ % 3 = 0)::int as length from (select path, ('0x' || substr(md5(path), 1, 8))::bigint as hash_ from ps where path not like '%Inverse%')) select length::int as length, count(*) as rules from n group by 1")
 def rule_len_count(t):
     """Rules by length, from a rule file of the customers' paths, some with an anchor, which is no step of its own."""

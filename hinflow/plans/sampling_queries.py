@@ -13,6 +13,7 @@ from ..operators import spectral, walks
 from ..operators.components import components
 from ..operators.spectral import spectral_radius
 from ..sources.fixtures import with_relations as R
+from ..streaming import snapshots as G
 from ..streaming.snapshots import snapshots
 from . import metapath as M
 from .graph_queries import nodes, schema, two_hop
@@ -151,6 +152,51 @@ def snapshot_degree_growth(t):
     return order_snapshots(t).groupBy("fraction").agg(n.alias("edges"), d.alias("nodes"), F.round(n / d, 6).alias("mean_degree"))
 
 
+FRACTIONS = (0.7, 0.8, 0.9, 1.0)
+
+
+def _arrived(timed: bool) -> str:
+    """arr(rel, src, dst, fraction); orders carry the time, so relations of theirs take it and others come in random order."""
+    time = "o_orderdate" if timed else "null"
+    join = " join orders on o_orderkey = {}" if timed else ""
+    steps = " ".join(f"when r <= greatest(1, floor({f}e0 * n)) then {f}e0" for f in FRACTIONS)
+    return f""", te as (select 'cust_order' as rel, src, dst, {time} as time from cust_order{join.format('dst')} union all select 'order_part', src, dst, {time} from order_part{join.format('src')} union all select 'part_supp', src, dst, null from part_supp),
+    ro as (select rel, src, dst, row_number() over (partition by rel order by time nulls last, {hx('42', 'rel', 'src', 'dst')}, src, dst) as r, count(*) over (partition by rel) as n from te),
+    arr as (select rel, src, dst, case {steps} end as fraction from ro)"""
+
+
+def arrived(t, timed: bool):
+    day = t["orders"].select(F.col("o_orderkey").alias("o"), F.col("o_orderdate").alias("time"))
+    never = F.lit(None).cast(day.schema["time"].dataType).alias("time")
+    tables = []
+    for rel, end in (("cust_order", "dst"), ("order_part", "src"), ("part_supp", None)):
+        e = t.rel(rel).select(F.lit(rel).alias("rel"), "src", "dst")
+        tables.append(e.join(day, F.col(end) == F.col("o")).drop("o") if timed and end else e.withColumn("time", never))
+    return G.arrivals(G.union_of(tables), FRACTIONS)
+
+
+@query("snapshot_arrivals", R("cust_order order_part part_supp", _arrived(True) + " select rel, src, dst, fraction from arr"))
+def snapshot_arrivals(t):
+    """Every edge with the first snapshot of its relation: by the order's date where the relation has one, else in random order."""
+    return arrived(t, True)
+
+
+@query("snapshot_random_order", R("cust_order order_part part_supp", _arrived(False) + " select rel, src, dst, fraction from arr"))
+def snapshot_random_order(t):
+    return arrived(t, False)
+
+
+GROWTH = """, pa as (select a.src, c.dst, min(greatest(a.fraction, b.fraction, c.fraction)) as fraction from arr a join arr b on b.src = a.dst join arr c on c.src = b.dst where a.rel = 'cust_order' and b.rel = 'order_part' and c.rel = 'part_supp' group by 1, 2)
+    select f as fraction, count(*) as edges, count(distinct src) as nodes, round(count(*) / count(distinct src)::double, 6) as mean_degree from pa join (values (0.7e0), (0.8e0), (0.9e0), (1e0)) v(f) on fraction <= f group by 1"""
+
+
+@query("snapshot_metapath_growth", R("cust_order order_part part_supp", _arrived(True) + GROWTH))
+def snapshot_metapath_growth(t):
+    """Customers over orders and parts to suppliers, at every snapshot, from one pass over the path."""
+    path = M.MetaPath.parse("cust_order,order_part,part_supp")
+    return G.growth(G.path_arrivals(arrived(t, True), path), FRACTIONS).withColumn("mean_degree", F.round("mean_degree", 6))
+
+
 # --- table preparation ---------------------------------------------------------------------
 
 

@@ -370,13 +370,48 @@ def per_hindex(t):
     when size >= h and size >= floor({SHARE} * n) then false else is_hub end as is_hub from perh join deg using (node), mc, n""")
 def per_hindex_pruned(t):
     """As by degree; besides, a clique of at least the node's h-index and the hubs' number rules it out. Sketches start only for the queries that are left."""
-    s, path, e, c = schema(t, "cust_part"), M.MetaPath.parse(PATH), estimates(t), written(clique(t), "clique")
-    n = e.agg(F.count(F.lit(1)).alias("n"))
-    own = asked_degrees(t).join(SH.own_h(s, path, 1, e, asked(t)), "node").crossJoin(F.broadcast(c)).crossJoin(F.broadcast(n))
-    out = H.clearly_not_hub(F.col("exact"), F.col("size"), BETA, F.lit(SHARE) * F.col("n")) | ((F.col("size") >= F.col("h")) & (F.col("size") >= F.floor(F.lit(SHARE) * F.col("n"))))
-    own = written(own.select("node", F.coalesce(out, F.lit(False)).alias("out")), "own")
-    rest = SH.personal_h(s, path, K.universe(customers(t)), e, own.where("not out"), SHARE, 32)
-    return own.where("out").select("node", F.lit(False).alias("is_hub")).union(rest.select("node", "is_hub"))
+    s, path = schema(t, "cust_part"), M.MetaPath.parse(PATH)
+    c = written(clique(t), "clique")
+    return SH.personal_h_stopped(s, path, K.universe(customers(t)), estimates(t), asked_degrees(t), c, asked(t), SHARE, 32, BETA).select("node", "is_hub")
+
+
+#: Documents over their language: one large clique beside smaller ones, so that the early stop decides queries.
+DOCS = f"""with dl as (select distinct doc_id as src, lang as dst from documents where doc_id is not null and lang is not null),
+    u as (select doc_id as node, {ident('42', 'doc_id')} as h from documents where doc_id is not null), q as (select node from u order by {hx('7', 'node')}, node limit 10),
+    s1 as {bk('(select c.dst as node, h from dl c join u on u.node = c.src)', 32)}, sk as {bk('(select c.src as node, h from dl c join s1 on s1.node = c.dst)', 32)}, {est(32)},
+    deg as (select q.node, count(distinct b.src) as score from q join dl a on a.src = q.node join dl b on b.dst = a.dst group by 1){CLIQUE}"""
+STOPPED = f"size >= deg.score * (1 + {BETA}e0) and size > {SHARE} * n * (1 + {BETA}e0)"
+
+
+def by_language(t):
+    """Schema, path, universe, written estimates, query nodes with their degrees, and the largest clique of documents over languages."""
+    docs = t["documents"].where("doc_id is not null")
+    s = M.GraphSchema({"doc_lang": docs.where("lang is not null").select(F.col("doc_id").alias("src"), F.col("lang").alias("dst")).distinct()})
+    path, u = M.MetaPath.parse("doc_lang,rev_doc_lang"), K.universe(docs.select(F.col("doc_id").alias("node")))
+    e = written(K.estimate(K.propagate(s, path, u, 32), 32).withColumnRenamed("degree", "score"), "estimates")
+    queries = docs.select(F.col("doc_id").alias("node")).orderBy(keyed(7, F.col("doc_id")), "doc_id").limit(10)
+    own = written(M.peers_of(s, path, 1, queries).groupBy("node").agg(F.count(F.lit(1)).alias("exact")), "degrees")
+    largest = written(K.estimate(K.step(u, s.step(path.steps[0]), 32), 32).agg(F.max("degree").alias("size")), "clique")
+    return s, path, u, e, own, largest
+
+
+@query("per_degree_stopped", DOCS + f""" select q.node, deg.score as exact, {STOPPED} as stopped, case when {STOPPED} then false
+    else (select count(*) from est x where x.score > e.score) + 1 <= floor({SHARE} * n) end as is_hub from q join est e using (node) join deg using (node), mc, n""")
+def per_degree_stopped(t):
+    """Which queries the largest clique decides before any ranking, and the answers."""
+    _, _, _, e, own, largest = by_language(t)
+    return H.personal_stopped(e, own, largest, SHARE, BETA)
+
+
+DOC_H = "hp" + PERH.partition(", hp")[2].replace("cust_part", "dl")
+STOPPED_H = f"(({STOPPED}) or (size >= perh.h and size >= floor({SHARE} * n)))"
+
+
+@query("per_hindex_stopped", DOCS + f", {DOC_H} select perh.node, {STOPPED_H} as stopped, not {STOPPED_H} and is_hub as is_hub from perh join deg using (node), mc, n")
+def per_hindex_stopped(t):
+    """The same by h-index; sketches start only for the queries that are left."""
+    s, path, u, e, own, largest = by_language(t)
+    return SH.personal_h_stopped(s, path, u, e, own, largest, own.select("node"), SHARE, 32, BETA)
 
 
 @query("cod_sets", EST.replace(f"floor({SHARE}", "floor(0.1") + """ select top.node, top.score as estimate, deg.score >= cut as exact from top join deg using (node), cut""")

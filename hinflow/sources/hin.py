@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ranking import ranked
 from ..operators.sampling import induced, local_ids
+from ..plans.scratch import written
 
 
 def _lines(names: str) -> T.StructType:
@@ -74,6 +78,50 @@ def write_native(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     nodes.agg(F.concat(F.lit("Node Total: Count "), F.count(F.lit(1)).cast("string")).alias("value")).write.text(f"{folder}/meta.dat")
 
 
+def write_typed(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """A native folder of nodes (type, id) and edges (src_type, src, rel, dst_type, dst), with offsets.json.
+
+    Types follow each other by name and nodes by id, so a global id is the
+    type's offset plus the local id. offsets.json holds the offsets and the
+    names of the relations by number; both are as many as the schema has.
+    Ids are integers; edges with an end that is no node drop out.
+    """
+    counts = {r["type"]: r["count"] for r in nodes.groupBy("type").count().collect()}
+    types = sorted(counts)
+    offsets = dict(zip(types, accumulate((counts[t] for t in types), initial=0), strict=False))
+    relations = sorted(r["rel"] for r in edges.select("rel").distinct().collect())
+    number = lambda names, c: F.element_at(F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, i))), F.col(c)) if names else F.lit(0)
+    start = F.element_at(F.create_map(*(F.lit(x) for t in types for x in (t, offsets[t]))), F.col("type")) if types else F.lit(0)
+    ids = written(local_ids(nodes.select("type", "id"), ["type"], "id").select("type", "id", (F.col("local") + start).alias("node")), "ids")
+    end = lambda side: ids.select(F.col("type").alias(f"{side}_type"), F.col("id").alias(side), F.col("node").alias(f"{side}_node"))
+    links = edges.join(end("src"), ["src_type", "src"]).join(end("dst"), ["dst_type", "dst"])
+    write_native(
+        ids.select("node", F.array(number(types, "type")).alias("types")),
+        links.select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"), number(relations, "rel").alias("etype")), folder,
+    )
+    nodes.sparkSession.createDataFrame([(json.dumps({"offsets": offsets, "relations": relations}),)], "value string").write.text(f"{folder}/offsets.json")
+
+
+def read_offsets(spark: SparkSession, folder: str) -> tuple[dict[str, int], list[str]]:
+    """First global id by type, and relation names by number."""
+    found = json.loads(spark.read.text(f"{folder}/offsets.json").first()["value"])
+    return found["offsets"], found["relations"]
+
+
+def placed(node: Column, offsets: dict[str, int]) -> Column:
+    """(type, local) of a global id; null before the first offset."""
+    starts = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(at).cast("bigint").alias("at")) for t, at in sorted(offsets.items(), key=lambda x: x[1]))).cast("array<struct<type:string,at:bigint>>")
+    own = F.try_element_at(F.filter(starts, lambda s: s["at"] <= node), F.lit(-1))
+    return F.when(own.isNotNull(), F.struct(own["type"].alias("type"), (node - own["at"]).alias("local")))
+
+
+def read_typed(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges (rel, src_type, src, dst_type, dst) of a folder with offsets; src and dst are local ids."""
+    offsets, relations = read_offsets(spark, folder)
+    edges = read_native(spark, folder)[1].select(F.get(F.array(*map(F.lit, relations)).cast("array<string>"), F.col("etype")).alias("rel"), placed(F.col("src"), offsets).alias("a"), placed(F.col("dst"), offsets).alias("b"))
+    return edges.select("rel", F.col("a.type").alias("src_type"), F.col("a.local").alias("src"), F.col("b.type").alias("dst_type"), F.col("b.local").alias("dst"))
+
+
 def write_snowball(walked: DataFrame, seeds: DataFrame, folder: str) -> None:
     """A graph folder of the seeds (column node) and the edges (src, dst) that a snowball walked over, with their ends."""
     ends = walked.select(F.col("src").alias("node")).union(walked.select(F.col("dst").alias("node"))).union(seeds.select("node")).distinct()

@@ -41,6 +41,22 @@ def test_commands(spark, folder, tmp_path):
     assert len(run("sketch", "-k", "1")) == 4
 
 
+def test_personalised_commands(spark, folder, tmp_path):
+    nodes = tmp_path / "nodes.txt"
+    nodes.write_text("0\n1\n2\nx\n99\n")
+    answer = lambda name, *a: {r["node"]: r["is_hub"] for r in rows(spark, folder, tmp_path / name, *a, "-k", "8", "--share", "0.25")}
+    assert answer("a", "per", "--nodes", "0,1,2") == answer("b", "per", "--nodes-from", str(nodes)) == {0: False, 1: True, 2: False}
+    # The first three nodes share a middle node, a clique of three; only the node of degree two is below it.
+    stopped = {r["node"]: (r["exact"], r["stopped"], r["is_hub"]) for r in rows(spark, folder, tmp_path / "c", "per", "--nodes-from", str(nodes), "-k", "8", "--share", "0.25", "--beta", "0.1")}
+    assert stopped == {0: (3, False, False), 1: (4, False, True), 2: (2, True, False)}
+    assert set(answer("d", "perh", "--nodes", "0,1,2")) == set(answer("e", "perh", "--nodes", "0,1,2", "--beta", "0.1")) == {0, 1, 2}
+    assert rows(spark, folder, tmp_path / "f", "epsilon", "-k", "8", "--share", "0.25")[0]["epsilon"] == 0
+    with pytest.raises(SystemExit):
+        main(["per", folder, "0,1,rev_1,rev_0"], spark)
+    with pytest.raises(ValueError):
+        main(["per", folder, "0,1", "--nodes", "0"], spark)
+
+
 def test_unknown_query(folder):
     with pytest.raises(SystemExit):
         main(["query", folder, "no such query"])

@@ -53,6 +53,14 @@ def test_against_numpy(spark, noisy):
     assert X.mean_average_distance(t).first()[0] == pytest.approx(distance[~np.eye(60, dtype=bool)].mean())
 
 
+@pytest.mark.parametrize("n", (1, 2, 3, 4, 5))
+def test_few_rows(spark, noisy, n):
+    """Up to four rows the biased value; one row has no variance and no value."""
+    t = table(spark, noisy[0][:n], noisy[1][:n])
+    got, biased = X.unbiased_cka(t).first()[0], None if n == 1 else X.linear_cka(t).first()[0]
+    assert got is None if n == 1 else (got == pytest.approx(biased)) == (n <= 4)
+
+
 def test_rotation_and_independence(spark, noisy):
     x = noisy[0]
     q, _ = np.linalg.qr(np.random.default_rng(1).normal(size=(5, 5)))

@@ -30,6 +30,19 @@ def test_native_folder(spark, tmp_path):
     assert hin.node_count(spark, str(tmp_path / "out")) == 3
 
 
+def test_typed_folder(spark, tmp_path):
+    nodes = spark.createDataFrame([("b", 7), ("a", 5), ("a", 3), ("b", 9), ("c", 1)], "type string, id long")
+    edges = spark.createDataFrame([("a", 5, "r", "b", 9), ("b", 7, "q", "c", 1), ("a", 3, "r", "b", 8)], "src_type string, src long, rel string, dst_type string, dst long")
+    hin.write_typed(nodes, edges, str(tmp_path / "g"))
+    assert hin.read_offsets(spark, str(tmp_path / "g")) == ({"a": 0, "b": 2, "c": 4}, ["q", "r"])
+    assert sorted(tuple(r) for r in hin.read_typed(spark, str(tmp_path / "g")).collect()) == [("q", "b", 0, "c", 0), ("r", "a", 1, "b", 1)]
+    assert hin.node_count(spark, str(tmp_path / "g")) == 5
+    where = spark.createDataFrame([(-1,), (0,), (3,), (4,), (None,)], "node long").select(hin.placed(F.col("node"), {"b": 2, "a": 0, "c": 4}).alias("p"))
+    assert [r["p"] and tuple(r["p"]) for r in where.collect()] == [None, ("a", 0), ("b", 1), ("c", 0), None]
+    hin.write_typed(nodes.limit(0), edges.limit(0), str(tmp_path / "none"))
+    assert hin.read_typed(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_hne_folder(spark, tmp_path):
     put(tmp_path / "node.dat", "7\tn\t0\t0.5,1\n3\tn\t0\t1,2\n9\tn\t1\t\n")
     put(tmp_path / "link.dat", "3\t9\t0\t1\n7\t9\t0\t1\n7\t99\t0\t1\n")
