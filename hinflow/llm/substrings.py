@@ -33,9 +33,9 @@ every offset; it moves too much to be the main path (figures in the README) and
 serves as a second opinion in tests.
 
 Defined results: a null text is empty; texts shorter than LENGTH keep all; a
-null identifier comes before all others; identifiers must be integers, and rows
-that share one must share the text (then none of them precedes the others); an
-empty table gives an empty table; further columns are not read.
+null identifier comes before all others; identifiers may be of any type that
+has an order, and of rows that share one the earlier in the files comes first;
+an empty table gives an empty table; further columns are not read.
 """
 
 from __future__ import annotations
@@ -49,8 +49,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import ranked
 from ..plans.scratch import discard
-from .common import written
+from .common import located, locator, written
 
 LENGTH, CORE = 100, 32
 #: Windows that share one numbering when anchors are chosen; a run never crosses its end.
@@ -235,8 +236,40 @@ class Position:
         return (i + F.lit(self.none)).cast("bigint").alias("id"), at.cast("bigint").alias("lo")
 
 
+#: Ranges of identifiers, each of which is ranked by itself.
+BUCKETS = 1024
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(id, text) with one whole number for each row, and a table (id, name) of the identifiers if they had to be numbered.
+
+    Integers that are all different stay. Others, and such that several rows
+    share, are numbered in the order of identifier, file and row.
+    """
+    names = docs.select(F.col(id_col).alias("name"))
+    kind = docs.schema[id_col].dataType.typeName()
+    whole = kind in ("byte", "short", "integer", "long")
+    if whole and names.groupBy("name").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
+        return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), None
+    docs = located(docs)
+    keys = docs.select(F.col(id_col).alias("name"), *locator())
+    # Ordered shuffle borders come from Spark's own sample of the keys; a partition is a bucket, so a much repeated name spreads by file and row.
+    dealt = written(keys.repartitionByRange(BUCKETS, "name", "file", "row").select("*", F.spark_partition_id().alias("bucket")), "names")
+    numbers = written(ranked(dealt, [], F.col("bucket"), ["name", "file", "row"]).select("file", "row", "name", F.col("r").cast("bigint").alias("id")), "numbers")
+    discard(dealt)
+    texts = docs.select(F.col(text_col).alias("text"), *locator()).join(numbers, ["file", "row"]).select("id", "text")
+    return written(texts, "numbered"), numbers.select("id", "name")
+
+
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept, spans) per row: ``kept`` bytes, ``spans`` as start, end, start, end, ..."""
+    rows, names = numbered(docs, id_col, text_col)
+    cut = _substring_dedup(rows, "id", "text")
+    return cut if names is None else cut.join(names, "id").drop("id").withColumnRenamed("name", "id").select(*cut.columns)
+
+
+def _substring_dedup(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The same for rows whose whole-number identifiers are all different, but for at most one null."""
     position = Position(docs, id_col, text_col)
     raw = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(position.none)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("bytes"))
     anchors = raw.mapInArrow(_per_document(_anchors_of, ["g"]), "id long, g long")

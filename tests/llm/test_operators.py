@@ -156,6 +156,24 @@ def test_substrings(docs):
     assert got == substrings.brute_force({i: t.encode() for i, t in texts_of(docs).items()})
 
 
+@pytest.mark.parametrize("kind", ("long", "string"))
+def test_substrings_of_repeated_identifiers(spark, tmp_path, kind):
+    """Rows that share an identifier, null ones and strings: the order is identifier, then place in the file."""
+    draw = random.Random(5)
+    passage = ["".join(draw.choices("abcdef ", k=150)) for _ in range(4)]
+    names = [3, 1, None, 3, 2, None, 3, 1, 10, 3]
+    texts = [passage[draw.randrange(4)] + "".join(draw.choices("xyz", k=draw.randrange(40))) + passage[draw.randrange(4)] for _ in names]
+    texts[4], texts[6] = None, texts[0]
+    rows = [(n if n is None or kind == "long" else str(n), t) for n, t in zip(names, texts, strict=True)]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, f"doc_id {kind}, text string").coalesce(1).write.parquet(path)
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] if rows[i][0] is not None else 0, i))
+    want = substrings.brute_force({place: (rows[i][1] or "").encode() for place, i in enumerate(order)})
+    got = [(r["id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in substrings.substring_dedup(spark.read.parquet(path)).collect()]
+    assert sorted(map(repr, got)) == sorted(repr((rows[i][0], *want[place])) for place, i in enumerate(order))
+    assert sum(r[2] for r in got) > 500
+
+
 def test_substrings_against_plain_doubling(spark, tmp_path):
     rng = random.Random(9)
     word = lambda: f"{rng.randrange(10**4)}é"
