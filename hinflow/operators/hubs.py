@@ -64,6 +64,15 @@ def top_share(scores: DataFrame, share: float, value: str = "score") -> DataFram
     return above.select("node", value).union(ties.select("node", value))
 
 
+def _f1_of(counts: DataFrame) -> DataFrame:
+    """(precision, recall, f1) of np proposed nodes, tp of them inclusive hubs, and ns strict hubs, ts of them proposed."""
+    precision = F.when(F.col("np") > 0, F.col("tp") / F.col("np")).otherwise(0.0)
+    recall = F.when(F.col("ts") > 0, F.col("ts") / F.col("ns")).otherwise(1.0)
+    c = counts.select(precision.alias("precision"), recall.alias("recall"))
+    both = F.col("precision") + F.col("recall")
+    return c.select("*", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0).alias("f1"))
+
+
 def f1(proposed: DataFrame, inclusive: DataFrame, strict: DataFrame) -> DataFrame:
     """One row: precision against the inclusive set, recall against the strict set, F1.
 
@@ -78,11 +87,17 @@ def f1(proposed: DataFrame, inclusive: DataFrame, strict: DataFrame) -> DataFram
         F.count(F.when(F.col("p").isNotNull() & F.col("i").isNotNull(), 1)).alias("tp"),
         F.count(F.when(F.col("p").isNotNull() & F.col("s").isNotNull(), 1)).alias("ts"),
     )
-    precision = F.when(F.col("np") > 0, F.col("tp") / F.col("np")).otherwise(0.0)
-    recall = F.when(F.col("ts") > 0, F.col("ts") / F.col("ns")).otherwise(1.0)
-    c = c.select(precision.alias("precision"), recall.alias("recall"))
-    both = F.col("precision") + F.col("recall")
-    return c.select("*", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0).alias("f1"))
+    return _f1_of(c)
+
+
+def f1_at(proposed: DataFrame, scores: DataFrame, share: float, value: str = "score") -> DataFrame:
+    """``f1`` against the hubs of ``scores`` (one row a node): one ranking and one join give the inclusive and the strict set."""
+    cut = F.broadcast(threshold(scores, share, value).select("cut"))
+    truth = scores.crossJoin(cut).where(F.col(value) >= F.col("cut")).select("node", (F.col(value) > F.col("cut")).alias("strict"))
+    n = lambda c: F.count(F.when(c, 1))
+    p, strict = F.col("p").isNotNull(), F.col("strict")
+    c = proposed.select("node", F.lit(1).alias("p")).join(truth, "node", "full")
+    return _f1_of(c.agg(n(p).alias("np"), n(strict).alias("ns"), n(p & strict.isNotNull()).alias("tp"), n(p & strict).alias("ts")))
 
 
 def epsilon(proposed: DataFrame, scores: DataFrame, share: float, value: str = "score") -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.metapath import paired
+from ..plans.metapath import dealt, paired
 
 
 def overlaps(items: DataFrame, key: str = "item") -> DataFrame:
     """(a, b, shared) for pairs a < b with a common item; ``items``: distinct (node, item). An item of many nodes is split."""
-    return paired(items.select(F.col("node").alias("src"), F.col(key).alias("dst"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    return paired(dealt(items.select(F.col("node").alias("src"), F.col(key).alias("dst")))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def jaccard(items: DataFrame, key: str = "item") -> DataFrame:

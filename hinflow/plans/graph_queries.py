@@ -297,10 +297,9 @@ def association_degree_l2(t):
 
 @query("association_degree_union", ASSOC2)
 def association_degree_union(t):
-    """Distinct union of the inverted lists: the same count by counting distinct instead of listing."""
+    """Distinct union of the inverted lists, counted without listing both orders of its pairs."""
     half = M.metapath_edges(schema(t, "cust_order", "order_part"), M.MetaPath.parse("cust_order,order_part"))
-    other = half.select(F.col("src").alias("peer"), F.col("dst").alias("mid"))
-    return half.join(other, F.col("dst") == F.col("mid")).groupBy(F.col("src").alias("node")).agg(F.count_distinct("peer").alias("degree"))
+    return M.mirrored_degree(half)
 
 
 def stored_two_hop(t: Tables) -> DataFrame:

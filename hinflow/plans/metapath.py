@@ -104,19 +104,34 @@ def composed(left: DataFrame, right: DataFrame) -> DataFrame:
 SHARE = 1024
 
 
-def paired(half: DataFrame, share: int = SHARE) -> DataFrame:
-    """(a, b), a < b, of the sources that share a middle node of ``half`` (distinct src, dst), once per middle node.
+def dealt(half: DataFrame, share: int = SHARE) -> DataFrame:
+    """``half`` (src, dst and more) with the members of each ``dst`` dealt into parts of about ``share``: (one, mid, part, parts and more), written.
 
-    A middle node with d members makes d * d / 2 pairs. Its members are dealt
-    into parts of about ``share``, and each pair of parts is a join key of its
-    own, so one middle node spreads over many tasks.
+    Both sides of a self-join read it, so the half path is computed once.
     """
-    ends = half.select(F.col("src").alias("one"), F.col("dst").alias("mid"))
+    ends = written(half.withColumnsRenamed({"src": "one", "dst": "mid"}), "half")
     parts = ends.groupBy("mid").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("parts"))
-    dealt = ends.join(parts, "mid").withColumn("part", F.pmod(F.xxhash64("one"), F.col("parts")).cast("int"))
-    left = dealt.select("one", "mid", "part", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("other"))
-    right = dealt.select(F.col("one").alias("two"), "mid", F.col("part").alias("other"), F.explode(F.sequence(F.lit(0), F.col("part"))).alias("part"))
-    return left.join(right, ["mid", "part", "other"]).where("part < other or one < two").select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"))
+    return written(ends.join(parts, "mid").withColumn("part", F.pmod(F.xxhash64("one"), F.col("parts")).cast("int")), "dealt")
+
+
+def paired(members: DataFrame, weight: str | None = None) -> DataFrame:
+    """(a, b), a < b, of the nodes of ``members`` (as ``dealt`` writes them) that share a middle node, once per middle node.
+
+    A middle node with d members makes d * d / 2 pairs. Each pair of its parts
+    is a join key of its own, so one middle node spreads over many tasks. With
+    ``weight`` the product of both members' values follows under that name.
+    """
+    side = lambda node, value: [F.col("one").alias(node), "mid", *([F.col(weight).alias(value)] if weight else [])]
+    left = members.select(*side("one", "v"), "part", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("other"))
+    right = members.select(*side("two", "w"), F.col("part").alias("other"), F.explode(F.sequence(F.lit(0), F.col("part"))).alias("part"))
+    pairs = left.join(right, ["mid", "part", "other"]).where("part < other or one < two")
+    return pairs.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"), *([(F.col("v") * F.col("w")).alias(weight)] if weight else []))
+
+
+def both_ways(pairs: DataFrame, *more: str) -> DataFrame:
+    """(src, dst and more) of unordered ``pairs`` (a, b and more), in either order, without a join."""
+    way = lambda x, y: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"), *more)
+    return pairs.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("e")).select("e.*")
 
 
 def mirrored(half: DataFrame, share: int = SHARE) -> DataFrame:
@@ -124,9 +139,15 @@ def mirrored(half: DataFrame, share: int = SHARE) -> DataFrame:
 
     Only pairs in one order are made and shuffled; the others follow without a join.
     """
-    pairs = paired(half, share).distinct()
-    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"))
-    return both.select("e.*").union(half.select("src", F.col("src").alias("dst")).distinct())
+    members = dealt(half.select("src", "dst"), share)
+    return both_ways(paired(members).distinct()).union(members.select(F.col("one").alias("src"), F.col("one").alias("dst")).distinct())
+
+
+def mirrored_degree(half: DataFrame, share: int = SHARE) -> DataFrame:
+    """(node, degree) in ``mirrored``, itself included: the union of its middle nodes' members, counted without listing both orders."""
+    members = dealt(half.select("src", "dst"), share)
+    peers = paired(members).distinct().select(F.explode(F.array("a", "b")).alias("node"))
+    return peers.union(members.select("one").distinct()).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
 def metapath_edges(schema: GraphSchema, path: MetaPath) -> DataFrame:
@@ -171,10 +192,16 @@ def power(edges: DataFrame, exponent: int) -> DataFrame:
     return classes.join(out.withColumnRenamed("src", "of"), "of").select("src", "dst")
 
 
-def shared_paths(half: DataFrame) -> DataFrame:
-    """(src, dst, paths): over all middle nodes, instances of ``half`` (src, dst, paths) from either side multiplied and summed."""
-    other = half.select(F.col("src").alias("end"), F.col("dst").alias("mid"), F.col("paths").alias("back"))
-    return half.join(other, F.col("dst") == F.col("mid")).groupBy("src", F.col("end").alias("dst")).agg(F.sum(F.col("paths") * F.col("back")).alias("paths"))
+def shared_paths(half: DataFrame, share: int = SHARE) -> DataFrame:
+    """(src, dst, paths): over all middle nodes, instances of ``half`` (one row per src and dst, paths) from either side multiplied and summed.
+
+    The numbers of (a, b) and (b, a) are equal, so one order is made, shuffled
+    and summed; the other follows.
+    """
+    members = dealt(half.select("src", "dst", "paths"), share)
+    pairs = paired(members, "paths").groupBy("a", "b").agg(F.sum("paths").alias("paths"))
+    own = members.groupBy(F.col("one").alias("src")).agg(F.sum(F.col("paths") * F.col("paths")).alias("paths"))
+    return both_ways(pairs, "paths").union(own.select("src", F.col("src").alias("dst"), "paths"))
 
 
 def enough_peers(schema: GraphSchema, path: MetaPath, least: int = 3) -> bool:

@@ -244,8 +244,7 @@ F1 = """, c as (select (select count(*) from top) as np, (select count(*) from t
 
 @query("hub_f1", EST + SETS + F1)
 def hub_f1(t):
-    d = degrees(t)
-    return H.f1(top_estimates(t), H.hubs(d, SHARE, False), H.hubs(d, SHARE, True))
+    return H.f1_at(top_estimates(t), degrees(t), SHARE)
 
 
 SEEDS, LK = 5, 16

@@ -231,3 +231,26 @@ def test_edge_helpers(spark):
 def test_spectral_radius(spark):
     full = edges(spark, [(i, j) for i in range(5) for j in range(5) if i != j])
     assert abs(spectral_radius(full, 4, 2).first()[0] - 4) < 1e-6
+
+
+def test_split_hubs_keep_counts_and_weights(spark):
+    """Degrees and path numbers over middle nodes cut into parts, against plain sums; an empty half path gives no rows."""
+    rows = [(a, 0) for a in range(30)] + [(a, 1 + a % 3) for a in range(0, 50, 2)]
+    half = edges(spark, rows)
+    want = {(a, b): 0 for a, m in rows for b, n in rows if m == n}
+    for a, m in rows:
+        for b, n in rows:
+            if m == n:
+                want[a, b] += (1 + a % 4) * (1 + b % 4)
+    weighted = half.withColumn("paths", 1 + F.col("src") % 4)
+    assert {(r["src"], r["dst"]): r["paths"] for r in M.shared_paths(weighted, share=4).collect()} == want
+    assert {r["node"]: r["degree"] for r in M.mirrored_degree(half, share=4).collect()} == {a: sum(x == a for x, _ in want) for a, _ in want}
+    assert M.shared_paths(weighted.where("src < 0")).isEmpty() and M.mirrored_degree(half.where("src < 0")).isEmpty()
+
+
+def test_f1_by_one_ranking(spark):
+    """Ties at the cut, and no proposal at all: as with both sets given."""
+    scores = spark.createDataFrame([(n, float(min(n // 3, 4))) for n in range(20)], "node long, score double")
+    for wanted in ("node > 11", "node in (3, 13, 14)", "node < 0"):
+        top = scores.where(wanted)
+        assert H.f1_at(top, scores, 0.25).first() == H.f1(top, H.hubs(scores, 0.25, False), H.hubs(scores, 0.25, True)).first()
