@@ -42,6 +42,8 @@ from .common import located, locator, lower_ascii, written
 #: verdict, host, path
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 ORDERS = 5
+#: Orders whose tables have 256 ** SMALL_ORDERS rows at most, whatever the input: they are broadcast, since their few keys would be hot.
+SMALL_ORDERS = 2
 STRENGTH = 2.0
 FREQUENT = 1 << 16
 MAX_CALIBRATION = 20_000
@@ -105,6 +107,8 @@ def gram_scores(grams: DataFrame) -> DataFrame:
         byte = counts.groupBy(F.col("gram").bitwiseAND(mask).alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
         context = byte.groupBy(F.shiftright("key", 8).alias("ck")).agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"))
         out = out.withColumn("k", F.col("gram").bitwiseAND(mask)).withColumn("kc", F.shiftright("k", 8))
+        if k < SMALL_ORDERS:
+            byte, context = F.broadcast(byte), F.broadcast(context)
         out = out.join(byte, F.col("k") == F.col("key"), "left").join(context, F.col("kc") == F.col("ck"), "left")
         none = F.lit(0)
         p = [(F.coalesce(F.col(f"n{y}"), none) + STRENGTH * F.col(f"p{y}") if k else F.coalesce(F.col(f"n{y}"), none) + STRENGTH * p[y]) / (F.coalesce(F.col(f"c{y}"), none) + STRENGTH) for y in (0, 1)]
