@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.scratch import remove
+from ..plans.skew import join_hot
 from .common import located, locator, lower_ascii, only, scratch, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -130,7 +131,7 @@ def exact_groups(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id"
     state = _streamed_state(spark, index_path, index.schema, checkpoint)
 
     hits = state.where("n > 1")
-    located = index.join(hits, "digest").select("file", "row", "id", "digest", "keeper", "n")
+    located = join_hot(index, hits, "digest", "n").select("file", "row", "id", "digest", "keeper", "n")
     texts = docs.select(*locator(), F.col(text_col).alias("text"))
     hit_texts = written(texts.join(located, ["file", "row"]).withColumn("text", normalised(F.col("text"))), "hit-texts")
 
@@ -153,9 +154,10 @@ def exact_groups(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id"
         groups = groups.join(before, "digest").select(
             "digest", "odd", F.when(main, F.col("first")).otherwise(F.col("keeper")).alias("keeper"), F.when(main, F.col("n") + F.col("before")).otherwise(F.col("n")).alias("n")
         )
-    of_hits = checked.join(
-        groups.withColumnsRenamed({"digest": "d", "odd": "o"}), (F.col("digest") == F.col("d")) & F.col("odd").eqNullSafe(F.col("o"))
-    ).select(
+    groups = written(groups, "groups")
+    main = join_hot(checked.where("odd is null").drop("odd"), groups.where("odd is null").drop("odd"), "digest", "n")
+    others = checked.where("odd is not null").join(groups.where("odd is not null"), ["digest", "odd"]).drop("odd")
+    of_hits = main.unionByName(others).select(
         "id", "file", "row", "digest", F.col("keeper.id").alias("keep_id"), F.col("n").alias("group_size"),
         ((F.col("file") == F.col("keeper.file")) & (F.col("row") == F.col("keeper.row"))).alias("kept"),
     )
