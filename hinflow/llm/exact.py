@@ -35,8 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.scratch import remove
-from ..plans.skew import join_hot
-from .common import located, locator, lower_ascii, only, scratch, written
+from .common import join_hot, located, locator, lower_ascii, only, scratch, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from hinflow.llm import exact, licenses, mixing, packing, pii, quality, secrets, simhash, substrings, urls
 from hinflow.llm import queries as Q
+from hinflow.plans import skew
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -263,6 +264,17 @@ def test_exact_collisions_are_told_apart(spark, docs, monkeypatch):
     assert got == {i: (max(s), len(s)) for i, s in same.items()}
 
 
+def test_exact_hot_digests(spark, docs, monkeypatch):
+    """Groups beyond the limit of hot keys take the broadcast, smaller ones the shuffle; a collision among them is told apart."""
+    monkeypatch.setattr(skew, "HOT_ROWS", 2)
+    real = exact.content_index
+    monkeypatch.setattr(exact, "content_index", lambda *a: real(*a).withColumn("digest", F.substring("digest", 1, 1)))
+    texts = {i: t.translate(LOW) for i, t in texts_of(docs).items()}
+    got = {r["id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact.exact_groups(spark, docs).collect()}
+    same = {i: [j for j, u in texts.items() if u == t] for i, t in texts.items()}
+    assert got == {i: (max(s), len(s), i == max(s)) for i, s in same.items()}
+
+
 # --- 4 ---------------------------------------------------------------------------
 
 
