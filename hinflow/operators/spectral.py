@@ -10,28 +10,32 @@ from ..functions.hashing import keyed
 from ..plans.scratch import written
 
 
-def spectral_radius(edges: DataFrame, rounds: int = 40, every: int = 5) -> DataFrame:
+def spectral_radius(edges: DataFrame, rounds: int = 40, every: int = 5, sizes: DataFrame | None = None) -> DataFrame:
     """One row: the Rayleigh quotient after ``rounds`` power steps on a symmetric graph.
 
     The vector is scaled by its largest entry in each step; every few steps it
-    is written to the shared folder, which keeps the lineage short.
+    is written to the shared folder, which keeps the lineage short. With
+    ``sizes`` (node, size) a node stands for a class of so many that have the
+    same neighbours; the vector is the same for all of them.
     """
-    edges = written(edges.select("src", "dst"), "edges")
+    e = edges.select("src", "dst")
+    sizes = e.select(F.col("src").alias("node")).distinct().withColumn("size", F.lit(1)) if sizes is None else sizes
+    edges = written(e.join(sizes.select(F.col("node").alias("dst"), F.col("size").alias("w")), "dst").select("src", "dst", "w"), "edges")
     x = edges.select(F.col("src").alias("node")).distinct().withColumn("x", F.lit(1.0))
     for k in range(1, rounds + 1):
-        y = edges.join(x, edges["dst"] == x["node"]).groupBy(F.col("src").alias("node")).agg(F.sum("x").alias("x"))
+        y = edges.join(x, edges["dst"] == x["node"]).groupBy(F.col("src").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("x"))
         top = F.broadcast(y.agg(F.max("x").alias("top")))
         x = y.crossJoin(top).select("node", (F.col("x") / F.col("top")).alias("x"))
         if k % every == 0:
             x = written(x, "vector")
-    return rayleigh(x, edges)
+    return rayleigh(x.join(sizes, "node"), edges)
 
 
 def rayleigh(x: DataFrame, edges: DataFrame) -> DataFrame:
-    """The Rayleigh quotient x'Ax / x'x."""
-    a, b = x.toDF("src", "a"), x.toDF("dst", "b")
-    up = edges.join(a, "src").join(b, "dst").agg(F.sum(F.col("a") * F.col("b")).alias("up"))
-    down = x.agg(F.sum(F.col("x") * F.col("x")).alias("down"))
+    """The Rayleigh quotient x'Ax / x'x of ``x`` (node, x, size) and ``edges`` (src, dst, w), w being the size of dst."""
+    a, b = x.select(F.col("node").alias("src"), (F.col("x") * F.col("size")).alias("a")), x.select(F.col("node").alias("dst"), F.col("x").alias("b"))
+    up = edges.join(a, "src").join(b, "dst").agg(F.sum(F.col("a") * F.col("w") * F.col("b")).alias("up"))
+    down = x.agg(F.sum(F.col("x") * F.col("x") * F.col("size")).alias("down"))
     return up.crossJoin(down).select(F.round(F.col("up") / F.col("down"), 6).alias("radius"))
 
 
