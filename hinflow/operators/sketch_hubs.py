@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..plans.metapath import GraphSchema, MetaPath, peers_of
 from ..plans.scratch import written
 from . import hubs as H
-from .sketch import estimates_by, propagate, step
+from .sketch import bounded_step, estimates_by, propagate
 
 
 def restricted_counts(schema: GraphSchema, path: MetaPath, start: DataFrame, scores: DataFrame, pivots: DataFrame, k: int, candidates: DataFrame | None = None) -> DataFrame:
@@ -29,7 +29,7 @@ def restricted_counts(schema: GraphSchema, path: MetaPath, start: DataFrame, sco
     last = schema.hops(path)[-1]
     if candidates is not None:
         last = last.join(candidates.select(F.col("node").alias("dst")), "dst", "left_semi")
-    return estimates_by(step(out, last, k), k, ("pivot", "node")).withColumnRenamed("degree", "count")
+    return estimates_by(bounded_step(out, last, k), k, ("pivot", "node")).withColumnRenamed("degree", "count")
 
 
 def h_hubs(schema: GraphSchema, path: MetaPath, start: DataFrame, scores: DataFrame, share: float, k: int, pivots: int = 3) -> DataFrame:
