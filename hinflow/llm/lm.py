@@ -318,10 +318,11 @@ def _scored(table: pa.Table, model: Model) -> pa.Table:
         wide = np.zeros((len(p.as_py()) // 6, 4), np.uint16)
         wide[:, :3] = np.frombuffer(p.as_py(), np.uint16).reshape(-1, 3)
         pairs.append(wide.view(np.uint64).ravel())
-        pair_of.append(np.frombuffer(po.as_py(), np.uint16).astype(np.int64) + ahead)
+        pair_of.append(np.frombuffer(po.as_py(), np.uint16).astype(np.int32) + np.int32(ahead))
         rare.append(np.frombuffer(r.as_py(), np.uint64).reshape(-1, 2))
         rare_of.append(np.frombuffer(ro.as_py(), np.uint32).astype(np.int64) + ahead)
         ahead += len(docs[-1])
+    del blobs
     rows = {c: [] for c in _GOT}
 
     def add(n: int, **columns) -> None:
@@ -331,11 +332,21 @@ def _scored(table: pa.Table, model: Model) -> pa.Table:
     whole = table.filter(pc.is_valid(table.column("key"))).combine_chunks()
     add(len(whole), **{c: whole.column(c) for c in ("key", "id", "n_tokens", "n_known", "base", "cost")})
     if docs:
-        docs, pairs, pair_of, rare, rare_of = (np.concatenate(x) for x in (docs, pairs, pair_of, rare, rare_of))
+        # One at a time, so that each list goes before the next is joined: this step takes the most memory.
+        docs = np.concatenate(docs)
+        pairs = np.concatenate(pairs)
+        pair_of = np.concatenate(pair_of)
+        rare = np.concatenate(rare)
+        rare_of = np.concatenate(rare_of)
         key, train = docs >> 1, docs & 1
         if len(pairs):
-            pair, of = np.unique(pairs, return_inverse=True)
-            n = np.bincount(of, train[pair_of], len(pair))
+            order = np.argsort(pairs)
+            pairs, pair_of = pairs[order], pair_of[order]
+            del order
+            first = np.append(True, pairs[1:] != pairs[:-1])
+            pair, of = pairs[first], np.cumsum(first, dtype=np.int32) - np.int32(1)
+            del pairs
+            n = np.add.reduceat(train.astype(np.int32)[pair_of], np.flatnonzero(first)).astype(np.float64)
             before, word = (pair >> _U(BITS)).astype(np.int64), (pair & _U((1 << BITS) - 1)).astype(np.int64)
             known = n > 0
             cost = model.costs(n, model.count[before], model.count[word])
