@@ -60,7 +60,7 @@ STRENGTH = 300.0
 #: Training tokens that a shard is made for.
 SHARD = 1 << 22
 #: Bytes that are hashed at once, and pairs and documents that a task holds before it hands them on.
-BLOCK, HELD, HELD_DOCS = 1 << 20, 1 << 21, 60_000
+BLOCK, HELD, HELD_DOCS = 1 << 18, 1 << 20, 60_000
 _U = np.uint64
 
 
@@ -198,12 +198,16 @@ class Model:
         """P(w) for counts of words."""
         return (count + 0.1) / (self.total + 0.1 * (self.distinct + 1))
 
+    def seen(self, pair: np.ndarray, before: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """-SCALE log10 P(w | v), rounded, of known pairs, from c(v, w), c(v) and c(w)."""
+        return np.rint(-SCALE * np.log10((pair + self.strength * self.single(count)) / (before + self.strength))).astype(np.int64)
+
+    def unseen(self, before: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The same of pairs that are not known, in two rounded parts."""
+        return (np.rint(-SCALE * np.log10(self.strength / (before + self.strength))) + np.rint(-SCALE * np.log10(self.single(count)))).astype(np.int64)
+
     def costs(self, pair: np.ndarray, before: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """-SCALE log10 P(w | v), rounded, from c(v, w), c(v) and c(w); in two rounded parts where the pair is not known."""
-        before = before + self.strength
-        seen = (pair + self.strength * self.single(count)) / before
-        back = np.rint(-SCALE * np.log10(self.strength / before)) + np.rint(-SCALE * np.log10(self.single(count)))
-        return np.where(pair > 0, np.rint(-SCALE * np.log10(seen)), back).astype(np.int64)
+        return np.where(pair > 0, self.seen(pair, before, count), self.unseen(before, count))
 
 
 def _hot_pairs(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -244,15 +248,25 @@ def _sent(batches: Iterator[pa.RecordBatch], model: Model, shards: int) -> Itera
     def parts(docs, train, pairs, pair_of, rare, rare_of):
         """Rows of the held pairs, one for each shard."""
         marked = np.array(docs, np.int64) * 2 + np.array(train, np.int64)
-        pairs, pair_of, rare, rare_of = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pairs, pair_of, rare, rare_of))
+
+        def joined(held):
+            """Emptied, so that the parts go when they are joined."""
+            out = np.concatenate(held) if held else np.zeros(0, np.int64)
+            held.clear()
+            return out
+
         found: dict[int, dict[str, bytes]] = {}
-        key = (_shard(pairs.astype(np.uint64), shards) << _U(2 * BITS)) | pairs.astype(np.uint64)
+        pair_of, key = joined(pair_of), joined(pairs).view(np.uint64)
+        key |= _shard(key, shards) << _U(2 * BITS)
         order = np.argsort(key)
         key, pair_of = key[order], pair_of[order]
+        del order
         inner = (key & _U((1 << 2 * BITS) - 1)).view(np.uint16).reshape(-1, 4)[:, :3]
         for shard, s in _runs(key >> _U(2 * BITS)):
             used, of = np.unique(pair_of[s], return_inverse=True)
             found[shard] = {"docs": marked[used].tobytes(), "pairs": inner[s].tobytes(), "pair_of": of.astype(np.uint16).tobytes()}
+        del key, inner, pair_of
+        rare, rare_of = joined(rare), joined(rare_of)
         if len(rare):
             shard_of = _shard(rare[:, 0] ^ _mixed(rare[:, 1]), shards)
             order = np.argsort(shard_of, kind="stable")
@@ -265,7 +279,7 @@ def _sent(batches: Iterator[pa.RecordBatch], model: Model, shards: int) -> Itera
                 row |= {"docs": row["docs"] + marked[used].tobytes(), "rare": rare[s].tobytes(), "rare_of": (of + n).astype(np.uint32).tobytes()}
         n = len(found)
         columns = [pa.array(list(found), pa.int32())]
-        columns += [pa.array([row.get(c, b"") for row in found.values()], pa.binary()) for c in _SENT[1:6]]
+        columns += [pa.array([row.pop(c, b"") for row in found.values()], pa.binary()) for c in _SENT[1:6]]
         columns += [pa.nulls(n, pa.int64()), pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, list(_SENT))
 
@@ -296,10 +310,10 @@ def _sent(batches: Iterator[pa.RecordBatch], model: Model, shards: int) -> Itera
         pair = known & (before >= 0) & ~hot
         rest = ~(known & (before >= 0))
         held[0].append((before[pair] << BITS) | number[pair])
-        held[1].append(document[pair] + ahead)
+        held[1].append((document[pair] + ahead).astype(np.int32))
         if rest.any():
             held[2].append(np.stack([_before(token, document, _U(BEGIN))[rest], token[rest]], axis=1))
-            held[3].append(document[rest] + ahead)
+            held[3].append((document[rest] + ahead).astype(np.int32))
         n_held += len(token)
         if n_held > HELD or len(docs) > HELD_DOCS:
             yield parts(docs, train, *held)
@@ -308,6 +322,14 @@ def _sent(batches: Iterator[pa.RecordBatch], model: Model, shards: int) -> Itera
         yield parts(docs, train, *held)
 
 
+def _trie(model: Model, before: np.ndarray, word: np.ndarray, n: np.ndarray) -> Trie:
+    """The known ones (``n`` > 0) of sorted pairs, with their costs, in memory-mapped levels."""
+    known = n > 0
+    before, word = before[known], word[known]
+    cost = model.seen(n[known], model.count[before], model.count[word])
+    return Trie(before, word, cost.astype(np.uint16 if not len(cost) or cost.max() < 1 << 16 else np.uint32))
+
+
 def _scored(table: pa.Table, model: Model) -> pa.Table:
     """One shard: costs of its pairs by document, through a trie of the pairs that are known; rare pairs with their counts."""
     kind = table.schema.field("id").type
@@ -348,11 +370,10 @@ def _scored(table: pa.Table, model: Model) -> pa.Table:
             del pairs
             n = np.add.reduceat(train.astype(np.int32)[pair_of], np.flatnonzero(first)).astype(np.float64)
             before, word = (pair >> _U(BITS)).astype(np.int64), (pair & _U((1 << BITS) - 1)).astype(np.int64)
-            known = n > 0
-            cost = model.costs(n, model.count[before], model.count[word])
-            trie = Trie(before[known], word[known], np.minimum(cost[known], 65535).astype(np.uint16))
-            found = trie.find(before, word, -1)
-            cost = np.where(found >= 0, found, cost)
+            # Only the trie keeps the costs of known pairs; what it does not have is priced by its two words.
+            cost = _trie(model, before, word, n).find(before, word, -1)
+            new = np.flatnonzero(cost < 0)
+            cost[new] = model.unseen(model.count[before[new]], model.count[word[new]])
             by_doc = np.bincount(pair_of, cost[of], len(docs)).astype(np.int64)
             used = np.flatnonzero(np.bincount(pair_of, minlength=len(docs)))
             used_keys, at = np.unique(key[used], return_inverse=True)

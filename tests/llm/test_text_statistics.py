@@ -2,10 +2,13 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from hinflow.llm import divergence, lm, variants
@@ -258,3 +261,35 @@ def test_trie(tmp_path):
     assert trie.find(asked[:, 0], asked[:, 1], -1).tolist() == [held.get(tuple(x), -1) for x in asked.tolist()]
     assert trie.nbytes() < 6 * len(pairs)
     assert Trie(pairs[:0, 0], pairs[:0, 1], value[:0]).find(np.array([1]), np.array([2]), -1).tolist() == [-1]
+
+
+def _lm_parts(texts, hot=2):
+    """(batch, model) over training texts, without Spark."""
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(["a"] * n), pa.array([t.encode() for t in texts])], ["key", "id", "name", "text"])
+    words = next(lm._word_counts(iter([batch])))
+    word, count = np.append(np.uint64(lm.BEGIN), words.column(0).to_numpy().view(np.uint64)), np.append(n, words.column(1).to_numpy())
+    rank = np.full(len(word), -1, np.int16)
+    rank[np.lexsort((word, -count))[:hot]] = np.arange(hot)
+    return batch, lm.Model(int(count[1:].sum()), len(word) - 1, lm.STRENGTH, word, count, rank, np.zeros((hot, hot)))
+
+
+def test_costs_of_known_pairs_come_from_the_trie(monkeypatch):
+    batch, model = _lm_parts(["a b c d a b c", "b c e a b", "d e"])
+    sent = pa.Table.from_batches(list(lm._sent(iter([batch]), model, 1)))
+    cost = lambda: pc.sum(lm._scored(sent, model)["cost"]).as_py()
+    before = cost()
+    monkeypatch.setattr(lm.Trie, "find", lambda self, context, word, none: np.full(len(context), none, np.int64))
+    assert cost() > before
+
+
+def test_pairs_on_their_way_are_held_in_little_memory():
+    rng = np.random.default_rng(3)
+    batch, model = _lm_parts([" ".join(map(str, rng.integers(0, 5000, 50_000))) for _ in range(50)])
+    tracemalloc.start()
+    try:
+        rows = sum(len(x) for x in lm._sent(iter([batch]), model, 20))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows >= 50 + 20 and most < 100e6
