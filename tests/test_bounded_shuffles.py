@@ -1,10 +1,13 @@
 """Steps that shuffle less than pairs or slots must give what the plain ones give."""
 
+import hashlib
+import itertools
 import random
 
 from pyspark.sql import functions as F
 
 from hinflow.operators import hubs as H
+from hinflow.operators import sampling as S
 from hinflow.operators import sketch as K
 from hinflow.operators.edges import degree
 from hinflow.operators.spectral import spectral_radius
@@ -72,3 +75,18 @@ def test_bounded_step(spark):
     gone = K.step(one, hop, 8).where("h % 3 = 0")
     assert rows(K.bounded_step(one, hop, 8, own)) == rows(K.step(one, hop, 8, own))
     assert rows(K.bounded_step(one, hop, 8, None, gone)) == rows(K.step(one, hop, 8, None, gone))
+
+
+def test_negatives_from_the_beginning_of_the_hash_order(spark):
+    """Half paths instead of graphs; with one try in the first round, most sources take further rounds, and one has no negative at all."""
+    rng = random.Random(4)
+    far = [(i, i % 2) for i in range(40)]
+    near = sorted({(i, rng.randrange(12)) for i in range(40) for _ in range(2)} | {(0, m) for m in range(12)})
+    close = set(peers_of(near))
+    want = []
+    for a, b in itertools.groupby(peers_of(far), lambda e: e[0]):
+        free = [y for x, y in b if x != y and (x, y) not in close]
+        want += [(a, y) for y in sorted(free, key=lambda y, a=a: (hashlib.md5(f"42:{a}-{y}".encode()).hexdigest()[:8], y))[:3]]
+    for tries in (1, 12, 100):
+        assert rows(S.two_hop_negatives(half_of(spark, far), half_of(spark, near), 3, tries=tries)) == sorted(want)
+    assert 0 not in {a for a, _ in want} and S.two_hop_negatives(half_of(spark, []), half_of(spark, near), 3).count() == 0
