@@ -11,28 +11,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.metapath import GraphSchema, MetaPath, peers_of
+from ..plans.metapath import GraphSchema, MetaPath, peers_of, stored
 from ..plans.scratch import written
 from . import hubs as H
-from .sketch import bounded_step, estimates_by, propagate
+from .sketch import LEVELS, levelled_counts
 
 
-def restricted_counts(schema: GraphSchema, path: MetaPath, start: DataFrame, scores: DataFrame, pivots: DataFrame, k: int, candidates: DataFrame | None = None) -> DataFrame:
+def restricted_counts(schema: GraphSchema, path: MetaPath, start: DataFrame, scores: DataFrame, pivots: list[int], k: int, candidates: DataFrame | None = None) -> DataFrame:
     """(pivot, node, count): peers with a score of at least ``pivot``, estimated for ``candidates`` (node) or all.
 
-    ``pivots`` has one column, pivot, and few rows. All pivots share one plan:
-    the pivot is a key of the sketches. Nodes without such a peer are absent.
+    A node that reaches a pivot reaches all lower ones, so the pivots' sketches
+    are nested and move as one: with n nodes at the lowest and m at the highest
+    pivot it has k (1 + log(n / m)) slots or so, however many pivots there are.
+    LEVELS pivots share a plan. Nodes without such a peer are absent.
     """
-    known = start.join(scores.select("node", "score"), "node")
-    begin = known.join(F.broadcast(pivots), F.col("score") >= F.col("pivot")).select("pivot", "node", "h")
-    out = propagate(schema, path.prefix(len(path.steps) - 1), begin, k)
-    last = schema.hops(path)[-1]
-    if candidates is not None:
-        last = last.join(candidates.select(F.col("node").alias("dst")), "dst", "left_semi")
-    return estimates_by(bounded_step(out, last, k), k, ("pivot", "node")).withColumnRenamed("degree", "count")
-
-
-def h_hubs(schema: GraphSchema, path: MetaPath, start: DataFrame, scores: DataFrame, share: float, k: int, pivots: int = 3) -> DataFrame:
+    known, out = start.join(scores.select("node", "score"), "node"), None
+    pivots = sorted(set(pivots))
+    schema = stored(schema, path)
+    for at in range(0, len(pivots), LEVELS):
+        tried = pivots[at : at + LEVELS]
+        ladder = F.array(*(F.lit(p) for p in tried))
+        level = F.size(F.filter(ladder, lambda p: p <= F.col("score")))
+        begin = known.select("node", "h", level.alias("level")).where("level > 0")
+        counts = levelled_counts(schema, path, begin, len(tried), k, candidates)
+        counts = counts.select(F.get(ladder, F.col("level") - 1).cast("long").alias("pivot"), "node", "count")
+        out = counts if out is None else out.union(counts)
+    return scores.sparkSession.createDataFrame([], "pivot long, node long, count double") if out is None else out
+
+
+def h_hubs(schema: GraphSchema, path: MetaPath, start: DataFrame, scores: DataFrame, share: float, k: int, pivots: int = 15) -> DataFrame:
     """(node, cut): the nodes whose estimated h-index is at least ``cut``, the largest value that floor(share n) + 1 nodes reach.
 
     ``scores`` (node, score): estimated degrees, a written table. Each round
@@ -42,14 +49,13 @@ def h_hubs(schema: GraphSchema, path: MetaPath, start: DataFrame, scores: DataFr
     log(largest score) / log(pivots + 1) rounds. Only the few numbers of nodes
     per pivot come to the driver. Nodes that tie at the cut are all in.
     """
-    spark = scores.sparkSession
+    schema = stored(schema, path)
     cut = H.threshold(scores, share).first()
     room, lo, hi = int(share * (cut["n"] or 0)) + 1, 0, int(cut["cut"] or 0)
     candidates = scores.select("node")
     while lo < hi:
         tried = sorted({lo + -(-(hi - lo) * i // (pivots + 1)) for i in range(1, pivots + 1)})
-        table = spark.createDataFrame([(p,) for p in tried], "pivot long")
-        reached = restricted_counts(schema, path, start, scores, table, k, candidates).where(F.col("count") >= F.col("pivot"))
+        reached = restricted_counts(schema, path, start, scores, tried, k, candidates).where(F.col("count") >= F.col("pivot"))
         reached = written(reached.select("pivot", "node"), "reached")
         enough = {r["pivot"] for r in reached.groupBy("pivot").count().collect() if r["count"] >= room}
         best = max(enough, default=lo)
@@ -69,7 +75,8 @@ def own_h(schema: GraphSchema, path: MetaPath, layer: int, scores: DataFrame, qu
 def personal_h(schema: GraphSchema, path: MetaPath, start: DataFrame, scores: DataFrame, queries: DataFrame, share: float, k: int) -> DataFrame:
     """(node, h, is_hub) for the query nodes: with h from its exact peers, at most floor(share n) nodes (itself included) have as many peers with a score of h or more as it has."""
     own = written(own_h(schema, path, len(path.steps) // 2, scores, queries), "own-h")
-    counts = written(restricted_counts(schema, path, start, scores, own.select(F.col("h").alias("pivot")).distinct(), k), "counts")
+    pivots = [r["h"] for r in own.select("h").distinct().collect() if r["h"] is not None]
+    counts = written(restricted_counts(schema, path, start, scores, pivots, k), "counts")
     mine = own.join(counts, (own["h"] == counts["pivot"]) & (own["node"] == counts["node"]), "left").select(own["node"].alias("q"), "h", F.coalesce("count", F.lit(0.0)).alias("own"))
     above = counts.join(F.broadcast(mine), F.col("pivot") == F.col("h")).where((F.col("node") != F.col("q")) & (F.col("count") >= F.col("own")))
     above = above.groupBy(F.col("q").alias("node")).agg(F.count(F.lit(1)).alias("others"))

@@ -90,3 +90,21 @@ def test_negatives_from_the_beginning_of_the_hash_order(spark):
     for tries in (1, 12, 100):
         assert rows(S.two_hop_negatives(half_of(spark, far), half_of(spark, near), 3, tries=tries)) == sorted(want)
     assert 0 not in {a for a, _ in want} and S.two_hop_negatives(half_of(spark, []), half_of(spark, near), 3).count() == 0
+
+
+def test_nested_sketches_move_as_one(spark, monkeypatch):
+    """Counts of all levels from one sketch equal those of a sketch a level, also at crowded nodes; a slot travels once for all its levels."""
+    rnd = random.Random(6)
+    edges = half_of(spark, sorted({(rnd.randrange(60), 100 + rnd.randrange(9)) for _ in range(260)} | {(70, 200)}))
+    s, path = M.GraphSchema({"r": edges}), M.MetaPath.parse("r,rev_r")
+    start = spark.createDataFrame([(n, rnd.randrange(1 << 60), rnd.randrange(1, 5)) for n in [*range(60), 70]], "node long, h long, level int")
+    some = spark.createDataFrame([(n,) for n in range(0, 60, 2)], "node long")
+    for crowd in (1 << 16, 3):
+        monkeypatch.setattr(K, "CROWD", crowd)
+        for k in (2, 8, 100):
+            plain = {i: rows(K.estimate(K.propagate(s, path, start.where(F.col("level") >= i).select("node", "h"), k), k)) for i in range(1, 5)}
+            assert rows(K.levelled_counts(s, path, start, 4, k)) == [(i, n, c) for i in plain for n, c in plain[i]]
+            kept = [(i, n, c) for i in plain for n, c in plain[i] if n < 60 and n % 2 == 0]
+            assert rows(K.levelled_counts(s, path, start, 4, k, some)) == kept
+    moved = K.levelled(start.select(F.lit(1).alias("node"), "h", "level"), 8, 4)
+    assert 8 <= moved.count() < 4 * 8
