@@ -108,3 +108,13 @@ def test_nested_sketches_move_as_one(spark, monkeypatch):
             assert rows(K.levelled_counts(s, path, start, 4, k, some)) == kept
     moved = K.levelled(start.select(F.lit(1).alias("node"), "h", "level"), 8, 4)
     assert 8 <= moved.count() < 4 * 8
+
+
+def test_graphs_from_arrays_of_members(spark, monkeypatch):
+    """Pairs that share many middle nodes are not made once per middle node."""
+    half = half_of(spark, [(i, m) for i in range(24) for m in range(40) if (i * m) % 7 < 5])
+    monkeypatch.setattr(M, "paired", None)
+    edges = sorted({(i, m) for i in range(24) for m in range(40) if (i * m) % 7 < 5})
+    monkeypatch.setattr(M, "few", lambda half: False)
+    got = M.mirrored(half)
+    assert rows(got) == peers_of(edges) and got.dtypes == [("src", "bigint"), ("dst", "bigint")]
