@@ -333,9 +333,11 @@ def _trie(model: Model, before: np.ndarray, word: np.ndarray, n: np.ndarray) ->
 def _scored(table: pa.Table, model: Model) -> pa.Table:
     """One shard: costs of its pairs by document, through a trie of the pairs that are known; rare pairs with their counts."""
     kind = table.schema.field("id").type
-    blobs = table.filter(pc.is_valid(table.column("docs")))
     docs, pairs, pair_of, rare, rare_of, ahead = [], [], [], [], [], 0
-    for d, p, po, r, ro in zip(*(blobs.column(c) for c in _SENT[1:6]), strict=True):
+    # Read where they are: a filtered table would hold all of them twice.
+    for d, p, po, r, ro in zip(*(table.column(c) for c in _SENT[1:6]), strict=True):
+        if not d.is_valid:
+            continue
         docs.append(np.frombuffer(d.as_py(), np.int64))
         wide = np.zeros((len(p.as_py()) // 6, 4), np.uint16)
         wide[:, :3] = np.frombuffer(p.as_py(), np.uint16).reshape(-1, 3)
@@ -344,7 +346,6 @@ def _scored(table: pa.Table, model: Model) -> pa.Table:
         rare.append(np.frombuffer(r.as_py(), np.uint64).reshape(-1, 2))
         rare_of.append(np.frombuffer(ro.as_py(), np.uint32).astype(np.int64) + ahead)
         ahead += len(docs[-1])
-    del blobs
     rows = {c: [] for c in _GOT}
 
     def add(n: int, **columns) -> None:
