@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -664,6 +665,20 @@ def test_secret_keys_are_found_and_names_are_not(code_like):
     assert max(share[k] for k in ("camel", "path", "snake", "uuid")) <= 0.02
 
 
+def test_ordinary_text_of_secrets_is_learned_from_every_word(spark):
+    long = " ".join(f"w{k % 700:03d}" for k in range(4000))
+    docs = spark.createDataFrame([(0, long + " tail\x0bend"), (1, "tail "), (2, None), (3, "")], "doc_id long, text string")
+    want = Counter(w for t in (long, "tail end", "tail") for w in t.split())
+    words = secrets.vocabulary(docs)
+    assert {r["word"]: r["n"] for r in words.collect()} == want
+    total = sum(want.values())
+    for strings, size in ((8, 64), (64, 160)):
+        rows = secrets.laid_out(words, strings, size).where("kind = 0").collect()
+        laid = Counter(w for r in rows for w in r["text"].split())
+        assert sum(laid.values()) == strings * size
+        assert all(abs(laid[w] - n * strings * size / total) < 1 for w, n in want.items())
+
+
 # --- all -------------------------------------------------------------------------
 
 
