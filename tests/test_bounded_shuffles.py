@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hinflow.operators import hubs as H
 from hinflow.operators import sampling as S
+from hinflow.operators import similarity as SIM
 from hinflow.operators import sketch as K
 from hinflow.operators.edges import degree
 from hinflow.operators.spectral import spectral_radius
@@ -118,3 +119,37 @@ def test_graphs_from_arrays_of_members(spark, monkeypatch):
     monkeypatch.setattr(M, "few", lambda half: False)
     got = M.mirrored(half)
     assert rows(got) == peers_of(edges) and got.dtypes == [("src", "bigint"), ("dst", "bigint")]
+
+
+def test_pairs_with_common_items(spark):
+    """Similarities, exact and estimated, from arrays of members in few and many parts, and of nodes that meet many."""
+    rng = random.Random(8)
+    edges = sorted({(rng.randrange(40), int(rng.random() ** 3 * 60)) for _ in range(500)})
+    hash_of = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:12], 16)
+    items = spark.createDataFrame([(n, i, hash_of(i)) for n, i in edges], "node long, item long, h long")
+    of = {n: {i for m, i in edges if m == n} for n in {n for n, _ in edges}}
+    want = {(a, b): len(of[a] & of[b]) / len(of[a] | of[b]) for a, b in itertools.combinations(sorted(of), 2) if of[a] & of[b]}
+    low = {k: {n: set(sorted(map(hash_of, s))[:k]) for n, s in of.items()} for k in (6, 70)}
+    for share, met in ((1024, 1 << 20), (3, 50)):
+        got = SIM.jaccard(items.select("node", "item"), share=share, met=met)
+        assert dict(((a, b), j) for a, b, j in rows(got)) == want
+        for k, sketch in low.items():
+            est = {}
+            for a, b in itertools.combinations(sorted(of), 2):
+                merged = set(sorted(sketch[a] | sketch[b])[:k])
+                if sketch[a] & sketch[b]:
+                    est[a, b] = len(merged & sketch[a] & sketch[b]) / len(merged)
+            slots = spark.createDataFrame([(n, h) for n, s in sketch.items() for h in s], "node long, h long")
+            assert dict(((a, b), j) for a, b, j in rows(SIM.coordinated(slots, k))) == est
+            e = SIM.coordinated_errors(items, k, share, met).first()
+            off = [est.get(p, 0.0) - j for p, j in want.items()]
+            assert e["pairs"] == len(off) and abs(e["bias"] - sum(off) / len(off)) < 1e-12
+            assert abs(e["mae"] - sum(map(abs, off)) / len(off)) < 1e-12 and abs(e["worst"] - max(map(abs, off))) < 1e-12
+
+
+def test_pairs_are_shuffled_as_arrays(spark):
+    """What meets by a common item is grouped without a shuffle of pairs."""
+    items = spark.createDataFrame([(n, i) for n in range(20) for i in range(n % 5 + 1)], "node long, item long")
+    o = SIM.meetings(items).groupBy("bucket", "a", "b").count()
+    plan = o._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(a") == 1
