@@ -153,3 +153,27 @@ def test_pairs_are_shuffled_as_arrays(spark):
     o = SIM.meetings(items).groupBy("bucket", "a", "b").count()
     plan = o._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(a") == 1
+
+
+def test_layers_that_lead_back_at_once(spark):
+    """Where every middle node has one source, a layer's sketches go back along the whole half path; elsewhere step by step. The sketches are the same."""
+    rng = random.Random(5)
+    first = [(m % 15, 100 + m) for m in range(60)]
+    second = sorted({(100 + rng.randrange(60), 200 + rng.randrange(12)) for _ in range(240)})
+    third = sorted({(200 + rng.randrange(12), 300 + rng.randrange(4)) for _ in range(30)})
+    edges = lambda e: spark.createDataFrame(e, "src long, dst long")
+    start = K.universe(spark.createDataFrame([(n,) for n in range(15)], "node long"))
+    hash_of = {r["node"]: r["h"] for r in start.collect()}
+    for more, at_once in (([], {2, 3}), ([(3, 100)], set())):
+        relations = {"a": edges(first + more), "b": edges(second), "c": edges(third)}
+        path = M.MetaPath.parse("a,b,c")
+        schema = M.GraphSchema(relations)
+        assert set(K.halves(schema.hops(path))) - {3} == at_once - {3}
+        reach, want = {n: {n} for n in range(15)}, []
+        for layer, hop in enumerate((first + more, second, third), 1):
+            reach = {n: {d for s, d in hop if s in at} for n, at in reach.items()}
+            for n in range(15):
+                peers = {m for m in range(15) if reach[n] & reach[m]}
+                want += [(layer, n, h) for h in sorted(hash_of[m] for m in peers)[:4]]
+        got = K.association_by_layer(schema, path, start, 4).select("layer", "node", "h")
+        assert rows(got) == sorted(want)
