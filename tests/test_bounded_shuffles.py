@@ -47,6 +47,24 @@ def test_few_classes(spark):
     assert abs(by_class - spectral_radius(M.mirrored(half), 4, 2).first()[0]) < 1e-6
 
 
+def test_pairs_leave_in_pieces(spark):
+    """A task that lists the pairs of two chunks holds a piece of them, not all, when the first one leaves."""
+    chunk = list(range(300))
+    one = spark.createDataFrame([(chunk, chunk)], "xs array<long>, ys array<long>").coalesce(1)
+    listed = M.spread(one, held=900)
+    execution = listed._jdf.queryExecution()
+    execution.toRdd().toJavaRDD().first()
+    made, plans = 0, [execution.executedPlan()]
+    while plans:
+        plan = plans.pop()
+        if plan.nodeName() == "Generate":
+            made = max(made, plan.metrics().apply("numOutputRows").value())
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    assert 0 < made <= 900
+    assert listed.distinct().count() == 300 * 300 == M.spread(one).count()
+    assert M.spread(one.select(F.array().cast("array<long>").alias("xs"), "ys")).isEmpty()
+
+
 def test_peer_arrays(spark):
     """Degrees and h-indexes from arrays of members, also where a node takes them in several shares and numbers need 64 bits."""
     rnd = random.Random(3)
