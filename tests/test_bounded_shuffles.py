@@ -65,6 +65,23 @@ def test_pairs_leave_in_pieces(spark):
     assert M.spread(one.select(F.array().cast("array<long>").alias("xs"), "ys")).isEmpty()
 
 
+def test_sets_of_one_hash(spark):
+    """Two ends of one 64-bit hash (made by its arithmetic) do not make one class of sources that share no end."""
+    p1, p2, word = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
+
+    def mixed(x):
+        acc = (42 + p1 + p2 + x * p2) & word
+        return ((acc << 31 | acc >> 33) * p1) & word
+
+    pack = lambda *w: b"".join(x.to_bytes(8, "little") for x in w)
+    end = pack(1, 0, 0, 0, 7, 0, 0, 0)
+    twin = pack(2, 0, 0, 0, (7 + (mixed(1) - mixed(2)) * pow(p2, -1, 1 << 64)) & word, 0, 0, 0)
+    half = spark.createDataFrame([(i, end if i % 2 else twin) for i in range(12)], "src long, dst binary")
+    assert end != twin and half.select(F.xxhash64("dst")).distinct().count() == 1 and M.few(half)
+    assert rows(M.mirrored_degree(half)) == [(i, 6) for i in range(12)]
+    assert rows(M.mirrored(half)) == [(a, b) for a in range(12) for b in range(12) if a % 2 == b % 2]
+
+
 def test_peer_arrays(spark):
     """Degrees and h-indexes from arrays of members, also where a node takes them in several shares and numbers need 64 bits."""
     rnd = random.Random(3)
