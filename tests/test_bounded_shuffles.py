@@ -82,6 +82,20 @@ def test_sets_of_one_hash(spark):
     assert rows(M.mirrored(half)) == [(a, b) for a in range(12) for b in range(12) if a % 2 == b % 2]
 
 
+def test_pairs_hashed_an_array_at_a_time(spark, monkeypatch):
+    """Hashes of many pairs at once are those of each pair, with numbers of any length; no pair is listed for a hash of its own."""
+    xs, ys = [0, 7, 12, 123456, -5, 1 << 62], [0, 9, 10, -8, 654321, 7, -(1 << 63)]
+    want = sorted((x, y, int(hashlib.md5(f"42:{x}-{y}".encode()).hexdigest()[:8], 16)) for x in xs for y in ys if x != y)
+    one = spark.createDataFrame([(xs, ys, 1 << 32), (xs, ys, 1 << 31), (xs, [], 1 << 32)], "xs array<long>, ys array<long>, limit long")
+    low = sorted(want + [w for w in want if w[2] < 1 << 31])
+    named = one.select(*(F.col(c).cast("array<string>").alias(c) for c in ("xs", "ys")), "limit")
+    assert rows(S.low_pairs(named, 42).selectExpr("cast(src as long) src", "cast(dst as long) dst", "h")) == low
+    monkeypatch.setattr(M, "spread", None)
+    for hashed in (1, 8, 1 << 14):
+        monkeypatch.setattr(S, "HASHED", hashed)
+        assert rows(S.low_pairs(one, 42)) == low
+
+
 def test_peer_arrays(spark):
     """Degrees and h-indexes from arrays of members, also where a node takes them in several shares and numbers need 64 bits."""
     rnd = random.Random(3)
