@@ -170,6 +170,19 @@ def test_graphs_from_arrays_of_members(spark, monkeypatch):
     assert rows(got) == peers_of(edges) and got.dtypes == [("src", "bigint"), ("dst", "bigint")]
 
 
+def test_composed_size(spark, monkeypatch):
+    """Pairs over middle nodes are counted, also where ends are null and nodes meet many, without being listed."""
+    rnd = random.Random(9)
+    left = {(rnd.randrange(30), rnd.randrange(12)) for _ in range(90)} | {(None, 3), (7, None)}
+    right = {(rnd.randrange(12), rnd.randrange(50)) for _ in range(150)} | {(3, None), (4, None), (None, 8)}
+    want = len({(a, d) for a, b in left for c, d in right if b == c and b is not None})
+    monkeypatch.setattr(M, "composed", None)
+    a, b = half_of(spark, sorted(left, key=repr)), half_of(spark, sorted(right, key=repr))
+    for share, met in ((1024, 1 << 20), (2, 16)):
+        assert rows(M.composed_size(a, b, share, met)) == [(want,)]
+    assert rows(M.composed_size(a.where("false"), b)) == [(0,)]
+
+
 def test_pairs_with_common_items(spark):
     """Similarities, exact and estimated, from arrays of members in few and many parts, and of nodes that meet many."""
     rng = random.Random(8)
