@@ -183,6 +183,18 @@ def test_composed_size(spark, monkeypatch):
     assert rows(M.composed_size(a.where("false"), b)) == [(0,)]
 
 
+def test_written_edges_stay(spark, monkeypatch):
+    """A graph that is a file already is not shuffled and written a second time to draw non-neighbours."""
+    nodes = spark.range(8).select(F.col("id").alias("node"))
+    edges = [(a, b) for a in range(8) for b in range(8) if (a + b) % 3]
+    graph, names = M.written(half_of(spark, edges + edges), "graph"), []
+    monkeypatch.setattr(S, "written", lambda df, name: names.append(name) or M.written(df, name))
+    got = rows(S.rejection_negatives(nodes, nodes, graph, 2))
+    assert "edges" not in names and not set(got) & set(edges) and all(a != b for a, b in got)
+    free = {a: sum((a, b) not in edges and a != b for b in range(8)) for a in range(8)}
+    assert len(set(got)) == len(got) == sum(min(2, n) for n in free.values())
+
+
 def test_pairs_with_common_items(spark):
     """Similarities, exact and estimated, from arrays of members in few and many parts, and of nodes that meet many."""
     rng = random.Random(8)
